@@ -271,11 +271,11 @@ def _(d):
 
 
 @query("ids_by_partition", """SELECT partition_key, id // 10000 AS part, count(*) AS n, min(id) AS first_id,
-    sum(id) AS total FROM d_cells GROUP BY ALL""")
+    max(id) AS last_id FROM d_cells GROUP BY ALL""")
 def _(d):
     return A.ids_by_partition(d.cells()).select(
         "partition_key", "part", F.size("ids").cast("long").alias("n"), F.get("ids", F.lit(0)).alias("first_id"),
-        F.expr("cast(aggregate(ids, 0L, (a, x) -> a + x) as decimal(38,0))").alias("total"))
+        F.array_max("ids").alias("last_id"))
 
 
 @query("count_by_type", """SELECT 1 AS mapobject_type_id, count(*) AS n_objects FROM d_cell_values
@@ -383,10 +383,10 @@ def _(d):
     return R.cap_images(images(d), 100).select("image_id", "channel_id")
 
 
-@query("natural_sort_key", """SELECT DISTINCT name, regexp_replace(regexp_replace(name, '\\d+', '000000000000\\0', 'g'),
-    '0*(\\d{12})(?!\\d)', '\\1', 'g') AS sort_key FROM d_files WHERE false""")
+@query("natural_sort_key", """SELECT DISTINCT name, array_to_string(list_transform(regexp_extract_all(name, '(\\d+|\\D+)'),
+    lambda p: CASE WHEN regexp_matches(p, '^\\d') THEN lpad(p, 12, '0') ELSE p END), '') AS sort_key FROM d_files""")
 def _(d):
-    return d.files().select("name", R.natural_key("name").alias("sort_key")).distinct().filter("false")
+    return d.files().select("name").distinct().select("name", R.natural_key("name").alias("sort_key"))
 
 
 @query("top_labels_per_group", """SELECT site_id, label, area FROM (SELECT *, row_number() OVER (
@@ -498,7 +498,7 @@ def _(d):
     return M.get_or_create(named.filter("id % 3 = 0"), named.select("name"), "id", "name")
 
 
-@query("ingest_feature_values", """SELECT s.partition_key, s.mapobject_id, s.tpoint, s.label * 0.5 AS f8
+@query("ingest_feature_values", """SELECT s.partition_key, s.mapobject_id, s.tpoint, CAST(s.label * 0.5 AS DOUBLE) AS f8
     FROM d_segmentations s WHERE tpoint = 1""")
 def _(d):
     upload = d.segmentations().filter("tpoint = 1").selectExpr(

@@ -80,15 +80,11 @@ def dense_index(df: DataFrame, group: Sequence[str], key: str, name: str,
     return df.join(running_index(values, group, key, name, width), [*group, key])
 
 
-def small_dense_index(df: DataFrame, group: Sequence[str], key: str, name: str) -> DataFrame:
-    """Dense rank for dimension values (channels, time points, plate rows).
-
-    Only the distinct values, not the rows, pass through the ordering.
-    """
+def small_dense_values(df: DataFrame, group: Sequence[str], key: str, name: str) -> DataFrame:
+    """Dense rank of the distinct values of a dimension column (channels, time
+    points, plate rows). Only distinct values pass through the ordering."""
     window = Window.partitionBy(*group).orderBy(key) if group else Window.orderBy(key)
-    values = (df.select(*group, key).distinct()
-              .withColumn(name, F.row_number().over(window) - 1))
-    return df.join(values, [*group, key])
+    return df.select(*group, key).distinct().withColumn(name, F.row_number().over(window) - 1)
 
 
 def salted_join(left: DataFrame, right: DataFrame, on: Sequence[str],
