@@ -1 +1,217 @@
+"""Queries over measurements of objects."""
 
+from pyspark.sql import functions as F
+
+from siteframe.catalog import query
+from siteframe.operators import measure as ME
+from siteframe.operators import relational as R
+
+NAN = "CAST('NaN' AS DOUBLE)"
+
+
+def rounded(df, digits=6, skip=("site_id", "label", "point_id", "parent", "name")):
+    return df.select(*[F.round(c, digits).alias(c) if c not in skip else F.col(c) for c in df.columns])
+
+
+_OBJ = "o AS (SELECT l.site_id, CAST(l.label AS INTEGER) AS label, l.y, l.x, p.value FROM d_labels l JOIN d_pixels2 p ON p.site_id = l.site_id AND p.y = l.y AND p.x = l.x)"
+
+
+@query("measure_intensity", f"""WITH {_OBJ} SELECT site_id, label, max(value)::DOUBLE AS max, round(avg(value), 6) AS mean, min(value)::DOUBLE AS min,
+    sum(value)::DOUBLE AS sum, round(stddev_pop(value), 6) AS std FROM o GROUP BY 1, 2""")
+def _(d):
+    return rounded(ME.measure_intensity(d.labels(), d.pixels2()))
+
+
+@query("bounding_boxes", "SELECT site_id, CAST(label AS INTEGER) AS label, min(y) AS y0, max(y) + 1 AS y1, min(x) AS x0, max(x) + 1 AS x1 FROM d_labels GROUP BY 1, 2")
+def _(d):
+    return ME.bounding_boxes(d.labels())
+
+
+@query("centroids", "SELECT site_id, CAST(label AS INTEGER) AS label, CAST(-floor(avg(y)) AS INTEGER) AS y, CAST(floor(avg(x)) AS INTEGER) AS x FROM d_labels GROUP BY 1, 2")
+def _(d):
+    return ME.centroids(d.labels())
+
+
+_PERIM = """rim AS (SELECT a.site_id, a.label, a.y, a.x FROM d_labels a LEFT JOIN d_labels b ON b.site_id = a.site_id AND b.label = a.label
+      AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(b.y - a.y) + abs(b.x - a.x) = 1 GROUP BY 1, 2, 3, 4 HAVING count(b.x) < 4),
+    code AS (SELECT a.site_id, a.label, a.y, a.x, 1 + coalesce(sum(CASE WHEN abs(b.y - a.y) + abs(b.x - a.x) = 1 THEN 2 WHEN b.y <> a.y AND b.x <> a.x THEN 10 ELSE 0 END), 0) AS c
+      FROM rim a LEFT JOIN rim b ON b.site_id = a.site_id AND b.label = a.label AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4),
+    per AS (SELECT site_id, label, sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2) WHEN c IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END) AS perimeter FROM code GROUP BY 1, 2)"""
+
+
+@query("measure_morphology", f"""WITH {_PERIM}, m AS (SELECT site_id, label, count(*)::DOUBLE AS area, avg(y) AS my, avg(x) AS mx, min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1,
+      var_pop(y) AS yy, var_pop(x) AS xx, covar_pop(y, x) AS xy FROM d_labels GROUP BY 1, 2),
+    e AS (SELECT *, (yy + xx) / 2 + sqrt(((yy - xx) / 2) ** 2 + xy ** 2) AS l1, greatest((yy + xx) / 2 - sqrt(((yy - xx) / 2) ** 2 + xy ** 2), 0) AS l2 FROM m JOIN per USING (site_id, label))
+    SELECT site_id, CAST(label AS INTEGER) AS label, round(mx - x0, 6) AS local_centroid_x, round(my - y0, 6) AS local_centroid_y, area, round(perimeter, 6) AS perimeter,
+      round(sqrt(greatest(1 - l2 / l1, 0)), 5) AS eccentricity, round(area / ((y1 - y0 + 1) * (x1 - x0 + 1)), 6) AS extent, round(4 * pi() * area / perimeter ** 2, 6) AS circularity,
+      round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) AS elongation, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter, round(4 * sqrt(l1), 5) AS major_axis_length, round(4 * sqrt(l2), 5) AS minor_axis_length FROM e""")
+def _(d):
+    out = rounded(ME.measure_morphology(d.labels()))
+    return out.withColumns({c: F.round(c, 5) for c in ("eccentricity", "elongation", "major_axis_length", "minor_axis_length")})
+
+
+@query("measure_shape")
+def _(d):
+    mask = d.pixels().select("site_id", "y", "x", (F.col("value") >= 120).alias("mask"))
+    return rounded(ME.measure_shape(d.labels(), mask))
+
+
+@query("measure_zernike", """WITH b AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx, (max(y) - min(y) + 3) / 2 AS ry, (max(x) - min(x) + 3) / 2 AS rx, count(*) AS n FROM d_labels GROUP BY 1, 2),
+    p AS (SELECT site_id, label, n, (y - cy) / ry AS v, (x - cx) / rx AS u FROM d_labels JOIN b USING (site_id, label)),
+    q AS (SELECT *, sqrt(u * u + v * v) AS r, atan2(v, u) AS t FROM p WHERE sqrt(u * u + v * v) <= 1)
+    SELECT site_id, CAST(label AS INTEGER) AS label, round(1 / pi() * count(*) / any_value(n), 6) AS zernike_0_0,
+      round(2 / pi() / any_value(n) * sqrt(sum(r * cos(t)) ** 2 + sum(r * sin(t)) ** 2), 6) AS zernike_1_1,
+      round(3 / pi() / any_value(n) * abs(sum(2 * r * r - 1)), 6) AS zernike_2_0,
+      round(3 / pi() / any_value(n) * sqrt(sum(r * r * cos(2 * t)) ** 2 + sum(r * r * sin(2 * t)) ** 2), 6) AS zernike_2_2 FROM q GROUP BY 1, 2""")
+def _(d):
+    return rounded(ME.measure_zernike(d.labels(), 2))
+
+
+@query("measure_zernike_full")
+def _(d):
+    return rounded(ME.measure_zernike(d.labels(), 12))
+
+
+@query("measure_hu", f"""WITH {_OBJ}, c AS (SELECT site_id, label, sum(value)::DOUBLE AS m, sum(value * y) / sum(value) AS cy, sum(value * x) / sum(value) AS cx FROM o GROUP BY 1, 2),
+    mu AS (SELECT site_id, label, sum(value * (y - cy) ** 2) / any_value(m) ** 2 AS n20, sum(value * (x - cx) ** 2) / any_value(m) ** 2 AS n02,
+      sum(value * (y - cy) * (x - cx)) / any_value(m) ** 2 AS n11, sum(value * (y - cy) ** 3) / any_value(m) ** 2.5 AS n30, sum(value * (x - cx) ** 3) / any_value(m) ** 2.5 AS n03,
+      sum(value * (y - cy) ** 2 * (x - cx)) / any_value(m) ** 2.5 AS n21, sum(value * (y - cy) * (x - cx) ** 2) / any_value(m) ** 2.5 AS n12 FROM o JOIN c USING (site_id, label) GROUP BY 1, 2)
+    SELECT site_id, label, round((n20 + n02) * 1e4, 5) AS hu_0, round(((n20 - n02) ** 2 + 4 * n11 ** 2) * 1e8, 4) AS hu_1,
+      round(((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2) * 1e11, 3) AS hu_2, round(((n30 + n12) ** 2 + (n21 + n03) ** 2) * 1e11, 3) AS hu_3 FROM mu""")
+def _(d):
+    hu = ME.measure_hu(d.labels(), d.pixels2())
+    scale = ((0, 1e4, 5), (1, 1e8, 4), (2, 1e11, 3), (3, 1e11, 3))
+    return hu.select("site_id", "label", *[F.round(F.col(f"hu_{i}") * s, n).alias(f"hu_{i}") for i, s, n in scale])
+
+
+@query("measure_haralick", f"""WITH {_OBJ}, g AS (SELECT site_id, label, y, x, CAST(floor(value * 255 / max(value) OVER (PARTITION BY site_id, label)) AS INTEGER) AS g FROM o),
+    pr AS (SELECT a.site_id, a.label, s.d, a.g AS i, b.g AS j FROM g a, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) s(d, dy, dx)
+      JOIN g b ON b.site_id = a.site_id AND b.label = a.label AND b.y = a.y + s.dy AND b.x = a.x + s.dx WHERE a.g > 0 AND b.g > 0),
+    sy AS (SELECT site_id, label, d, i, j FROM pr UNION ALL SELECT site_id, label, d, j, i FROM pr),
+    c AS (SELECT site_id, label, d, i, j, count(*) AS n FROM sy GROUP BY ALL),
+    p AS (SELECT *, n / sum(n) OVER (PARTITION BY site_id, label, d) AS p FROM c),
+    f AS (SELECT site_id, label, d, sum(p * p) AS asm, sum((i - j) ** 2 * p) AS con, sum(p / (1 + (i - j) ** 2)) AS idm, sum((i + j) * p) AS savg, -sum(p * log2(p)) AS ent FROM p GROUP BY 1, 2, 3)
+    SELECT site_id, label, round(avg(asm), 8) AS angular_second_moment, round(avg(con), 4) AS contrast, round(avg(idm), 8) AS inverse_diff_moment,
+      round(avg(savg), 5) AS sum_avg, round(avg(ent), 7) AS entropy FROM f GROUP BY 1, 2""")
+def _(d):
+    h = ME.measure_haralick(d.labels(), d.pixels2(), 1)
+    return h.select("site_id", "label", F.round("angular_second_moment", 8).alias("angular_second_moment"), F.round("contrast", 4).alias("contrast"),
+                    F.round("inverse_diff_moment", 8).alias("inverse_diff_moment"), F.round("sum_avg", 5).alias("sum_avg"), F.round("entropy", 7).alias("entropy"))
+
+
+@query("measure_lbp")
+def _(d):
+    return ME.measure_lbp(d.labels(), d.pixels2(), 1)
+
+
+@query("measure_tas", f"""WITH {_OBJ}, lv AS (SELECT site_id, label, coalesce(avg(value) FILTER (value > 50), 0) AS mu FROM o GROUP BY 1, 2),
+    m AS (SELECT o.*, o.value > lv.mu AS hit FROM o JOIN lv USING (site_id, label)),
+    n AS (SELECT a.site_id, a.label, a.y, a.x, count(b.y) AS k FROM m a LEFT JOIN m b ON b.site_id = a.site_id AND b.label = a.label AND b.hit AND b.y BETWEEN a.y - 1 AND a.y + 1
+      AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (b.y <> a.y OR b.x <> a.x) WHERE a.hit GROUP BY 1, 2, 3, 4)
+    SELECT site_id, label, 'mu' AS name, {', '.join(f'round(count(*) FILTER (k = {b}) / count(*), 8) AS tas_{b}' for b in range(9))} FROM n GROUP BY 1, 2""")
+def _(d):
+    return rounded(ME.measure_tas(d.labels(), d.pixels2(), 50).filter("name = 'mu'"), 8)
+
+
+@query("measure_gabor", f"""WITH {_OBJ}, s AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx, count(*) AS n, sum(value) AS v, sqrt(count(*) / pi()) / 3 AS sg FROM o GROUP BY 1, 2),
+    w AS (SELECT o.site_id, o.label, o.value, n, v, a, 1000 / (2 * pi() * sg * sg) * exp(-((y - cy) ** 2 + (x - cx) ** 2) / (2 * sg * sg)) AS e,
+      2 * pi() / 5 * ((y - cy) * cos(pi() * a / 4) + (x - cx) * sin(pi() * a / 4)) AS ph FROM o JOIN s USING (site_id, label), (SELECT unnest([0, 1, 2, 3]) AS a)),
+    r AS (SELECT site_id, label, a, sum(value * e * cos(ph)) - sum(e * cos(ph)) / any_value(n) * any_value(v) AS c, sum(value * e * sin(ph)) - sum(e * sin(ph)) / any_value(n) * any_value(v) AS s FROM w GROUP BY 1, 2, 3)
+    SELECT site_id, label, round(max(sqrt(c * c + s * s)), 4) AS gabor_5 FROM r GROUP BY 1, 2""")
+def _(d):
+    return rounded(ME.measure_gabor(d.labels(), d.pixels2(), [5]), 4)
+
+
+@query("measure_texture")
+def _(d):
+    out = ME.measure_texture(d.labels(), d.pixels2(), (5,), (1,), (1,), 50)
+    return out.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("gabor_5"), 4).alias("gabor_5"),
+                                      F.round(F.avg("haralick_contrast_1"), 4).alias("contrast"), F.sum("lbp_0_radius_1").alias("lbp_0"))
+
+
+# --- points ----------------------------------------------------------------------------
+
+_PAIRS = """d AS (SELECT a.site_id, a.parent, a.point_id, sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2) AS d FROM d_points a LEFT JOIN d_points b
+    ON b.site_id = a.site_id AND b.parent = a.parent AND b.point_id <> a.point_id)"""
+
+
+@query("point_distances", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(min(d), 6), {NAN}) AS nearest, coalesce(round(avg(d), 6), {NAN}) AS mean_distance,
+    coalesce(round(sqrt(greatest(avg(d * d) - avg(d) ** 2, 0)), 4), {NAN}) AS std_distance FROM d GROUP BY 1, 2, 3""")
+def _(d):
+    out = ME.point_distances(d.points(), ["site_id", "parent"], chunk=8)
+    return rounded(out.drop("y", "x")).withColumn("std_distance", F.round("std_distance", 4))
+
+
+def disk_points(d):
+    """Points inside the disks of the image fixture."""
+    return d.labels().filter("(y * 5 + x * 3 + site_id) % 11 = 0").selectExpr("site_id", "y * 64 + x AS point_id", "y", "x", "label AS parent")
+
+
+@query("measure_point_pattern", f"""WITH pt AS (SELECT site_id, label, y, x, y * 64 + x AS point_id FROM d_labels WHERE (y * 5 + x * 3 + site_id) % 11 = 0),
+    ar AS (SELECT site_id, label, count(*) AS area FROM d_labels GROUP BY 1, 2),
+    bg AS (SELECT site_id, y, x FROM d_pixels WHERE value < 120),
+    bd AS (SELECT pt.site_id, point_id, min((pt.y - bg.y) ** 2 + (pt.x - bg.x) ** 2) AS b FROM pt JOIN bg ON bg.site_id = pt.site_id AND bg.y BETWEEN pt.y - 8 AND pt.y + 8 AND bg.x BETWEEN pt.x - 8 AND pt.x + 8 GROUP BY 1, 2),
+    nn AS (SELECT a.site_id, a.point_id, a.label, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS n, avg(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS m FROM pt a LEFT JOIN pt b
+      ON b.site_id = a.site_id AND b.label = a.label AND b.point_id <> a.point_id GROUP BY 1, 2, 3)
+    SELECT nn.site_id, nn.point_id, b::DOUBLE AS absolute_distance_to_border, round(b / area, 6) AS relative_distance_to_border,
+      coalesce(round(n, 6), {NAN}) AS absolute_distance_to_nearest_neighbor, coalesce(round(n / area, 6), {NAN}) AS relative_distance_to_nearest_neighbor,
+      coalesce(round(m, 6), {NAN}) AS absolute_mean_distance_to_neighbors, coalesce(round(m / area, 6), {NAN}) AS relative_mean_distance_to_neighbors
+    FROM nn JOIN bd USING (site_id, point_id) JOIN ar ON ar.site_id = nn.site_id AND ar.label = nn.label""")
+def _(d):
+    out = rounded(ME.measure_point_pattern(disk_points(d).drop("parent"), d.labels()))
+    return out.drop("absolute_std_distance_to_neighbors", "relative_std_distance_to_neighbors")
+
+
+@query("neighbour_fractions", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(count(*) FILTER (d < 10) / nullif(count(d), 0), 8), {NAN}) AS fraction_0,
+    coalesce(round(count(*) FILTER (d < 25) / nullif(count(d), 0), 8), {NAN}) AS fraction_1 FROM d GROUP BY 1, 2, 3""")
+def _(d):
+    return rounded(ME.neighbour_fractions(d.points(), ["site_id", "parent"], [10, 25], chunk=8), 8)
+
+
+@query("kth_nearest", f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY site_id, parent, point_id ORDER BY d) AS r, count(*) OVER (PARTITION BY site_id, parent, point_id) AS n FROM d WHERE d IS NOT NULL)
+    SELECT site_id, parent, point_id, round(max(d) FILTER (r = greatest(ceil(n * 0.25::DOUBLE), 1)), 6) AS distance_0, round(max(d) FILTER (r = greatest(ceil(n * 0.5::DOUBLE), 1)), 6) AS distance_1 FROM r GROUP BY 1, 2, 3""")
+def _(d):
+    return rounded(ME.kth_nearest(d.points(), ["site_id", "parent"], [0.25, 0.5], chunk=64))
+
+
+@query("spot_localisation", """WITH pt AS (SELECT site_id, label, y, x, y * 64 + x AS point_id FROM d_labels WHERE (y * 5 + x * 3 + site_id) % 11 = 0),
+    c AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx FROM d_labels GROUP BY 1, 2),
+    rim AS (SELECT a.site_id, a.label, a.y, a.x FROM d_labels a LEFT JOIN d_labels b ON b.site_id = a.site_id AND b.label = a.label
+      AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 AND abs(b.y - a.y) + abs(b.x - a.x) = 1 GROUP BY 1, 2, 3, 4 HAVING count(b.x) < 4)
+    SELECT pt.site_id, pt.point_id, CAST(pt.label AS INTEGER) AS parent, round(any_value(sqrt((pt.y - cy) ** 2 + (pt.x - cx) ** 2)), 6) AS distance_to_centroid,
+      round(sqrt(min((pt.y - rim.y) ** 2 + (pt.x - rim.x) ** 2)), 6) AS distance_to_outline FROM pt JOIN c ON c.site_id = pt.site_id AND c.label = pt.label
+      JOIN rim ON rim.site_id = pt.site_id AND rim.label = pt.label GROUP BY 1, 2, 3""")
+def _(d):
+    return rounded(ME.spot_localisation(disk_points(d).drop("parent"), d.labels()).withColumn("point_id", F.col("point_id")))
+
+
+# --- volumes and contours -----------------------------------------------------------------
+
+@query("measure_volume", f"""WITH {_OBJ}, h AS (SELECT *, value * 0.25 AS z FROM o),
+    s AS (SELECT a.site_id, a.label, sum((sqrt((0.1625 * (d.z - a.z) - (b.z - a.z) * 0.1625) ** 2 + ((b.z - a.z) * 0.1625) ** 2 + 0.1625 ** 4)
+      + sqrt((0.1625 * (d.z - a.z) - (c.z - a.z) * 0.1625) ** 2 + ((c.z - a.z) * 0.1625) ** 2 + 0.1625 ** 4)) / 2) AS up FROM h a
+      JOIN h b ON b.site_id = a.site_id AND b.label = a.label AND b.y = a.y + 1 AND b.x = a.x JOIN h c ON c.site_id = a.site_id AND c.label = a.label AND c.y = a.y AND c.x = a.x + 1
+      JOIN h d ON d.site_id = a.site_id AND d.label = a.label AND d.y = a.y + 1 AND d.x = a.x + 1 GROUP BY 1, 2)
+    SELECT site_id, label, round(max(value) * 0.25::DOUBLE, 6) AS max_height, round(avg(value) * 0.25::DOUBLE, 6) AS mean_height, round(sum(value) * (0.1625 * 0.1625 * 0.25 / 1000)::DOUBLE, 6) AS volume_pl,
+      round(count(*) * 0.02640625::DOUBLE, 6) AS lower_surface_area, round(any_value(up)::DOUBLE, 5) AS upper_surface_area FROM h JOIN s USING (site_id, label) GROUP BY 1, 2""")
+def _(d):
+    out = rounded(ME.measure_volume(d.labels(), d.pixels2().withColumnRenamed("value", "height")))
+    return out.withColumn("upper_surface_area", F.round("upper_surface_area", 5)).drop("total_surface_area")
+
+
+@query("order_contour", """WITH c AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx FROM d_labels GROUP BY 1, 2),
+    a AS (SELECT l.site_id, l.label, l.y, l.x, atan2(l.y - cy, l.x - cx) AS a FROM d_labels l JOIN c ON c.site_id = l.site_id AND c.label = l.label)
+    SELECT site_id, CAST(label AS INTEGER) AS label, y, x, CAST(row_number() OVER (PARTITION BY site_id, label ORDER BY CASE WHEN a < 0 THEN a + 2 * pi() ELSE a END, y, x) - 1 AS INTEGER) AS position FROM a""")
+def _(d):
+    return ME.order_contour(d.labels(), ["site_id", "label"])
+
+
+@query("contour_curvature", """WITH n AS (SELECT c_custkey, c_nationkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+    t AS (SELECT c_nationkey, i, n, c_custkey * 7 % 50 AS y, c_custkey * 11 % 50 AS x FROM n)
+    SELECT a.c_nationkey, CAST(a.i AS INTEGER) AS position, round(atan2((a.x - p.x) * (q.y - a.y) - (a.y - p.y) * (q.x - a.x), (a.x - p.x) * (q.x - a.x) + (a.y - p.y) * (q.y - a.y)), 8) AS curvature
+    FROM t a JOIN t p ON p.c_nationkey = a.c_nationkey AND p.i = (a.i - 3 + a.n) % a.n JOIN t q ON q.c_nationkey = a.c_nationkey AND q.i = (a.i + 3) % a.n""")
+def _(d):
+    from siteframe.core import running_index
+    c = running_index(d.table("customer"), ["c_nationkey"], "c_custkey", "position").select(
+        "c_nationkey", F.col("position").cast("int").alias("position"), (F.col("c_custkey") * 7 % 50).alias("y"), (F.col("c_custkey") * 11 % 50).alias("x"))
+    return ME.contour_curvature(c, ["c_nationkey"], 3).select("c_nationkey", "position", F.round("curvature", 8).alias("curvature"))

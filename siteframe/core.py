@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-IMAGE_KEYS = ("site_id", "channel_id", "cycle_id", "tpoint", "zplane")
+IMAGE_KEYS = ("site_id", "channel_id", "cycle_id", "tpoint", "zplane", "level")
 
 SESSION_CONF = {
     "spark.sql.adaptive.enabled": "true",

@@ -213,6 +213,26 @@ def closing(mask: DataFrame, radius: int = 1, cross: bool = False) -> DataFrame:
 
 def perimeter(mask: DataFrame) -> DataFrame:
     """Set pixels with an unset 4-neighbour; the image border does not count."""
-    inner = erode(mask, 1, cross=True).withColumnRenamed("mask", "_inner")
-    return (mask.join(inner, [*image_keys(mask), "y", "x"])
-            .withColumn("mask", F.col("mask") & ~F.col("_inner")).drop("_inner"))
+    keys = image_keys(mask)
+    inner = F.min("mask").over(_row(keys, 1)) & F.min("mask").over(_column(keys, 1))
+    return mask.withColumn("_inner", inner).withColumn("mask", F.col("mask") & ~F.col("_inner")).drop("_inner")
+
+
+def disk_extremes(px: DataFrame, radius: int, value: str = "value") -> DataFrame:
+    """Minimum and maximum inside a disk. A disk is a stack of row spans, so the row
+    pass takes one span per distance and the column pass combines them."""
+    keys = image_keys(px)
+    half = [int(math.isqrt(radius * radius - d * d)) for d in range(radius + 1)]
+    out = px.select("*", *[f(value).over(_row(keys, w)).alias(f"_{n}{w}")
+                           for w in sorted(set(half)) for n, f in (("lo", F.min), ("hi", F.max))])
+    col = Window.partitionBy(*keys, "x").orderBy("y")
+
+    def over_span(name, fn, agg):
+        parts = []
+        for dy in range(-radius, radius + 1):
+            window = col.rangeBetween(dy, dy)
+            parts.append(agg(f"_{name}{half[abs(dy)]}").over(window))
+        return fn(*parts)
+
+    return out.select(*px.columns, over_span("lo", F.least, F.min).alias("disk_min"),
+                      over_span("hi", F.greatest, F.max).alias("disk_max"))

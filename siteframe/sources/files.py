@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siteframe.core import require_empty
 from siteframe.functions.scalars import filename_fields, plain_pattern
 
 
@@ -30,11 +31,9 @@ def register_files(files: DataFrame, image_pattern: str, meta_pattern: str, know
 
 def parse_file_names(files: DataFrame, pattern: str) -> DataFrame:
     """Well, channel, z plane, time point and site of each name; a name that does
-    not match is an error when the row is used."""
-    fields = filename_fields("name", pattern)
-    checked = F.when(fields.isNull(), F.raise_error(F.concat(
-        F.lit("file name does not match the pattern: "), F.col("name")))).otherwise(fields)
-    return files.withColumn("_f", checked).select(
+    not match the pattern is an error."""
+    require_empty(files.filter(~F.col("name").rlike(plain_pattern(pattern))), "file name does not match the pattern")
+    return files.withColumn("_f", filename_fields("name", pattern)).select(
         *files.columns, F.get("_f", F.lit(0)).alias("well_name"), F.get("_f", F.lit(1)).alias("channel"),
         F.get("_f", F.lit(2)).cast("int").alias("zplane"), F.get("_f", F.lit(3)).cast("int").alias("tpoint"),
         F.get("_f", F.lit(4)).cast("int").alias("site"))
