@@ -46,8 +46,9 @@ _PERIM = """rim AS (SELECT a.site_id, a.label, a.y, a.x FROM d_labels a LEFT JOI
       round(sqrt(greatest(1 - l2 / l1, 0)), 5) AS eccentricity, round(area / ((y1 - y0 + 1) * (x1 - x0 + 1)), 6) AS extent, round(4 * pi() * area / perimeter ** 2, 6) AS circularity,
       round((sqrt(l1) - sqrt(l2)) / sqrt(l1), 5) AS elongation, round(sqrt(4 * area / pi()), 6) AS equivalent_diameter, round(4 * sqrt(l1), 5) AS major_axis_length, round(4 * sqrt(l2), 5) AS minor_axis_length FROM e""")
 def _(d):
-    out = rounded(ME.measure_morphology(d.labels()))
-    return out.withColumns({c: F.round(c, 5) for c in ("eccentricity", "elongation", "major_axis_length", "minor_axis_length")})
+    out = ME.measure_morphology(d.labels())
+    five = ["eccentricity", "elongation", "major_axis_length", "minor_axis_length"]
+    return rounded(out.withColumns({c: F.round(c, 5) for c in five}), 6, ("site_id", "label", *five))
 
 
 @query("measure_shape")
@@ -92,11 +93,11 @@ def _(d):
     p AS (SELECT *, n / sum(n) OVER (PARTITION BY site_id, label, d) AS p FROM c),
     f AS (SELECT site_id, label, d, sum(p * p) AS asm, sum((i - j) ** 2 * p) AS con, sum(p / (1 + (i - j) ** 2)) AS idm, sum((i + j) * p) AS savg, -sum(p * log2(p)) AS ent FROM p GROUP BY 1, 2, 3)
     SELECT site_id, label, round(avg(asm), 8) AS angular_second_moment, round(avg(con), 4) AS contrast, round(avg(idm), 8) AS inverse_diff_moment,
-      round(avg(savg), 5) AS sum_avg, round(avg(ent), 7) AS entropy FROM f GROUP BY 1, 2""")
+      round(avg(savg), 8) AS sum_avg, round(avg(ent), 7) AS entropy FROM f GROUP BY 1, 2""")
 def _(d):
     h = ME.measure_haralick(d.labels(), d.pixels2(), 1)
     return h.select("site_id", "label", F.round("angular_second_moment", 8).alias("angular_second_moment"), F.round("contrast", 4).alias("contrast"),
-                    F.round("inverse_diff_moment", 8).alias("inverse_diff_moment"), F.round("sum_avg", 5).alias("sum_avg"), F.round("entropy", 7).alias("entropy"))
+                    F.round("inverse_diff_moment", 8).alias("inverse_diff_moment"), F.round("sum_avg", 8).alias("sum_avg"), F.round("entropy", 7).alias("entropy"))
 
 
 @query("measure_lbp")
@@ -136,10 +137,11 @@ _PAIRS = """d AS (SELECT a.site_id, a.parent, a.point_id, sqrt((a.y - b.y) ** 2
 
 
 @query("point_distances", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(min(d), 6), {NAN}) AS nearest, coalesce(round(avg(d), 6), {NAN}) AS mean_distance,
-    coalesce(round(sqrt(greatest(avg(d * d) - avg(d) ** 2, 0)), 4), {NAN}) AS std_distance FROM d GROUP BY 1, 2, 3""")
+    CASE WHEN count(d) = 0 THEN {NAN} ELSE round(sqrt(greatest(avg(d * d) - avg(d) ** 2, 0)), 4) END AS std_distance FROM d GROUP BY 1, 2, 3""")
 def _(d):
     out = ME.point_distances(d.points(), ["site_id", "parent"], chunk=8)
-    return rounded(out.drop("y", "x")).withColumn("std_distance", F.round("std_distance", 4))
+    return rounded(out.drop("y", "x").withColumn("std_distance", F.round("std_distance", 4)), 6,
+                   ("site_id", "parent", "point_id", "std_distance"))
 
 
 def disk_points(d):
@@ -192,11 +194,12 @@ def _(d):
       + sqrt((0.1625 * (d.z - a.z) - (c.z - a.z) * 0.1625) ** 2 + ((c.z - a.z) * 0.1625) ** 2 + 0.1625 ** 4)) / 2) AS up FROM h a
       JOIN h b ON b.site_id = a.site_id AND b.label = a.label AND b.y = a.y + 1 AND b.x = a.x JOIN h c ON c.site_id = a.site_id AND c.label = a.label AND c.y = a.y AND c.x = a.x + 1
       JOIN h d ON d.site_id = a.site_id AND d.label = a.label AND d.y = a.y + 1 AND d.x = a.x + 1 GROUP BY 1, 2)
-    SELECT site_id, label, round(max(value) * 0.25::DOUBLE, 6) AS max_height, round(avg(value) * 0.25::DOUBLE, 6) AS mean_height, round(sum(value) * (0.1625 * 0.1625 * 0.25 / 1000)::DOUBLE, 6) AS volume_pl,
-      round(count(*) * 0.02640625::DOUBLE, 6) AS lower_surface_area, round(any_value(up)::DOUBLE, 5) AS upper_surface_area FROM h JOIN s USING (site_id, label) GROUP BY 1, 2""")
+    SELECT site_id, label, round(max(value) * 0.25::DOUBLE, 6) AS max_height, round(avg(value) * 0.25::DOUBLE, 6) AS mean_height, round(sum(value) * (0.1625 * 0.1625 * 0.25 / 1000)::DOUBLE, 11) AS volume_pl,
+      round(count(*) * 0.02640625::DOUBLE, 6) AS lower_surface_area, round(any_value(up)::DOUBLE, 4) AS upper_surface_area FROM h JOIN s USING (site_id, label) GROUP BY 1, 2""")
 def _(d):
-    out = rounded(ME.measure_volume(d.labels(), d.pixels2().withColumnRenamed("value", "height")))
-    return out.withColumn("upper_surface_area", F.round("upper_surface_area", 5)).drop("total_surface_area")
+    out = ME.measure_volume(d.labels(), d.pixels2().withColumnRenamed("value", "height"))
+    return rounded(out.drop("total_surface_area").withColumns({"upper_surface_area": F.round("upper_surface_area", 4),
+                   "volume_pl": F.round("volume_pl", 11)}), 6, ("site_id", "label", "upper_surface_area", "volume_pl"))
 
 
 @query("order_contour", """WITH c AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx FROM d_labels GROUP BY 1, 2),

@@ -29,7 +29,7 @@ def _(d):
     FROM l GROUP BY site_id, root""")
 def _(d):
     out = LB.connected_components(P.threshold_manual(d.pixels2(), 180), 4)
-    return out.groupBy("site_id", "label").agg(F.count(F.lit(1)).alias("area"), F.min(F.col("y") * 64 + F.col("x")).cast("long").alias("first_pixel"))
+    return out.groupBy("site_id", "label").agg(F.count(F.lit(1)).alias("area"), F.min(F.col("y") * 64 + F.col("x")).alias("first_pixel"))
 
 
 def sparse_labels(d):
@@ -54,16 +54,16 @@ def _(d):
 
 def quadrants(d):
     """Larger reference objects: the four quarters of each site without a margin."""
-    return d.pixels().filter("y % 32 >= 2 AND x % 32 >= 2").selectExpr("site_id", "y", "x", "CAST((y DIV 32) * 2 + x DIV 32 + 1 AS INT) AS label")
+    return d.pixels().filter("y % 32 >= 6 AND x % 32 >= 6").selectExpr("site_id", "y", "x", "CAST((y DIV 32) * 2 + x DIV 32 + 1 AS INT) AS label")
 
 
-@query("check_assignment", """SELECT DISTINCT site_id, CAST(label AS INTEGER) AS label FROM d_labels WHERE y % 32 < 2 OR x % 32 < 2""")
+@query("check_assignment", """SELECT DISTINCT site_id, CAST(label AS INTEGER) AS label FROM d_labels WHERE y % 32 < 6 OR x % 32 < 6""")
 def _(d):
     return LB.check_assignment(d.labels(), quadrants(d), aggregate=True)
 
 
 @query("assign_children", """SELECT DISTINCT site_id, CAST(label AS INTEGER) AS child, CAST((y // 32) * 2 + x // 32 + 1 AS INTEGER) AS parent FROM d_labels
-    WHERE y % 32 >= 2 AND x % 32 >= 2""")
+    WHERE y % 32 >= 6 AND x % 32 >= 6""")
 def _(d):
     from siteframe.operators.relational import assign_children
     return assign_children(d.labels(), quadrants(d), ["site_id"])
@@ -166,7 +166,7 @@ def shapes(d):
 
 @query("select_clumps")
 def _(d):
-    return LB.select_clumps(shapes(d), 30, 100, 1.1, 0.95).select("site_id", "label", "area")
+    return LB.select_clumps(shapes(d), 30, 100, 1.2, 0.99).select("site_id", "label", "area")
 
 
 @query("clump_classes", """WITH s AS (SELECT o_orderkey, length(o_orderpriority) * 40.0 AS area, o_orderkey % 60 + 10.0 AS perimeter, (o_orderkey % 100) / 100 AS convexity FROM orders),

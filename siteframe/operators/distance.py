@@ -36,16 +36,20 @@ def nearest_marked(px: DataFrame, marked: str, payload: str, within: tuple[str,
                .select(*keys, "strip", "y", "x", F.col("_g.d").cast("double").alias("g"),
                        F.col("_g.p").alias("p")))
     types = {f.name: f.dataType.simpleString() for f in px.schema.fields}
+    image = image_keys(px)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x int", "distance2 double", "nearest double"])
 
     def rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        d2, payloads, ys, xs = _row_pass(pdf)
-        out = pd.DataFrame({"y": ys, "x": xs, "distance2": d2, "nearest": payloads})
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, "y", "x", "distance2", "nearest"]]
+        done = []
+        for name, part in pdf.groupby(list(within), sort=False) if within else [((), pdf)]:
+            d2, payloads, ys, xs = _row_pass(part)
+            out = pd.DataFrame({"y": ys, "x": xs, "distance2": d2, "nearest": payloads})
+            for column, value in zip(keys, (*key[:-1], *name)):
+                out[column] = value
+            done.append(out)
+        return pd.concat(done)[[*keys, "y", "x", "distance2", "nearest"]]
 
-    return columns.groupBy(*keys, "strip").applyInPandas(rows, schema)
+    return columns.groupBy(*image, "strip").applyInPandas(rows, schema)
 
 
 def _row_pass(pdf: pd.DataFrame):

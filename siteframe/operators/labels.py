@@ -165,7 +165,7 @@ def object_perimeter(labels: DataFrame, neighbours: int = 4, edge: bool = True)
     """Pixels of each object next to another label, to background or, with `edge`,
     to a place without a row; only the lines around a pixel are compared."""
     keys = image_keys(labels)
-    hood = ST.neighbourhood(labels, 1, F.col("label"))
+    hood = ST.neighbourhood(labels, 1, F.col("label"), sparse=neighbours == 8)
     offsets = [(-1, 0), (1, 0), (0, -1), (0, 1)]
     if neighbours == 8:
         offsets += [(-1, -1), (-1, 1), (1, -1), (1, 1)]

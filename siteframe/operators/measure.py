@@ -42,7 +42,7 @@ def centroids(labels: DataFrame) -> DataFrame:
 def perimeter_length(labels: DataFrame) -> DataFrame:
     """Contour length from the pattern of rim pixels around each rim pixel."""
     keys = image_keys(labels)
-    hood = ST.neighbourhood(object_perimeter(labels), 1, F.col("label"))
+    hood = ST.neighbourhood(object_perimeter(labels), 1, F.col("label"), sparse=True)
 
     def hits(offsets):
         total = F.lit(0)
@@ -226,7 +226,7 @@ def measure_haralick(labels: DataFrame, px: DataFrame, distance: int = 1) -> Dat
     grey = obj.join(top, keys).withColumn("_g", F.coalesce(
         F.floor(F.try_divide(F.col("value") * F.lit(255), F.col("_top"))), F.lit(0)).cast("int"))
     code = F.struct(F.col("label").alias("l"), F.col("_g").alias("g"))
-    hood = ST.neighbourhood(grey.select(*image_keys(labels), "y", "x", "label", "_g"), distance, code)
+    hood = ST.neighbourhood(grey.select(*image_keys(labels), "y", "x", "label", "_g"), distance, code, sparse=True)
     steps = [(0, distance), (distance, distance), (distance, 0), (distance, -distance)]
     pairs = F.array(*[F.struct(F.lit(i).alias("d"), ST.cell("hood", distance, dy, dx).alias("o"))
                       for i, (dy, dx) in enumerate(steps)])
@@ -293,7 +293,7 @@ def measure_lbp(labels: DataFrame, px: DataFrame, radius: int = 1) -> DataFrame:
     keys = [*image_keys(labels), "label"]
     obj = _object_pixels(labels, px)
     same = ST.neighbourhood(obj.select(*keys, "y", "x", F.col("value").cast("double").alias("value")), radius,
-                            F.struct(F.col("label").alias("l"), F.col("value").alias("v")))
+                            F.struct(F.col("label").alias("l"), F.col("value").alias("v")), sparse=True)
     own = F.transform("hood", lambda line: F.transform(line, lambda c: F.when(c["l"] == F.col("label"), c["v"])))
     hood = same.withColumn("hood", own)
     code = F.lit(0)
@@ -320,7 +320,7 @@ def measure_tas(labels: DataFrame, px: DataFrame, threshold: float) -> DataFrame
     bright = F.when(F.col("value") > threshold, F.col("value"))
     level = obj.groupBy(*keys).agg(F.coalesce(F.avg(bright), F.lit(0.0)).alias("_mu"),
                                    F.coalesce(F.stddev_pop(bright), F.lit(0.0)).alias("_sd"))
-    hood = ST.neighbourhood(obj, 1, F.struct(F.col("label").alias("l"), F.col("value").alias("v"))).join(level, keys)
+    hood = ST.neighbourhood(obj, 1, F.struct(F.col("label").alias("l"), F.col("value").alias("v")), sparse=True).join(level, keys)
     mu, sd = F.col("_mu"), F.col("_sd")
 
     def masks(v):

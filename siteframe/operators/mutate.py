@@ -147,3 +147,10 @@ def keep_children(children: DataFrame, parents: DataFrame, key: str) -> DataFram
 def reset_outputs(tables: Mapping[str, DataFrame], drop: Sequence[str]) -> dict[str, DataFrame]:
     """Empty the outputs of a step while keeping their schema."""
     return {n: t.limit(0) if n in drop else t for n, t in tables.items()}
+
+
+def delete_invalid(objects: DataFrame, segmentations: DataFrame) -> DataFrame:
+    """Drop objects whose outline crosses itself or is not closed."""
+    from siteframe.functions.geometry import ring_is_valid
+    wrong = segmentations.filter(~ring_is_valid("polygon")).select("partition_key", F.col("mapobject_id").alias("id"))
+    return objects.join(wrong, ["partition_key", "id"], "left_anti")

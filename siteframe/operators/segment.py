@@ -364,7 +364,7 @@ def deblend(blobs: DataFrame, threshold: float, n_levels: int = 8, contrast: flo
     marked = whole.join(cores, pixel, "left").withColumn("_m", F.col("part").isNotNull())
     nearest = nearest_marked(marked, "_m", "part", ("blob",))
     # A number per part: whole blobs come first in order, split ones by level and label.
-    joined = nearest.select(*pixel, (F.col("blob") * F.lit(1_000_000_000) + F.coalesce(
+    joined = nearest.select(*pixel, (F.col("blob").cast("long") * 1_000_000_000 + F.coalesce(
         F.nullif("nearest", F.lit(float("nan"))).cast("long"), F.lit(0))).alias("label"))
     return LB.relabel(joined).join(whole.select(*pixel, "value"), pixel)
 

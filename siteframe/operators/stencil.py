@@ -91,41 +91,50 @@ def crop_x(px: DataFrame) -> DataFrame:
 
 
 def neighbourhood(px: DataFrame, radius: int, value: str | Column = "value", border: str = "zero",
-                  name: str = "hood", radius_x: int | None = None) -> DataFrame:
+                  name: str = "hood", sparse: bool = False) -> DataFrame:
     """Attach the ``(2r+1) x (2r+1)`` values around each pixel as an array of rows.
 
-    With ``zero`` border, places outside the image and missing pixels are null.
+    With ``zero`` border, places outside the image are null. Images normally have
+    a row for every pixel. With `sparse`, pixels may be missing (object pixels
+    only): each pixel then offers itself to the places beside it in its line, so
+    that lines are complete where the centre of the line is missing.
     """
     keys = image_keys(px)
-    rx = radius if radius_x is None else radius_x
     v = F.col(value) if isinstance(value, str) else value
-    base = reflect_pad(px, max(radius, rx)) if border == "reflect" else px
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    # Neighbours by coordinate: `lag` by position is checked against the expected place.
-    out = base.withColumn("_v", v)
-    cells = []
-    for dx in range(-rx, rx + 1):
-        at = F.lag("x", -dx).over(row) if dx else F.col("x")
-        cells.append(F.when(at == F.col("x") + dx, F.lag("_v", -dx).over(row)) if dx else F.col("_v"))
-    out = out.withColumn("_row", F.array(*cells))
-    if border == "reflect":
-        out = crop_x(out)
+    base = reflect_pad(px, radius) if border == "reflect" else px
+    span = range(-radius, radius + 1)
+    if sparse:
+        others = [c for c in px.columns if c not in (*keys, "y", "x")]
+        offers = F.explode(F.array(*[F.lit(d) for d in span]))
+        # The generator is a step of its own: names given inside structs would be lost beside it.
+        spread = base.withColumns({"_v": v, "_all": F.struct(*others) if others else F.struct(F.lit(1).alias("one"))})
+        spread = spread.withColumn("_d", offers).withColumn("x", F.col("x") - F.col("_d"))
+        out = spread.groupBy(*keys, "y", "x").agg(
+            F.array(*[F.max(F.when(F.col("_d") == d, F.col("_v"))) for d in span]).alias("_row"),
+            F.max(F.when(F.col("_d") == 0, F.col("_all"))).alias("_all"))
+    else:
+        row = Window.partitionBy(*keys, "y").orderBy("x")
+        out = base.withColumn("_v", v)
+        beside = [F.col("_v") if d == 0 else F.when(F.lag("x", -d).over(row) == F.col("x") + d, F.lag("_v", -d).over(row))
+                  for d in span]
+        out = out.withColumn("_row", F.array(*beside))
+        if border == "reflect":
+            out = crop_x(out)
     col = Window.partitionBy(*keys, "x").orderBy("y")
-    lines = []
-    for dy in range(-radius, radius + 1):
-        if dy == 0:
-            lines.append(F.col("_row"))
-        else:
-            at = F.lag("y", -dy).over(col)
-            lines.append(F.when(at == F.col("y") + dy, F.lag("_row", -dy).over(col)))
+    if sparse:
+        # Lines may be missing, so neighbours are taken by coordinate and not by position.
+        lines = [F.col("_row") if d == 0 else F.first("_row").over(col.rangeBetween(d, d)) for d in span]
+        out = out.withColumn(name, F.array(*lines)).filter("_all IS NOT NULL")
+        return out.select(*keys, "y", "x", *[F.col(f"_all.{c}").alias(c) for c in others], name)
+    lines = [F.col("_row") if d == 0 else F.when(F.lag("y", -d).over(col) == F.col("y") + d, F.lag("_row", -d).over(col))
+             for d in span]
     out = out.withColumn(name, F.array(*lines)).drop("_row", "_v")
     return crop_padding(out) if border == "reflect" else out
 
 
-def cell(hood: str, radius: int, dy: int, dx: int, radius_x: int | None = None) -> Column:
+def cell(hood: str, radius: int, dy: int, dx: int) -> Column:
     """Value at an offset inside a neighbourhood column."""
-    rx = radius if radius_x is None else radius_x
-    return F.get(F.get(hood, F.lit(dy + radius)), F.lit(dx + rx))
+    return F.get(F.get(hood, F.lit(dy + radius)), F.lit(dx + radius))
 
 
 def convolve(px: DataFrame, kernel: list[list[float]], border: str = "reflect", value: str = "value",
