@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siteframe.catalog import query
+from siteframe.catalog.images import lines
 from siteframe.catalog.layout import LAYOUT, offsets
 from siteframe.catalog.objects import label_values
 from siteframe.functions import geometry as G
@@ -163,12 +164,13 @@ def site_zero(d):
 
 
 @query("polygons_to_labels", """WITH c AS (SELECT partition_key AS site_id, label, unnest(generate_series(y0, y1)) AS y, x0, x1 FROM d_segmentations),
-    p AS (SELECT site_id, label, CAST(y AS INTEGER) AS y, CAST(unnest(generate_series(x0, x1)) AS INTEGER) AS x FROM c)
-    SELECT site_id, y, x, max(label) AS label FROM p GROUP BY 1, 2, 3""")
+    p AS (SELECT site_id, label, CAST(y AS INTEGER) AS y, CAST(unnest(generate_series(x0, x1)) AS INTEGER) AS x FROM c),
+    m AS (SELECT site_id, y, x, max(label) AS label FROM p GROUP BY 1, 2, 3)
+    SELECT site_id, y, count(*) AS n, CAST(sum(label) AS BIGINT) AS total, CAST(sum(label * x) AS BIGINT) AS weighted FROM m GROUP BY 1, 2""")
 def _(d):
     segs = d.segmentations().select(F.col("partition_key").alias("site_id"), "label", G.rectangle("x0", -F.col("y0"), "x1", -F.col("y1")).alias("polygon"))
     zero = d.sites().selectExpr("site_id", "0 AS offset_y", "0 AS offset_x")
-    return T.polygons_to_labels(segs, zero, 64, 64)
+    return lines(T.polygons_to_labels(segs, zero, 64, 64), "label")
 
 
 @query("labels_to_polygons")

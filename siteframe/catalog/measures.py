@@ -92,11 +92,11 @@ def _(d):
     c AS (SELECT site_id, label, d, i, j, count(*) AS n FROM sy GROUP BY ALL),
     p AS (SELECT *, n / sum(n) OVER (PARTITION BY site_id, label, d) AS p FROM c),
     f AS (SELECT site_id, label, d, sum(p * p) AS asm, sum((i - j) ** 2 * p) AS con, sum(p / (1 + (i - j) ** 2)) AS idm, sum((i + j) * p) AS savg, -sum(p * log2(p)) AS ent FROM p GROUP BY 1, 2, 3)
-    SELECT site_id, label, round(avg(asm), 8) AS angular_second_moment, round(avg(con), 4) AS contrast, round(avg(idm), 8) AS inverse_diff_moment,
+    SELECT site_id, label, round(avg(asm), 8) AS angular_second_moment, round(avg(con), 7) AS contrast, round(avg(idm), 8) AS inverse_diff_moment,
       round(avg(savg), 8) AS sum_avg, round(avg(ent), 7) AS entropy FROM f GROUP BY 1, 2""")
 def _(d):
     h = ME.measure_haralick(d.labels(), d.pixels2(), 1)
-    return h.select("site_id", "label", F.round("angular_second_moment", 8).alias("angular_second_moment"), F.round("contrast", 4).alias("contrast"),
+    return h.select("site_id", "label", F.round("angular_second_moment", 8).alias("angular_second_moment"), F.round("contrast", 7).alias("contrast"),
                     F.round("inverse_diff_moment", 8).alias("inverse_diff_moment"), F.round("sum_avg", 8).alias("sum_avg"), F.round("entropy", 7).alias("entropy"))
 
 

@@ -83,9 +83,9 @@ def _(d):
     return AN.selection_histogram(d.cell_values(), selection, 1, 0, 400000, 20)
 
 
-@query("list_results", "SELECT p_partkey AS id, p_brand AS name, p_size AS submission_id FROM part WHERE p_partkey % 50 = 0 AND p_size = 10")
+@query("list_results", "SELECT p_partkey AS id, p_brand AS name, p_size AS submission_id FROM part WHERE p_partkey % 50 = 0 AND p_brand = (SELECT min(p_brand) FROM part WHERE p_partkey % 50 = 0)")
 def _(d):
-    return AN.list_results(stored_results(d), submission_id=10).select("id", "name", "submission_id")
+    return AN.list_results(stored_results(d), name=stored_results(d).agg(F.min("name")).first()[0]).select("id", "name", "submission_id")
 
 
 @query("rename_result", "SELECT p_partkey AS id, CASE WHEN p_partkey = 100 THEN 'renamed' ELSE p_brand END AS name FROM part WHERE p_partkey % 50 = 0")
@@ -124,14 +124,14 @@ def _(d):
     return MO.extract_features(d.labels(), d.pixels2(), "spread", "spread double, n bigint")
 
 
-@query("save_objects", """WITH m AS (SELECT l.site_id, l.label, round(avg(value), 5) AS v FROM d_labels l JOIN d_pixels2 p ON p.site_id = l.site_id AND p.y = l.y AND p.x = l.x GROUP BY 1, 2)
+@query("save_objects", """WITH m AS (SELECT l.site_id, l.label, round(avg(value), 6) AS v FROM d_labels l JOIN d_pixels2 p ON p.site_id = l.site_id AND p.y = l.y AND p.x = l.x GROUP BY 1, 2)
     SELECT site_id AS partition_key, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY site_id, label) AS mapobject_id, v FROM m""")
 def _(d):
     measured = MO.MODULES["measure_intensity"](d.labels(), d.pixels2())
     existing = d.segmentations().select(F.col("partition_key").alias("site_id"), "label", "mapobject_id").unionByName(
         d.table("orders").selectExpr("o_custkey AS site_id", "0 AS label", "o_orderkey AS mapobject_id"))
     out = MO.save_objects(d.labels(), measured, {"mean": "1"}, 3, existing)
-    return out["feature_values"].select("partition_key", "mapobject_id", F.round(F.col("values")["1"], 5).alias("v"))
+    return out["feature_values"].select("partition_key", "mapobject_id", F.col("values")["1"].alias("v"))
 
 
 # --- streaming ---------------------------------------------------------------------------

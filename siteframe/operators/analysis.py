@@ -75,9 +75,9 @@ def cluster(df: DataFrame, column: str, k: int, key: str = "mapobject_id", seed:
             n_train: int = TRAINING_ROWS) -> DataFrame:
     """k-means classes of all objects; fitted on a bounded random sample."""
     data = _vectors(df, column)
-    model = Pipeline(stages=[_scaler(), KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="label")]).fit(
+    model = Pipeline(stages=[_scaler(), KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_class")]).fit(
         training_sample(data, key, n_train, seed))
-    return model.transform(data).select(key, F.col("label").cast("double").alias("label"))
+    return model.transform(data).select(key, F.col("_class").cast("double").alias("label"))
 
 
 def label_index(classes: Sequence[Mapping]) -> dict[float, dict[str, str]]:
@@ -91,8 +91,8 @@ def _classifier(method: str, grid: Mapping | None):
         builder = ParamGridBuilder()
         owner = model
     elif method == "svm":
-        base = LinearSVC(featuresCol="_features", labelCol="target")
-        model, grid, owner, builder = OneVsRest(classifier=base, featuresCol="_features", labelCol="target"), grid or SVM_GRID, None, ParamGridBuilder()
+        base = LinearSVC(featuresCol="_features", labelCol="target", maxIter=20)
+        model, grid, owner, builder = OneVsRest(classifier=base, featuresCol="_features", labelCol="target", parallelism=4), grid or SVM_GRID, None, ParamGridBuilder()
         # Each grid point of a one-vs-rest model is a classifier of its own.
         options = [base.copy({base.getParam(n): v}) for n, vs in grid.items() for v in vs]
         return model, builder.addGrid(model.classifier, options).build(), True
@@ -117,10 +117,15 @@ def train_supervised(training: DataFrame, column: str, method: str, n_folds: int
         fold = fold + (F.col(key) > F.lit(edge)).cast("int")
     model, params, scaled = _classifier(method, grid)
     stages = [_scaler()] if scaled else []
+    labelled = data.withColumns({"_fold": fold.cast("int"), "target": F.col("target").cast("double")}).persist()
+    estimator = Pipeline(stages=[*stages, model])
+    if len(params) == 1:
+        # Nothing to choose from: folds would only be scored, not used.
+        return estimator.fit(labelled, params[0])
     search = CrossValidator(
-        estimator=Pipeline(stages=[*stages, model]), estimatorParamMaps=params, numFolds=n_folds, foldCol="_fold",
+        estimator=estimator, estimatorParamMaps=params, numFolds=n_folds, foldCol="_fold",
         evaluator=MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy"), parallelism=4)
-    return search.fit(data.withColumns({"_fold": fold.cast("int"), "target": F.col("target").cast("double")}))
+    return search.fit(labelled)
 
 
 def predict(df: DataFrame, column: str, model, key: str = "mapobject_id") -> DataFrame:

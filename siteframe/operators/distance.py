@@ -25,7 +25,9 @@ def nearest_marked(px: DataFrame, marked: str, payload: str, within: tuple[str,
     col = Window.partitionBy(*keys, "x").orderBy("y")
     mark = F.when(F.col(marked), F.struct(F.col("y").alias("y"), F.col(payload).cast("double").alias("p")))
     above = F.last(mark, ignorenulls=True).over(col.rowsBetween(Window.unboundedPreceding, 0))
-    below = F.first(mark, ignorenulls=True).over(col.rowsBetween(0, Window.unboundedFollowing))
+    # Looking down is looking up in reverse order; a frame that grows is cheap, one that shrinks is not.
+    upward = Window.partitionBy(*keys, "x").orderBy(F.desc("y")).rowsBetween(Window.unboundedPreceding, 0)
+    below = F.last(mark, ignorenulls=True).over(upward)
     found = px.withColumns({"_a": above, "_b": below})
     da, db = F.col("y") - F.col("_a.y"), F.col("_b.y") - F.col("y")
     best = F.least(F.struct((da * da).alias("d"), F.col("_a.p").alias("p")),

@@ -15,33 +15,38 @@ STRIDE = 1 << 20  # larger than any image side
 
 
 def _runs(mask: DataFrame) -> DataFrame:
-    """Set pixels with the number of their horizontal run. A run is numbered by its
-    first pixel, so numbers follow the reading order of the image."""
+    """Horizontal runs of set pixels. A run is numbered by its first pixel, so
+    numbers follow the reading order of the image."""
     keys = image_keys(mask)
     line = Window.partitionBy(*keys, "y").orderBy("x")
     gap = F.coalesce(F.col("x") - F.lag("x").over(line) > 1, F.lit(True))
     start = F.last(F.when(gap, F.col("x")), ignorenulls=True).over(
         line.rowsBetween(Window.unboundedPreceding, 0))
-    return (mask.filter("mask").select(*keys, "y", "x")
-            .withColumn("run", F.col("y").cast("long") * STRIDE + start))
+    return (mask.filter("mask").select(*keys, "y", "x").withColumn("x0", start)
+            .groupBy(*keys, "y", "x0").agg(F.max("x").alias("x1"))
+            .withColumn("run", F.col("y").cast("long") * STRIDE + F.col("x0")))
 
 
 def _touching(runs: DataFrame, neighbours: int) -> DataFrame:
-    """Pairs of touching runs in adjacent lines. Each run looks up the line above
-    it at the places next to its pixels, a plain equality join."""
+    """Pairs of touching runs in adjacent lines.
+
+    The runs of a line and of the line above it are swept in the order of their
+    first pixel. Runs of one line do not touch, so of two touching runs the later
+    one always finds the other as the last run of the other line: one window over
+    runs gives all pairs, no run is compared with more than one other.
+    """
     keys = image_keys(runs)
     if neighbours not in (4, 8):
         raise ValueError("neighbours must be 4 or 8")
-    if neighbours == 4:
-        column = Window.partitionBy(*keys, "x").orderBy("y")
-        above = F.when(F.lag("y").over(column) == F.col("y") - 1, F.lag("run").over(column))
-        pairs = runs.select(*keys, F.col("run").alias("a"), above.alias("b")).filter("b IS NOT NULL")
-    else:
-        up = runs.select(*keys, (F.col("y") + 1).alias("y"), F.explode(F.array(
-            F.col("x") - 1, F.col("x"), F.col("x") + 1)).alias("x"), F.col("run").alias("b"))
-        up = up.distinct()
-        pairs = runs.withColumnRenamed("run", "a").join(up, [*keys, "y", "x"]).select(*keys, "a", "b")
-    return pairs.distinct()
+    slack = 1 if neighbours == 8 else 0
+    both = runs.withColumn("_upper", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn(
+        "y", F.when(F.col("_upper"), F.col("y") + 1).otherwise(F.col("y")))
+    sweep = Window.partitionBy(*keys, "y").orderBy("x0", "_upper").rowsBetween(Window.unboundedPreceding, 0)
+    last = {side: F.last(F.when(F.col("_upper") == side, F.struct("run", "x1")), ignorenulls=True).over(sweep)
+            for side in (True, False)}
+    other = F.when(F.col("_upper"), last[False]).otherwise(last[True])
+    return (both.withColumn("_o", other).filter(F.col("_o.x1") + slack >= F.col("x0"))
+            .select(*keys, F.col("run").alias("a"), F.col("_o.run").alias("b")))
 
 
 def propagate_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,14 +81,13 @@ def connected_components(mask: DataFrame, neighbours: int = 8) -> DataFrame:
     """
     keys = image_keys(mask)
     runs = cut_lineage(_runs(mask))
-    nodes = runs.select(*keys, "run").distinct()
-    roots = propagate_labels(nodes, _touching(runs, neighbours), keys)
+    roots = propagate_labels(runs.select(*keys, "run"), _touching(runs, neighbours), keys)
     # A component is numbered by its smallest run: order in the image = label order.
     firsts = roots.select(*keys, F.col("label").alias("root")).distinct()
     numbered = running_index(firsts, keys, "root", "_i", width=STRIDE * 64)
     named = roots.join(numbered.select(*keys, F.col("root").alias("label"), "_i"), [*keys, "label"])
     return (runs.join(named.select(*keys, F.col("node").alias("run"), "_i"), [*keys, "run"])
-            .select(*keys, "y", "x", (F.col("_i") + 1).cast("int").alias("label")))
+            .select(*keys, "y", F.explode(F.sequence("x0", "x1")).alias("x"), (F.col("_i") + 1).cast("int").alias("label")))
 
 
 def relabel(labels: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteframe.core import image_keys
+from siteframe.core import cut_lineage, image_keys
 from siteframe.operators import stencil as ST
 from siteframe.operators.distance import distance_transform, nearest_marked
 from siteframe.operators.labels import object_perimeter
@@ -225,43 +225,50 @@ def measure_haralick(labels: DataFrame, px: DataFrame, distance: int = 1) -> Dat
     top = obj.groupBy(*keys).agg(F.max("value").alias("_top"))
     grey = obj.join(top, keys).withColumn("_g", F.coalesce(
         F.floor(F.try_divide(F.col("value") * F.lit(255), F.col("_top"))), F.lit(0)).cast("int"))
-    code = F.struct(F.col("label").alias("l"), F.col("_g").alias("g"))
-    hood = ST.neighbourhood(grey.select(*image_keys(labels), "y", "x", "label", "_g"), distance, code, sparse=True)
-    steps = [(0, distance), (distance, distance), (distance, 0), (distance, -distance)]
-    pairs = F.array(*[F.struct(F.lit(i).alias("d"), ST.cell("hood", distance, dy, dx).alias("o"))
-                      for i, (dy, dx) in enumerate(steps)])
-    one = (hood.select(*keys, "_g", F.explode(pairs).alias("_p"))
-           .filter("_p.o.l = label AND _g > 0 AND _p.o.g > 0")
-           .groupBy(*keys, F.col("_p.d").alias("d"), F.col("_g").alias("i"), F.col("_p.o.g").alias("j"))
-           .agg(F.count(F.lit(1)).alias("n")))
-    glcm = one.unionByName(one.select(*keys, "d", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
-    glcm = glcm.groupBy(*keys, "d", "i", "j").agg(F.sum("n").alias("n"))
+    grey = grey.filter("_g > 0").select(*keys, "y", "x", "_g")
+    steps = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for d, (dy, dx) in enumerate(
+        [(0, distance), (distance, distance), (distance, 0), (distance, -distance)])])
+    # Every pixel offers its level at the four places ahead of it.
+    offered = grey.withColumn("_s", F.explode(steps)).select(
+        *keys, F.col("_s.d").alias("d"), (F.col("y") + F.col("_s.dy")).alias("y"),
+        (F.col("x") + F.col("_s.dx")).alias("x"), F.col("_g").alias("_h"))
     per = [*keys, "d"]
-    total = glcm.groupBy(*per).agg(F.sum("n").alias("_t"))
-    p = glcm.join(total, per).withColumn("p", F.col("n") / F.col("_t"))
-
-    def entropy(c):
-        return -F.sum(c * F.log2(c))
-
-    i, j, q = F.col("i"), F.col("j"), F.col("p")
-    joint = p.groupBy(*per).agg(
-        F.sum(q * q).alias("angular_second_moment"), F.sum((i - j) * (i - j) * q).alias("contrast"),
-        F.sum(i * j * q).alias("_ij"), F.sum(i * q).alias("_mu"), F.sum(i * i * q).alias("_i2"),
-        F.sum(q / (1 + (i - j) * (i - j))).alias("inverse_diff_moment"),
-        F.sum((i + j) * q).alias("sum_avg"), F.sum((i + j) * (i + j) * q).alias("_k2"), entropy(q).alias("entropy"))
-    side = p.groupBy(*per, "i").agg(F.sum("p").alias("p")).groupBy(*per).agg(entropy(q).alias("_hx"))
-    plus = p.groupBy(*per, (i + j).alias("k")).agg(F.sum("p").alias("p")).groupBy(*per).agg(entropy(q).alias("sum_entropy"))
-    minus = p.groupBy(*per, F.abs(i - j).alias("k")).agg(F.sum("p").alias("p")).groupBy(*per).agg(
-        entropy(q).alias("diff_entropy"), (F.sum(q * q) / 256 - 1 / 256 ** 2).alias("diff_var"))
-    every = joint.join(side, per).join(plus, per).join(minus, per)
-    var = F.col("_i2") - F.col("_mu") * F.col("_mu")
-    gain = F.col("entropy") - 2 * F.col("_hx")
+    # Matrices are symmetric, so unordered pairs carry all there is to count.
+    glcm = cut_lineage(offered.join(grey, [*keys, "y", "x"]).groupBy(
+        *per, F.least("_g", "_h").alias("i"), F.greatest("_g", "_h").alias("j")).agg(F.count(F.lit(1)).cast("double").alias("n")))
+    i, j, n = F.col("i"), F.col("j"), F.col("n")
+    cells = F.when(i == j, 1.0).otherwise(2.0)  # an unordered pair of two levels fills two cells
+
+    def entropy(total, parts):
+        """Entropy in bits from counts: log of the total less the mean log of the counts."""
+        return F.log2(total) - parts / total
+
+    joint = glcm.groupBy(*per).agg(
+        F.sum(n).alias("_t"), F.sum(n * n / cells).alias("_n2"), F.sum((i - j) * (i - j) * n).alias("_d2"),
+        F.sum(i * j * n).alias("_ij"), F.sum((i + j) * n).alias("_k"), F.sum((i * i + j * j) * n / 2).alias("_i2"),
+        F.sum((i + j) * (i + j) * n).alias("_k2"), F.sum(n / (1 + (i - j) * (i - j))).alias("_idm"),
+        F.sum(n * F.log2(n / cells)).alias("_nl"))
+    ends = glcm.select(*per, F.explode(F.array(i, j)).alias("i"), "n").groupBy(*per, "i").agg((F.sum("n") / 2).alias("n"))
+    plus = glcm.groupBy(*per, (i + j).alias("k")).agg(F.sum("n").alias("n"))
+    minus = glcm.groupBy(*per, (j - i).alias("k")).agg(F.sum("n").alias("n"))
+
+    def marginal(table, name):
+        return table.groupBy(*per).agg(F.sum(n * F.log2(n)).alias(f"_l{name}"), F.sum(n * n).alias(f"_q{name}"))
+
+    every = joint.join(marginal(ends, "x"), per).join(marginal(plus, "p"), per).join(marginal(minus, "m"), per)
+    t = F.col("_t")
+    mu = F.col("_k") / t / 2
+    var = F.col("_i2") / t - mu * mu
+    hx, joint_entropy = entropy(t, F.col("_lx")), entropy(t, F.col("_nl"))
+    gain = joint_entropy - 2 * hx
     features = every.select(
-        *per, "angular_second_moment", "contrast",
-        F.coalesce(F.try_divide(F.col("_ij") - F.col("_mu") * F.col("_mu"), F.when(var > 1e-12, var)), F.lit(1.0)).alias("correlation"),
-        var.alias("sum_of_squares"), "inverse_diff_moment", "sum_avg",
-        (F.col("_k2") - F.col("sum_avg") * F.col("sum_avg")).alias("sum_var"), "sum_entropy", "entropy", "diff_var",
-        "diff_entropy", F.coalesce(F.try_divide(gain, F.when(F.col("_hx") > 1e-12, F.col("_hx"))), gain).alias("info_measure_corr_1"),
+        *per, (F.col("_n2") / (t * t)).alias("angular_second_moment"), (F.col("_d2") / t).alias("contrast"),
+        F.coalesce(F.try_divide(F.col("_ij") / t - mu * mu, F.when(var > 1e-12, var)), F.lit(1.0)).alias("correlation"),
+        var.alias("sum_of_squares"), (F.col("_idm") / t).alias("inverse_diff_moment"), (F.col("_k") / t).alias("sum_avg"),
+        (F.col("_k2") / t - F.pow(F.col("_k") / t, F.lit(2))).alias("sum_var"), entropy(t, F.col("_lp")).alias("sum_entropy"),
+        joint_entropy.alias("entropy"), (F.col("_qm") / (t * t) / 256 - 1 / 256 ** 2).alias("diff_var"),
+        entropy(t, F.col("_lm")).alias("diff_entropy"),
+        F.coalesce(F.try_divide(gain, F.when(hx > 1e-12, hx)), gain).alias("info_measure_corr_1"),
         F.sqrt(F.greatest(1 - F.exp(2 * gain), F.lit(0.0))).alias("info_measure_corr_2"))
     names = [c for c in features.columns if c not in per]
     mean = features.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d"), *[F.avg(c).alias(c) for c in names])
@@ -495,7 +502,6 @@ def kth_nearest(points: DataFrame, keys: Sequence[str], shares: Sequence[float],
     bisection on counts: each round only adds up how many points lie within a
     trial distance, in lists as in :func:`point_distances`.
     """
-    from siteframe.core import cut_lineage
     base = points.select(*keys, "point_id", "y", "x")
     stats = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_all"), (F.pow(F.max("y") - F.min("y"), F.lit(2)) + F.pow(F.max("x") - F.min("x"), F.lit(2))).cast("long").alias("_far"))

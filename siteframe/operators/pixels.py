@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from siteframe.core import image_keys
 from siteframe.functions.scalars import scale_to_byte
 from siteframe.operators import stencil as ST
+from siteframe.operators import strips as SF
 from siteframe.operators.distance import nearest_marked
 
 PIXEL = ("y", "x")
@@ -384,20 +385,21 @@ def threshold_adaptive(px: DataFrame, method: str, kernel_size: int, constant: f
     radius = kernel_size // 2
     low8 = rescale_to_8bit(px.withColumn("_raw", F.col("value")), 99.99)
     if method == "niblack":
-        padded = ST.reflect_pad(low8, radius)
-        stats = ST.crop_padding(ST.box_aggregate(padded, radius))
-        mean = F.col("box_sum") / F.col("box_n")
-        # Exact whole-number sums; the variance is kept from falling below zero.
-        spread = F.sqrt(F.greatest(F.col("box_sum2") / F.col("box_n") - mean * mean, F.lit(0.0)))
-        mask = F.col("value") > mean + constant * spread
+        def fn(wide):
+            n = kernel_size ** 2
+            mean = SF.box_sums(wide, radius) / n
+            # Sums of whole numbers are exact; the variance is kept from falling below zero.
+            spread = np.sqrt(np.maximum(SF.box_sums(wide * wide, radius) / n - mean * mean, 0))
+            return {"_level": mean + constant * spread}
     elif method == "crosscorr":
-        sigma = 0.3 * ((kernel_size - 1) * 0.5 - 1) + 0.8
-        raw = ST.gaussian_kernel(kernel_size, sigma)[radius]
-        stats = ST.separable_filter(low8, [w / sum(raw) for w in raw], name="_mean")
-        mask = F.col("value") > F.round("_mean") - int(constant)
+        line = np.array(ST.gaussian_kernel(kernel_size, 0.3 * ((kernel_size - 1) * 0.5 - 1) + 0.8)[radius])
+
+        def fn(wide):
+            return {"_level": np.round(SF.separable(wide, line / line.sum())) - int(constant)}
     else:
         raise ValueError('method must be "crosscorr" or "niblack"')
-    return stats.withColumn("mask", _tuned(mask, lower, upper)).select(
+    stats = SF.strip_filter(low8, radius, fn, "_level double")
+    return stats.withColumn("mask", _tuned(F.col("value") > F.col("_level"), lower, upper)).select(
         *image_keys(px), *PIXEL, F.col("_raw").alias("value"), "mask")
 
 
@@ -488,40 +490,42 @@ def _mixture_levels(px: DataFrame) -> DataFrame:
 
 def smooth(px: DataFrame, name: str, size: int) -> DataFrame:
     """Average, Gaussian, median or bilateral filter, cut to whole numbers."""
-    radius = size // 2
+    reach = size // 2
     if name == "average":
-        out = ST.crop_padding(ST.box_aggregate(ST.reflect_pad(px, radius), radius))
-        result = F.floor(F.col("box_sum") / F.col("box_n"))
+        def fn(wide):
+            return np.floor(SF.box_sums(wide, reach) / (2 * reach + 1) ** 2)
     elif name == "gaussian":
-        out = ST.separable_filter(px, ST.gaussian_weights(float(size)))
-        result = F.floor(F.col("filtered") + F.lit(1e-9))
+        weights = np.array(ST.gaussian_weights(float(size)))
+        reach = len(weights) // 2
+
+        def fn(wide):
+            return np.floor(SF.separable(wide, weights) + 1e-9)
     elif name == "median":
-        out = ST.apply_neighbourhood(px, radius, lambda v: F.get(F.array_sort(v), F.floor(F.size(v) / 2).cast("int")))
-        result = F.col("filtered")
+        def fn(wide):
+            return np.median(SF.windows(wide, reach), axis=(2, 3))
     elif name == "bilateral":
-        out, result = _bilateral(px, float(size))
+        reach = max(int(round(size * 1.5)), 1)
+
+        def fn(wide):
+            return _bilateral(wide, reach, float(size))
     else:
         raise ValueError('filter must be "average", "gaussian", "median" or "bilateral"')
-    return out.withColumn("value", result.cast("int")).select(px.columns)
+    out = SF.strip_filter(px, reach, lambda wide: {"_new": fn(wide)}, "_new double")
+    return out.withColumn("value", F.col("_new").cast("int")).select(px.columns)
 
 
-def _bilateral(px: DataFrame, sigma: float):
+def _bilateral(wide: np.ndarray, reach: int, sigma: float) -> np.ndarray:
     """Weights fall with distance and with difference in intensity."""
-    radius = max(int(round(sigma * 1.5)), 1)
-    hood = ST.neighbourhood(px, radius, F.col("value").cast("double"), "reflect")
-    places = [(dy, dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1)
-              if dy * dy + dx * dx <= radius * radius]
-    terms = F.array(*[F.struct(ST.cell("hood", radius, dy, dx).alias("v"),
-                               F.lit(float(np.exp(-(dy * dy + dx * dx) / (2 * sigma ** 2)))).alias("w"))
-                      for dy, dx in places])
-
-    def add(acc, e):
-        gap = e["v"] - F.col("value")
-        w = e["w"] * F.exp(-gap * gap / (2 * sigma ** 2))
-        return F.struct((acc["s"] + w * e["v"]).alias("s"), (acc["n"] + w).alias("n"))
-
-    total = F.aggregate(terms, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")), add)
-    return hood.withColumn("_t", total), F.floor(F.col("_t.s") / F.col("_t.n") + 1e-9)
+    h, w = wide.shape[0] - 2 * reach, wide.shape[1] - 2 * reach
+    centre = wide[reach:reach + h, reach:reach + w]
+    total, norm = np.zeros((h, w)), np.zeros((h, w))
+    for dy in range(-reach, reach + 1):
+        for dx in range(-reach, reach + 1):
+            if dy * dy + dx * dx <= reach * reach:
+                v = wide[reach + dy:reach + dy + h, reach + dx:reach + dx + w]
+                weight = np.exp(-(dy * dy + dx * dx) / (2 * sigma ** 2) - (v - centre) ** 2 / (2 * sigma ** 2))
+                total, norm = total + weight * v, norm + weight
+    return np.floor(total / norm + 1e-9)
 
 
 def project(px: DataFrame, method: str, type_max: int = 65535) -> DataFrame:

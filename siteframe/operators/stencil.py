@@ -1,7 +1,9 @@
 """Neighbourhood operators on pixel rows.
 
 A pixel table has one row per pixel: image keys, ``y``, ``x`` and a value. Local
-filters do not multiply the rows by the size of the kernel. One window over image
+filters do not multiply the rows by the size of the kernel. Weighted sums run on
+strips of lines (see :mod:`siteframe.operators.strips`); minima, maxima and lookups
+of neighbours stay in the JVM: one window over image
 rows gathers the values left and right of a pixel, a second window over image
 columns gathers those arrays above and below it, so each pixel meets its
 neighbourhood after two shuffles. Windows end at an image row or column, which
@@ -11,12 +13,13 @@ keeps every group as short as an image side.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siteframe.core import image_keys
+from siteframe.operators.strips import separable, strip_filter, weighted
 
 
 def _row(keys, r):
@@ -27,20 +30,6 @@ def _column(keys, r):
     return Window.partitionBy(*keys, "x").orderBy("y").rangeBetween(-r, r)
 
 
-def box_aggregate(px: DataFrame, radius: int, value: str = "value") -> DataFrame:
-    """Count, sum, sum of squares, minimum and maximum of the square neighbourhood
-    cut at the image border; all of these can be taken rows first, then columns."""
-    keys = image_keys(px)
-    row, col = _row(keys, radius), _column(keys, radius)
-    v = F.col(value).cast("double")
-    out = px.select("*", F.count(v).over(row).alias("_n"), F.sum(v).over(row).alias("_s"),
-                    F.sum(v * v).over(row).alias("_q"), F.min(v).over(row).alias("_lo"),
-                    F.max(v).over(row).alias("_hi"))
-    return out.select(*px.columns, F.sum("_n").over(col).alias("box_n"), F.sum("_s").over(col).alias("box_sum"),
-                      F.sum("_q").over(col).alias("box_sum2"), F.min("_lo").over(col).alias("box_min"),
-                      F.max("_hi").over(col).alias("box_max"))
-
-
 def image_extent(px: DataFrame) -> DataFrame:
     """Height and width of each image (coordinates start at zero)."""
     return px.groupBy(*image_keys(px)).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w"))
@@ -64,25 +53,10 @@ def crop_padding(px: DataFrame) -> DataFrame:
     return px.filter("y >= 0 AND x >= 0 AND y < _h AND x < _w").drop("_h", "_w")
 
 
-def separable_filter(px: DataFrame, weights: list[float], border: str = "reflect",
-                     value: str = "value", name: str = "filtered") -> DataFrame:
+def separable_filter(px: DataFrame, weights: list[float], value: str = "value", name: str = "filtered") -> DataFrame:
     """Weighted sum with a kernel that is the product of two equal 1-D kernels."""
-    radius = len(weights) // 2
-    keys = image_keys(px)
-    padded = reflect_pad(px, radius) if border == "reflect" else px.join(image_extent(px), keys)
-
-    def one(axis_window, column):
-        total = F.lit(0.0)
-        for i, w in enumerate(weights):
-            shifted = F.lag(column, radius - i).over(axis_window)
-            total = total + F.coalesce(shifted.cast("double"), F.lit(0.0)) * F.lit(float(w))
-        return total
-
-    row = Window.partitionBy(*keys, "y").orderBy("x")
-    col = Window.partitionBy(*keys, "x").orderBy("y")
-    out = padded.withColumn(name, one(row, F.col(value)))
-    out = crop_x(out).withColumn(name, one(col, F.col(name)))
-    return crop_padding(out)
+    w = np.array(weights)
+    return strip_filter(px, len(weights) // 2, lambda wide: {name: separable(wide, w)}, f"{name} double", value)
 
 
 def crop_x(px: DataFrame) -> DataFrame:
@@ -137,28 +111,10 @@ def cell(hood: str, radius: int, dy: int, dx: int) -> Column:
     return F.get(F.get(hood, F.lit(dy + radius)), F.lit(dx + radius))
 
 
-def convolve(px: DataFrame, kernel: list[list[float]], border: str = "reflect", value: str = "value",
-             name: str = "filtered") -> DataFrame:
-    """Weighted sum of the neighbourhood with any odd-sized kernel."""
-    radius = len(kernel) // 2
-    hood = neighbourhood(px, radius, F.col(value).cast("double"), border)
-    weights = F.array(*[F.array(*[F.lit(float(w)) for w in line]) for line in kernel])
-
-    def line_sum(values, ws):
-        return F.aggregate(F.zip_with(values, ws, lambda a, b: F.coalesce(a * b, F.lit(0.0))),
-                           F.lit(0.0), lambda s, e: s + e)
-
-    total = F.aggregate(F.zip_with("hood", weights, lambda a, b: F.coalesce(line_sum(a, b), F.lit(0.0))),
-                        F.lit(0.0), lambda s, e: s + e)
-    return hood.withColumn(name, total).drop("hood")
-
-
-def apply_neighbourhood(px: DataFrame, radius: int, fn: Callable[[Column], Column], border: str = "reflect",
-                        value: str = "value", name: str = "filtered") -> DataFrame:
-    """Reduce the flat array of neighbourhood values with any array expression."""
-    hood = neighbourhood(px, radius, F.col(value).cast("double"), border)
-    flat = F.filter(F.flatten(F.filter("hood", lambda line: line.isNotNull())), lambda v: v.isNotNull())
-    return hood.withColumn(name, fn(flat)).drop("hood")
+def convolve(px: DataFrame, kernel: list[list[float]], value: str = "value", name: str = "filtered") -> DataFrame:
+    """Weighted sum of the neighbourhood with any odd-sized kernel, mirrored borders."""
+    k = np.array(kernel)
+    return strip_filter(px, len(kernel) // 2, lambda wide: {name: weighted(wide, k)}, f"{name} double", value)
 
 
 # --- kernels --------------------------------------------------------------------

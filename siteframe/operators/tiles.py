@@ -50,14 +50,12 @@ def pack_tiles(px: DataFrame) -> DataFrame:
 
 def get_tile(tiles: DataFrame, requested: DataFrame, keys: tuple[str, ...] = ("tile_y", "tile_x")) -> DataFrame:
     """Full pixel array of the requested tiles; a missing tile is black."""
-    joined = requested.join(tiles, list(keys), "left")
-    size = TILE * TILE
-    full = F.aggregate(F.coalesce("pixels", F.array().cast("array<struct<place:int,value:int>>")),
-                       F.struct(F.array().cast("array<int>").alias("a"), F.lit(0).alias("n")),
-                       lambda acc, p: F.struct(F.concat(acc["a"], F.array_repeat(F.lit(0), p["place"] - acc["n"]),
-                                                        F.array(p["value"])).alias("a"), (p["place"] + 1).alias("n")))
-    return joined.withColumn("_f", full).withColumn("pixels", F.concat(
-        F.col("_f.a"), F.array_repeat(F.lit(0), F.lit(size) - F.col("_f.n")))).drop("_f")
+    places = requested.select(*keys).distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
+    listed = tiles.select(*keys, F.explode("pixels").alias("_p")).select(
+        *keys, F.col("_p.place").alias("place"), F.col("_p.value").alias("value"))
+    full = (places.join(listed, [*keys, "place"], "left").groupBy(*keys)
+            .agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("value", F.lit(0)).alias("value")))).alias("_f")))
+    return full.select(*keys, F.transform("_f", lambda p: p["value"]).alias("pixels"))
 
 
 def build_pyramid(base: DataFrame, n_levels: int, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
@@ -69,7 +67,7 @@ def build_pyramid(base: DataFrame, n_levels: int, cfg: ExperimentConfig = Experi
     """
     f = cfg.zoom_factor
     layer = [c for c in base.columns if c not in ("y", "x", "value")]
-    level = base.withColumn("shrinks", F.lit(0))
+    level = cut_lineage(base).withColumn("shrinks", F.lit(0))
     out = level
     for k in range(1, n_levels + 1):
         block = level.groupBy(*layer, F.expr(f"y DIV {f}").alias("y"), F.expr(f"x DIV {f}").alias("x")).agg(
@@ -145,24 +143,41 @@ def labels_to_polygons(labels: DataFrame, offsets: DataFrame, height: int = 64,
 
 
 def polygons_to_labels(segments: DataFrame, offsets: DataFrame, height: int, width: int, order: str = "label") -> DataFrame:
-    """Label image of polygons: the lines of each polygon's box are filled between
-    edge crossings by the even-odd rule, outline pixels included; the polygon that
-    comes last wins where two overlap."""
+    """Label image of polygons, filled line by line between edge crossings by the
+    even-odd rule, outline pixels included; the polygon that comes last wins where
+    two overlap."""
+    keys = image_keys(segments)
     joined = segments.join(offsets.select("site_id", "offset_y", "offset_x"), "site_id")
     local = F.transform("polygon", lambda p: F.struct((p["x"] - F.col("offset_x")).alias("x"),
                                                       (-p["y"] - F.col("offset_y")).alias("y")))
-    base = joined.withColumn("_ring", local).withColumn("_box", G.ring_box("_ring"))
-    span = lambda lo, hi, n: F.sequence(F.greatest(F.floor(lo), F.lit(0)).cast("int"), F.least(F.ceil(hi), F.lit(n - 1)).cast("int"))
-    hit = base.filter((F.col("_box.x1") >= 0) & (F.col("_box.y1") >= 0) & (F.col("_box.x0") < width) & (F.col("_box.y0") < height))
-    keys = image_keys(segments)
-    cells = hit.withColumn("y", F.explode(span(F.col("_box.y0"), F.col("_box.y1"), height))).withColumn(
-        "x", F.explode(span(F.col("_box.x0"), F.col("_box.x1"), width)))
-    on_edge = F.exists(G._edges(F.col("_ring")), lambda e: (
-        ((e["b"]["x"] - e["a"]["x"]) * (F.col("y") - e["a"]["y"]) == (e["b"]["y"] - e["a"]["y"]) * (F.col("x") - e["a"]["x"]))
-        & F.col("x").between(F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"]))
-        & F.col("y").between(F.least(e["a"]["y"], e["b"]["y"]), F.greatest(e["a"]["y"], e["b"]["y"]))))
-    inside = cells.filter(on_edge | G.point_in_ring("_ring", "x", "y"))
-    return inside.groupBy(*keys, "y", "x").agg(F.max(F.struct(F.col(order).alias("o"), F.col("label"))).alias("_l")).select(
+    ring = joined.select(*keys, "label", F.col(order).alias("_o"), local.alias("_ring")).withColumn("_box", G.ring_box("_ring"))
+    low = F.greatest(F.ceil("_box.y0"), F.lit(0)).cast("int")
+    high = F.least(F.floor("_box.y1"), F.lit(height - 1)).cast("int")
+    row = ring.withColumn("y", F.explode(F.when(high >= low, F.sequence(low, high)))).withColumn("_e", G._edges(F.col("_ring")))
+    y = F.col("y")
+
+    def at(e):
+        a, b = e["a"], e["b"]
+        return a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
+
+    def ends(lo, hi):
+        return F.struct(lo.alias("lo"), hi.alias("hi"))
+
+    sloped = F.filter("_e", lambda e: e["a"]["y"] != e["b"]["y"])
+    lower = lambda e: F.least(e["a"]["y"], e["b"]["y"])
+    upper = lambda e: F.greatest(e["a"]["y"], e["b"]["y"])
+    row = row.withColumns({
+        "_x": F.array_sort(F.transform(F.filter(sloped, lambda e: (lower(e) <= y) & (y < upper(e))), at)),
+        "_on": F.transform(F.filter(sloped, lambda e: y.between(lower(e), upper(e))), lambda e: ends(at(e), at(e))),
+        "_flat": F.transform(F.filter("_e", lambda e: (e["a"]["y"] == y) & (e["b"]["y"] == y)), lambda e: ends(
+            F.least(e["a"]["x"], e["b"]["x"]), F.greatest(e["a"]["x"], e["b"]["x"])))})
+    pairs = F.transform(F.filter(F.sequence(F.lit(0), F.size("_x")), lambda i: (i % 2 == 0) & (i + 1 < F.size("_x"))),
+                        lambda i: ends(F.get("_x", i), F.get("_x", i + 1)))
+    spans = row.select(*keys, "label", "_o", "y", F.explode(F.concat(pairs, "_on", "_flat")).alias("_s"))
+    left = F.greatest(F.ceil(F.col("_s.lo") - 1e-9), F.lit(0)).cast("int")
+    right = F.least(F.floor(F.col("_s.hi") + 1e-9), F.lit(width - 1)).cast("int")
+    cells = spans.withColumn("x", F.explode(F.when(right >= left, F.sequence(left, right))))
+    return cells.groupBy(*keys, "y", "x").agg(F.max(F.struct(F.col("_o"), F.col("label"))).alias("_l")).select(
         *keys, "y", "x", F.col("_l.label").alias("label"))
 
 
