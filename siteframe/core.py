@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,13 +42,20 @@ def image_keys(df: DataFrame) -> list[str]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; survives executor loss."""
+    """Write `df` to the shared checkpoint folder of the cluster and read it back.
+
+    The table survives the loss of executors. Unlike a checkpointed plan, whose
+    size estimate is the product of all joins before it and grows with every round
+    of a loop, a table carries its real size into the planning of the next round.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siteframe-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{sc.getCheckpointDir()}/siteframe-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def running_index(df: DataFrame, group: Sequence[str], key: str, name: str,
