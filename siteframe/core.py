@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 IMAGE_KEYS = ("site_id", "channel_id", "cycle_id", "tpoint", "zplane", "level")
@@ -41,21 +42,70 @@ def image_keys(df: DataFrame) -> list[str]:
     return [c for c in IMAGE_KEYS if c in df.columns]
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables that the driver and all executors reach.
+
+    It is `spark.checkpoint.dir` where that is set, else one below the home folder of the
+    default file system. Only in local mode, where there is one machine, may it be temporary.
+    """
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and re.match(r"local(\[|$)", sc.master):
+            folder = tempfile.mkdtemp(prefix="siteframe-checkpoint-")
+        if folder is None:
+            home = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration()).getHomeDirectory().toString()
+            if home.startswith("file:"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = f"{home}/siteframe-checkpoints"
+        sc.setCheckpointDir(folder)
+    return sc.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """Write `df` to the shared checkpoint folder of the cluster and read it back.
 
     The table survives the loss of executors. Unlike a checkpointed plan, whose
     size estimate is the product of all joins before it and grows with every round
     of a loop, a table carries its real size into the planning of the next round.
+    `before` is the table of the round before; it is deleted once the new one stands.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="siteframe-checkpoint-"))
-    path = f"{sc.getCheckpointDir()}/siteframe-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/siteframe-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._siteframe_path = path
+    if before is not None:
+        discard(before)
+    return written
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that `cut_lineage` wrote and that nothing reads any more."""
+    path = getattr(table, "_siteframe_path", None)
+    if path is not None:
+        sc = table.sparkSession.sparkContext
+        target = sc._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(sc._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def range_index(df: DataFrame, order: Sequence[str | Column], name: str) -> DataFrame:
+    """Zero-based position of each row in the order of `order`, for keys of any kind.
+
+    Rows are dealt out by ranges of the key and numbered inside each range; the counts
+    of the ranges, as many as there are partitions, give the offsets. Rows that tie are
+    numbered in any order. The ranged rows are written once, so that both steps see the same ranges.
+    """
+    keys = [F.col(c) if isinstance(c, str) else c for c in order]
+    ranged = cut_lineage(df.withColumn("_part", F.lit(0)).repartitionByRange(*keys)
+                         .withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+               .select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")))
+    local = F.row_number().over(Window.partitionBy("_part").orderBy(*keys)) - 1
+    return (ranged.withColumn("_local", local).join(F.broadcast(offsets), "_part")
+            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
+            .drop("_part", "_local", "_offset"))
 
 
 def running_index(df: DataFrame, group: Sequence[str], key: str, name: str,

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteframe.core import cut_lineage, dense_index, image_keys, running_index
+from siteframe.core import cut_lineage, dense_index, discard, image_keys, running_index
 from siteframe.operators import stencil as ST
 from siteframe.operators.distance import nearest_marked
 
@@ -60,7 +60,7 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
     """
     both = cut_lineage(edges.select(*keys, "a", "b").unionByName(
         edges.select(*keys, F.col("b").alias("a"), F.col("a").alias("b"))))
-    current = nodes.select(*keys, F.col("run").alias("node"), F.col("run").alias("label"))
+    current, before = nodes.select(*keys, F.col("run").alias("node"), F.col("run").alias("label")), None
     while True:
         lowest = (both.join(current.select(*keys, F.col("node").alias("b"), "label"), [*keys, "b"])
                   .groupBy(*keys, F.col("a").alias("node")).agg(F.min("label").alias("_m")))
@@ -68,9 +68,10 @@ def propagate_labels(nodes: DataFrame, edges: DataFrame, keys: Sequence[str]) ->
             *keys, "node", F.col("label").alias("_old"), F.least("label", F.coalesce("_m", "label")).alias("label"))
         target = hooked.select(*keys, F.col("node").alias("label"), F.col("label").alias("_t"))
         moved = cut_lineage(hooked.join(target, [*keys, "label"]).select(
-            *keys, "node", "_old", F.least("label", "_t").alias("label")))
-        current = moved.drop("_old")
+            *keys, "node", "_old", F.least("label", "_t").alias("label")), before)
+        current, before = moved.drop("_old"), moved
         if moved.filter("label <> _old").isEmpty():
+            discard(both)
             return current
 
 
