@@ -22,9 +22,11 @@ distributed.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -116,20 +118,39 @@ def _points(members: DataFrame, radius: int) -> DataFrame:
     return out.select("point", "fp")
 
 
+def _compare(bits: int):
+    """Compares the members of each anchor; of the links between them, so many are given as keep them connected."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int]] = []
+            for fps in batch.column(0).to_pylist():
+                fps.sort()
+                values = np.array(fps, np.int64).view(np.uint64)
+                near = np.bitwise_count(values[:, None] ^ values[None]) <= bits
+                group = np.arange(len(fps))
+                for i, j in np.argwhere(np.triu(near, 1)):
+                    if group[i] != group[j]:
+                        group[group == group[j]] = group[i]
+                        found.append((fps[i], fps[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], schema=schema)
+
+    return run
+
+
 def links(nodes: DataFrame, bits: int = 4) -> DataFrame:
     """(a, b) with a < b: links that connect all fingerprints which differ in at most `bits` bits.
 
-    Members of a crowded anchor are linked through the smallest that they meet, not in all pairs.
+    Of the links at an anchor, and of those of a crowd, so many are given as keep what is linked connected.
     """
     if bits % 2 or not 0 <= bits <= 6:
         raise ValueError("bits is an even number up to 6")
     placed = at_anchors(nodes, bits).repartition("anchor")
     shared = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = cut_lineage(placed.join(shared, "anchor"))
-    few = members.filter(F.col("n") <= CROWD)
-    a, b = few.select("anchor", F.col("fp").alias("a")), few.select("anchor", F.col("fp").alias("b"))
-    near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits
-    pairs = a.join(b, (a["anchor"] == b["anchor"]) & (F.col("a") < F.col("b")) & near).select("a", "b")
+    few = members.filter(F.col("n") <= CROWD).groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
+    pairs = few.select("fps").mapInArrow(_compare(bits), "a long, b long")
     crowd = members.filter(F.col("n") > CROWD).select("fp").distinct()
     met = _points(crowd, bits // 2).withColumn("a", F.min("fp").over(Window.partitionBy("point")))
     stars = met.filter("a <> fp").select("a", F.col("fp").alias("b"))
