@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from siteframe.core import cut_lineage
+from siteframe.core import cut_lineage, ship
 
 #: White space of the word pattern [^\x20\x09-\x0D]+; also what bytes.split() splits at.
 SPACES = b" \t\n\x0b\x0c\r"
@@ -63,6 +63,7 @@ def map_texts(df: DataFrame, text: str, schema: StructType, fn: Callable[[list],
                 columns.append(values if isinstance(values, pa.Array) else pa.array(values, arrow.field(i).type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
+    ship(df.sparkSession)
     return source.mapInArrow(run, out)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from siteframe.core import cut_lineage
-from siteframe.llm.common import map_texts, small_side
+from siteframe.llm.common import lower_az, map_texts, small_side
 
 WINDOW = 13
 #: Words of one broadcast table.
@@ -82,9 +82,13 @@ HITS = StructType([StructField("n_words", LongType()), StructField("spans", Arra
                    StructField("items", ArrayType(StringType()))])
 
 
+def _count(text: Column) -> Column:
+    return F.regexp_count(lower_az(F.coalesce(text, F.lit(""))), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long")
+
+
 def _parts(benchmark: DataFrame, item_id: str, text: str, part_words: int) -> list[int]:
     """Number of tables that the items need; an item is in one."""
-    words = F.coalesce(F.sum(F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"))), F.lit(0))
+    words = F.coalesce(F.sum(_count(F.col(text))), F.lit(0))
     total = benchmark.agg(words.alias("w")).first()["w"]
     return list(range(max(1, -(-total // max(1, part_words // 2)))))
 
@@ -139,8 +143,7 @@ def find(docs: DataFrame, benchmark: DataFrame, keep: list[Column], text: str =
                                      F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     merge = F.udf(lambda spans: [list(s) for s in union([tuple(s) for s in spans])], ArrayType(ArrayType(IntegerType())))
     lists = lists.withColumn("spans", merge("spans"))
-    count = F.regexp_count(F.coalesce(F.col(text), F.lit("")), F.lit("[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+")).cast("long")
-    rows = docs.select(*keep, key.alias("__key"), count.alias("n_words"))
+    rows = docs.select(*keep, key.alias("__key"), _count(F.col(text)).alias("n_words"))
     joined = rows.join(small_side(lists.withColumnRenamed("key", "__k")), F.col("__key") == F.col("__k"), "left")
     return joined.drop("__key", "__k").withColumns({
         "spans": F.coalesce("spans", F.array().cast("array<array<int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
@@ -184,8 +187,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", rem
     return found.select(*[(value if c == text else F.col("__row")[c]).alias(c) for c in columns])
 
 
-def cut_spans(text: str, spans: list[list[int]]) -> str:
+def cut_spans(text: str | None, spans: list[list[int]]) -> str | None:
     """A text without the words in `spans`, each span cut from its first word to the word behind it."""
+    if not text:
+        return text
     raw = text.encode("utf-8")
     plain, begin, at = raw.translate(_WORDS), [], 0
     for word in plain.split():

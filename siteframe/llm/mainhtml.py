@@ -167,6 +167,9 @@ def threshold(values: np.ndarray) -> float:
 def main_text(html: str) -> str:
     """The lines of the region with content, joined by a space; empty if there are none."""
     parser = Lines()
+    last = html.rfind("<")
+    if last >= 0 and ">" not in html[last:] and (html[last + 1:last + 2].isalpha() or html[last + 1:last + 2] in ("/", "!")):
+        html = html[:last]  # the page breaks off inside a tag
     parser.feed(html)
     parser.close()
     parser._border()

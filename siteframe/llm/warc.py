@@ -78,7 +78,10 @@ def _headers(raw: bytes) -> dict[str, str]:
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
-        out[name.strip().lower().decode("utf-8", "replace")] = value.strip().decode("utf-8", "replace")
+        key = name.strip().lower().decode("utf-8", "replace")
+        if key in out:
+            raise Damaged("header repeats a field, as where another record begins inside it")
+        out[key] = value.strip().decode("utf-8", "replace")
     return out
 
 
