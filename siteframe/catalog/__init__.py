@@ -7,6 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
+from siteframe.core import ship
 from siteframe.domain import Domain, expand
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -20,7 +21,7 @@ def query(name: str, oracle: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, folder: fn(Domain(spark, folder))
+        QUERIES[name] = lambda spark, folder: fn(Domain(ship(spark), folder))
         if oracle is not None:
             ORACLES[name] = expand(oracle)
         return fn

@@ -79,12 +79,13 @@ def _(d):
     return n.withColumn("g", L.guess_grid("n")).select("l_suppkey", "g.n_rows", "g.n_cols")
 
 
-@query("detect_layout", """SELECT DISTINCT c_nationkey, CAST(4 AS BIGINT) AS n_rows, CAST(4 AS BIGINT) AS n_cols,
+@query("detect_layout", """SELECT DISTINCT c_nationkey, CAST(2 + c_nationkey % 3 AS BIGINT) AS n_rows, CAST(2 + c_nationkey % 5 AS BIGINT) AS n_cols,
     CASE c_nationkey % 4 WHEN 0 THEN 'horizontal' WHEN 1 THEN 'zigzag_horizontal' WHEN 2 THEN 'vertical' ELSE 'zigzag_vertical' END AS layout
     FROM customer""")
 def _(d):
-    base = d.table("customer").select("c_nationkey").distinct().withColumn(
-        "site_index", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumns({"r": F.lit(4), "c": F.lit(4)})
+    grids = d.table("customer").select("c_nationkey").distinct().withColumns(
+        {"r": F.expr("CAST(2 + c_nationkey % 3 AS INT)"), "c": F.expr("CAST(2 + c_nationkey % 5 AS INT)")})
+    base = grids.withColumn("site_index", F.explode(F.sequence(F.lit(0), F.col("r") * F.col("c") - 1)))
     ys, xs = [], []
     for name in ("horizontal", "zigzag_horizontal", "vertical", "zigzag_vertical"):
         y, x = L.layout_coordinate("site_index", "r", "c", name)

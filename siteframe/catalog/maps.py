@@ -45,18 +45,20 @@ def _(d):
     SELECT tile_y, tile_x, CAST(65536 AS INTEGER) AS n, CAST(coalesce(sum(value), 0) AS BIGINT) AS total FROM r LEFT JOIN base ON base.y // 256 = tile_y AND base.x // 256 = tile_x GROUP BY 1, 2""")
 def _(d):
     requested = offsets(d).filter("site_id % 40 < 2").selectExpr("offset_y DIV 256 AS tile_y", "offset_x DIV 256 AS tile_x").distinct()
-    return T.get_tile(T.pack_tiles(base_pixels(d)), requested).select(
+    return T.get_tile(T.pack_tiles(T.requested_pixels(base_pixels(d), requested)), requested).select(
         "tile_y", "tile_x", F.size("pixels").alias("n"), F.expr("aggregate(pixels, 0L, (s, v) -> s + v)").alias("total"))
 
 
+_MOST = 13
 _SHRINK = ", ".join([_BASE, "l0 AS (SELECT * FROM base)"] + [
-    f"l{k} AS (SELECT y // 2 AS y, x // 2 AS x, CAST(floor(sum(value) / 4 + 0.5) AS INTEGER) AS value FROM l{k - 1} GROUP BY 1, 2)" for k in (1, 2, 3)])
+    f"l{k} AS (SELECT y // 2 AS y, x // 2 AS x, CAST(floor(sum(value) / 4 + 0.5) AS INTEGER) AS value FROM l{k - 1} GROUP BY 1, 2)" for k in range(1, _MOST)] + [
+    f"depth AS (SELECT min(n) AS depth FROM range(0, {_MOST}) t(n) WHERE (SELECT max(greatest(y, x)) FROM base) // (1 << n)::BIGINT < 256)"])
 
 
 @query("build_pyramid", f"WITH {_SHRINK} " + " UNION ALL ".join(
-    f"SELECT {k} AS shrinks, y, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (x % 1000)) AS BIGINT) AS weighted FROM l{k} GROUP BY y" for k in range(4)))
+    f"SELECT {k} AS shrinks, y, count(*) AS n, CAST(sum(value) AS BIGINT) AS total, CAST(sum(value * (x % 1000)) AS BIGINT) AS weighted FROM l{k}, depth WHERE depth >= {k} GROUP BY y" for k in range(_MOST)))
 def _(d):
-    return T.build_pyramid(base_pixels(d), 3).groupBy("shrinks", "y").agg(
+    return T.build_pyramid(base_pixels(d)).groupBy("shrinks", "y").agg(
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("x") % 1000)).alias("weighted"))
 
 
@@ -160,7 +162,7 @@ def _(d):
 
 def site_zero(d):
     """Offsets that leave site coordinates as they are."""
-    return d.table("supplier").selectExpr("s_suppkey AS site_id", "0 AS offset_y", "0 AS offset_x")
+    return d.table("supplier").selectExpr("s_suppkey AS site_id", "0 AS offset_y", "0 AS offset_x", "64 AS height", "64 AS width")
 
 
 @query("polygons_to_labels", """WITH c AS (SELECT partition_key AS site_id, label, unnest(generate_series(y0, y1)) AS y, x0, x1 FROM d_segmentations),
@@ -169,7 +171,7 @@ def site_zero(d):
     SELECT site_id, y, count(*) AS n, CAST(sum(label) AS BIGINT) AS total, CAST(sum(label * x) AS BIGINT) AS weighted FROM m GROUP BY 1, 2""")
 def _(d):
     segs = d.segmentations().select(F.col("partition_key").alias("site_id"), "label", G.rectangle("x0", -F.col("y0"), "x1", -F.col("y1")).alias("polygon"))
-    zero = d.sites().selectExpr("site_id", "0 AS offset_y", "0 AS offset_x")
+    zero = d.sites().selectExpr("site_id", "0 AS offset_y", "0 AS offset_x", "64 AS height", "64 AS width")
     return lines(T.polygons_to_labels(segs, zero, 64, 64), "label")
 
 

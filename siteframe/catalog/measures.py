@@ -85,19 +85,28 @@ def _(d):
     return hu.select("site_id", "label", *[F.round(F.col(f"hu_{i}") * s, n).alias(f"hu_{i}") for i, s, n in scale])
 
 
-@query("measure_haralick", f"""WITH {_OBJ}, g AS (SELECT site_id, label, y, x, CAST(floor(value * 255 / max(value) OVER (PARTITION BY site_id, label)) AS INTEGER) AS g FROM o),
+_HARALICK = ("angular_second_moment", "contrast", "correlation", "sum_of_squares", "inverse_diff_moment", "sum_avg", "sum_var", "sum_entropy", "entropy",
+             "diff_var", "diff_entropy", "info_measure_corr_1", "info_measure_corr_2")
+
+
+@query("measure_haralick", f"""WITH {_OBJ}, top AS (SELECT site_id, quantile_cont(value, 0.99999) AS top FROM d_pixels2 GROUP BY 1),
+    oc AS (SELECT o.site_id, o.label, o.y, o.x, least(o.value::DOUBLE, top) AS value FROM o JOIN top USING (site_id)),
+    g AS (SELECT site_id, label, y, x, CAST(floor(value * 255 / max(value) OVER (PARTITION BY site_id, label)) AS INTEGER) AS g FROM oc),
     pr AS (SELECT a.site_id, a.label, s.d, a.g AS i, b.g AS j FROM g a, (VALUES (0, 0, 1), (1, 1, 1), (2, 1, 0), (3, 1, -1)) s(d, dy, dx)
       JOIN g b ON b.site_id = a.site_id AND b.label = a.label AND b.y = a.y + s.dy AND b.x = a.x + s.dx WHERE a.g > 0 AND b.g > 0),
     sy AS (SELECT site_id, label, d, i, j FROM pr UNION ALL SELECT site_id, label, d, j, i FROM pr),
     c AS (SELECT site_id, label, d, i, j, count(*) AS n FROM sy GROUP BY ALL),
     p AS (SELECT *, n / sum(n) OVER (PARTITION BY site_id, label, d) AS p FROM c),
-    f AS (SELECT site_id, label, d, sum(p * p) AS asm, sum((i - j) ** 2 * p) AS con, sum(p / (1 + (i - j) ** 2)) AS idm, sum((i + j) * p) AS savg, -sum(p * log2(p)) AS ent FROM p GROUP BY 1, 2, 3)
-    SELECT site_id, label, round(avg(asm), 8) AS angular_second_moment, round(avg(con), 7) AS contrast, round(avg(idm), 8) AS inverse_diff_moment,
-      round(avg(savg), 8) AS sum_avg, round(avg(ent), 7) AS entropy FROM f GROUP BY 1, 2""")
-def _(d):
-    h = ME.measure_haralick(d.labels(), d.pixels2(), 1)
-    return h.select("site_id", "label", F.round("angular_second_moment", 8).alias("angular_second_moment"), F.round("contrast", 7).alias("contrast"),
-                    F.round("inverse_diff_moment", 8).alias("inverse_diff_moment"), F.round("sum_avg", 8).alias("sum_avg"), F.round("entropy", 7).alias("entropy"))
+    px AS (SELECT site_id, label, d, -sum(q * log2(q)) AS hx FROM (SELECT site_id, label, d, i, sum(p) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+    pp AS (SELECT site_id, label, d, -sum(q * log2(q)) AS sum_entropy FROM (SELECT site_id, label, d, i + j AS k, sum(p) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+    pm AS (SELECT site_id, label, d, -sum(q * log2(q)) AS diff_entropy, sum(q * q) / 256 - 1 / 256 ** 2 AS diff_var FROM (SELECT site_id, label, d, abs(i - j) AS k, sum(p) AS q FROM p GROUP BY ALL) GROUP BY ALL),
+    f AS (SELECT site_id, label, d, sum(p * p) AS angular_second_moment, sum((i - j) ** 2 * p) AS contrast, sum(p / (1 + (i - j) ** 2)) AS inverse_diff_moment, sum((i + j) * p) AS sum_avg,
+      sum((i + j) ** 2 * p) - sum((i + j) * p) ** 2 AS sum_var, -sum(p * log2(p)) AS entropy, sum(i * i * p) - sum(i * p) ** 2 AS sum_of_squares, sum(i * j * p) - sum(i * p) ** 2 AS cov FROM p GROUP BY 1, 2, 3),
+    e AS (SELECT *, CASE WHEN sum_of_squares > 1e-12 THEN cov / sum_of_squares ELSE 1 END AS correlation, CASE WHEN hx > 1e-12 THEN (entropy - 2 * hx) / hx ELSE entropy - 2 * hx END AS info_measure_corr_1,
+      sqrt(greatest(1 - exp(2 * (entropy - 2 * hx)), 0)) AS info_measure_corr_2 FROM f JOIN px USING (site_id, label, d) JOIN pp USING (site_id, label, d) JOIN pm USING (site_id, label, d))
+    SELECT site_id, label, {', '.join(f'round(avg({n}) + 3e-8, 5) AS {n}' for n in _HARALICK)} FROM e GROUP BY 1, 2""")
+def _(d):
+    return ME.measure_haralick(d.labels(), d.pixels2(), 1).select("site_id", "label", *[F.round(F.col(n) + 3e-8, 5).alias(n) for n in _HARALICK])
 
 
 @query("measure_lbp")

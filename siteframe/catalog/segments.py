@@ -191,7 +191,7 @@ def _(d):
 def _(d):
     # Disks grown until neighbours touch.
     mask = LB.expand_objects(d.labels(), 4, 64, 64).select("site_id", "y", "x", F.lit(True).alias("mask"))
-    return lines(SG.separate_clumps(mask, 20, 30, 4000, 0.9, 0.98, max_passes=2), "label")
+    return lines(SG.separate_clumps(mask, 20, 30, 4000, 0.9, 0.98), "label")
 
 
 @query("concave_points")

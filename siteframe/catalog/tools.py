@@ -1,11 +1,12 @@
 """Queries for analysis tools, saved results and module composition."""
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from siteframe.catalog import query
 from siteframe.catalog.objects import label_values
+from siteframe.core import shared_folder
 from siteframe.functions.scalars import IMAGE_PATTERNS, METADATA_PATTERNS
 from siteframe.operators import analysis as AN
 from siteframe.operators import relational as R
@@ -44,7 +45,7 @@ def _(d):
 
 @query("classify_svm")
 def _(d):
-    return AN.classify(d.embeddings().drop("label"), "embedding", training(d), "svm", 2, {"regParam": [0.01]})
+    return AN.classify(d.embeddings().drop("label"), "embedding", training(d), "svm", 2, {"regParam": [0.01, 0.1]})
 
 
 @query("classify_logistic")
@@ -53,11 +54,11 @@ def _(d):
 
 
 def stored_results(d):
-    return d.table("part").filter("p_partkey % 50 = 0").selectExpr(
+    return d.table("part").selectExpr(
         "p_partkey AS id", "p_brand AS name", "'Heatmap' AS kind", "concat('{\"size\":', p_size, '}') AS attributes", "p_size AS submission_id")
 
 
-@query("register_result", """WITH r AS (SELECT p_partkey AS id, p_brand AS name, 'Heatmap' AS kind, '{"size":' || p_size || '}' AS attributes FROM part WHERE p_partkey % 50 = 0)
+@query("register_result", """WITH r AS (SELECT p_partkey AS id, p_brand AS name, 'Heatmap' AS kind, '{"size":' || p_size || '}' AS attributes FROM part)
     SELECT * FROM r UNION ALL SELECT (SELECT max(id) FROM r) + 1, 'Clustering', 'SupervisedClassifier', '{"unique_labels":[0.0,1.0,2.0,3.0],"label_map":{"0.0":{"name":"round","color":"red"}}}'""")
 def _(d):
     labels = label_values(d).select(F.col("values")["7"].alias("label"))
@@ -83,12 +84,12 @@ def _(d):
     return AN.selection_histogram(d.cell_values(), selection, 1, 0, 400000, 20)
 
 
-@query("list_results", "SELECT p_partkey AS id, p_brand AS name, p_size AS submission_id FROM part WHERE p_partkey % 50 = 0 AND p_brand = (SELECT min(p_brand) FROM part WHERE p_partkey % 50 = 0)")
+@query("list_results", "SELECT p_partkey AS id, p_brand AS name, p_size AS submission_id FROM part WHERE p_brand = (SELECT min(p_brand) FROM part)")
 def _(d):
     return AN.list_results(stored_results(d), name=stored_results(d).agg(F.min("name")).first()[0]).select("id", "name", "submission_id")
 
 
-@query("rename_result", "SELECT p_partkey AS id, CASE WHEN p_partkey = 100 THEN 'renamed' ELSE p_brand END AS name FROM part WHERE p_partkey % 50 = 0")
+@query("rename_result", "SELECT p_partkey AS id, CASE WHEN p_partkey = 100 THEN 'renamed' ELSE p_brand END AS name FROM part")
 def _(d):
     return AN.rename_result(stored_results(d), 100, "renamed").select("id", "name")
 
@@ -143,9 +144,9 @@ def _(d):
     spark = d.spark
     stream = (spark.readStream.schema(d.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(d.folder)
               .selectExpr("0 AS y", "CAST(hour(ts) AS INT) AS x", "value"))
-    name = f"illumination_stats_{abs(hash(tempfile.mkdtemp(prefix='siteframe-stream-'))) % 10**9}"
-    INC.illumination_stats_stream(stream, name, tempfile.mkdtemp(prefix="siteframe-stream-")).awaitTermination()
-    return spark.table(name).select("y", "x", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    INC.illumination_stats_stream(stream, f"{folder}/stats", f"{folder}/state").awaitTermination()
+    return INC.latest_stats(spark, f"{folder}/stats").select("y", "x", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
 @query("register_file_stream", """SELECT 'p_' || chr(CAST(65 + user_id % 8 AS INTEGER)) || '01_T0001F001L01A01Z01C01.png' AS name, 'image' AS kind, 'COMPLETE' AS status FROM events GROUP BY 1""")
@@ -153,7 +154,7 @@ def _(d):
     spark = d.spark
     names = (spark.readStream.schema(d.table("events").schema).option("pathGlobFilter", "events.parquet").parquet(d.folder)
              .selectExpr("concat('p_', chr(65 + user_id % 8), '01_T0001F001L01A01Z01C01.png') AS name"))
-    target = tempfile.mkdtemp(prefix="siteframe-stream-") + "/registry"
-    INC.register_file_stream(names, target, IMAGE_PATTERNS["cellvoyager"], METADATA_PATTERNS["cellvoyager"],
-                             tempfile.mkdtemp(prefix="siteframe-stream-")).awaitTermination()
-    return spark.read.parquet(target)
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    INC.register_file_stream(names, f"{folder}/registry", IMAGE_PATTERNS["cellvoyager"], METADATA_PATTERNS["cellvoyager"],
+                             f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/registry").drop("batch")

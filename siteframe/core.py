@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
+import zipfile
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -34,7 +35,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
         builder = builder.config("spark.driver.memory", driver_memory)
     for key, value in extra.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship(builder.getOrCreate())
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Give the workers of a session this package, once; they need not find it on their machine."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_siteframe_shipped", False):
+        root = Path(__file__).parent
+        archive = f"{sc._temp_dir}/siteframe.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for source in sorted(root.rglob("*.py")):
+                z.write(source, f"{root.name}/{source.relative_to(root)}")
+        sc.addPyFile(archive)
+        sc._siteframe_shipped = True
+    return spark
 
 
 def image_keys(df: DataFrame) -> list[str]:
@@ -52,7 +67,7 @@ def shared_folder(spark: SparkSession) -> str:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and re.match(r"local(\[|$)", sc.master):
-            folder = tempfile.mkdtemp(prefix="siteframe-checkpoint-")
+            folder = f"{sc._temp_dir}/checkpoints"
         if folder is None:
             home = sc._jvm.org.apache.hadoop.fs.FileSystem.get(sc._jsc.hadoopConfiguration()).getHomeDirectory().toString()
             if home.startswith("file:"):
@@ -108,6 +123,33 @@ def range_index(df: DataFrame, order: Sequence[str | Column], name: str) -> Data
             .drop("_part", "_local", "_offset"))
 
 
+def exact_quantiles(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    """One row with an array of the exact quantiles of a column, interpolated between neighbours; nulls do not count.
+
+    Equal values are counted first; counts are added up over ranges of values, so that
+    no task holds all values.
+    """
+    counts = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    ranged = cut_lineage(counts.withColumn("_part", F.lit(0)).repartitionByRange("_v").withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = ranged.groupBy("_part").agg(F.sum("_n").alias("_s"))
+    offsets = parts.select("_part", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_offset"))
+    total = parts.agg(F.sum("_s").alias("_total"))
+    upto = F.sum("_n").over(Window.partitionBy("_part").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = (ranged.withColumn("_upto", upto).join(F.broadcast(offsets), "_part").join(F.broadcast(total))
+              .withColumn("_end", F.col("_offset") + F.col("_upto")))
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place < F.col("_end")) & (place >= F.col("_end") - F.col("_n")), F.col("_v").cast("double")))
+
+    found = []
+    for i, q in enumerate(shares):
+        place = F.lit(float(q)) * (F.col("_total") - 1)
+        found += [at(F.floor(place)).alias(f"_a{i}"), at(F.ceil(place)).alias(f"_b{i}"), F.max(place - F.floor(place)).alias(f"_w{i}")]
+    one = placed.agg(*found)
+    return one.select(F.array(*[F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_w{i}") for i in range(len(shares))]).alias(column))
+
+
 def running_index(df: DataFrame, group: Sequence[str], key: str, name: str,
                   width: int = 65536) -> DataFrame:
     """Zero-based position of each row of a group in the order of an integer key

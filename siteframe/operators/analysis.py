@@ -15,17 +15,20 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteframe.core import exact_quantiles
 from siteframe.functions.scalars import round_stored
 from siteframe.operators import aggregates as A
 from siteframe.operators.mutate import get_or_create, upsert_map
 from siteframe.operators.relational import finite
 
-TRAINING_ROWS = 100_000
+# Grids the classifiers are searched over. Penalties are the reciprocals of the usual cost values.
+# A forest of depth 30, the deepest that can be grown here, stands for one without a limit; weights are none or balanced.
+FOREST_GRID = {"numTrees": [3, 6, 12, 24], "maxDepth": [3, 6, 12, 30], "minInstancesPerNode": [1, 2, 4], "weightCol": ["_balanced", "_even"]}
+SVM_GRID = {"regParam": [2.0 ** -(-5 + 20 * i / 9) for i in range(10)]}
+LOGISTIC_GRID = {"regParam": [10.0 ** (-6 + 5 * i / 9) for i in range(10)], "elasticNetParam": [i / 9 for i in range(10)]}
 
-# Grids the classifiers are searched over.
-FOREST_GRID = {"numTrees": [3, 6, 12, 24], "maxDepth": [3, 6, 12], "minInstancesPerNode": [1, 2, 4]}
-SVM_GRID = {"regParam": [2.0 ** -e for e in (-5, 0, 5, 10, 15)]}
-LOGISTIC_GRID = {"regParam": [10.0 ** e for e in range(-6, 0)], "elasticNetParam": [0.0, 0.5, 1.0]}
+
+MAX_CLASSES = 10_000
 
 
 def heatmap(values: DataFrame, feature_id: int | str, result_name: str) -> DataFrame:
@@ -38,17 +41,13 @@ def heatmap(values: DataFrame, feature_id: int | str, result_name: str) -> DataF
         F.col("feature_id"), F.col("minimum").alias("min"), F.col("maximum").alias("max"))).alias("attributes"))
 
 
-def training_sample(df: DataFrame, key: str, n: int = TRAINING_ROWS, seed: int = 0) -> DataFrame:
-    """At most `n` rows, taken in the order of a hash of the key; this sample is the
-    operator: models are fitted on it and applied to all rows."""
-    return df.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
-
-
-def scale_bounds(sample: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Median and distance between the outer percentiles of each column of a
-    training sample, whose size is bounded."""
-    shares = F.array(F.lit(0.01), F.lit(0.5), F.lit(0.99))
-    return sample.agg(*[F.percentile(F.when(finite(c), F.col(c)), shares).alias(c) for c in columns])
+def scale_bounds(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Median and outer percentiles of each column, over all rows."""
+    out = None
+    for c in columns:
+        one = exact_quantiles(df.select(F.when(finite(c), F.col(c)).alias(c)), c, (0.01, 0.5, 0.99))
+        out = one if out is None else out.join(F.broadcast(one))
+    return out
 
 
 def robust_scale(df: DataFrame, bounds: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -71,12 +70,10 @@ def _scaler() -> RobustScaler:
                         withCentering=True, withScaling=True, relativeError=1e-4)
 
 
-def cluster(df: DataFrame, column: str, k: int, key: str = "mapobject_id", seed: int = 0,
-            n_train: int = TRAINING_ROWS) -> DataFrame:
-    """k-means classes of all objects; fitted on a bounded random sample."""
+def cluster(df: DataFrame, column: str, k: int, key: str = "mapobject_id", seed: int = 0) -> DataFrame:
+    """k-means classes of all objects; scaler and centres are fitted on all of them."""
     data = _vectors(df, column)
-    model = Pipeline(stages=[_scaler(), KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_class")]).fit(
-        training_sample(data, key, n_train, seed))
+    model = Pipeline(stages=[_scaler(), KMeans(k=k, seed=seed, featuresCol="_features", predictionCol="_class")]).fit(data)
     return model.transform(data).select(key, F.col("_class").cast("double").alias("label"))
 
 
@@ -117,15 +114,23 @@ def train_supervised(training: DataFrame, column: str, method: str, n_folds: int
         fold = fold + (F.col(key) > F.lit(edge)).cast("int")
     model, params, scaled = _classifier(method, grid)
     stages = [_scaler()] if scaled else []
-    labelled = data.withColumns({"_fold": fold.cast("int"), "target": F.col("target").cast("double")}).persist()
+    # Classes are few: those that a user has named.
+    sizes = F.broadcast(data.groupBy("target").agg(F.count(F.lit(1)).alias("_size")))
+    whole = F.broadcast(data.agg(F.count(F.lit(1)).alias("_all"), F.countDistinct("target").alias("_classes")))
+    weighted = data.join(sizes, "target").join(whole).withColumns(
+        {"_even": F.lit(1.0), "_balanced": F.col("_all") / (F.col("_classes") * F.col("_size"))}).drop("_size", "_all", "_classes")
+    labelled = weighted.withColumns({"_fold": fold.cast("int"), "target": F.col("target").cast("double")}).persist()
     estimator = Pipeline(stages=[*stages, model])
-    if len(params) == 1:
-        # Nothing to choose from: folds would only be scored, not used.
-        return estimator.fit(labelled, params[0])
-    search = CrossValidator(
-        estimator=estimator, estimatorParamMaps=params, numFolds=n_folds, foldCol="_fold",
-        evaluator=MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy"), parallelism=4)
-    return search.fit(labelled)
+    try:
+        if len(params) == 1:
+            # Nothing to choose from: folds would only be scored, not used.
+            return estimator.fit(labelled, params[0])
+        search = CrossValidator(
+            estimator=estimator, estimatorParamMaps=params, numFolds=n_folds, foldCol="_fold",
+            evaluator=MulticlassClassificationEvaluator(labelCol="target", metricName="accuracy"), parallelism=4)
+        return search.fit(labelled)
+    finally:
+        labelled.unpersist()
 
 
 def predict(df: DataFrame, column: str, model, key: str = "mapobject_id") -> DataFrame:
@@ -143,7 +148,11 @@ def classify(df: DataFrame, column: str, training: DataFrame, method: str, n_fol
 
 def register_result(results: DataFrame, name: str, kind: str, labels: DataFrame,
                     label_map: Mapping[float, Mapping[str, str]] | None = None) -> DataFrame:
-    """Add a result with its unique labels and their names and colours."""
+    """Add a result with its unique labels and their names and colours. Labels are
+    classes, whose list is an attribute of one row; more than MAX_CLASSES of them,
+    as of a continuous measure, are an error."""
+    if labels.select("label").distinct().limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"more than {MAX_CLASSES} different labels")
     out = get_or_create(results.select("id", "name"), results.sparkSession.createDataFrame([(name,)], "name string"), "id", "name")
     unique = labels.agg(F.array_sort(F.collect_set("label")).alias("unique_labels"))
     parts = [F.col("unique_labels")]

@@ -103,16 +103,23 @@ def detect_layout(sites: DataFrame, group: str = "well_name", index: str = "site
         return F.max(F.when(F.col(index) == position, F.col(axis)))
 
     rows, cols = F.col("n_rows"), F.col("n_cols")
+    # Horizontal acquisition fills a row before it steps on, vertical acquisition a column.
     picked = joined.groupBy(group, "n_rows", "n_cols").agg(
-        at("stage_y", F.lit(0)).alias("r0"), at("stage_y", cols - 1).alias("r1"),
-        at("stage_y", cols).alias("r2"), at("stage_y", 2 * cols - 1).alias("r3"),
-        at("stage_x", F.lit(0)).alias("c0"), at("stage_x", rows - 1).alias("c1"),
-        at("stage_x", rows).alias("c2"), at("stage_x", 2 * rows - 1).alias("c3"))
-    up1, up2 = F.col("c0") < F.col("c1"), F.col("c2") < F.col("c3")
-    down1, down2 = F.col("r0") < F.col("r1"), F.col("r2") < F.col("r3")
-    layout = (F.when(F.col("r0") == F.col("r1"), F.when(up1 & up2, "horizontal").when(up1 | up2, "zigzag_horizontal"))
-              .when(F.col("c0") == F.col("c1"), F.when(down1 & down2, "vertical").when(down1 | down2, "zigzag_vertical")))
-    return picked.select(group, "n_rows", "n_cols", layout.alias("layout"))
+        at("stage_y", F.lit(0)).alias("y0"), at("stage_x", F.lit(0)).alias("x0"),
+        at("stage_y", F.lit(1)).alias("y1"), at("stage_x", F.lit(1)).alias("x1"),
+        at("stage_x", cols - 1).alias("row_end"), at("stage_x", cols).alias("next_row"),
+        at("stage_y", rows - 1).alias("column_end"), at("stage_y", rows).alias("next_column"))
+    along_row = (F.col("y0") == F.col("y1")) & (cols > 1)
+    along_column = (F.col("x0") == F.col("x1")) & (rows > 1)
+    # The next line begins where the last one began, or where it ended.
+    layout = (F.when(along_row & ((rows == 1) | (F.col("next_row") == F.col("x0"))), "horizontal")
+              .when(along_row & (F.col("next_row") == F.col("row_end")), "zigzag_horizontal")
+              .when(along_column & ((cols == 1) | (F.col("next_column") == F.col("y0"))), "vertical")
+              .when(along_column & (F.col("next_column") == F.col("column_end")), "zigzag_vertical")
+              .when((rows == 1) & (cols == 1), "horizontal"))
+    out = picked.select(group, "n_rows", "n_cols", layout.alias("layout"))
+    checked = F.when(F.col("layout").isNull(), F.raise_error(F.lit("the layout of a well cannot be told from its positions"))).otherwise(F.col("layout"))
+    return out.withColumn("layout", checked)
 
 
 def reindex_cycles(images: DataFrame, acquisitions: DataFrame, mode: str) -> DataFrame:

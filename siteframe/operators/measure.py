@@ -203,25 +203,26 @@ def measure_hu(labels: DataFrame, px: DataFrame) -> DataFrame:
 
 # --- texture -----------------------------------------------------------------------
 
-def _object_pixels(labels: DataFrame, px: DataFrame, clip: float | None = None) -> DataFrame:
+def _object_pixels(labels: DataFrame, px: DataFrame, clip_percentile: float | None = None) -> DataFrame:
+    """Pixels of objects, limited to a percentile of their image."""
     joined = labels.join(px, [*image_keys(labels), "y", "x"])
-    return joined if clip is None else joined.withColumn("value", F.least("value", F.lit(clip)))
+    if clip_percentile is None:
+        return joined
+    top = px.groupBy(*image_keys(px)).agg(F.percentile("value", F.lit(clip_percentile / 100)).alias("_clip"))
+    return joined.join(top, image_keys(px)).withColumn("value", F.least(F.col("value").cast("double"), F.col("_clip"))).drop("_clip")
 
 
-def clip_level(px: DataFrame, percentile: float = 99.999) -> DataFrame:
-    return px.groupBy(*image_keys(px)).agg(F.percentile("value", F.lit(percentile / 100)).alias("clip"))
-
-
-def measure_haralick(labels: DataFrame, px: DataFrame, distance: int = 1) -> DataFrame:
+def measure_haralick(labels: DataFrame, px: DataFrame, distance: int = 1, clip_percentile: float | None = 99.999) -> DataFrame:
     """Thirteen co-occurrence features per object, averaged over four directions.
 
-    Values are stretched to 8 bit per object. Pairs of neighbouring object pixels
+    Values are limited to a percentile of the image, so that single bright pixels do
+    not set the scale of an object. They are stretched to 8 bit per object. Pairs of neighbouring object pixels
     are counted in one aggregation; the features are sums over these counts and
     their marginals. Zero grey levels are ignored; an object without pairs in some
     direction gets NaN.
     """
     keys = [*image_keys(labels), "label"]
-    obj = _object_pixels(labels, px)
+    obj = _object_pixels(labels, px, clip_percentile)
     top = obj.groupBy(*keys).agg(F.max("value").alias("_top"))
     grey = obj.join(top, keys).withColumn("_g", F.coalesce(
         F.floor(F.try_divide(F.col("value") * F.lit(255), F.col("_top"))), F.lit(0)).cast("int"))

@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteframe.core import require_empty, running_index
+from siteframe.core import range_index, require_empty
 from siteframe.functions.geometry import rectangle_touches_border
 from siteframe.operators.relational import (feature_matrix, objects_missing_features,
                                             objects_missing_segmentation)
@@ -33,25 +33,10 @@ def get_or_create(dim: DataFrame, new_rows: DataFrame, id_column: str, name_colu
     fresh = new_rows.select(name_column).distinct().join(dim.select(name_column), name_column, "left_anti")
     start = dim.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_start"))
     return dim.select(id_column, name_column).unionByName(
-        ordered_index(fresh, name_column, "_pos").join(F.broadcast(start))
+        range_index(fresh, [name_column], "_pos").join(F.broadcast(start))
         .select((F.col("_start") + F.col("_pos") + 1).alias(id_column), name_column))
 
 
-def ordered_index(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Zero-based position in the order of a unique string key. Rows are counted
-    per leading characters first, so that no single task sorts the table."""
-    from pyspark.sql import Window
-    # The whole string hashed into ranges by its first eight characters.
-    part = df.withColumn("_prefix", F.substring(key, 1, 8))
-    before = Window.orderBy("_prefix").rowsBetween(Window.unboundedPreceding, -1)
-    counts = (part.groupBy("_prefix").agg(F.count(F.lit(1)).alias("_n"))
-              .withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
-    inside = Window.partitionBy("_prefix").orderBy(key)
-    return (part.withColumn("_local", F.row_number().over(inside) - 1).join(counts, "_prefix")
-            .withColumn(name, (F.col("_offset") + F.col("_local")).cast("long"))
-            .drop("_prefix", "_local", "_offset"))
-
-
 def export_feature_values(objects: DataFrame, segmentations: DataFrame, values: DataFrame,
                           sites: DataFrame, features: Mapping[str, str]) -> DataFrame:
     """Feature matrix of all segmented objects with their position. Values belong to
@@ -97,10 +82,7 @@ def assign_object_ids(labels: DataFrame, existing: DataFrame, image: Sequence[st
         existing.select(*image, "label", "mapobject_id"), [*image, "label"], "left")
     start = existing.agg(F.coalesce(F.max("mapobject_id"), F.lit(0)).alias("_start"))
     fresh = found.filter("mapobject_id IS NULL").drop("mapobject_id")
-    packed = F.lit(0).cast("long")
-    for c in image:
-        packed = packed * 1_000_003 + F.col(c)
-    numbered = running_index(fresh.withColumn("_key", packed * 1_048_576 + F.col("label")), [], "_key", "_pos")
+    numbered = range_index(fresh, [*image, "label"], "_pos")
     return found.filter("mapobject_id IS NOT NULL").unionByName(
         numbered.join(F.broadcast(start)).select(
             *image, "label", (F.col("_start") + F.col("_pos") + 1).alias("mapobject_id")))

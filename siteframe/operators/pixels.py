@@ -35,20 +35,20 @@ def load_channel_image(px: DataFrame, sites: DataFrame, stats: DataFrame | None
     reach the scan; `sites` is already filtered by plate, well and position."""
     for column, value in where.items():
         px = px.filter(F.col(column) == value)
-    px = px.join(sites.select("site_id"), "site_id", "left_semi")
+    return _prepared(px.join(sites.select("site_id"), "site_id", "left_semi"), stats, shifts, residues, crop)
+
+
+def _prepared(px: DataFrame, stats: DataFrame | None, shifts: DataFrame | None, residues: DataFrame | None, crop: bool) -> DataFrame:
     if stats is not None:
         px = correct_illumination(px, stats)
-    if shifts is not None:
-        px = align(px, shifts, residues, crop)
-    return px
+    return px if shifts is None else align(px, shifts, residues, crop)
 
 
 def load_pipeline_input(px: DataFrame, channels: Sequence[int], stats: DataFrame | None = None,
                         shifts: DataFrame | None = None, residues: DataFrame | None = None) -> DataFrame:
     """All planes of the given channels of every site, corrected and cropped to the
     area shared by all cycles."""
-    return load_channel_image(px.filter(F.col("channel_id").isin(list(channels))),
-                              px.select("site_id").distinct(), stats, shifts, residues)
+    return _prepared(px.filter(F.col("channel_id").isin(list(channels))), stats, shifts, residues, True)
 
 
 def crop(px: DataFrame, y0: int, height: int, x0: int, width: int) -> DataFrame:
@@ -206,11 +206,16 @@ def overlap(shifts: DataFrame) -> DataFrame:
 
 
 def align(px: DataFrame, shifts: DataFrame, residues: DataFrame, crop: bool = True,
-          height: int = 64, width: int = 64) -> DataFrame:
+          sizes: DataFrame | None = None) -> DataFrame:
     """Move each image by its shift and cut it to, or blacken it outside, the area
-    shared by all cycles of the site."""
+    shared by all cycles of the site. `sizes` has the height and width of each site;
+    without it they are those of the pixels of the site."""
     on = [k for k in ("site_id", "cycle_id") if k in shifts.columns and k in px.columns]
-    moved = (px.join(shifts.withColumnsRenamed({"y": "_sy", "x": "_sx"}), on).join(residues, "site_id"))
+    if sizes is None:
+        sizes = px.groupBy("site_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+    area = residues.join(sizes.select("site_id", F.col("height").alias("_height"), F.col("width").alias("_width")), "site_id")
+    moved = (px.join(shifts.withColumnsRenamed({"y": "_sy", "x": "_sx"}), on).join(area, "site_id"))
+    height, width = F.col("_height"), F.col("_width")
     y, x = F.col("y") + F.col("_sy"), F.col("x") + F.col("_sx")
 
     def inside(y, x):

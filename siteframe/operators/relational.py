@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteframe.core import require_empty, running_index
+from siteframe.core import require_empty, range_index
 
 
 # --- projections and filters -------------------------------------------------
@@ -264,31 +264,17 @@ def ordered(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def sample_objects(objects: DataFrame, n: int, seed: int = 0, key: str = "id") -> DataFrame:
     """Random subset of `n` objects, repeatable for the same seed."""
-    return objects.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+    return objects.orderBy(F.md5(F.concat_ws(":", F.lit(seed), F.col(key))), key).limit(n)
 
 
-def cap_images(images: DataFrame, n: int = 20000, group: str = "channel_id",
-               order: str = "image_id") -> DataFrame:
-    """At most `n` images per channel in the order of a spreading key.
-
-    The ranks are taken per hash bucket first, so that no channel is sorted in
-    one task: only the `n` first rows of each bucket reach the final ranking.
-    """
-    spread = F.pmod(F.col(order) * F.lit(7919), F.lit(1_000_003))
-    keyed = images.withColumn("_key", spread).withColumn("_part", F.pmod(F.col(order), F.lit(64)))
-    local = Window.partitionBy(group, "_part").orderBy("_key", order)
-    final = Window.partitionBy(group).orderBy("_key", order)
-    return (keyed.withColumn("_rank", F.row_number().over(local)).filter(F.col("_rank") <= n)
-            .withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= n)
-            .drop("_rank", "_key", "_part"))
-
-
-def natural_key(name: str | Column, width: int = 12) -> Column:
-    """Sort key in which runs of digits compare as numbers."""
+def natural_key(name: str | Column) -> Column:
+    """Sort key in which runs of digits of any length compare as numbers: the digits
+    without leading zeros, behind how many they are."""
     column = F.col(name) if isinstance(name, str) else name
     parts = F.regexp_extract_all(column, F.lit(r"(\d+|\D+)"), F.lit(1))
+    digits = lambda p: F.regexp_replace(p, "^0+(?=.)", "")
     return F.array_join(F.transform(parts, lambda p: F.when(
-        p.rlike(r"^\d"), F.lpad(p, width, "0")).otherwise(p)), "")
+        p.rlike(r"^\d"), F.concat(F.lpad(F.length(digits(p)).cast("string"), 10, "0"), digits(p))).otherwise(p)), "")
 
 
 def top_k_per_group(df: DataFrame, group: Sequence[str], order: str, tie: str, k: int) -> DataFrame:
@@ -305,7 +291,7 @@ def top_k_per_group(df: DataFrame, group: Sequence[str], order: str, tie: str, k
 def linspace_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     """`n` rows at evenly spaced positions ``i * N // n`` of the key order."""
     total = df.agg(F.count(F.lit(1)).alias("_total"))
-    ranked = running_index(df, [], key, "_pos").join(F.broadcast(total))
+    ranked = range_index(df, [key], "_pos").join(F.broadcast(total))
     step = F.expr(f"(_pos * {n} + _total - 1) DIV _total")
     kept = ranked.withColumn("_i", step).filter(
         (F.col("_i") < n) & (F.expr(f"_i * _total DIV {n}") == F.col("_pos")))

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteframe.core import cut_lineage, image_keys
+from siteframe.core import cut_lineage, image_keys, range_index
 from siteframe.operators import labels as LB
 from siteframe.operators import pixels as P
 from siteframe.operators import stencil as ST
@@ -135,94 +135,86 @@ def _dilate(mask, steps=CROSS):
     return np.logical_or.reduce([mask] + [_shifted(mask, dy, dx) for dy, dx in steps])
 
 
-def _depth(mask: np.ndarray) -> np.ndarray:
-    """Squared distance to background of a small padded object image."""
-    by, bx = np.nonzero(~mask)
-    y, x = np.nonzero(mask)
-    out = np.zeros(mask.shape)
-    for i in range(0, len(y), 256):
-        part = (y[i:i + 256, None] - by) ** 2 + (x[i:i + 256, None] - bx) ** 2
-        out[y[i:i + 256], x[i:i + 256]] = part.min(1)
-    return out
+def _boxes(px: DataFrame) -> DataFrame:
+    """All places of the box around each object, one line wider; `inside` tells those of the object."""
+    keys = image_keys(px)
+    box = px.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    places = (box.withColumn("y", F.explode(F.sequence(F.col("_y0") - 1, F.col("_y1") + 1)))
+              .withColumn("x", F.explode(F.sequence(F.col("_x0") - 1, F.col("_x1") + 1))).select(*keys, "y", "x"))
+    return places.join(px.withColumn("inside", F.lit(True)), [*keys, "y", "x"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-def _otsu(values: np.ndarray) -> int:
-    hist = np.bincount(values.ravel(), minlength=256).astype(float)
-    below = np.cumsum(hist)
-    mass = np.cumsum(hist * np.arange(len(hist)))
-    above = below[-1] - below
-    with np.errstate(divide="ignore", invalid="ignore"):
-        between = below * above * (mass / below - (mass[-1] - mass) / above) ** 2
-    return int(np.nanargmax(np.where((below > 0) & (above > 0), between, -1)))
-
-
-def cut_line(obj: np.ndarray, min_cut_area: int, trim: bool, trim_size: int = 10) -> np.ndarray | None:
-    """Pixels to remove so that a clump falls into two parts, or None."""
-    depth = _depth(obj)
-    byte = np.floor(depth * 255 / max(depth.max(), 1)).astype(np.int64)
-    peaks = byte > _otsu(byte)
-    if _components(peaks).max() == 1:
-        while True:
-            core = _erode(peaks)
-            core = _dilate(_erode(core))
-            n = _components(core).max()
-            if n in (0, 2):
-                peaks = core if n == 2 else peaks
-                break
-            peaks = core
-    named = _components(peaks)
-    sizes = np.bincount(named.ravel())[1:]
-    seeds = np.zeros(obj.shape, np.int64)
-    for i, k in enumerate(np.argsort(-sizes, kind="stable")[:2]):
-        seeds[named == k + 1] = i + 1
-    if seeds.max() < 2:
-        return None
-    regions = flood(-byte.astype(float), seeds)
-    line = np.zeros(obj.shape, bool)
-    for dy, dx in SQUARE:
-        line |= _shifted(regions, dy, dx) != regions
-    line &= obj
-    parts = _components(obj & ~line, SQUARE)
-    sizes = np.bincount(parts.ravel())[1:]
-    if trim and len(sizes) > 2 and sizes.min() < trim_size:
-        line |= np.isin(parts, np.nonzero(sizes < trim_size)[0] + 1)
-        sizes = np.bincount(_components(obj & ~line, SQUARE).ravel())[1:]
-    return line if len(sizes) and sizes.min() > min_cut_area and line.any() else None
+DEPTHS = 16
+
+
+def _two_cores(px: DataFrame, min_core: int = 3) -> DataFrame:
+    """Pixels of the two largest cores of each object that has two, as core 1 and 2.
+
+    The object is looked at from several depths below its border, all in one pass; the
+    first depth at which it falls into parts of some size tells the cores.
+    """
+    keys = image_keys(px)
+    clumps = [k for k in keys if k != "level"]
+    marked = _boxes(px).withColumns({"_out": ~F.col("inside"), "_p": F.lit(0)})
+    depth = nearest_marked(marked, "_out", "_p").filter("distance2 > 0")
+    deepest = depth.groupBy(*keys).agg(F.sqrt(F.max("distance2")).alias("_most"))
+    layers = depth.join(deepest, keys).withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(DEPTHS - 1)))).filter(
+        F.sqrt("distance2") > F.col("_most") * F.col("_t") / DEPTHS)
+    # A clump at a depth is an image of its own.
+    single = layers.select(*clumps, (F.col("level").cast("long") * DEPTHS + F.col("_t")).alias("level"), "y", "x", F.lit(True).alias("mask"))
+    parts = cut_lineage(LB.connected_components(single, 4))
+    sizes = parts.groupBy(*clumps, "level", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_core)
+    split = (sizes.groupBy(*clumps, "level").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), 1, 2).alias("two"))
+             .filter("size(two) = 2").withColumns({"_clump": F.expr(f"level DIV {DEPTHS}"), "_t": F.col("level") % DEPTHS}))
+    first = split.groupBy(*clumps, "_clump").agg(F.min_by(F.struct("level", "two"), "_t").alias("f"))
+    named = first.select(*clumps, "_clump", F.col("f.level").alias("level"), F.posexplode("f.two").alias("core", "two"))
+    cores = parts.join(named.select(*clumps, "_clump", "level", F.col("two.label").alias("label"), (F.col("core") + 1).alias("core")),
+                       [*clumps, "level", "label"])
+    return cores.select(*clumps, F.col("_clump").cast("int").alias("level"), "y", "x", "core")
+
+
+def _cuts(px: DataFrame, min_cut_area: int, trim: bool, trim_size: int = 10) -> DataFrame:
+    """Pixels to take out of objects so that each falls into two parts; nothing for an object whose parts would be too small.
+
+    Every pixel belongs to the core nearest to it; the cut runs where the two sides touch.
+    """
+    keys = image_keys(px)
+    pixel = [*keys, "y", "x"]
+    cores = cut_lineage(_two_cores(px))
+    whole = px.join(cores.select(*keys).distinct(), keys, "left_semi")
+    marked = _boxes(whole).join(cores, pixel, "left").withColumn("_m", F.col("core").isNotNull())
+    sides = cut_lineage(nearest_marked(marked, "_m", "core").join(whole, pixel, "left_semi").select(
+        *pixel, F.col("nearest").cast("int").alias("side")))
+    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in SQUARE])
+    reach = sides.filter("side = 1").withColumn("_s", F.explode(around)).select(
+        *keys, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x")).distinct()
+    line = cut_lineage(sides.filter("side = 2").join(reach, pixel, "left_semi").select(*pixel))
+    rest = sides.join(line, pixel, "left_anti").select(*pixel, F.lit(True).alias("mask"))
+    parts = cut_lineage(LB.connected_components(rest, 8))
+    sizes = parts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
+    crumbs = sizes.filter(F.lit(trim) & (F.col("n") < trim_size))
+    left = sizes.join(crumbs.select(*keys, "label"), [*keys, "label"], "left_anti")
+    good = left.groupBy(*keys).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("parts")).filter(
+        (F.col("least") > min_cut_area) & (F.col("parts") > 1)).select(*keys)
+    gone = line.unionByName(parts.join(crumbs.select(*keys, "label"), [*keys, "label"], "left_semi").select(*pixel))
+    return gone.join(good, keys, "left_semi")
 
 
 def separate_clumps(mask: DataFrame, min_cut_area: int, min_area: float, max_area: float, max_circularity: float,
-                    max_convexity: float, trim: bool = True, max_passes: int | None = None) -> DataFrame:
+                    max_convexity: float, trim: bool = True) -> DataFrame:
     """Cut objects that look like several objects in one.
 
-    Each pass measures all objects, picks the clumps and cuts each along the line
-    between its two deepest parts. Only clumps reach Python, a range of labels of
-    one image at a time. Passes end when nothing is cut any more.
+    Each pass measures all open objects, picks the clumps and cuts all of them together
+    between their two largest cores. Passes end when nothing is cut any more; a cut takes
+    pixels away, so that they end.
     """
     keys = image_keys(mask)
+    if "level" in keys:
+        raise ValueError("images of several levels cannot be separated at once")
     pixel = [*keys, "y", "x"]
-    types = {f.name: f.dataType.simpleString() for f in mask.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x int"])
-
-    def lines(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        for _, part in pdf.groupby("label", sort=False):
-            y, x = part["y"].to_numpy(), part["x"].to_numpy()
-            obj = np.zeros((np.ptp(y) + 3, np.ptp(x) + 3), bool)
-            obj[y - y.min() + 1, x - x.min() + 1] = True
-            line = cut_line(obj, min_cut_area, trim)
-            if line is not None:
-                a, b = np.nonzero(line)
-                found.append(pd.DataFrame({"y": a + y.min() - 1, "x": b + x.min() - 1}))
-        out = pd.concat(found) if found else pd.DataFrame({"y": [], "x": []})
-        for name, value in zip(keys, key):
-            out[name] = value
-        return out[[*keys, "y", "x"]].astype({"y": "int32", "x": "int32"})
-
     solid = cut_lineage(mask.filter("mask").select(*pixel))
     open_px = solid
-    passes = 0
-    while max_passes is None or passes < max_passes:
-        passes += 1
+    while True:
         labels = cut_lineage(LB.connected_components(open_px.withColumn("mask", F.lit(True)), 8))
         shape = measure_morphology(labels).join(convex_hulls(labels), [*keys, "label"]).withColumn(
             "convexity", F.col("area") / F.col("hull_area"))
@@ -230,12 +222,12 @@ def separate_clumps(mask: DataFrame, min_cut_area: int, min_area: float, max_are
         clump_px = cut_lineage(labels.join(clumps, [*keys, "label"], "left_semi"))
         if clump_px.isEmpty():
             break
-        cut = cut_lineage(clump_px.groupBy(*keys, F.expr("label DIV 64")).applyInPandas(lines, schema))
+        cut = cut_lineage(_cuts(clump_px.select(*keys, F.col("label").alias("level"), "y", "x"), min_cut_area, trim))
         if cut.isEmpty():
             break
         solid = solid.join(cut, pixel, "left_anti")
         # Clumps that could not be cut are final; cut ones are looked at again.
-        done = clump_px.join(cut, pixel, "left_semi").select(*keys, "label").distinct()
+        done = cut.select(*keys, F.col("level").alias("label")).distinct()
         open_px = clump_px.join(done, [*keys, "label"], "left_semi").join(cut, pixel, "left_anti").select(*pixel)
     return LB.connected_components(cut_lineage(solid).withColumn("mask", F.lit(True)), 8)
 
@@ -358,14 +350,26 @@ def deblend(blobs: DataFrame, threshold: float, n_levels: int = 8, contrast: flo
     top = inside.groupBy(*pixel).agg(F.max("level").alias("_top"))
     leaf = (inside.join(top, pixel).groupBy(*keys, "level", "label").agg(F.max("_top").alias("_top"))
             .filter("_top = level").drop("_top"))
-    cores = inside.join(leaf, [*keys, "level", "label"], "left_semi").select(
-        *pixel, (F.col("level") * 1_000_000 + F.col("label")).alias("part"))
-    whole = base.select(*pixel, F.col("blob").cast("int").alias("blob"), "value")
-    marked = whole.join(cores, pixel, "left").withColumn("_m", F.col("part").isNotNull())
-    nearest = nearest_marked(marked, "_m", "part", ("blob",))
-    # A number per part: whole blobs come first in order, split ones by level and label.
-    joined = nearest.select(*pixel, (F.col("blob").cast("long") * 1_000_000_000 + F.coalesce(
-        F.nullif("nearest", F.lit(float("nan"))).cast("long"), F.lit(0))).alias("label"))
+    numbers = range_index(leaf, [*keys, "level", "label"], "part")
+    cores = inside.join(numbers, [*keys, "level", "label"]).select(*pixel, "blob", "part")
+    whole = base.select(*pixel, "blob", "value")
+    # Distances need every place of the box around a blob, also those that are not part of it.
+    split_blobs = cores.select(*keys, "blob").distinct()
+    boxes = (whole.join(split_blobs, [*keys, "blob"], "left_semi").groupBy(*keys, "blob")
+             .agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+             .withColumn("y", F.explode(F.sequence("_y0", "_y1"))).withColumn("x", F.explode(F.sequence("_x0", "_x1"))))
+    marked = boxes.select(*pixel, F.col("blob").cast("int").alias("blob")).join(
+        cores.withColumn("blob", F.col("blob").cast("int")), [*pixel, "blob"], "left").withColumn("_m", F.col("part").isNotNull())
+    nearest = nearest_marked(marked, "_m", "part", ("blob",)).select(*pixel, "blob", F.col("nearest").cast("long").alias("part"))
+    named = whole.select(*pixel, F.col("blob").cast("int").alias("blob")).join(nearest, [*pixel, "blob"], "left")
+    # Blobs come in order, their parts by level and label.
+    objects = named.select(*keys, "blob", "part").distinct()
+    ranked = range_index(objects, [*keys, F.col("blob"), F.coalesce("part", F.lit(-1))], "_rank")
+    same = [named[k] == ranked[k] for k in (*keys, "blob")] + [named["part"].eqNullSafe(ranked["part"])]
+    condition = same[0]
+    for c in same[1:]:
+        condition = condition & c
+    joined = named.join(ranked, condition).select(*[named[c] for c in pixel], (F.col("_rank") + 1).alias("label"))
     return LB.relabel(joined).join(whole.select(*pixel, "value"), pixel)
 
 

@@ -48,18 +48,34 @@ def pack_tiles(px: DataFrame) -> DataFrame:
             .agg(F.array_sort(F.collect_list(F.struct(inside.alias("place"), F.col("value")))).alias("pixels")))
 
 
+def requested_pixels(px: DataFrame, requested: DataFrame) -> DataFrame:
+    """Pixels of the requested tiles only, so that no other tile is packed."""
+    numbered = px.withColumns({"tile_y": F.expr(f"y DIV {TILE}"), "tile_x": F.expr(f"x DIV {TILE}")})
+    return numbered.join(requested.select("tile_y", "tile_x").distinct(), ["tile_y", "tile_x"], "left_semi").drop("tile_y", "tile_x")
+
+
 def get_tile(tiles: DataFrame, requested: DataFrame, keys: tuple[str, ...] = ("tile_y", "tile_x")) -> DataFrame:
     """Full pixel array of the requested tiles; a missing tile is black."""
     places = requested.select(*keys).distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
-    listed = tiles.select(*keys, F.explode("pixels").alias("_p")).select(
+    listed = tiles.join(requested.select(*keys).distinct(), list(keys), "left_semi").select(*keys, F.explode("pixels").alias("_p")).select(
         *keys, F.col("_p.place").alias("place"), F.col("_p.value").alias("value"))
     full = (places.join(listed, [*keys, "place"], "left").groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("value", F.lit(0)).alias("value")))).alias("_f")))
     return full.select(*keys, F.transform("_f", lambda p: p["value"]).alias("pixels"))
 
 
-def build_pyramid(base: DataFrame, n_levels: int, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
-    """Pixels of the base and `n_levels` coarser levels, level 0 being the base.
+def levels_to_one_tile(base: DataFrame, cfg: ExperimentConfig = ExperimentConfig()) -> int:
+    """Number of coarser levels until a layer fits one tile."""
+    top = base.agg(F.max(F.greatest("y", "x"))).first()[0] or 0
+    n = 0
+    while top // cfg.zoom_factor ** n >= TILE:
+        n += 1
+    return n
+
+
+def build_pyramid(base: DataFrame, n_levels: int | None = None, cfg: ExperimentConfig = ExperimentConfig()) -> DataFrame:
+    """Pixels of the base and all coarser levels down to one tile, or `n_levels` of
+    them, level 0 being the base.
 
     Each level averages blocks of the level before it, black where nothing was
     imaged. A level is stored before the next one is built, so the pixels of the
@@ -69,7 +85,7 @@ def build_pyramid(base: DataFrame, n_levels: int, cfg: ExperimentConfig = Experi
     layer = [c for c in base.columns if c not in ("y", "x", "value")]
     level = cut_lineage(base).withColumn("shrinks", F.lit(0))
     out = level
-    for k in range(1, n_levels + 1):
+    for k in range(1, (levels_to_one_tile(level, cfg) if n_levels is None else n_levels) + 1):
         block = level.groupBy(*layer, F.expr(f"y DIV {f}").alias("y"), F.expr(f"x DIV {f}").alias("x")).agg(
             F.floor(F.sum("value") / (f * f) + 0.5).cast("int").alias("value"))
         level = cut_lineage(block).withColumn("shrinks", F.lit(k))
@@ -116,9 +132,10 @@ def object_outline(y: np.ndarray, x: np.ndarray, height: int, width: int):
     return rings[best] + shift, holes
 
 
-def labels_to_polygons(labels: DataFrame, offsets: DataFrame, height: int = 64, width: int = 64) -> DataFrame:
-    """Closed outline of each object on the map, y upwards, with holes. Python sees
-    a range of labels of one image at a time."""
+def labels_to_polygons(labels: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Closed outline of each object on the map, y upwards, with holes. `offsets` has
+    the place, height and width of each site. Python sees a range of labels of one
+    image at a time."""
     keys = image_keys(labels)
     types = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
     ring_type = "array<struct<x:double,y:double>>"
@@ -129,7 +146,7 @@ def labels_to_polygons(labels: DataFrame, offsets: DataFrame, height: int = 64,
         rows = []
         for label, part in pdf.groupby("label", sort=False):
             oy, ox = int(part["offset_y"].iloc[0]), int(part["offset_x"].iloc[0])
-            ring, holes = object_outline(part["y"].to_numpy(), part["x"].to_numpy(), height, width)
+            ring, holes = object_outline(part["y"].to_numpy(), part["x"].to_numpy(), int(part["height"].iloc[0]), int(part["width"].iloc[0]))
 
             def closed(r):
                 pts = [{"x": float(p[1] + ox), "y": float(-(p[0] + oy))} for p in r]
@@ -138,7 +155,7 @@ def labels_to_polygons(labels: DataFrame, offsets: DataFrame, height: int = 64,
             rows.append([*key[:-1], label, closed(ring), [closed(h) for h in holes]])
         return pd.DataFrame(rows, columns=[*keys, "label", "polygon", "holes"])
 
-    joined = labels.join(offsets.select("site_id", "offset_y", "offset_x"), "site_id")
+    joined = labels.join(offsets.select("site_id", "offset_y", "offset_x", "height", "width"), "site_id")
     return joined.groupBy(*keys, F.expr("label DIV 64")).applyInPandas(outlines, schema)
 
 

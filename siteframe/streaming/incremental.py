@@ -15,28 +15,35 @@ def read_pixel_stream(spark: SparkSession, folder: str, schema: str, files_per_t
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(folder)
 
 
-def illumination_stats_stream(pixels: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
+def illumination_stats_stream(pixels: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
     """Mean and standard deviation per pixel position over all images seen so far.
-    The state holds one row per channel and pixel position."""
-    return (illumination_stats(pixels).writeStream.outputMode("complete").format("memory").queryName(name)
+
+    The state holds one row per channel and pixel position. Each batch writes the
+    statistics as a table of its own, ``batch=<number>``; the last one counts.
+    """
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (illumination_stats(pixels).writeStream.outputMode("complete").foreachBatch(store)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
 
 
+def latest_stats(spark: SparkSession, target: str) -> DataFrame:
+    """The statistics that the last batch has written."""
+    all_batches = spark.read.parquet(target)
+    last = all_batches.agg(F.max("batch")).first()[0]
+    return all_batches.filter(F.col("batch") == last).drop("batch")
+
+
 def register_file_stream(names: DataFrame, target: str, image_pattern: str, meta_pattern: str,
                          checkpoint: str) -> StreamingQuery:
-    """Append new files of each batch to the registry. A repeated batch adds
-    nothing, as names that are registered already are left out."""
-    def append(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        reader = spark.read.schema("name string, kind string, status string")
-        try:
-            known = reader.parquet(target).select("name")
-        except Exception as error:  # noqa: BLE001 - the registry does not exist before the first batch
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-            known = spark.createDataFrame([], "name string")
-        fresh = register_files(batch, image_pattern, meta_pattern, known)
-        fresh.withColumn("status", F.lit("COMPLETE")).write.mode("append").parquet(target)
-
-    return (names.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
-            .trigger(availableNow=True).start())
+    """Append new files to the registry. Names that came before are kept in the
+    state of the stream, so that no batch reads the registry; a batch that is
+    repeated after a failure replaces what it had written."""
+    def append(batch: DataFrame, number: int) -> None:
+        none = batch.sparkSession.createDataFrame([], "name string")
+        fresh = register_files(batch, image_pattern, meta_pattern, none)
+        fresh.withColumn("status", F.lit("COMPLETE")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return (names.dropDuplicates(["name"]).writeStream.outputMode("append").foreachBatch(append)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

@@ -11,7 +11,7 @@ from siteframe.domain import Domain  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session("local[8]", 4, "6g", **{"spark.ui.enabled": "false"})
+    session = build_session(os.environ.get("TEST_MASTER", "local[8]"), 4, "6g", **{"spark.ui.enabled": "false"})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

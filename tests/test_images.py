@@ -79,7 +79,7 @@ def test_shift_residues_and_crop(spark):
     r = P.overlap(shifts).first()
     assert (r.top_residue, r.bottom_residue, r.left_residue, r.right_residue) == (3, 2, 4, 1)
     image = np.arange(100).reshape(10, 10).astype(np.int32)
-    out = P.align(to_rows(spark, image, cycle_id=1), shifts, P.overlap(shifts), True, 10, 10)
+    out = P.align(to_rows(spark, image, cycle_id=1), shifts, P.overlap(shifts), True)
     want = image[5:10, 0:5]
     assert np.array_equal(to_image(out, (5, 5)), want)
 

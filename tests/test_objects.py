@@ -47,12 +47,8 @@ def test_missing_elements_across_buckets(spark):
 def test_natural_order(spark):
     names = spark.createDataFrame([("a10",), ("a2",), ("b1",)], "name string")
     assert [r.name for r in names.orderBy(R.natural_key("name")).collect()] == ["a2", "a10", "b1"]
-
-
-def test_cap_images_keeps_n_per_channel(spark):
-    images = spark.range(300).select(F.col("id").alias("image_id"), (F.col("id") % 3).alias("channel_id"))
-    capped = R.cap_images(images, 20).groupBy("channel_id").count().collect()
-    assert [r["count"] for r in capped] == [20, 20, 20]
+    long = spark.createDataFrame([("a12345678901234567899",), ("a12345678901234567891",), ("a0007",), ("a12",)], "name string")
+    assert [r.name for r in long.orderBy(R.natural_key("name")).collect()] == ["a0007", "a12", "a12345678901234567891", "a12345678901234567899"]
 
 
 def test_pair_cycles_needs_images_in_every_cycle(spark):

@@ -68,6 +68,9 @@ def test_two_overlapping_disks_are_separated(spark):
     mask = disk((40, 60), 20, 20, 12) | disk((40, 60), 20, 38, 12)
     out = SG.separate_clumps(to_rows(spark, mask, "mask"), 50, 100, 5000, 1.0, 0.95)
     assert out.select("label").distinct().count() == 2
+    three = disk((40, 80), 20, 20, 12) | disk((40, 80), 20, 38, 12) | disk((40, 80), 20, 56, 12)
+    out = SG.separate_clumps(to_rows(spark, three, "mask"), 50, 100, 5000, 1.0, 0.95)
+    assert out.select("label").distinct().count() == 3
     single = SG.separate_clumps(to_rows(spark, disk((40, 60), 20, 20, 12), "mask"), 50, 100, 5000, 1.0, 0.9)
     assert single.select("label").distinct().count() == 1
 
@@ -86,6 +89,16 @@ def test_blobs_are_found_at_their_centres(spark):
     assert sorted((r.y, r.x) for r in got) == [(10, 10), (25, 30)]
 
 
+def test_deblend_of_a_bent_blob_makes_no_false_objects(spark):
+    y, x = np.mgrid[:30, :40]
+    peaks = sum(150 * np.exp(-((y - 24) ** 2 + (x - b) ** 2) / 8) for b in (8, 20)) + 20
+    bent = ((y >= 20) & (y < 29) & (x >= 2) & (x < 28)) | ((x >= 2) & (x < 6) & (y >= 2) & (y < 29))
+    label = np.where(bent, 1, 0).astype(np.int32)
+    image = np.where(bent, peaks, 0)
+    base = to_rows(spark, label, "label", keep=lambda v: v > 0).join(to_rows(spark, image, "value"), ["site_id", "y", "x"])
+    assert SG.deblend(base, 20.0, 8, 0.1).select("label").distinct().count() == 2
+
+
 def test_deblend_splits_two_bumps_and_keeps_one(spark):
     y, x = np.mgrid[:20, :60]
     bumps = lambda *c: sum(150 * np.exp(-((y - 10) ** 2 + (x - b) ** 2) / 8) for b in c) + 20

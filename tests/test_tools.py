@@ -70,8 +70,8 @@ def test_statistics_stream_equals_batch(spark, tmp_path):
     for site in range(3):
         px.filter(f"site_id = {site}").coalesce(1).write.mode("append").parquet(folder)
     stream = INC.read_pixel_stream(spark, folder, "site_id bigint, y int, x int, value int", 1)
-    INC.illumination_stats_stream(stream, "stats_test", str(tmp_path / "c")).awaitTermination()
-    got = {(r.y, r.x): (r.mean, r["std"]) for r in spark.table("stats_test").collect()}
+    INC.illumination_stats_stream(stream, str(tmp_path / "stats"), str(tmp_path / "c")).awaitTermination()
+    got = {(r.y, r.x): (r.mean, r["std"]) for r in INC.latest_stats(spark, str(tmp_path / "stats")).collect()}
     for r in illumination_stats(px).collect():
         assert got[r.y, r.x] == pytest.approx((r.mean, r["std"]))
 
