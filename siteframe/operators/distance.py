@@ -41,7 +41,7 @@ def nearest_marked(px: DataFrame, marked: str, payload: str, within: tuple[str,
     image = image_keys(px)
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x int", "distance2 double", "nearest double"])
 
-    def rows(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         done = []
         for name, part in pdf.groupby(list(within), sort=False) if within else [((), pdf)]:
             d2, payloads, ys, xs = _row_pass(part)

@@ -182,21 +182,14 @@ def object_perimeter(labels: DataFrame, neighbours: int = 4, edge: bool = True)
 
 def expand_objects(labels: DataFrame, n: int, height: int, width: int) -> DataFrame:
     """Grow objects over background nearer than `n` pixels; the nearest object
-    wins, the smaller label among equally near ones. Only rim pixels spread."""
+    wins, the smaller label among equally near ones. The two passes of the distance
+    over all places of the image cost the same for any `n`."""
     keys = image_keys(labels)
-    reach = [(dy, dx) for dy in range(-n, n + 1) for dx in range(-n, n + 1) if 0 < dy * dy + dx * dx < n * n]
-    if not reach:
-        return labels
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(dy * dy + dx * dx).alias("d2"))
-                        for dy, dx in reach])
-    spread = (object_perimeter(labels).withColumn("_o", F.explode(offsets))
-              .select(*keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
-                      F.struct(F.col("_o.d2").alias("d2"), F.col("label").alias("label")).alias("_c"))
-              .filter((F.col("y").between(0, height - 1)) & (F.col("x").between(0, width - 1))))
-    nearest = spread.groupBy(*keys, "y", "x").agg(F.min("_c").alias("_c"))
-    own = labels.select(*keys, "y", "x", F.struct(F.lit(0).alias("d2"), F.col("label").alias("label")).alias("_c"))
-    return (own.unionByName(nearest).groupBy(*keys, "y", "x").agg(F.min("_c").alias("_c"))
-            .select(*keys, "y", "x", F.col("_c.label").alias("label")))
+    places = (labels.select(*keys).distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1))))
+              .withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1)))))
+    marked = places.join(labels.select(*keys, "y", "x", "label"), [*keys, "y", "x"], "left").withColumn("_m", F.col("label").isNotNull())
+    near = nearest_marked(marked, "_m", "label").filter((F.col("distance2") < n * n) | (F.col("distance2") == 0))
+    return near.select(*keys, "y", "x", F.col("nearest").cast(labels.schema["label"].dataType).alias("label"))
 
 
 def shrink_objects(labels: DataFrame, n: int, grid: DataFrame) -> DataFrame:
@@ -227,19 +220,33 @@ def fill_holes(mask: DataFrame) -> DataFrame:
             .withColumn("mask", F.col("mask") | F.coalesce("_hole", F.lit(False))).drop("_hole"))
 
 
+#: Pixels of a line that are looked at together.
+STRETCH = 32
+
+
 def neighbour_pairs(labels: DataFrame, distance: int) -> DataFrame:
-    """Pairs of objects with pixels not farther apart than `distance`. Rim pixels
-    offer their label at every place of a disk around them; places meet pixels of
-    other objects in an equality join, so pairs of objects are never listed."""
+    """Pairs of objects with pixels not farther apart than `distance`.
+
+    A rim pixel reaches one interval of each line around it. Intervals of an object that
+    overlap on a line are merged; what is left meets the rim pixels of other objects on the same
+    stretch of the line, so that rows grow with the distance and not with its square.
+    """
     keys = image_keys(labels)
-    disk = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
-                     for dy in range(-distance, distance + 1) for dx in range(-distance, distance + 1)
-                     if 0 < dy * dy + dx * dx <= distance * distance])
     rim = object_perimeter(labels)
-    reach = (rim.withColumn("_o", F.explode(disk))
-             .select(*keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
-                     F.col("label").alias("source")).distinct())
-    return (reach.join(rim, [*keys, "y", "x"]).filter("source <> label")
+    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(int((distance * distance - dy * dy) ** 0.5)).alias("r"))
+                       for dy in range(-distance, distance + 1)])
+    line = [*keys, "label", "y"]
+    reach = rim.withColumn("_o", F.explode(around)).select(
+        *keys, "label", (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") - F.col("_o.r")).alias("x0"), (F.col("x") + F.col("_o.r")).alias("x1"))
+    ordered = Window.partitionBy(*line).orderBy("x0", "x1")
+    so_far = F.max("x1").over(ordered.rowsBetween(Window.unboundedPreceding, -1))
+    opened = reach.withColumn("_new", F.coalesce((F.col("x0") > so_far + 1).cast("int"), F.lit(1)))
+    merged = (opened.withColumn("_i", F.sum("_new").over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+              .groupBy(*line, "_i").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")))
+    stretch = merged.select(*keys, F.col("label").alias("source"), "y", "x0", "x1", F.explode(F.sequence(
+        F.floor(F.col("x0") / STRETCH).cast("int"), F.floor(F.col("x1") / STRETCH).cast("int"))).alias("_s"))
+    placed = rim.withColumn("_s", F.floor(F.col("x") / STRETCH).cast("int"))
+    return (stretch.join(placed, [*keys, "y", "_s"]).filter((F.col("source") != F.col("label")) & F.col("x").between(F.col("x0"), F.col("x1")))
             .select(*keys, F.col("source").alias("label"), F.col("label").alias("neighbour")).distinct())
 
 
@@ -247,7 +254,7 @@ def measure_neighbours(labels: DataFrame, distance: int, touching: int) -> DataF
     """Number and list of neighbours, and the share of perimeter pixels that lie
     within `touching` of a neighbour grown by one pixel."""
     keys = image_keys(labels)
-    pairs = neighbour_pairs(labels, distance)
+    pairs = cut_lineage(neighbour_pairs(labels, distance))
     listed = pairs.groupBy(*keys, "label").agg(
         F.count(F.lit(1)).alias("count"), F.array_join(F.transform(F.array_sort(F.collect_list("neighbour")),
                                                                    lambda v: v.cast("string")), ".").alias("list"))
@@ -258,7 +265,7 @@ def measure_neighbours(labels: DataFrame, distance: int, touching: int) -> DataF
     zero = set(arms)
     offers = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit((dy, dx) in zero).alias("on"))
                        for dy, dx in reach])
-    rim = object_perimeter(labels)
+    rim = cut_lineage(object_perimeter(labels))
     offered = (rim.withColumn("_o", F.explode(offers))
                .select(*keys, (F.col("y") + F.col("_o.dy")).alias("y"), (F.col("x") + F.col("_o.dx")).alias("x"),
                        F.col("label").alias("neighbour"), F.col("_o.on").alias("on"))

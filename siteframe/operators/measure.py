@@ -97,7 +97,7 @@ def convex_hulls(labels: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"label {types['label']}", "hull_area double"])
 
-    def hulls(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def hulls(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for label, part in pdf.groupby("label", sort=False):
             pts = np.concatenate([part[["x0", "y"]].to_numpy(float), part[["x1", "y"]].to_numpy(float),

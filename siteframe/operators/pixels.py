@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siteframe.core import image_keys
+from siteframe.core import cut_lineage, image_keys
 from siteframe.functions.scalars import scale_to_byte
 from siteframe.operators import stencil as ST
 from siteframe.operators import strips as SF
@@ -175,7 +175,7 @@ def register_far(target: DataFrame, reference: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in target.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x int"])
 
-    def correlate(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def correlate(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         shape = (pdf["y"].max() + 1, pdf["x"].max() + 1)
         a, b = np.zeros(shape), np.zeros(shape)
         a[pdf["y"], pdf["x"]] = pdf["value"] - pdf["value"].mean()
@@ -266,10 +266,6 @@ def invert(px: DataFrame, max_value: int = 255) -> DataFrame:
     return px.withColumn("value", F.lit(max_value) - F.col("value"))
 
 
-def invert_mask(mask: DataFrame) -> DataFrame:
-    return mask.withColumn("mask", ~F.col("mask"))
-
-
 def rescale(px: DataFrame, lower: int | None, upper: int | None, type_max: int = 255) -> DataFrame:
     v = F.col("value")
     if lower is not None:
@@ -441,25 +437,24 @@ def threshold_global(px: DataFrame, method: str) -> DataFrame:
     raise ValueError(f"unknown method: {method}")
 
 
-def _histogram_arrays(px: DataFrame) -> DataFrame:
-    """Sorted levels and counts per image; as long as the image has grey levels."""
-    keys = image_keys(px)
-    return image_histogram(px).groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct("value", "n"))).alias("_h"))
-
-
-def _fixed_point_levels(px: DataFrame, rounds: int = 40) -> DataFrame:
-    """Middle between the means of both classes, repeated until it stands."""
-    def mean_if(above, level):
-        chosen = lambda e: (e["value"] > level) if above else (e["value"] <= level)
-        total = F.aggregate(F.filter("_h", chosen), F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("n")),
-                            lambda a, e: F.struct((a["s"] + e["value"] * e["n"]).alias("s"), (a["n"] + e["n"]).alias("n")))
-        return F.try_divide(total["s"], total["n"])
+def _fixed_point_levels(px: DataFrame) -> DataFrame:
+    """Middle between the means of both classes, repeated until it stands on every image.
 
-    start = px.groupBy(*image_keys(px)).agg(F.avg("value").alias("_t"))
-    step = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("_t"), lambda t, _: F.coalesce(
-        (mean_if(False, t) + mean_if(True, t)) / 2, t))
-    return _histogram_arrays(px).join(start, image_keys(px)).select(*image_keys(px), step.alias("level"))
+    The level moves in one direction only and each move changes the class of a grey level, so that rounds end."""
+    keys = image_keys(px)
+    hist = cut_lineage(image_histogram(px))
+    v, n = F.col("value").cast("double"), F.col("n")
+    state = cut_lineage(hist.groupBy(*keys).agg((F.sum(v * n) / F.sum(n)).alias("level")))
+    while True:
+        low, high = v <= F.col("level"), v > F.col("level")
+        sums = hist.join(state, keys).groupBy(*keys, "level").agg(
+            *[F.try_divide(F.sum(F.when(side, v * n)), F.sum(F.when(side, n))).alias(name) for side, name in ((low, "_a"), (high, "_b"))])
+        moved = F.coalesce((F.col("_a") + F.col("_b")) / 2, F.col("level"))
+        new = cut_lineage(sums.select(*keys, moved.alias("level"), (moved != F.col("level")).alias("_moved")), state)
+        if new.filter("_moved").isEmpty():
+            return new.drop("_moved")
+        state = new.drop("_moved")
+        state._siteframe_path = new._siteframe_path
 
 
 def _mixture_levels(px: DataFrame) -> DataFrame:
@@ -469,24 +464,29 @@ def _mixture_levels(px: DataFrame) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in px.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["level double"])
 
-    def fit(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         v, n = pdf["value"].to_numpy(float), pdf["n"].to_numpy(float)
         order = np.argsort(v)
         share = np.cumsum(n[order]) / n.sum()
         means = np.interp([0.1, 0.5, 0.9], share, v[order])
         std, prior = np.full(3, max(v.std() / 3, 1e-3)), np.full(3, 1 / 3)
-        for _ in range(100):
+        step = np.inf
+        while step > 1e-6 * max(v.std(), 1e-3):
+            before = means
             dens = prior * np.exp(-0.5 * ((v[:, None] - means) / std) ** 2) / std + 1e-300
             post = dens / dens.sum(1, keepdims=True) * n[:, None]
             weight = post.sum(0) + 1e-12
             means = (post * v[:, None]).sum(0) / weight
             std = np.sqrt((post * (v[:, None] - means) ** 2).sum(0) / weight) + 1e-3
             prior = weight / weight.sum()
+            step = np.abs(means - before).max()
         order = np.argsort(means)
-        grid = np.linspace(means[order[0]], means[order[2]], 512)
-        dens = prior * np.exp(-0.5 * ((grid[:, None] - means) / std) ** 2) / std
-        gap = np.abs(dens[:, order[0]] - dens[:, order[1:]].sum(1))
-        return pd.DataFrame([[*key, float(grid[int(np.argmin(gap))])]], columns=[*keys, "level"])
+        low, high = means[order[0]], means[order[2]]
+        while high - low > 1e-9 * max(abs(high), 1):
+            middle = (low + high) / 2
+            dens = prior * np.exp(-0.5 * ((middle - means) / std) ** 2) / std
+            low, high = (middle, high) if dens[order[0]] > dens[order[1:]].sum() else (low, middle)
+        return pd.DataFrame([[*key, float(high)]], columns=[*keys, "level"])
 
     return image_histogram(px).groupBy(*keys).applyInPandas(fit, schema)
 

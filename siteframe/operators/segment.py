@@ -54,7 +54,7 @@ def grow_regions(seeds: DataFrame, background: DataFrame, px: DataFrame) -> Data
     types = {f.name: f.dataType.simpleString() for f in px.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["y int", "x int", "label int"])
 
-    def grow(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         shape = (y.max() + 1, x.max() + 1)
         cost, seed = np.zeros(shape), np.zeros(shape, np.int64)
@@ -263,7 +263,7 @@ def concave_points(labels: DataFrame, max_dist: float) -> DataFrame:
     types = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"label {types['label']}", "y int", "x int", "depth double"])
 
-    def defects(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def defects(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for label, part in pdf.groupby("label", sort=False):
             y, x = part["y"].to_numpy(), part["x"].to_numpy()

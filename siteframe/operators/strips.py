@@ -35,7 +35,7 @@ def strip_filter(px: DataFrame, reach: int, fn: Callable[[np.ndarray], Mapping[s
     names = [c.strip().split(" ")[0] for c in columns.split(",")]
     schema = ", ".join([f"{c} {types[c]}" for c in (*keys, "y", "x", *kept)] + [columns])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         y, x = pdf["y"].to_numpy(), pdf["x"].to_numpy()
         if y.max() < int(key[-1]) * LINES:  # beyond the image, borrowed lines only
             return pd.DataFrame({c: [] for c in (*keys, "y", "x", *kept, *names)})

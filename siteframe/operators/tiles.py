@@ -142,7 +142,7 @@ def labels_to_polygons(labels: DataFrame, offsets: DataFrame) -> DataFrame:
     schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"label {types['label']}", f"polygon {ring_type}",
                                                              f"holes array<{ring_type}>"])
 
-    def outlines(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def outlines(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         rows = []
         for label, part in pdf.groupby("label", sort=False):
             oy, ox = int(part["offset_y"].iloc[0]), int(part["offset_x"].iloc[0])

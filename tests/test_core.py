@@ -41,3 +41,20 @@ def test_expand_adds_only_needed_tables():
     sql = expand("SELECT * FROM d_spots")
     assert sql.startswith("WITH d_spots AS") and "d_cells" not in sql
     assert expand("WITH RECURSIVE a AS (SELECT 1) SELECT * FROM a, d_wells").startswith("WITH RECURSIVE d_wells")
+
+
+def test_exact_quantiles_equal_percentile(spark):
+    from pyspark.sql import functions as F
+
+    from siteframe.core import exact_quantiles
+    df = spark.range(5000).selectExpr("if(id % 7 = 0, null, cast(pmod(id * 7919, 997) as double)) as v")
+    shares = [0.0, 0.013, 0.5, 0.77, 1.0]
+    want = df.agg(F.percentile("v", F.array(*[F.lit(s) for s in shares]))).first()[0]
+    assert exact_quantiles(df, "v", shares).first()[0] == pytest.approx(want)
+
+
+def test_positions_over_ranges(spark):
+    from siteframe.core import range_index
+    rows = [(f"k{i * 37 % 1000:04d}", i % 3) for i in range(1000)] + [(None, 5)]
+    got = range_index(spark.createDataFrame(rows, "key string, n int").repartition(7), ["key"], "pos").collect()
+    assert [r.pos for r in sorted(got, key=lambda r: (r.key is not None, r.key or ""))] == list(range(1001))

@@ -112,3 +112,10 @@ def test_plane_fit_is_exact(spark):
     df = to_rows(spark, (0.5 * x - 2 * y + 3).astype(float), "z")
     r = P.fit_plane(df, ["site_id"]).first()
     assert (r.a, r.b, r.c) == pytest.approx((0.5, -2, 3))
+
+
+def test_alignment_keeps_images_of_any_size(spark):
+    image = noise((70, 100))
+    shifts = spark.createDataFrame([(0, 1, 0, 0)], "site_id bigint, cycle_id int, y int, x int")
+    out = P.align(to_rows(spark, image, cycle_id=1), shifts, P.overlap(shifts), True)
+    assert np.array_equal(to_image(out, image.shape), image)

@@ -132,3 +132,15 @@ def test_texture_driver_checks_arguments(spark):
         ME.measure_texture(labels, px, frequencies=(0,))
     out = ME.measure_texture(labels, px, (5,), (1,), (1,), 20.0)
     assert out.count() == 1 and "tas_center_0" in out.columns and "haralick_entropy_1" in out.columns
+
+
+def test_one_hot_pixel_does_not_set_the_scale_of_textures(spark):
+    label = np.zeros((320, 320), np.int32)
+    label[10:40, 10:40] = 1
+    values = noise((320, 320), 4, 200) + 1
+    hot = values.copy()
+    hot[20, 20] = 60_000
+    labels = to_rows(spark, label, "label", keep=lambda v: v > 0)
+    plain, clipped, raw = (ME.measure_haralick(labels, to_rows(spark, v), 1, c).first().contrast
+                           for v, c in ((values, 99.999), (hot, 99.999), (hot, None)))
+    assert abs(clipped - plain) < 0.1 * plain and raw < 0.01 * plain

@@ -170,3 +170,26 @@ def test_polygon_predicates(spark):
     assert row.square and row.ell and not row.bow and not row.open
     assert row.in_arm and not row.in_notch and row.area == 20.0
     assert not row.box_in_notch and row.box_inside and row.box_across
+
+
+def test_ids_of_objects_with_large_keys_are_dense(spark):
+    rows = [(10**9 + s, t, z, label) for s in range(3) for t in range(2) for z in range(2) for label in (1, 2)]
+    labels = spark.createDataFrame(rows * 2, "site_id bigint, tpoint int, zplane int, label int")
+    existing = spark.createDataFrame([(10**9, 0, 0, 1, 40)], "site_id bigint, tpoint int, zplane int, label int, mapobject_id bigint")
+    got = M.assign_object_ids(labels, existing, ["site_id", "tpoint", "zplane"]).collect()
+    assert sorted(r.mapobject_id for r in got) == list(range(40, 40 + len(rows)))
+
+
+def test_layouts_of_oblong_grids(spark):
+    for rows, cols in ((2, 4), (4, 2), (3, 3), (1, 4), (4, 1)):
+        for layout in ("horizontal", "zigzag_horizontal", "vertical", "zigzag_vertical"):
+            base = spark.createDataFrame([("A", i, rows, cols) for i in range(rows * cols)], "well_name string, site_index int, r int, c int")
+            y, x = L.layout_coordinate("site_index", "r", "c", layout)
+            found = L.detect_layout(base.withColumns({"stage_y": y * 10.0, "stage_x": x * 10.0})).first()
+            assert (found.n_rows, found.n_cols) == (rows, cols)
+            if min(rows, cols) > 1:
+                assert found.layout == layout
+    lost = spark.createDataFrame([("A", 0, 0.0, 0.0), ("A", 1, 10.0, 10.0), ("A", 2, 0.0, 10.0), ("A", 3, 10.0, 0.0)],
+                                 "well_name string, site_index int, stage_y double, stage_x double")
+    with pytest.raises(Exception, match="layout"):
+        L.detect_layout(lost).collect()

@@ -187,3 +187,25 @@ def test_expand_and_shrink(spark):
     small = LB.expand_or_shrink(rows, -2, grid, 20, 20)
     assert 0 < small.count() < rows.count()
     assert LB.expand_or_shrink(rows, 0, grid, 20, 20) is rows
+
+
+def test_outlines_of_objects_far_inside_large_images(spark):
+    label = np.zeros((120, 90), np.int32)
+    label[70:90, 40:60] = 1
+    place = spark.createDataFrame([(0, 0, 0, 120, 90)], "site_id bigint, offset_y int, offset_x int, height int, width int")
+    ring = T.labels_to_polygons(to_rows(spark, label, "label", keep=lambda v: v > 0), place).first().polygon
+    assert {p.x for p in ring} >= {40.0, 59.0} and {p.y for p in ring} >= {-70.0, -89.0}
+
+
+def test_neighbours_are_those_within_the_distance(spark):
+    rng = np.random.default_rng(5)
+    label = np.zeros((40, 90), np.int32)
+    for k in range(1, 25):
+        y, x = rng.integers(0, 36), rng.integers(0, 86)
+        label[y:y + 3, x:x + 4] = k
+    for distance in (1, 4, 9):
+        got = {(r.label, r.neighbour) for r in LB.neighbour_pairs(to_rows(spark, label, "label", keep=lambda v: v > 0), distance).collect()}
+        points = {k: np.argwhere(label == k) for k in np.unique(label) if k}
+        want = {(a, b) for a in points for b in points if a != b
+                and ((points[a][:, None] - points[b][None]) ** 2).sum(2).min() <= distance ** 2}
+        assert got == want
