@@ -34,7 +34,7 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from siteframe.core import cut_lineage
 from siteframe.llm.common import LOWER, map_texts, small_side
-from siteframe.operators.labels import propagate_labels
+from siteframe.llm.graph import smallest_reachable
 
 SEED = 42
 COVERING_RADIUS = 1
@@ -168,9 +168,7 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     """
     found = cut_lineage(fingerprints(docs, doc_id, text, words))
     nodes = cut_lineage(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    edges = cut_lineage(links(nodes, bits))
-    ends = edges.select(F.explode(F.array("a", "b")).alias("run")).distinct()
-    roots = propagate_labels(ends, edges, []).select(F.col("node").alias("fp"), F.col("label").alias("root"))
+    roots = smallest_reachable(links(nodes, bits)).withColumnRenamed("node", "fp")
     named = nodes.join(roots, "fp")
     firsts = named.groupBy("root").agg(F.min("first").alias("over"))
     moved = small_side(named.select("fp", "root").join(firsts, "root"))
