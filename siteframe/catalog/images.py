@@ -318,7 +318,9 @@ def _(d):
     return lines(P.threshold_adaptive(d.pixels(), "niblack", 5, 0.2, lower=30), "mask")
 
 
-@query("threshold_adaptive_crosscorr")
+@query("threshold_adaptive_crosscorr", f"""WITH {_8BIT}, {mirrored(2, 'p8')}, g AS (SELECT k, exp(-k * k / (2 * 1.1::DOUBLE ** 2)) AS w FROM (SELECT unnest(generate_series(-2, 2)) AS k)),
+    s AS (SELECT site_id, y, x, sum(value * gy.w * gx.w) / (SELECT sum(w) ** 2 FROM g) AS m FROM nb JOIN g gy ON gy.k = dy JOIN g gx ON gx.k = dx GROUP BY 1, 2, 3),
+    m AS (SELECT site_id, y, x, p8.value > round(m) - 2 AS value FROM s JOIN p8 USING (site_id, y, x)) {sql_lines('m')}""")
 def _(d):
     return lines(P.threshold_adaptive(d.pixels(), "crosscorr", 5, 2), "mask")
 
@@ -378,7 +380,9 @@ def _(d):
     return lines(P.smooth(d.pixels(), "gaussian", 1))
 
 
-@query("smooth_bilateral")
+@query("smooth_bilateral", f"""WITH {mirrored(3)}, w AS (SELECT nb.site_id, nb.y, nb.x, nb.value, exp(-(dy * dy + dx * dx) / 8::DOUBLE - (nb.value - p.value) ** 2 / 8::DOUBLE) AS w
+      FROM nb JOIN d_pixels p ON p.site_id = nb.site_id AND p.y = nb.y AND p.x = nb.x WHERE dy * dy + dx * dx <= 9),
+    c AS (SELECT site_id, y, x, floor(sum(w * value) / sum(w) + 1e-9) AS value FROM w GROUP BY 1, 2, 3) {sql_lines('c')}""")
 def _(d):
     return lines(P.smooth(d.pixels(), "bilateral", 2))
 

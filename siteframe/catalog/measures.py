@@ -1,5 +1,7 @@
 """Queries over measurements of objects."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from siteframe.catalog import query
@@ -68,9 +70,29 @@ def _(d):
     return rounded(ME.measure_zernike(d.labels(), 2))
 
 
-@query("measure_zernike_full")
+def _radial_sql(n, m):
+    terms = [((-1) ** k * math.factorial(n - k) // (math.factorial(k) * math.factorial((n + m) // 2 - k) * math.factorial((n - m) // 2 - k)), n - 2 * k)
+             for k in range((n - m) // 2 + 1)]
+    return "(" + " + ".join(f"({c}) * r ** {p}" for c, p in terms) + ")"
+
+
+_ORDERS = [(n, m) for n in range(13) for m in range(n % 2, n + 1, 2)]
+
+
+@query("measure_zernike_full", """WITH b AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx, (max(y) - min(y) + 3) / 2 AS ry, (max(x) - min(x) + 3) / 2 AS rx, count(*) AS n FROM d_labels GROUP BY 1, 2),
+    p AS (SELECT site_id, label, n, (y - cy) / ry AS v, (x - cx) / rx AS u FROM d_labels JOIN b USING (site_id, label)),
+    q AS (SELECT *, sqrt(u * u + v * v) AS r, atan2(v, u) AS t FROM p WHERE sqrt(u * u + v * v) <= 1)
+    SELECT site_id, CAST(label AS INTEGER) AS label, """ + ", ".join(
+    f"round({n + 1} / pi() / any_value(n) * sqrt(sum({_radial_sql(n, m)} * cos({m} * t)) ** 2 + sum({_radial_sql(n, m)} * sin({m} * t)) ** 2) + 3e-8, 6) AS zernike_{n}_{m}"
+    for n, m in _ORDERS) + " FROM q GROUP BY 1, 2")
 def _(d):
-    return rounded(ME.measure_zernike(d.labels(), 12))
+    full = ME.measure_zernike(d.labels(), 12)
+    return full.select("site_id", "label", *[F.round(F.col(f"zernike_{n}_{m}") + 3e-8, 6).alias(f"zernike_{n}_{m}") for n, m in _ORDERS])
+
+
+def _signed(expression):
+    """Values of many magnitudes on a scale that keeps their sign."""
+    return f"round(sign({expression}) * ln(1 + abs({expression}) * 1e18) + 3e-7, 4) + 0"
 
 
 @query("measure_hu", f"""WITH {_OBJ}, c AS (SELECT site_id, label, sum(value)::DOUBLE AS m, sum(value * y) / sum(value) AS cy, sum(value * x) / sum(value) AS cx FROM o GROUP BY 1, 2),
@@ -78,11 +100,15 @@ def _(d):
       sum(value * (y - cy) * (x - cx)) / any_value(m) ** 2 AS n11, sum(value * (y - cy) ** 3) / any_value(m) ** 2.5 AS n30, sum(value * (x - cx) ** 3) / any_value(m) ** 2.5 AS n03,
       sum(value * (y - cy) ** 2 * (x - cx)) / any_value(m) ** 2.5 AS n21, sum(value * (y - cy) * (x - cx) ** 2) / any_value(m) ** 2.5 AS n12 FROM o JOIN c USING (site_id, label) GROUP BY 1, 2)
     SELECT site_id, label, round((n20 + n02) * 1e4, 5) AS hu_0, round(((n20 - n02) ** 2 + 4 * n11 ** 2) * 1e8, 4) AS hu_1,
-      round(((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2) * 1e11, 3) AS hu_2, round(((n30 + n12) ** 2 + (n21 + n03) ** 2) * 1e11, 3) AS hu_3 FROM mu""")
+      round(((n30 - 3 * n12) ** 2 + (3 * n21 - n03) ** 2) * 1e11, 3) AS hu_2, round(((n30 + n12) ** 2 + (n21 + n03) ** 2) * 1e11, 3) AS hu_3,
+      {_signed('p * a * (a * a - 3 * b * b) + q * b * (3 * a * a - b * b)')} AS hu_4, {_signed('(n20 - n02) * (a * a - b * b) + 4 * n11 * a * b')} AS hu_5,
+      {_signed('q * a * (a * a - 3 * b * b) - p * b * (3 * a * a - b * b)')} AS hu_6
+    FROM (SELECT *, n30 + n12 AS a, n21 + n03 AS b, n30 - 3 * n12 AS p, 3 * n21 - n03 AS q FROM mu)""")
 def _(d):
     hu = ME.measure_hu(d.labels(), d.pixels2())
     scale = ((0, 1e4, 5), (1, 1e8, 4), (2, 1e11, 3), (3, 1e11, 3))
-    return hu.select("site_id", "label", *[F.round(F.col(f"hu_{i}") * s, n).alias(f"hu_{i}") for i, s, n in scale])
+    signed = [F.round(F.signum(f"hu_{i}") * F.log(1 + F.abs(f"hu_{i}") * 1e18) + 3e-7, 4).alias(f"hu_{i}") for i in (4, 5, 6)]
+    return hu.select("site_id", "label", *[F.round(F.col(f"hu_{i}") * s, n).alias(f"hu_{i}") for i, s, n in scale], *signed)
 
 
 _HARALICK = ("angular_second_moment", "contrast", "correlation", "sum_of_squares", "inverse_diff_moment", "sum_avg", "sum_var", "sum_entropy", "entropy",
@@ -109,18 +135,43 @@ def _(d):
     return ME.measure_haralick(d.labels(), d.pixels2(), 1).select("site_id", "label", *[F.round(F.col(n) + 3e-8, 5).alias(n) for n in _HARALICK])
 
 
-@query("measure_lbp")
+_AROUND = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+_HOOD = f"""{_OBJ}, h AS (SELECT a.site_id, a.label, a.y, a.x, a.value::DOUBLE AS value, {', '.join(
+    f'coalesce(max(b.value) FILTER (b.y = a.y + ({dy}) AND b.x = a.x + ({dx})), 0)::DOUBLE AS v{i}' for i, (dy, dx) in enumerate(_AROUND))}
+    FROM o a JOIN o b ON b.site_id = a.site_id AND b.label = a.label AND b.y BETWEEN a.y - 1 AND a.y + 1 AND b.x BETWEEN a.x - 1 AND a.x + 1 GROUP BY 1, 2, 3, 4, 5)"""
+
+
+def _point_sql(k):
+    """Value at the k-th of eight points on the unit circle, between the pixels around it."""
+    dy, dx = math.sin(math.pi * k / 4), math.cos(math.pi * k / 4)
+    y0, x0 = math.floor(round(dy, 9)), math.floor(round(dx, 9))
+    fy, fx = round(dy - y0, 9), round(dx - x0, 9)
+    parts = []
+    for yy, wy in ((y0, 1 - fy), (y0 + 1, fy)):
+        for xx, wx in ((x0, 1 - fx), (x0 + 1, fx)):
+            if wy * wx > 0:
+                parts.append(f"{'value' if (yy, xx) == (0, 0) else f'v{_AROUND.index((yy, xx))}'} * {wy * wx!r}::DOUBLE")
+    return " + ".join(parts)
+
+
+@query("measure_lbp", f"""WITH {_HOOD}, c AS (SELECT site_id, label, {' + '.join(f'CASE WHEN {_point_sql(k)} >= value THEN {1 << k} ELSE 0 END' for k in range(8))} AS c FROM h),
+    r AS (SELECT site_id, label, least({', '.join(f'((c >> {r}) | (c << {8 - r})) & 255' for r in range(8))}) AS c FROM c)
+    SELECT site_id, label, {', '.join(f'count(*) FILTER (c = {c}) AS lbp_{i}' for i, c in enumerate(ME.lbp_codes()))} FROM r GROUP BY 1, 2""")
 def _(d):
     return ME.measure_lbp(d.labels(), d.pixels2(), 1)
 
 
-@query("measure_tas", f"""WITH {_OBJ}, lv AS (SELECT site_id, label, coalesce(avg(value) FILTER (value > 50), 0) AS mu FROM o GROUP BY 1, 2),
-    m AS (SELECT o.*, o.value > lv.mu AS hit FROM o JOIN lv USING (site_id, label)),
-    n AS (SELECT a.site_id, a.label, a.y, a.x, count(b.y) AS k FROM m a LEFT JOIN m b ON b.site_id = a.site_id AND b.label = a.label AND b.hit AND b.y BETWEEN a.y - 1 AND a.y + 1
-      AND b.x BETWEEN a.x - 1 AND a.x + 1 AND (b.y <> a.y OR b.x <> a.x) WHERE a.hit GROUP BY 1, 2, 3, 4)
-    SELECT site_id, label, 'mu' AS name, {', '.join(f'round(count(*) FILTER (k = {b}) / count(*), 8) AS tas_{b}' for b in range(9))} FROM n GROUP BY 1, 2""")
+_MASKS = {"center": "({0} > mu - sd AND {0} < mu + sd)", "n_center": "NOT ({0} > mu - sd AND {0} < mu + sd)", "mu_margin": "({0} > mu - sd)",
+          "n_mu_margin": "NOT ({0} > mu - sd)", "mu": "({0} > mu)", "n_mu": "NOT ({0} > mu)"}
+
+
+@query("measure_tas", f"""WITH {_HOOD}, lv AS (SELECT site_id, label, coalesce(avg(value) FILTER (value > 50), 0) AS mu, coalesce(stddev_pop(value) FILTER (value > 50), 0) AS sd FROM h GROUP BY 1, 2),
+    m AS (SELECT h.*, mu, sd FROM h JOIN lv USING (site_id, label)),
+    n AS ({' UNION ALL '.join(f"SELECT site_id, label, '{name}' AS name, " + ' + '.join('(' + mask.format(f'v{i}') + ')::INT' for i in range(8)) + f" AS k FROM m WHERE {mask.format('value')}"
+                             for name, mask in _MASKS.items())})
+    SELECT site_id, label, name, {', '.join(f'round(count(*) FILTER (k = {b}) / count(*), 8) AS tas_{b}' for b in range(9))} FROM n GROUP BY 1, 2, 3""")
 def _(d):
-    return rounded(ME.measure_tas(d.labels(), d.pixels2(), 50).filter("name = 'mu'"), 8)
+    return rounded(ME.measure_tas(d.labels(), d.pixels2(), 50), 8)
 
 
 @query("measure_gabor", f"""WITH {_OBJ}, s AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx, count(*) AS n, sum(value) AS v, sqrt(count(*) / pi()) / 3 AS sg FROM o GROUP BY 1, 2),
@@ -162,15 +213,17 @@ def disk_points(d):
     ar AS (SELECT site_id, label, count(*) AS area FROM d_labels GROUP BY 1, 2),
     bg AS (SELECT site_id, y, x FROM d_pixels WHERE value < 120),
     bd AS (SELECT pt.site_id, point_id, min((pt.y - bg.y) ** 2 + (pt.x - bg.x) ** 2) AS b FROM pt JOIN bg ON bg.site_id = pt.site_id AND bg.y BETWEEN pt.y - 8 AND pt.y + 8 AND bg.x BETWEEN pt.x - 8 AND pt.x + 8 GROUP BY 1, 2),
-    nn AS (SELECT a.site_id, a.point_id, a.label, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS n, avg(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS m FROM pt a LEFT JOIN pt b
+    nn AS (SELECT a.site_id, a.point_id, a.label, min(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS n, avg(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS m, stddev_pop(sqrt((a.y - b.y) ** 2 + (a.x - b.x) ** 2)) AS sd FROM pt a LEFT JOIN pt b
       ON b.site_id = a.site_id AND b.label = a.label AND b.point_id <> a.point_id GROUP BY 1, 2, 3)
     SELECT nn.site_id, nn.point_id, b::DOUBLE AS absolute_distance_to_border, round(b / area, 6) AS relative_distance_to_border,
       coalesce(round(n, 6), {NAN}) AS absolute_distance_to_nearest_neighbor, coalesce(round(n / area, 6), {NAN}) AS relative_distance_to_nearest_neighbor,
-      coalesce(round(m, 6), {NAN}) AS absolute_mean_distance_to_neighbors, coalesce(round(m / area, 6), {NAN}) AS relative_mean_distance_to_neighbors
+      coalesce(round(m, 6), {NAN}) AS absolute_mean_distance_to_neighbors, coalesce(round(m / area, 6), {NAN}) AS relative_mean_distance_to_neighbors,
+      coalesce(round(sd + 3e-7, 4), {NAN}) AS absolute_std_distance_to_neighbors, coalesce(round(sd / area + 3e-7, 4), {NAN}) AS relative_std_distance_to_neighbors
     FROM nn JOIN bd USING (site_id, point_id) JOIN ar ON ar.site_id = nn.site_id AND ar.label = nn.label""")
 def _(d):
-    out = rounded(ME.measure_point_pattern(disk_points(d).drop("parent"), d.labels()))
-    return out.drop("absolute_std_distance_to_neighbors", "relative_std_distance_to_neighbors")
+    out = ME.measure_point_pattern(disk_points(d).drop("parent"), d.labels())
+    std = ("absolute_std_distance_to_neighbors", "relative_std_distance_to_neighbors")
+    return rounded(out.withColumns({c: F.round(F.col(c) + 3e-7, 4) for c in std}), 6, ("site_id", "point_id", "label", *std))
 
 
 @query("neighbour_fractions", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(count(*) FILTER (d < 10) / nullif(count(d), 0), 8), {NAN}) AS fraction_0,
@@ -204,11 +257,11 @@ def _(d):
       JOIN h b ON b.site_id = a.site_id AND b.label = a.label AND b.y = a.y + 1 AND b.x = a.x JOIN h c ON c.site_id = a.site_id AND c.label = a.label AND c.y = a.y AND c.x = a.x + 1
       JOIN h d ON d.site_id = a.site_id AND d.label = a.label AND d.y = a.y + 1 AND d.x = a.x + 1 GROUP BY 1, 2)
     SELECT site_id, label, round(max(value) * 0.25::DOUBLE, 6) AS max_height, round(avg(value) * 0.25::DOUBLE, 6) AS mean_height, round(sum(value) * (0.1625 * 0.1625 * 0.25 / 1000)::DOUBLE, 11) AS volume_pl,
-      round(count(*) * 0.02640625::DOUBLE, 6) AS lower_surface_area, round(any_value(up)::DOUBLE, 4) AS upper_surface_area FROM h JOIN s USING (site_id, label) GROUP BY 1, 2""")
+      round(count(*) * 0.02640625::DOUBLE, 6) AS lower_surface_area, round(any_value(up)::DOUBLE, 4) AS upper_surface_area, round(any_value(up)::DOUBLE + count(*) * 0.02640625::DOUBLE + 3e-7, 4) AS total_surface_area FROM h JOIN s USING (site_id, label) GROUP BY 1, 2""")
 def _(d):
     out = ME.measure_volume(d.labels(), d.pixels2().withColumnRenamed("value", "height"))
-    return rounded(out.drop("total_surface_area").withColumns({"upper_surface_area": F.round("upper_surface_area", 4),
-                   "volume_pl": F.round("volume_pl", 11)}), 6, ("site_id", "label", "upper_surface_area", "volume_pl"))
+    return rounded(out.withColumns({"upper_surface_area": F.round("upper_surface_area", 4), "total_surface_area": F.round(F.col("total_surface_area") + 3e-7, 4),
+                   "volume_pl": F.round("volume_pl", 11)}), 6, ("site_id", "label", "upper_surface_area", "total_surface_area", "volume_pl"))
 
 
 @query("order_contour", """WITH c AS (SELECT site_id, label, avg(y) AS cy, avg(x) AS cx FROM d_labels GROUP BY 1, 2),

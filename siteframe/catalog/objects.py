@@ -291,7 +291,8 @@ def _(d):
       CASE WHEN count(v.parent) = 0 THEN {NAN} ELSE round(stddev_pop(f4), 4) END AS "Std_f4",
       CASE WHEN count(v.parent) = 0 THEN {NAN} ELSE round(sum(f4), 4) END AS "Sum_f4",
       coalesce(round(avg(f6) FILTER (NOT isnan(f6)), 6), {NAN}) AS "Mean_f6",
-      CASE WHEN count(v.parent) = 0 THEN {NAN} ELSE coalesce(round(sum(f6) FILTER (NOT isnan(f6)), 6), 0) END AS "Sum_f6"
+      CASE WHEN count(v.parent) = 0 THEN {NAN} ELSE coalesce(round(sum(f6) FILTER (NOT isnan(f6)), 6), 0) END AS "Sum_f6",
+      coalesce(round(stddev_pop(f6) FILTER (NOT isnan(f6)) + 3e-7, 4), {NAN}) AS "Std_f6"
     FROM d_cells c LEFT JOIN v ON v.parent = c.id GROUP BY c.partition_key, c.id""")
 def _(d):
     children = (R.feature_matrix(d.spot_values(), SPOT).filter("f3 > 60")
@@ -301,7 +302,7 @@ def _(d):
     out = A.extract_aggregate(parents, assignment.join(children, ["site_id", "child"], "left_semi"),
                               children, ["site_id"], ["f4", "f6"])
     return out.select("site_id", "parent", "Count", *[F.round(c, 4).alias(c) for c in ("Mean_f4", "Std_f4", "Sum_f4")],
-                      F.round("Mean_f6", 6).alias("Mean_f6"), F.round("Sum_f6", 6).alias("Sum_f6"))
+                      F.round("Mean_f6", 6).alias("Mean_f6"), F.round("Sum_f6", 6).alias("Sum_f6"), F.round(F.col("Std_f6") + 3e-7, 4).alias("Std_f6"))
 
 
 @query("labels_without_features", """SELECT s.partition_key AS site_id, s.id AS child, s.ref_id AS parent
