@@ -45,6 +45,8 @@ PART_WORDS = frozenset(
 #: Of these, those that also tell of an article that it is none; and words in front that negate.
 NO_ARTICLE = frozenset("comment comments reply replies related ad ads advert promo sponsored".split())
 NEGATING = frozenset("no has with without".split())
+#: Words that tell wherever they stand in a mark; the others do as its first or last word.
+STRONG = frozenset("comment comments advert adverts advertisement sponsored cookie cookies consent gdpr newsletter disqus navbar breadcrumb breadcrumbs".split())
 #: Elements that hold lines and not other elements; regions are elements around them.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre".split())
 _PART = re.compile(r"[a-z]+")
@@ -68,10 +70,10 @@ def names_part(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     values = dict(attrs)
     if (values.get("role") or "").strip().lower() in ROLES or "hidden" in values or values.get("aria-hidden") == "true":
         return True
-    telling = NO_ARTICLE if tag in MAIN else PART_WORDS
+    telling = NO_ARTICLE if tag in MAIN or tag in INLINE else PART_WORDS
     for mark in f"{values.get('class') or ''} {values.get('id') or ''}".split():
         words = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", mark).lower())
-        if words and words[0] not in NEGATING and (words[0] in telling or words[-1] in telling):
+        if words and words[0] not in NEGATING and (words[0] in telling or words[-1] in telling or not telling.isdisjoint(STRONG.intersection(words))):
             return True
     return False
 
@@ -110,8 +112,7 @@ class Lines(HTMLParser):
         while self.open and self.open[-1][0] in closes:
             self._pop()
         inner = tag == "header" and self.main > 0  # the heading of an article
-        hides = tag in SILENT or (tag in OUTSIDE and not inner) or (
-            tag not in INLINE and tag not in ("html", "body") and not inner and names_part(tag, attrs))
+        hides = tag in SILENT or (tag in OUTSIDE and not inner) or (tag not in ("html", "body") and not inner and names_part(tag, attrs))
         main = tag in MAIN and not hides and not self.hidden
         # Inside a main part there are no smaller regions.
         region = 0

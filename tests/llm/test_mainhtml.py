@@ -28,6 +28,7 @@ def test_small_cases():
     assert mainhtml.main_text("<article><p>a<p>b</article") == "a b"
     assert mainhtml.main_text("<div hidden>x</div><main>y</main>") == "y"
     assert mainhtml.main_text("<p>&#x41;&eacute;&unknown;</p>") == "Aé&unknown;"
+    assert mainhtml.main_text("<article>a <span class='ad'>buy</span><b>b</b><div class='user-comments-list'>c</div></article>") == "a b"
     assert mainhtml.main_text("<div class='no-sidebar has-ads'>" + LONG + "</div>") == LONG
     assert mainhtml.main_text("<p>a</p>" * 20_000).count("a") == 20_000
 
