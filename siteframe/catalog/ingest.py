@@ -209,6 +209,20 @@ def _(d):
     return C.configure_metadata(names, IMAGE, positions=positions).select("name", "well_name", "grid_y", "grid_x")
 
 
+@query("configure_metadata_ome", """WITH f AS (SELECT DISTINCT name FROM d_files WHERE name LIKE 'p\\_%' ESCAPE '\\'),
+    p AS (SELECT name, substr(name, 3, 3) AS well_name, CAST(regexp_extract(name, 'F(\\d+)L', 1) AS INTEGER) AS site FROM f),
+    g AS (SELECT *, site - min(site) OVER (PARTITION BY well_name) AS i, CASE WHEN site % 3 = 0 THEN 'DAPI' ELSE regexp_extract(name, '(C\\d{2})\\.', 1) END AS channel FROM p)
+    SELECT name, well_name, channel, CAST(i // 3 AS INTEGER) AS grid_y, CAST(i % 3 AS INTEGER) AS grid_x FROM g""")
+def _(d):
+    # Files of every third site tell their channel; no position is known for the last ones, so that the layout counts.
+    names = d.files().select("name").filter(F.col("name").startswith("p_")).distinct()
+    site = SF.parse_file_names(names, IMAGE)
+    ome = site.filter("site % 3 = 0").select("name", F.lit(None).cast("string").alias("well_name"), F.lit("DAPI").alias("channel"),
+                                             F.lit(None).cast("int").alias("zplane"), F.lit(None).cast("int").alias("tpoint"), "site")
+    positions = site.filter("site < 9").selectExpr("name", "well_name", "0.0D AS stage_y", "0.0D AS stage_x")
+    return C.configure_metadata(names, IMAGE, positions=positions, n_rows=3, n_cols=3, ome=ome).select("name", "well_name", "channel", "grid_y", "grid_x")
+
+
 @query("group_stacks", """WITH f AS (SELECT DISTINCT name, substr(name, 3, 3) AS well_name, regexp_extract(name, 'F(\\d+)L', 1) AS site,
       CAST(regexp_extract(name, '_T(\\d+)F', 1) AS INTEGER) AS tpoint, regexp_extract(name, '(C\\d{2})\\.', 1) AS channel
       FROM d_files WHERE name LIKE 'p\\_%' ESCAPE '\\')

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from siteframe.catalog import query
-from siteframe.catalog.images import lines
+from siteframe.catalog.images import lines, two_channels
 from siteframe.catalog.layout import LAYOUT, offsets
 from siteframe.catalog.objects import label_values
 from siteframe.functions import geometry as G
@@ -34,6 +34,18 @@ def _(d):
         F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * (F.col("x") % 256)).alias("weighted"))
 
 
+@query("build_base_tiles_bounds", f"""WITH {LAYOUT}, px AS (SELECT 0 AS channel_id, * FROM d_pixels UNION ALL SELECT 1, * FROM d_pixels2),
+    b AS (SELECT channel_id, min(value) AS lo, greatest(max(value) // 2, min(value) + 255) AS hi FROM px GROUP BY 1),
+    base AS (SELECT channel_id, y + offset_y AS y, CASE WHEN v >= hi THEN 255 ELSE floor((v - lo) * 255 / greatest(hi - lo - 1, 1)) END AS value
+      FROM (SELECT px.*, lo, hi, greatest(least(value, hi), lo) AS v FROM px JOIN b USING (channel_id)) JOIN so USING (site_id))
+    SELECT channel_id, CAST(y AS BIGINT) AS y, count(*) AS n, CAST(sum(value) AS BIGINT) AS total FROM base GROUP BY 1, 2""")
+def _(d):
+    px = two_channels(d)
+    bounds = px.groupBy("channel_id").agg(F.min("value").alias("min_intensity"), F.greatest(F.expr("max(value) DIV 2"), F.min("value") + 255).cast("int").alias("max_intensity"))
+    base = T.build_base_tiles(px, offsets(d), bounds=bounds)
+    return base.groupBy("channel_id", F.col("y").cast("long").alias("y")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
 @query("pack_tiles", f"WITH {_BASE} SELECT y // 256 AS tile_y, x // 256 AS tile_x, CAST(count(*) AS INTEGER) AS n, CAST(min((y % 256) * 256 + x % 256) AS INTEGER) AS first_place, CAST(sum(value) AS BIGINT) AS total FROM base GROUP BY 1, 2")
 def _(d):
     return T.pack_tiles(base_pixels(d)).select(

@@ -9,6 +9,7 @@ from siteframe.catalog.objects import label_values
 from siteframe.core import shared_folder
 from siteframe.functions.scalars import IMAGE_PATTERNS, METADATA_PATTERNS
 from siteframe.operators import analysis as AN
+from siteframe.operators import mutate as MU
 from siteframe.operators import relational as R
 from siteframe.plans import modules as MO
 from siteframe.streaming import incremental as INC
@@ -21,6 +22,29 @@ def _(d):
     return out.select("name", a["min"].alias("min"), a["max"].alias("max"), a["feature_id"].alias("feature_id"))
 
 
+@query("run_tool", """SELECT 'spots' AS name, min(f3) AS min, max(f3) AS max FROM d_spot_values WHERE NOT isnan(f3)""")
+def _(d):
+    out = MO.run_tool("Heatmap", d.spot_values(), feature_id=3, result_name="spots")
+    a = F.from_json("attributes", "feature_id string, min double, max double")
+    return out.select("name", a["min"].alias("min"), a["max"].alias("max"))
+
+
+@query("write_table", "SELECT partition_key, mapobject_id, f1 FROM d_cell_values")
+def _(d):
+    target = f"{shared_folder(d.spark)}/table-{uuid.uuid4().hex}"
+    values = d.cell_values().select("partition_key", "mapobject_id", F.col("values")["1"].alias("f1"))
+    MU.write_table(values.filter("mapobject_id % 2 = 0"), target, buckets=8)
+    MU.write_table(values.filter("mapobject_id % 2 = 1"), target, buckets=8)
+    return d.spark.read.parquet(target).select("partition_key", "mapobject_id", "f1")
+
+
+@query("reset_outputs", "SELECT 'cells' AS name, count(*) AS n FROM d_cells UNION ALL SELECT 'values', 0")
+def _(d):
+    tables = MU.reset_outputs({"cells": d.cells(), "values": d.cell_values()}, ["values"])
+    counts = [t.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("name"), "n") for n, t in tables.items()]
+    return counts[0].unionByName(counts[1])
+
+
 @query("robust_scale", """WITH b AS (SELECT quantile_cont(f3, [0.01, 0.5, 0.99]) AS q3, quantile_cont(f4, [0.01, 0.5, 0.99]) AS q4 FROM d_spot_values)
     SELECT mapobject_id, round((f3 - q3[2]) / (q3[3] - q3[1]), 8) AS f3, round((f4 - q4[2]) / (q4[3] - q4[1]), 8) AS f4 FROM d_spot_values, b""")
 def _(d):

@@ -132,14 +132,18 @@ def correct_selected(px: DataFrame, stats: DataFrame, skip_channels: Sequence[in
     return correct_illumination(px.filter(~skip), stats).unionByName(px.filter(skip))
 
 
-def layer_bounds(percentiles: DataFrame, clip_percent: float = 99.9, bit_depth: int = 16) -> DataFrame:
-    """Lower and upper display bound of each channel, at least 255 levels apart."""
+def layer_bounds(percentiles: DataFrame, clip_percent: float = 99.9, bit_depth: int = 16,
+                 clip_value: int | None = None, clip: bool = True) -> DataFrame:
+    """Lower and upper display bound of each channel, at least 255 levels apart: the
+    given percentile, or a fixed value, or without clipping the range of the type."""
     channel = [k for k in ("channel_id",) if k in percentiles.columns]
+    if not clip:
+        return percentiles.select(*channel).distinct().withColumns({"min_intensity": F.lit(0), "max_intensity": F.lit(2 ** bit_depth - 1)})
 
     def closest(q):
         return F.min_by("value", F.struct(F.abs(F.col("q") - q), F.col("q")))
 
-    out = percentiles.groupBy(*channel).agg(closest(0.001).alias("min_intensity"), closest(clip_percent).alias("_max"))
+    out = percentiles.groupBy(*channel).agg(closest(0.001).alias("min_intensity"), (closest(clip_percent) if clip_value is None else F.lit(clip_value)).alias("_max"))
     floor_ = F.lit(255) if bit_depth == 8 else F.col("min_intensity") + 255
     return out.withColumn("max_intensity", F.greatest("_max", floor_)).drop("_max")
 

@@ -19,8 +19,11 @@ TILE = 256
 
 def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None, upper: int | None = None,
                      stats: DataFrame | None = None, shifts: DataFrame | None = None,
-                     residues: DataFrame | None = None, skip_correction: tuple[int, ...] = ()) -> DataFrame:
+                     residues: DataFrame | None = None, skip_correction: tuple[int, ...] = (),
+                     bounds: DataFrame | None = None) -> DataFrame:
     """Pixels of the base level of each layer at their place on the map, in 8 bit.
+    `bounds` has the display bounds of each layer (see `pixels.layer_bounds`); `lower`
+    and `upper` are bounds for all of them.
 
     Images are corrected, aligned without cropping and scaled before they are
     placed. Where images overlap, the lower or right one lies on top.
@@ -29,7 +32,11 @@ def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None,
         px = P.correct_selected(px, stats, skip_correction) if skip_correction else P.correct_illumination(px, stats)
     if shifts is not None:
         px = P.align(px, shifts, residues, crop=False)
-    if lower is not None and upper is not None:
+    if bounds is not None:
+        on = [c for c in ("channel_id", "cycle_id") if c in bounds.columns and c in px.columns]
+        px = (px.join(bounds, on) if on else px.join(F.broadcast(bounds))).withColumn("value", scale_to_byte(
+            F.greatest(F.least("value", "max_intensity"), "min_intensity"), F.col("min_intensity"), F.col("max_intensity"))).drop("min_intensity", "max_intensity")
+    elif lower is not None and upper is not None:
         px = P.clip(px, lower, upper).withColumn("value", scale_to_byte("value", F.lit(lower), F.lit(upper)))
     layer = [k for k in image_keys(px) if k != "site_id"]
     placed = px.join(sites.select("site_id", "offset_y", "offset_x", "site_y", "site_x"), "site_id").select(

@@ -21,13 +21,38 @@ def file_maps(planes: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.col("name").alias("file"), F.lit(0).alias("series"), F.lit(0).alias("plane"))).alias("file_map"))
 
 
+FIELDS = ("well_name", "channel", "zplane", "tpoint", "site")
+
+
+def plane_fields(files: DataFrame, pattern: str, ome: DataFrame | None = None) -> DataFrame:
+    """Well, channel, z plane, time point and site of each file: as embedded in the
+    file (`ome`, null where it tells nothing), else from its name. A name is only
+    parsed where something is missing; what both lack is an error."""
+    names = files.select("name").distinct()
+    if ome is None:
+        return parse_file_names(names, pattern)
+    known = names.join(ome.select("name", *FIELDS).dropDuplicates(["name"]), "name", "left")
+    complete = F.lit(True)
+    for c in FIELDS:
+        complete = complete & F.col(c).isNotNull()
+    partial = known.filter(~complete)
+    parsed = parse_file_names(partial.select("name"), pattern).select("name", *[F.col(c).alias(f"_{c}") for c in FIELDS])
+    filled = partial.join(parsed, "name").select("name", *[F.coalesce(c, f"_{c}").alias(c) for c in FIELDS])
+    return known.filter(complete).select("name", *FIELDS).unionByName(filled)
+
+
 def configure_metadata(files: DataFrame, pattern: str, positions: DataFrame | None = None,
                        n_rows: int | None = None, n_cols: int | None = None,
                        layout: str = "horizontal", tolerance: float = 1.0,
-                       stack: bool = False) -> DataFrame:
-    """Fields come from file names; grid coordinates from stage positions when a
-    metadata reader delivered them, otherwise from the stated acquisition layout."""
-    fields = parse_file_names(files.select("name").distinct(), pattern)
+                       stack: bool = False, ome: DataFrame | None = None) -> DataFrame:
+    """Fields come from embedded metadata and file names; grid coordinates from stage
+    positions when a metadata reader delivered them for all files, otherwise from the
+    stated acquisition layout."""
+    fields = plane_fields(files, pattern, ome)
+    if positions is not None and n_rows is not None:
+        placed = positions.filter(F.col("stage_y").isNotNull() & F.col("stage_x").isNotNull())
+        if not fields.join(placed, "name", "left_anti").isEmpty():
+            positions = None
     if positions is not None:
         grid = L.grid_from_positions(positions.select("name", "well_name", "stage_y", "stage_x"), tolerance)
         planes = fields.drop("well_name").join(grid.drop("stage_y", "stage_x"), "name")

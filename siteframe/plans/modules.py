@@ -14,14 +14,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteframe.core import image_keys
+from siteframe.operators import analysis as AN
 from siteframe.operators import labels as LB
 from siteframe.operators import measure as ME
 from siteframe.operators import pixels as P
+from siteframe.operators import segment as SG
 from siteframe.operators.mutate import assign_object_ids
 
-# Columns every handle type must bring along besides the image keys.
-HANDLES = {"IntensityImage": {"y", "x", "value"}, "MaskImage": {"y", "x", "mask"}, "LabelImage": {"y", "x", "label"},
-           "BinaryImage": {"y", "x", "mask"}, "SegmentedObjects": {"y", "x", "label"}, "Measurement": {"label"}}
+# Columns every handle type must bring along besides the image keys, and their kinds.
+WHOLE = ("tinyint", "smallint", "int", "bigint")
+HANDLES = {"IntensityImage": {"y": WHOLE, "x": WHOLE, "value": (*WHOLE, "float", "double")}, "MaskImage": {"y": WHOLE, "x": WHOLE, "mask": ("boolean",)},
+           "LabelImage": {"y": WHOLE, "x": WHOLE, "label": WHOLE}, "BinaryImage": {"y": WHOLE, "x": WHOLE, "mask": ("boolean",)},
+           "SegmentedObjects": {"y": WHOLE, "x": WHOLE, "label": WHOLE}, "Measurement": {"label": WHOLE}}
+# Handles of settings and the Python types they take.
+SETTINGS = {"Boolean": bool, "Numeric": (int, float), "Character": str, "Sequence": (list, tuple), "Set": (set, frozenset)}
 
 MODULES: dict[str, Callable[..., DataFrame]] = {}
 TOOLS: dict[str, Callable[..., DataFrame]] = {}
@@ -47,14 +53,36 @@ for _name, _fn in {"smooth": P.smooth, "threshold_manual": P.threshold_manual, "
                    "register_objects": LB.register_objects, "fill": LB.fill_holes, "invert": P.invert,
                    "rescale": P.rescale, "project": P.project, "combine_channels": P.combine_channels,
                    "combine_masks": P.combine_masks, "relabel": LB.relabel, "filter": LB.filter_objects,
-                   "measure_intensity": ME.measure_intensity, "measure_morphology": ME.measure_morphology}.items():
+                   "measure_intensity": ME.measure_intensity, "measure_morphology": ME.measure_morphology,
+                   "separate_clumps": SG.separate_clumps, "segment_secondary": SG.segment_secondary, "detect_blobs": SG.detect_blobs,
+                   "deblend": SG.deblend, "expand_or_shrink": LB.expand_or_shrink, "measure_neighbours": LB.measure_neighbours,
+                   "measure_texture": ME.measure_texture, "measure_zernike": ME.measure_zernike}.items():
     MODULES[_name] = _fn
 
+for _name, _fn in {"Heatmap": AN.heatmap, "Clustering": AN.cluster, "Classification": AN.classify}.items():
+    TOOLS[_name] = _fn
 
-def check_handle(kind: str, df: DataFrame, name: str) -> None:
-    missing = HANDLES[kind] - set(df.columns)
+
+def run_tool(name: str, *tables: DataFrame, **payload) -> DataFrame:
+    """Answer a request for a registered tool; an unknown tool is an error."""
+    if name not in TOOLS:
+        raise ValueError(f"unknown tool: {name}")
+    return TOOLS[name](*tables, **payload)
+
+
+def check_handle(kind: str, value: object, name: str) -> None:
+    """Raise ``TypeError`` unless the value fits the handle type."""
+    if kind in SETTINGS:
+        if not isinstance(value, SETTINGS[kind]) or (kind == "Numeric" and isinstance(value, bool)):
+            raise TypeError(f'"{name}" is not a {kind}: {type(value).__name__}')
+        return
+    types = dict(value.dtypes)
+    missing = set(HANDLES[kind]) - set(types)
     if missing:
         raise TypeError(f'"{name}" is not a {kind}: missing {sorted(missing)}')
+    for column, allowed in HANDLES[kind].items():
+        if types[column] not in allowed:
+            raise TypeError(f'"{name}" is not a {kind}: {column} is {types[column]}')
 
 
 @dataclass(frozen=True)
@@ -81,6 +109,9 @@ def run_steps(steps: Sequence[Step], store: Mapping[str, DataFrame]) -> dict[str
                 raise KeyError(f'module "{step.module}" needs "{key}", which no earlier step makes')
             if argument in step.kinds:
                 check_handle(step.kinds[argument], store[key], key)
+        for argument, value in step.settings.items():
+            if argument in step.kinds:
+                check_handle(step.kinds[argument], value, argument)
         store[step.output] = MODULES[step.module](**{a: store[k] for a, k in step.inputs.items()}, **step.settings)
     return store
 
@@ -100,7 +131,7 @@ def extract_features(labels: DataFrame, px: DataFrame, name: str, schema: str) -
     types = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
     full = ", ".join([f"{k} {types[k]}" for k in keys] + [f"label {types['label']}", schema])
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         done = []
         for label, part in pdf.groupby("label", sort=False):
             row = fn(part)

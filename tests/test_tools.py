@@ -98,3 +98,15 @@ def test_flagship_runs(spark):
     import __spark_entry__ as entry
     df = entry.entry(spark)
     assert df.count() > 0 and "Intensity_mean_DNA" in df.columns
+
+
+def test_handles_are_checked(spark):
+    image = to_rows(spark, np.ones((2, 2), np.int32))
+    MO.check_handle("IntensityImage", image, "a")
+    for kind, value in (("MaskImage", image), ("LabelImage", image), ("Boolean", 1), ("Numeric", True), ("Character", 3), ("Sequence", "a"), ("Set", [1])):
+        with pytest.raises(TypeError):
+            MO.check_handle(kind, value, "a")
+    for kind, value in (("Boolean", True), ("Numeric", 0.5), ("Character", "a"), ("Sequence", (1, 2)), ("Set", {1})):
+        MO.check_handle(kind, value, "a")
+    with pytest.raises(ValueError):
+        MO.run_tool("none")
