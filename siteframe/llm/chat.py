@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
+from siteframe.llm.common import prepare
+
 #: The template. In texts and roles, the begin of a control string, <|, is written as <\\|.
 TURN, TEXT_BEGIN, TURN_END, LOSS_BEGIN, LOSS_END = "<|turn|>", "<|text|>", "<|end|>", "<|loss|>", "<|/loss|>"
 PLACEHOLDER = "<|{kind}:{number}|>"
@@ -155,14 +157,13 @@ def format_turns(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 1000):
-                piece = batch.slice(start, 1000)
-                made = [format_turn(role, parts or []) for role, parts in zip(piece.column(2).to_pylist(), piece.column(3).to_pylist(), strict=True)]
-                found = [[{"kind": k, "ref": r, "tokens": n} for k, r, n in a] for _, a in made]
-                yield pa.RecordBatch.from_arrays(
-                    [piece.column(0), piece.column(1), pa.array([f for f, _ in made], arrow.field(2).type), pa.array(found, arrow.field(3).type),
-                     pa.array([sum(n for _, _, n in a) for _, a in made], pa.int64())], schema=arrow)
+            made = [format_turn(role, parts or []) for role, parts in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            found = [[{"kind": k, "ref": r, "tokens": n} for k, r, n in a] for _, a in made]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array([f for f, _ in made], arrow.field(2).type), pa.array(found, arrow.field(3).type),
+                 pa.array([sum(n for _, _, n in a) for _, a in made], pa.int64())], schema=arrow)
 
+    prepare(rows.sparkSession)
     return source.mapInArrow(run, TURNS)
 
 

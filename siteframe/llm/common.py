@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
@@ -22,9 +22,20 @@ BROADCAST_ROWS = 400_000
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
+#: Rows that Spark hands to a Python worker at once, where the session allows more: texts may be long.
+BATCH_ROWS = 512
+
 TEXT = "__text"
 
 
+def prepare(spark: SparkSession) -> None:
+    """Workers know this package and get texts in small batches."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def lower_az(text: Column) -> Column:
     return F.translate(text, UPPER_AZ, LOWER_AZ)
 
@@ -63,7 +74,7 @@ def map_texts(df: DataFrame, text: str, schema: StructType, fn: Callable[[list],
                 columns.append(values if isinstance(values, pa.Array) else pa.array(values, arrow.field(i).type))
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    ship(df.sparkSession)
+    prepare(df.sparkSession)
     return source.mapInArrow(run, out)
 
 

@@ -27,7 +27,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from siteframe.core import shared_folder
-from siteframe.llm.common import CHUNK_BYTES, small_side
+from siteframe.llm.common import CHUNK_BYTES, prepare, small_side
 
 ARCHIVE_BYTES = 8 << 20
 LEVEL = 1
@@ -192,6 +192,7 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", uri: s
     responses (each of them, if rows repeat that id), the others revisit it; rows without id are responses.
     An empty table writes no archive. Payloads are not shuffled unless there are more revisits than fit a broadcast.
     """
+    prepare(pages.sparkSession)
     revisits = small_side(roles(pages, page_id, payload)).select(F.col("page_id").alias("__id"), F.col("sha").alias("__sha"), "refers_to")
     rows = pages.select(F.col(page_id).cast("long").alias("id"), F.coalesce(F.col(uri).cast("string"), F.lit("")).alias("uri"),
                         F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"), _sha(F.col(payload)).alias("sha"))
@@ -246,6 +247,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         rows, held = [], 0
                 yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
+    prepare(spark)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "content").mapInArrow(run, READ)
 
