@@ -190,16 +190,18 @@ def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wor
     that share this as well, the first in the order of the other columns. Rows without doc_id
     stay only where nothing in their component has one.
     """
-    each = (components(docs, doc_id, text, words, bits).groupBy("component", "doc_id", "text_hash")
-            .agg(F.count(F.lit(1)).alias("n")))
-    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    best = each.groupBy("component").agg(F.min(F.struct(key.alias("k"), "n")).alias("b"))
-    marked = cut_lineage(each.join(best, "component").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n", (key == F.col("b.k")).alias("stays")))
+    each = cut_lineage(components(docs, doc_id, text, words, bits).groupBy("component", "component_id", "doc_id", "text_hash")
+                       .agg(F.count(F.lit(1)).alias("n")))
+    # Only rows with the smallest doc_id are compared: one or a few of each component, however large it is.
+    is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    first = each.filter(is_first)
+    best = cut_lineage(first.groupBy("component").agg(F.min(F.struct("text_hash", "n", "doc_id")).alias("b")).select("component", "b.*"))
+    more = first.join(best.select("component", "text_hash"), ["component", "text_hash"], "left_anti")
+    named = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
     of_row = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text)) == F.col("__hash"))
-    gone = small_side(marked.filter("not stays").select("__id", "__hash"))
+    gone = small_side(each.filter(~is_first).select(*named).unionByName(more.select(*named)))
     kept = docs.join(gone, of_row, "left_anti")
-    repeated = marked.filter("stays and n > 1").select("__id", "__hash")
+    repeated = best.filter("n > 1").select(*named)
     if repeated.isEmpty():
         return kept
     repeated = small_side(repeated)
