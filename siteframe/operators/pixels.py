@@ -475,7 +475,7 @@ def _mixture_levels(px: DataFrame) -> DataFrame:
         means = np.interp([0.1, 0.5, 0.9], share, v[order])
         std, prior = np.full(3, max(v.std() / 3, 1e-3)), np.full(3, 1 / 3)
         step = np.inf
-        while step > 1e-6 * max(v.std(), 1e-3):
+        while step > 1e-4 * max(v.std(), 1e-3):
             before = means
             dens = prior * np.exp(-0.5 * ((v[:, None] - means) / std) ** 2) / std + 1e-300
             post = dens / dens.sum(1, keepdims=True) * n[:, None]
@@ -485,11 +485,13 @@ def _mixture_levels(px: DataFrame) -> DataFrame:
             prior = weight / weight.sum()
             step = np.abs(means - before).max()
         order = np.argsort(means)
-        low, high = means[order[0]], means[order[2]]
+        # The middle class goes with the class that is nearer.
+        n_back = 2 if means[order[1]] - means[order[0]] <= means[order[2]] - means[order[1]] else 1
+        low, high = means[order[n_back - 1]], means[order[n_back]]
         while high - low > 1e-9 * max(abs(high), 1):
             middle = (low + high) / 2
             dens = prior * np.exp(-0.5 * ((middle - means) / std) ** 2) / std
-            low, high = (middle, high) if dens[order[0]] > dens[order[1:]].sum() else (low, middle)
+            low, high = (middle, high) if dens[order[:n_back]].sum() > dens[order[n_back:]].sum() else (low, middle)
         return pd.DataFrame([[*key, float(high)]], columns=[*keys, "level"])
 
     return image_histogram(px).groupBy(*keys).applyInPandas(fit, schema)
