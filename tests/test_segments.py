@@ -136,7 +136,7 @@ def test_outlines_and_back(spark):
     label = np.where(disk((30, 30), 14, 15, 9), 1, 0) - np.where(disk((30, 30), 14, 15, 3), 1, 0)
     rows = to_rows(spark, label.astype(np.int32), "label", keep=lambda v: v > 0)
     offsets = spark.createDataFrame([(0, 100, 200)], "site_id bigint, offset_y int, offset_x int")
-    out = T.labels_to_polygons(rows, offsets, 30, 30)
+    out = T.labels_to_polygons(rows, offsets.withColumns({"height": F.lit(30), "width": F.lit(30)}))
     r = out.first()
     assert r.polygon[0] == r.polygon[-1] and len(r.holes) == 1 and all(p.y < 0 and p.x > 200 for p in r.polygon)
     back = to_image(T.polygons_to_labels(out.select("site_id", "label", "polygon"), offsets, 30, 30), (30, 30), "label", int)
@@ -147,7 +147,7 @@ def test_outlines_and_back(spark):
 def test_tiny_objects_become_squares(spark):
     rows = spark.createDataFrame([(0, 5, 5, 1)], "site_id bigint, y int, x int, label int")
     offsets = spark.createDataFrame([(0, 0, 0)], "site_id bigint, offset_y int, offset_x int")
-    r = T.labels_to_polygons(rows, offsets, 30, 30).first()
+    r = T.labels_to_polygons(rows, offsets.withColumns({"height": F.lit(30), "width": F.lit(30)})).first()
     assert {(p.x, p.y) for p in r.polygon} == {(4.0, -4.0), (6.0, -4.0), (6.0, -6.0), (4.0, -6.0)}
 
 
