@@ -3,7 +3,7 @@
 Events of the streaming parser of the standard library become lines: text between block borders, with the tags met on the way and
 the containers around it. The text-to-tag ratio of the lines is smoothed with a Gaussian, and lines above a
 threshold (k-means of two clusters on the ratios) are content. Content lines choose the region: the
-smallest element that holds nearly all of their text. It is kept whole, so that short paragraphs and headings
+smallest element that holds all of their text. It is kept whole, so that short paragraphs and headings
 inside an article stay. An article or main part is one element, whatever is inside. Parts that are never content (menus, headers, footers,
 sidebars, notices, adverts, forms, scripts, styles, comments of readers) are told by element, role, class or id and are
 no candidates. If a page marks an article or main part, only lines inside such parts are candidates.
@@ -23,8 +23,6 @@ from pyspark.sql.types import StringType, StructField, StructType
 from siteframe.llm.common import map_texts
 
 SIGMA = 1.0
-#: Share of the characters of content lines that the chosen element must hold.
-HOLDS = 0.9
 #: Fixed values of HTML: elements without end, elements that flow inside a line, elements whose content is no text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rb rp rt rtc ruby s samp small "
@@ -187,7 +185,7 @@ def main_text(html: str) -> str:
             size = len(line.words())
             held.update({r: size for r in line.around} | {0: size})
     # Regions are numbered from the outside to the inside.
-    region = max(r for r, size in held.items() if size >= HOLDS * held[0])
+    region = max(r for r, size in held.items() if size == held[0])
     return " ".join(x.words() for x in lines if not region or region in x.around)
 
 

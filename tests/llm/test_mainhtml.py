@@ -51,3 +51,13 @@ def test_odd_rows(spark):
     by = {r["doc_id"]: r["text"] for r in got}
     assert by[3] == by[4] == by[5] == "" and by[6] == odd.LONG and by[1] == odd.WORDS
     assert mainhtml.extract(docs.filter("false"), [F.col("doc_id")]).isEmpty()
+
+
+def test_small_sibling_with_content_is_kept():
+    # Short lines make the lower cluster, all long ones are content.
+    story = "<p>Short.</p>" * 8 + f"<p>{LONG}</p>" * 24
+    body, whole = " ".join(["Short."] * 8 + [LONG] * 24), LONG.replace("story", "ending")
+    menu = "<div id='menu'><a>Home</a> <a>About</a></div>"
+    split = f"<body>{menu}<article>{story}</article><article><p>{whole}</p></article></body>"
+    unmarked = f"<body>{menu}<div class='text'><div>{story}</div><div><p>{whole}</p></div></div></body>"
+    assert mainhtml.main_text(split) == mainhtml.main_text(unmarked) == f"{body} {whole}"
