@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siteframe.llm import backoff, chat, decontaminate, langid, mainhtml, mixture, quality, simhash, sqltwins, urlrules, warc
+from siteframe.llm import (backoff, bitsliced, bursttrie, chat, decontaminate, hnsw, langid, mainhtml, mixture, quality, simhash, sqltwins, urlrules,
+                           warc)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -72,6 +73,21 @@ def op10_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return backoff.score_documents(_table(spark, folder, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """All nodes of the prefix trie of the rebuilt conversations."""
+    return bursttrie.trie(bursttrie.rebuilt(bursttrie.sequences(_table(spark, folder, "conversations"))))
+
+
+def op12_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return hnsw.nearest(_table(spark, folder, "embeddings"), F.col("id") % 20 == 0)
+
+
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 highest-scoring documents of every benchmark item."""
+    return bitsliced.rank(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -81,8 +97,9 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_quality_rules, op2_url_filter, op3_main_text, op4_warc, op5_mix, op6_simhash, op7_chat, op8_language, op9_decontamination,
-    op10_lm_score, pipeline)}
+    op10_lm_score, op11_prefix_trie, op12_neighbours, op13_lexical_search, pipeline)}
 
 ORACLES: dict[str, str] = {
     "op1_quality_rules": sqltwins.QUALITY, "op2_url_filter": sqltwins.url_rules(), "op4_warc": sqltwins.WARC, "op5_mix": sqltwins.MIX,
-    "op7_chat": sqltwins.CHAT, "op9_decontamination": sqltwins.DECONTAMINATION}
+    "op7_chat": sqltwins.CHAT, "op9_decontamination": sqltwins.DECONTAMINATION,
+    "op11_prefix_trie": sqltwins.PREFIX_TRIE, "op13_lexical_search": sqltwins.LEXICAL_SEARCH}

@@ -137,3 +137,56 @@ found AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND {decontaminate.MIN_SHARE} * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)"""
+
+PREFIX_TRIE = """
+WITH t AS (
+  SELECT conv_id AS conv, turn, coalesce(text, '') AS text,
+         sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv, list({'id': id, 'n': length(text)} ORDER BY turn NULLS FIRST, id) AS turns FROM t GROUP BY conv),
+h AS (
+  SELECT c.conv, c.turns, coalesce(b.turns, []) AS base, c.h::BIGINT AS h
+  FROM (SELECT o.*, crc.h FROM own o JOIN crc USING (conv)) c LEFT JOIN own b ON b.conv = c.conv - c.conv % 100),
+r AS (SELECT conv, base[1:h] || turns[h + 1:] AS turns FROM h),
+p AS (SELECT conv, turns, unnest(generate_series(0, len(turns))) AS d FROM r),
+k AS (
+  SELECT conv, d, len(turns) AS whole, sha256(array_to_string(list_transform(turns[1:d], lambda x: x.id), ',')) AS key,
+         CASE WHEN d > 0 THEN sha256(array_to_string(list_transform(turns[1:d - 1], lambda x: x.id), ',')) END AS up,
+         CASE WHEN d > 0 THEN turns[d].n ELSE 0 END AS chars FROM p),
+nodes AS (
+  SELECT key, d AS depth, any_value(up) AS up, min(conv) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(chars) AS saved,
+         sha256(coalesce(string_agg(conv::VARCHAR, ',' ORDER BY conv) FILTER (d = whole), '')) AS ends_sha256
+  FROM k GROUP BY key, d),
+kids AS (SELECT up, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+told AS (SELECT n.*, coalesce(c.n, 0) AS n_children FROM nodes n LEFT JOIN kids c ON c.up = n.key),
+above AS (
+  SELECT DISTINCT a.key AS top, b.key AS below FROM (SELECT DISTINCT conv, key, d FROM k) a
+  JOIN (SELECT k.conv, k.key, k.d FROM k JOIN nodes ON nodes.key = k.key AND nodes.conv_id = k.conv) b ON a.conv = b.conv AND a.d <= b.d),
+sums AS (
+  SELECT a.top AS key, sum((t.n_children = 0)::INT) AS n_leaves, sum(t.saved) AS saved_tokens FROM above a JOIN told t ON t.key = a.below GROUP BY a.top)
+SELECT t.conv_id, t.depth::BIGINT AS depth, u.conv_id AS parent_conv_id, t.n_convs, t.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, t.ends_sha256
+FROM told t LEFT JOIN nodes u ON u.key = t.up JOIN sums s ON s.key = t.key"""
+
+# CRC-32 of the decimal number, bit by bit.
+PREFIX_TRIE = PREFIX_TRIE.replace("own AS (", """crc AS (
+  SELECT conv, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+      lambda x, z: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv FROM t)),
+own AS (""", 1)
+
+_TERM = "regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+LEXICAL_SEARCH = rf"""
+WITH d AS (SELECT row_number() OVER () AS row, doc_id, {_TERM} AS ts FROM documents),
+s AS (SELECT count(*) FILTER (len(ts) > 0) AS n, sum(len(ts))::BIGINT AS l FROM d),
+tf AS (SELECT row, doc_id, term, len(ts)::BIGINT AS words, count(*) AS tf FROM (SELECT row, doc_id, ts, unnest(ts) AS term FROM d) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, s GROUP BY term),
+b AS (SELECT item_id, unnest({_TERM}) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM b GROUP BY ALL),
+x AS (
+  SELECT item_id, row, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * words * n) // l))))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN tf USING (term), s GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM o WHERE rank <= 20"""
