@@ -194,6 +194,24 @@ def _(d):
     return lines(SG.separate_clumps(mask, 20, 30, 4000, 0.9, 0.98), "label")
 
 
+# Blocks of seven lines in a row of places, two or three to a cell, and bridges of one pixel between them.
+_BLOCKS = """y % 16 BETWEEN 4 AND 10 AND CASE WHEN (y // 16 + x // 16) % 2 = 0 THEN x % 16 IN (1, 2, 3, 4, 5, 10, 11, 12, 13, 14) ELSE x % 16 IN (0, 1, 2, 3, 6, 7, 8, 9, 12, 13, 14) END"""
+_BRIDGE = "y % 16 = 7 AND x % 16 < 14 AND x % 16 > 0"
+
+
+@query("separate_joined", f"""WITH m AS (SELECT site_id, y, x FROM d_pixels WHERE ({_BLOCKS}) OR ({_BRIDGE})),
+    c AS (SELECT site_id, y, x, (y // 16 + x // 16) % 2 AS odd, x % 16 AS b FROM m),
+    cut AS (SELECT site_id, y, x, y // 16 AS cy, x // 16 AS cx, CASE WHEN odd = 0 THEN CASE WHEN b < 9 THEN 0 ELSE 1 END ELSE CASE WHEN b < 5 THEN 0 WHEN b < 11 THEN 1 ELSE 2 END END AS part
+      FROM c WHERE NOT (y % 16 = 7 AND ((odd = 0 AND b = 9) OR (odd = 1 AND b IN (5, 11))))),
+    f AS (SELECT site_id, cy, cx, part, min(y * 64 + x) AS f FROM cut GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY f) AS value FROM f),
+    r AS (SELECT cut.site_id, y, x, value FROM cut JOIN n USING (site_id, cy, cx, part)) """ + sql_lines("r"))
+def _(d):
+    blocks = _BLOCKS.replace("//", "DIV")
+    mask = d.pixels().filter(f"({blocks}) OR ({_BRIDGE})").select("site_id", "y", "x", F.lit(True).alias("mask"))
+    return lines(SG.separate_clumps(mask, 20, 50, 4000, 2.0, 0.92), "label")
+
+
 @query("concave_points")
 def _(d):
     mask = LB.expand_objects(d.labels(), 4, 64, 64).select("site_id", "y", "x", F.lit(True).alias("mask"))

@@ -19,6 +19,7 @@ from siteframe.core import cut_lineage, image_keys, range_index
 from siteframe.operators import labels as LB
 from siteframe.operators import pixels as P
 from siteframe.operators import stencil as ST
+from siteframe.operators import tree as TR
 from siteframe.operators.distance import nearest_marked
 from siteframe.operators.measure import convex_hulls, hull_points, measure_morphology
 
@@ -144,69 +145,93 @@ def _boxes(px: DataFrame) -> DataFrame:
     return places.join(px.withColumn("inside", F.lit(True)), [*keys, "y", "x"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
 
 
-DEPTHS = 16
+def _depths(px: DataFrame) -> DataFrame:
+    """Squared distance of each pixel of an object to the nearest place outside; objects are told apart by `level`."""
+    marked = _boxes(px).withColumns({"_out": ~F.col("inside"), "_p": F.lit(0)})
+    return nearest_marked(marked, "_out", "_p").filter("distance2 > 0").select(*image_keys(px), "y", "x", F.col("distance2").cast("long").alias("height"))
+
+
+SIDES = 1 << 24  # twice as many as an object has splits
 
 
-def _two_cores(px: DataFrame, min_core: int = 3) -> DataFrame:
-    """Pixels of the two largest cores of each object that has two, as core 1 and 2.
+def _splits(px: DataFrame, min_core: int) -> tuple[DataFrame, DataFrame]:
+    """All splits that the depths of objects offer, down to single cores.
 
-    The object is looked at from several depths below its border, all in one pass; the
-    first depth at which it falls into parts of some size tells the cores.
+    Returns the pixels (level, y, x, nodes, sides, upto) with the splits above each pixel and the number of them that it lives
+    through, and the pixels on the line of a split (level, y, x, node). The line is what of the second side touches the first one.
     """
     keys = image_keys(px)
-    clumps = [k for k in keys if k != "level"]
-    marked = _boxes(px).withColumns({"_out": ~F.col("inside"), "_p": F.lit(0)})
-    depth = nearest_marked(marked, "_out", "_p").filter("distance2 > 0")
-    deepest = depth.groupBy(*keys).agg(F.sqrt(F.max("distance2")).alias("_most"))
-    layers = depth.join(deepest, keys).withColumn("_t", F.explode(F.sequence(F.lit(1), F.lit(DEPTHS - 1)))).filter(
-        F.sqrt("distance2") > F.col("_most") * F.col("_t") / DEPTHS)
-    # A clump at a depth is an image of its own.
-    single = layers.select(*clumps, (F.col("level").cast("long") * DEPTHS + F.col("_t")).alias("level"), "y", "x", F.lit(True).alias("mask"))
-    parts = cut_lineage(LB.connected_components(single, 4))
-    sizes = parts.groupBy(*clumps, "level", "label").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_core)
-    split = (sizes.groupBy(*clumps, "level").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "label"))), 1, 2).alias("two"))
-             .filter("size(two) = 2").withColumns({"_clump": F.expr(f"level DIV {DEPTHS}"), "_t": F.col("level") % DEPTHS}))
-    first = split.groupBy(*clumps, "_clump").agg(F.min_by(F.struct("level", "two"), "_t").alias("f"))
-    named = first.select(*clumps, "_clump", F.col("f.level").alias("level"), F.posexplode("f.two").alias("core", "two"))
-    cores = parts.join(named.select(*clumps, "_clump", "level", F.col("two.label").alias("label"), (F.col("core") + 1).alias("core")),
-                       [*clumps, "level", "label"])
-    return cores.select(*clumps, F.col("_clump").cast("int").alias("level"), "y", "x", "core")
-
-
-def _cuts(px: DataFrame, min_cut_area: int, trim: bool, trim_size: int = 10) -> DataFrame:
-    """Pixels to take out of objects so that each falls into two parts; nothing for an object whose parts would be too small.
-
-    Every pixel belongs to the core nearest to it; the cut runs where the two sides touch.
+    deep = cut_lineage(_depths(px).withColumns({"weight": F.lit(1), "least": F.lit(min_core)}))
+    pairs = cut_lineage(TR.neighbouring(deep, keys, 8))
+    whole, saddles = TR.cores(deep, keys, pairs, min_core)
+    order = cut_lineage(TR.split_order(saddles, keys))
+    placed = cut_lineage(whole.join(order, [*keys, "core"]))
+    end = lambda name: placed.select(*keys, TR.pixel_id().alias(name), F.col("core").alias(f"c{name}"), F.col("nodes").alias(f"n{name}"), F.col("sides").alias(f"s{name}"))
+    across = pairs.select(*keys, "a", "b").join(end("a"), [*keys, "a"]).join(end("b"), [*keys, "b"]).filter("ca <> cb")
+    first = F.array_position(F.zip_with("sa", "sb", lambda s, t: F.coalesce(s != t, F.lit(True))), F.lit(True)).cast("int")
+    line = across.withColumn("_i", first - 1).select(
+        *keys, F.when(F.get("sa", F.col("_i")) == 1, F.col("a")).otherwise(F.col("b")).alias("id"), F.get("na", F.col("_i")).alias("node"), "_i").distinct()
+    line = cut_lineage(line)
+    lives = line.groupBy(*keys, "id").agg(F.min("_i").alias("upto"))
+    pixels = placed.withColumn("id", TR.pixel_id()).join(lives, [*keys, "id"], "left")
+    pixels = pixels.select(*keys, "y", "x", "nodes", "sides", F.coalesce("upto", F.size("nodes")).alias("upto"))
+    return cut_lineage(pixels), line.select(*keys, F.expr(f"CAST(id DIV {TR.STRIDE} AS INT)").alias("y"), (F.col("id") % TR.STRIDE).cast("int").alias("x"), "node")
+
+
+def _cuts(px: DataFrame, min_cut_area: int, min_area: float, max_area: float, max_circularity: float, max_convexity: float,
+          trim: bool, trim_size: int = 10, min_core: int = 3) -> tuple[DataFrame, DataFrame]:
+    """Pixels to take out of clumps, and the clumps of which pieces remain that no split looked at.
+
+    The sides of all splits of all clumps are judged together: each is an image of its own, whose largest component is measured.
+    A split is made if what it splits is a clump, if its parts are large enough and if all splits above it are made.
     """
     keys = image_keys(px)
-    pixel = [*keys, "y", "x"]
-    cores = cut_lineage(_two_cores(px))
-    whole = px.join(cores.select(*keys).distinct(), keys, "left_semi")
-    marked = _boxes(whole).join(cores, pixel, "left").withColumn("_m", F.col("core").isNotNull())
-    sides = cut_lineage(nearest_marked(marked, "_m", "core").join(whole, pixel, "left_semi").select(
-        *pixel, F.col("nearest").cast("int").alias("side")))
-    around = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in SQUARE])
-    reach = sides.filter("side = 1").withColumn("_s", F.explode(around)).select(
-        *keys, (F.col("y") + F.col("_s.dy")).alias("y"), (F.col("x") + F.col("_s.dx")).alias("x")).distinct()
-    line = cut_lineage(sides.filter("side = 2").join(reach, pixel, "left_semi").select(*pixel))
-    rest = sides.join(line, pixel, "left_anti").select(*pixel, F.lit(True).alias("mask"))
-    parts = cut_lineage(LB.connected_components(rest, 8))
-    sizes = parts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n"))
-    crumbs = sizes.filter(F.lit(trim) & (F.col("n") < trim_size))
-    left = sizes.join(crumbs.select(*keys, "label"), [*keys, "label"], "left_anti")
-    good = left.groupBy(*keys).agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("parts")).filter(
-        (F.col("least") > min_cut_area) & (F.col("parts") > 1)).select(*keys)
-    gone = line.unionByName(parts.join(crumbs.select(*keys, "label"), [*keys, "label"], "left_semi").select(*pixel))
-    return gone.join(good, keys, "left_semi")
+    clump = [k for k in keys if k != "level"]
+    pixels, line = _splits(px, min_core)
+    at = pixels.select(*keys, "y", "x", F.posexplode(F.slice("nodes", 1, F.col("upto"))).alias("_i", "node"), "sides", "nodes")
+    side = (F.col("level").cast("long") * SIDES + F.col("node") * 2 + F.get("sides", F.col("_i")))
+    single = at.select(*clump, side.alias("level"), "y", "x", F.lit(True).alias("mask"))
+    parts = cut_lineage(LB.connected_components(single, 8))
+    sizes = cut_lineage(parts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("n")))
+    crumbs = sizes.filter(F.lit(trim) & (F.col("n") < trim_size)).select(*keys, "label")
+    left = sizes.join(crumbs, [*keys, "label"], "left_anti").withColumns(
+        {"_clump": F.expr(f"level DIV {SIDES}"), "node": F.expr(f"CAST(level % {SIDES} DIV 2 AS INT)")})
+    good = left.groupBy(*clump, "_clump", "node").agg(F.min("n").alias("least"), F.count(F.lit(1)).alias("parts")).filter(
+        (F.col("least") > min_cut_area) & (F.col("parts") > 1))
+    main = left.groupBy(*keys).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("label"), F.max("n").alias("n"))
+    # The side of a split is what the next split below it splits.
+    nested = pixels.select(*keys, F.explode(F.zip_with(
+        F.arrays_zip("nodes", "sides"), F.concat(F.slice("nodes", 2, F.greatest(F.size("nodes") - 1, F.lit(0))), F.array(F.lit(None).cast("int"))),
+        lambda o, below: F.struct(o["nodes"].alias("node"), o["sides"].alias("side"), below.alias("below")))).alias("_s"), "nodes").filter("_s.below is not null")
+    nested = nested.select(*clump, F.col("level").alias("_clump"), F.col("_s.below").alias("node"), (F.col("level").cast("long") * SIDES + F.col("_s.node") * 2 + F.col("_s.side")).alias("level"),
+                           F.slice("nodes", F.lit(1), F.array_position("nodes", F.col("_s.below")).cast("int")).alias("path")).distinct()
+    # Only what may be a clump and splits well is measured.
+    worth = nested.join(good.select(*clump, "_clump", "node"), [*clump, "_clump", "node"], "left_semi").select(*keys)
+    measured = main.filter((F.col("n") > min_area) & (F.col("n") <= max_area)).join(worth, keys, "left_semi")
+    inner = cut_lineage(parts.join(measured, [*keys, "label"], "left_semi"))
+    shape = measure_morphology(inner).join(convex_hulls(inner), [*keys, "label"]).withColumn("convexity", F.col("area") / F.col("hull_area"))
+    clumps = LB.select_clumps(shape, min_area, max_area, max_circularity, max_convexity).select(*keys)
+    roots = pixels.select(*clump, F.col("level").alias("_clump"), F.get("nodes", F.lit(0)).alias("node"), F.slice("nodes", 1, 1).alias("path")).distinct()
+    able = roots.unionByName(nested.join(clumps, keys, "left_semi").select(*clump, "_clump", "node", "path")).join(
+        good.select(*clump, "_clump", "node", "parts"), [*clump, "_clump", "node"])
+    able = cut_lineage(able)
+    above = able.select(*clump, "_clump", "node", "parts", F.size("path").alias("_d"), F.explode("path").alias("_a")).join(
+        able.select(*clump, "_clump", F.col("node").alias("_a")), [*clump, "_clump", "_a"])
+    made = above.groupBy(*clump, "_clump", "node", "parts", "_d").agg(F.count(F.lit(1)).alias("_n")).filter("_n = _d")
+    made = cut_lineage(made.select(*clump, F.col("_clump").alias("level"), "node", "parts"))
+    lost = parts.join(crumbs, [*keys, "label"], "left_semi").select(
+        *clump, F.expr(f"CAST(level DIV {SIDES} AS INT)").alias("level"), F.expr(f"CAST(level % {SIDES} DIV 2 AS INT)").alias("node"), "y", "x")
+    gone = line.unionByName(lost.select(*line.columns)).join(made, [*keys, "node"], "left_semi").select(*keys, "y", "x").distinct()
+    return gone, made.filter("parts > 2").select(*keys).distinct()
 
 
 def separate_clumps(mask: DataFrame, min_cut_area: int, min_area: float, max_area: float, max_circularity: float,
                     max_convexity: float, trim: bool = True) -> DataFrame:
     """Cut objects that look like several objects in one.
 
-    Each pass measures all open objects, picks the clumps and cuts all of them together
-    between their two largest cores. Passes end when nothing is cut any more; a cut takes
-    pixels away, so that they end.
+    Objects are measured, the clumps are picked, and the tree of the parts of each clump by distance from its border tells in
+    which order it splits. All splits of all clumps are judged at once. A clump that fell into more pieces than
+    two at a split is looked at again; a cut takes pixels away, so that this ends.
     """
     keys = image_keys(mask)
     if "level" in keys:
@@ -219,17 +244,16 @@ def separate_clumps(mask: DataFrame, min_cut_area: int, min_area: float, max_are
         shape = measure_morphology(labels).join(convex_hulls(labels), [*keys, "label"]).withColumn(
             "convexity", F.col("area") / F.col("hull_area"))
         clumps = LB.select_clumps(shape, min_area, max_area, max_circularity, max_convexity).select(*keys, "label")
-        clump_px = cut_lineage(labels.join(clumps, [*keys, "label"], "left_semi"))
+        clump_px = cut_lineage(labels.join(clumps, [*keys, "label"], "left_semi").select(*keys, F.col("label").alias("level"), "y", "x"))
         if clump_px.isEmpty():
             break
-        cut = cut_lineage(_cuts(clump_px.select(*keys, F.col("label").alias("level"), "y", "x"), min_cut_area, trim))
-        if cut.isEmpty():
+        gone, again = _cuts(clump_px, min_cut_area, min_area, max_area, max_circularity, max_convexity, trim)
+        gone = cut_lineage(gone)
+        solid = cut_lineage(solid.join(gone, pixel, "left_anti"))
+        open_px = cut_lineage(clump_px.join(again, [*keys, "level"], "left_semi").join(gone, pixel, "left_anti").select(*pixel))
+        if open_px.isEmpty():
             break
-        solid = solid.join(cut, pixel, "left_anti")
-        # Clumps that could not be cut are final; cut ones are looked at again.
-        done = cut.select(*keys, F.col("level").alias("label")).distinct()
-        open_px = clump_px.join(done, [*keys, "label"], "left_semi").join(cut, pixel, "left_anti").select(*pixel)
-    return LB.connected_components(cut_lineage(solid).withColumn("mask", F.lit(True)), 8)
+    return LB.connected_components(solid.withColumn("mask", F.lit(True)), 8)
 
 
 def trace_contour(mask: np.ndarray) -> np.ndarray:
