@@ -199,7 +199,7 @@ _PAIRS = """d AS (SELECT a.site_id, a.parent, a.point_id, sqrt((a.y - b.y) ** 2
 @query("point_distances", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(min(d), 6), {NAN}) AS nearest, coalesce(round(avg(d), 6), {NAN}) AS mean_distance,
     CASE WHEN count(d) = 0 THEN {NAN} ELSE round(sqrt(greatest(avg(d * d) - avg(d) ** 2, 0)), 4) END AS std_distance FROM d GROUP BY 1, 2, 3""")
 def _(d):
-    out = ME.point_distances(d.points(), ["site_id", "parent"], chunk=8)
+    out = ME.point_distances(d.points(), ["site_id", "parent"])
     return rounded(out.drop("y", "x").withColumn("std_distance", F.round("std_distance", 4)), 6,
                    ("site_id", "parent", "point_id", "std_distance"))
 
@@ -229,13 +229,13 @@ def _(d):
 @query("neighbour_fractions", f"""WITH {_PAIRS} SELECT site_id, parent, point_id, coalesce(round(count(*) FILTER (d < 10) / nullif(count(d), 0), 8), {NAN}) AS fraction_0,
     coalesce(round(count(*) FILTER (d < 25) / nullif(count(d), 0), 8), {NAN}) AS fraction_1 FROM d GROUP BY 1, 2, 3""")
 def _(d):
-    return rounded(ME.neighbour_fractions(d.points(), ["site_id", "parent"], [10, 25], chunk=8), 8)
+    return rounded(ME.neighbour_fractions(d.points(), ["site_id", "parent"], [10, 25]), 8)
 
 
 @query("kth_nearest", f"""WITH {_PAIRS}, r AS (SELECT *, row_number() OVER (PARTITION BY site_id, parent, point_id ORDER BY d) AS r, count(*) OVER (PARTITION BY site_id, parent, point_id) AS n FROM d WHERE d IS NOT NULL)
     SELECT site_id, parent, point_id, round(max(d) FILTER (r = greatest(ceil(n * 0.25::DOUBLE), 1)), 6) AS distance_0, round(max(d) FILTER (r = greatest(ceil(n * 0.5::DOUBLE), 1)), 6) AS distance_1 FROM r GROUP BY 1, 2, 3""")
 def _(d):
-    return rounded(ME.kth_nearest(d.points(), ["site_id", "parent"], [0.25, 0.5], chunk=64))
+    return rounded(ME.kth_nearest(d.points(), ["site_id", "parent"], [0.25, 0.5]))
 
 
 @query("spot_localisation", """WITH pt AS (SELECT site_id, label, y, x, y * 64 + x AS point_id FROM d_labels WHERE (y * 5 + x * 3 + site_id) % 11 = 0),

@@ -212,6 +212,24 @@ def _(d):
     return lines(SG.separate_clumps(mask, 20, 50, 4000, 2.0, 0.92), "label")
 
 
+# The blocks with 100, 80 and 60, every other site with a second block that is hardly brighter than the bridge.
+_PART = "CASE WHEN odd = 0 THEN CASE WHEN b < 9 THEN 0 ELSE 1 END ELSE CASE WHEN b < 5 THEN 0 WHEN b < 11 THEN 1 ELSE 2 END END"
+
+
+@query("split_blobs", f"""WITH m AS (SELECT site_id, y, x, (y // 16 + x // 16) % 2 AS odd, x % 16 AS b FROM d_pixels WHERE ({_BLOCKS}) OR ({_BRIDGE})),
+    c AS (SELECT site_id, y, x, y // 16 AS cy, x // 16 AS cx, CASE WHEN site_id % 2 = 1 AND (odd = 0 OR {_PART} = 1) THEN 0 ELSE {_PART} END AS part FROM m),
+    f AS (SELECT site_id, cy, cx, part, min(y * 64 + x) AS f FROM c GROUP BY ALL),
+    n AS (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY f) AS value FROM f),
+    r AS (SELECT c.site_id, y, x, value FROM c JOIN n USING (site_id, cy, cx, part)) """ + sql_lines("r"))
+def _(d):
+    px = d.pixels().filter(f"({_BLOCKS.replace('//', 'DIV')}) OR ({_BRIDGE})").selectExpr(
+        "site_id", "y", "x", "(y DIV 16 + x DIV 16) % 2 AS odd", "x % 16 AS b", "CAST((y DIV 16) * 4 + x DIV 16 AS INT) AS label")
+    bridge = "(odd = 0 AND b BETWEEN 6 AND 9 OR odd = 1 AND b IN (4, 5, 10, 11))"
+    bright = f"""CAST(CASE WHEN y % 16 = 7 AND {bridge} THEN 20 WHEN {_PART} = 0 THEN 100
+        WHEN {_PART} = 1 THEN IF(site_id % 2 = 0, 80, 21) ELSE 60 END AS DOUBLE) AS value"""
+    return lines(SG.split_blobs(px.selectExpr("site_id", "y", "x", "label", bright), 10, 500, 0.18), "label")
+
+
 @query("concave_points")
 def _(d):
     mask = LB.expand_objects(d.labels(), 4, 64, 64).select("site_id", "y", "x", F.lit(True).alias("mask"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -90,29 +90,27 @@ def measure_morphology(labels: DataFrame) -> DataFrame:
 
 def convex_hulls(labels: DataFrame) -> DataFrame:
     """Area of the convex hull around the pixel squares of each object. Only the
-    outermost pixels of each object line reach Python; a group holds a range of
-    labels of one image."""
+    outermost pixels of each object line reach Python, one row for each object."""
     keys = image_keys(labels)
     ends = labels.groupBy(*keys, "label", "y").agg(F.min("x").alias("x0"), (F.max("x") + 1).alias("x1"))
-    types = {f.name: f.dataType.simpleString() for f in labels.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + [f"label {types['label']}", "hull_area double"])
-
-    def hulls(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        for label, part in pdf.groupby("label", sort=False):
-            pts = np.concatenate([part[["x0", "y"]].to_numpy(float), part[["x1", "y"]].to_numpy(float),
-                                  part[["x0", "y"]].to_numpy(float) + [0, 1], part[["x1", "y"]].to_numpy(float) + [0, 1]])
+    lines = ends.groupBy(*keys, "label").agg(F.collect_list(F.struct("y", "x0", "x1")).alias("_l"))
+
+    @F.pandas_udf("double")
+    def area(y: pd.Series, x0: pd.Series, x1: pd.Series) -> pd.Series:
+        out = []
+        for lines, first, last in zip(y, x0, x1):
+            pts = np.concatenate([np.stack([x, lines + d], 1) for x in (first, last) for d in (0, 1)]).astype(float)
             ring = hull_points(pts)
             nxt = np.roll(ring, -1, axis=0)
-            rows.append([*key[:-1], label, abs(np.sum(ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1])) / 2])
-        return pd.DataFrame(rows, columns=[*keys, "label", "hull_area"])
+            out.append(abs(np.sum(ring[:, 0] * nxt[:, 1] - nxt[:, 0] * ring[:, 1])) / 2)
+        return pd.Series(out, dtype=float)
 
-    return ends.groupBy(*keys, F.expr("label DIV 256")).applyInPandas(hulls, schema)
+    return lines.select(*keys, "label", area("_l.y", "_l.x0", "_l.x1").alias("hull_area"))
 
 
 def hull_points(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull in order, without points on its edges."""
-    pts = points[np.lexsort((points[:, 1], points[:, 0]))]
+    pts = points[np.lexsort((points[:, 1], points[:, 0]))].tolist()
 
     def chain(seq):
         out: list = []
@@ -410,38 +408,111 @@ def measure_texture(labels: DataFrame, px: DataFrame, frequencies: Sequence[int]
 
 # --- points -----------------------------------------------------------------------------
 
-def point_distances(points: DataFrame, keys: Sequence[str], chunk: int = 512) -> DataFrame:
+#: Lines of a band.
+BAND = 64
+
+
+def _banded(points: DataFrame, keys: Sequence[str], reach: int | None, fn: Callable[..., list], count: int) -> DataFrame:
+    """Values of every point from the other points of its parent, `count` of them: (keys, point_id, y, x, _v0, ...).
+
+    Points are whole pixels, and those at one place have the same values: places with their number of points are looked at, in
+    bands of lines. A band gets the places of its parent within `reach` lines, or all of them, with their
+    numbers. `fn` has the coordinates of the places of the band, the coordinates and numbers of those around it and the number of all points of the
+    parent, and returns arrays.
+    """
+    keys = list(keys)
+    band = F.floor(F.col("y") / BAND).cast("int")
+    places = points.groupBy(*keys, "y", "x").agg(F.count(F.lit(1)).alias("n")).withColumn("_b", band)
+    ends = places.groupBy(*keys).agg(F.sum("n").alias("_all"), F.min("_b").alias("_b0"), F.max("_b").alias("_b1"))
+    sized = places.join(ends, keys)
+    first, last = F.col("_b0"), F.col("_b1")
+    if reach is not None:
+        first = F.greatest(first, F.floor((F.col("y") - reach) / BAND).cast("int"))
+        last = F.least(last, F.floor((F.col("y") + reach) / BAND).cast("int"))
+    handed = sized.withColumn("_t", F.explode(F.sequence(first, last)))
+    # Bands are few rows with much work each: they are dealt out before small partitions are merged.
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = handed.repartition(tasks, *keys, "_t").groupBy(*keys, F.col("_t").alias("_b"), "_all").agg(
+        F.collect_list(F.when(F.col("_b") == F.col("_t"), F.struct("y", "x"))).alias("_own"), F.collect_list(F.struct("y", "x", "n")).alias("_near"))
+
+    @F.pandas_udf("array<array<double>>")
+    def values(oy: pd.Series, ox: pd.Series, ny: pd.Series, nx: pd.Series, nn: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([[list(map(float, v)) for v in fn(*(np.asarray(c, np.int64) for c in row[:5]), int(row[5]))] if len(row[0]) else []
+                          for row in zip(oy, ox, ny, nx, nn, total)])
+
+    found = rows.filter(F.size("_own") > 0).select(*keys, "_own", values("_own.y", "_own.x", "_near.y", "_near.x", "_near.n", "_all").alias("_v"))
+    flat = found.select(*keys, "_v", F.posexplode("_own").alias("_i", "_o")).select(
+        *keys, F.col("_o.y").alias("y"), F.col("_o.x").alias("x"), *[F.get(F.get("_v", F.lit(i)), F.col("_i")).alias(f"_v{i}") for i in range(count)])
+    return points.select(*keys, "point_id", "y", "x").join(flat, [*keys, "y", "x"])
+
+
+def _distance_sums(oy, ox, ny, nx, nn, total) -> list:
+    """Nearest, mean and spread of the distances to the other points, a few places at once."""
+    out = [np.full(len(oy), NAN) for _ in range(3)]
+    if total < 2:
+        return out
+    oy, ox, ny, nx, nn = (c.astype(float) for c in (oy, ox, ny, nx, nn))
+    single = bool((nn == 1).all())
+    squares = total * (oy * oy + ox * ox) - 2 * (oy * (nn @ ny) + ox * (nn @ nx)) + nn @ (ny * ny + nx * nx)
+    step = max(1, 200_000 // len(ny))  # what fits the cache
+    for a in range(0, len(oy), step):
+        part = slice(a, a + step)
+        d = oy[part, None] - ny
+        d *= d
+        dx = ox[part, None] - nx
+        dx *= dx
+        d += dx
+        np.sqrt(d, out=d)
+        out[1][part] = (d.sum(1) if single else d @ nn) / (total - 1)
+        d[d == 0] = np.inf
+        out[0][part] = d.min(1)
+    out[2] = np.sqrt(np.maximum(squares / (total - 1) - out[1] ** 2, 0.0))
+    if not single:
+        crowded = dict(zip(zip(ny.tolist(), nx.tolist()), (nn > 1).tolist()))
+        out[0][[crowded[p] for p in zip(oy.tolist(), ox.tolist())]] = 0.0
+    return out
+
+
+class _Counts:
+    """Numbers of points within squared distances of places: from running counts along each line, or one by one where there are few."""
+
+    def __init__(self, ny, nx, nn) -> None:
+        self.y0, self.x0 = ny.min(), nx.min()
+        self.shape = (ny.max() - self.y0 + 1, nx.max() - self.x0 + 1)
+        self.points = (ny, nx, nn) if len(ny) <= 2 * self.shape[0] else None
+        if self.points is None:
+            self.table = np.zeros((self.shape[0], self.shape[1] + 1), np.int64)
+            self.table[ny - self.y0, nx - self.x0 + 1] = nn
+            self.table = self.table.cumsum(1)
+
+    def within(self, oy, ox, limit) -> np.ndarray:
+        """Points with squared distance up to `limit`, a number for each place; those at the place itself count."""
+        if self.points is not None:
+            ny, nx, nn = self.points
+            return (((oy[:, None] - ny) ** 2 + (ox[:, None] - nx) ** 2) <= limit[:, None]) @ nn
+        out = np.zeros(len(oy), np.int64)
+        reach = int(np.sqrt(max(limit.max(), 0))) + 1
+        for line in range(max(0, oy.min() - self.y0 - reach), min(self.shape[0], oy.max() - self.y0 + reach + 1)):
+            rest = limit - (oy - self.y0 - line) ** 2
+            ok = np.nonzero(rest >= 0)[0]
+            if len(ok):
+                half = np.sqrt(rest[ok]).astype(np.int64)
+                half -= half * half > rest[ok]
+                half += (half + 1) ** 2 <= rest[ok]
+                x = ox[ok] - self.x0
+                out[ok] += (self.table[line, np.clip(x + half + 1, 0, self.shape[1])] - self.table[line, np.clip(x - half, 0, self.shape[1])])
+        return out
+
+
+def point_distances(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Nearest, mean and standard deviation of the distances from each point to the
-    other points of its parent.
+    other points of its parent; NaN for a lone point.
 
-    Pairs are never listed: each point meets lists of about `chunk` points and adds
-    up over them. The lists of a parent with many points are handed to the parts of
-    this parent one by one, so a crowded parent is spread over many tasks.
+    The mean needs every distance; it is added up for bands of lines against places with their numbers of points.
     """
-    sized = points.join(points.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("long").alias("_k")), list(keys))
-    own = sized.withColumn("_part", F.pmod(F.xxhash64("point_id"), F.col("_k")))
-    lists = own.groupBy(*keys, "_k", "_part").agg(F.collect_list(F.struct("point_id", "y", "x")).alias("_others"))
-    handed = lists.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
-    met = own.join(handed, [*keys, "_part"])
-
-    def add(acc, o):
-        dy, dx = o["y"] - F.col("y"), o["x"] - F.col("x")
-        dist = F.sqrt((dy * dy + dx * dx).cast("double"))
-        skip = o["point_id"] == F.col("point_id")
-        return F.when(skip, acc).otherwise(F.struct(
-            F.least(acc["lo"], dist).alias("lo"), (acc["s"] + dist).alias("s"),
-            (acc["q"] + dist * dist).alias("q"), (acc["n"] + 1).alias("n")))
-
-    zero = F.struct(F.lit(1e18).alias("lo"), F.lit(0.0).alias("s"), F.lit(0.0).alias("q"), F.lit(0).alias("n"))
-    part = met.withColumn("_r", F.aggregate("_others", zero, add))
-    agg = part.groupBy(*keys, "point_id", "y", "x").agg(
-        F.min("_r.lo").alias("_lo"), F.sum("_r.s").alias("_s"), F.sum("_r.q").alias("_q"), F.sum("_r.n").alias("_n"))
-    mean = F.try_divide(F.col("_s"), F.col("_n").cast("double"))
-    spread = F.sqrt(F.greatest(F.try_divide(F.col("_q"), F.col("_n").cast("double")) - mean * mean, F.lit(0.0)))
-    lone = F.col("_n") == 0
-    return agg.select(*keys, "point_id", "y", "x", *[
-        F.when(lone, F.lit(NAN)).otherwise(c).alias(n) for n, c in (
-            ("nearest", F.col("_lo")), ("mean_distance", mean), ("std_distance", spread))])
+    found = _banded(points, keys, None, _distance_sums, 3)
+    names = ("nearest", "mean_distance", "std_distance")
+    return found.select(*keys, "point_id", "y", "x", *[F.coalesce(F.col(f"_v{i}"), F.lit(NAN)).alias(n) for i, n in enumerate(names)])
 
 
 def inner_distance(labels: DataFrame) -> DataFrame:
@@ -477,58 +548,42 @@ def measure_point_pattern(points: DataFrame, parents: DataFrame) -> DataFrame:
         *keys, "point_id", *[F.coalesce(c, F.lit(NAN)).alias(c) for c in rest])
 
 
-def neighbour_fractions(points: DataFrame, keys: Sequence[str], radii: Sequence[float], chunk: int = 512) -> DataFrame:
-    """Share of the other points of the parent nearer than each radius."""
-    sized = points.join(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_all")), list(keys)).withColumn(
-        "_k", F.ceil(F.col("_all") / chunk).cast("long"))
-    own = sized.withColumn("_part", F.pmod(F.xxhash64("point_id"), F.col("_k")))
-    lists = own.groupBy(*keys, "_k", "_part").agg(F.collect_list(F.struct("point_id", "y", "x")).alias("_others"))
-    handed = lists.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k")
-    met = own.join(handed, [*keys, "_part"])
+def neighbour_fractions(points: DataFrame, keys: Sequence[str], radii: Sequence[float]) -> DataFrame:
+    """Share of the other points of the parent nearer than each radius; only lines within the largest radius are looked at."""
+    limits = [math.ceil(r * r) - 1 for r in radii]
 
-    def near(r):
-        return F.size(F.filter("_others", lambda o: (o["point_id"] != F.col("point_id")) & (
-            (o["y"] - F.col("y")) * (o["y"] - F.col("y")) + (o["x"] - F.col("x")) * (o["x"] - F.col("x")) < r * r)))
+    def shares(oy, ox, ny, nx, nn, total) -> list:
+        counts = _Counts(ny, nx, nn)
+        return [(counts.within(oy, ox, np.full(len(oy), limit)) - 1) / (total - 1) if total > 1 and limit >= 0 else
+                np.full(len(oy), 0.0 if total > 1 else NAN) for limit in limits]
 
-    agg = met.groupBy(*keys, "point_id", "_all").agg(*[F.sum(near(r)).alias(f"_n{i}") for i, r in enumerate(radii)])
-    return agg.select(*keys, "point_id", *[F.coalesce(F.try_divide(F.col(f"_n{i}").cast("double"), (
-        F.col("_all") - 1).cast("double")), F.lit(NAN)).alias(f"fraction_{i}") for i in range(len(radii))])
+    found = _banded(points, keys, math.ceil(max(radii)), shares, len(limits))
+    return found.select(*keys, "point_id", *[F.coalesce(F.col(f"_v{i}"), F.lit(NAN)).alias(f"fraction_{i}") for i in range(len(limits))])
 
 
-def kth_nearest(points: DataFrame, keys: Sequence[str], shares: Sequence[float], chunk: int = 512) -> DataFrame:
+def kth_nearest(points: DataFrame, keys: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Distance within which a share of the other points of the parent lies: that of
-    the ``ceil((n - 1) * share)``-th nearest point.
+    the ``ceil((n - 1) * share)``-th nearest point. Lone points have no row.
 
-    Squared distances of pixels are whole numbers, so the distance is found by
-    bisection on counts: each round only adds up how many points lie within a
-    trial distance, in lists as in :func:`point_distances`.
+    Squared distances of pixels are whole numbers, so the distance is found by bisection on numbers of points within
+    a trial distance, which running counts along the lines give.
     """
-    base = points.select(*keys, "point_id", "y", "x")
-    stats = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_all"), (F.pow(F.max("y") - F.min("y"), F.lit(2)) + F.pow(F.max("x") - F.min("x"), F.lit(2))).cast("long").alias("_far"))
-    sized = cut_lineage(base.join(stats, list(keys)).withColumn("_k", F.ceil(F.col("_all") / chunk).cast("long"))
-                        .withColumn("_part", F.pmod(F.xxhash64("point_id"), F.col("_k"))))
-    lists = sized.groupBy(*keys, "_k", "_part").agg(F.collect_list(F.struct("y", "x")).alias("_others"))
-    handed = cut_lineage(lists.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_k") - 1))).drop("_k"))
-    share = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(shares)])
-    state = (sized.filter("_all > 1").withColumn("_s", F.explode(share))
-             .withColumns({"_i": F.col("_s.i"), "_want": F.greatest(F.ceil((F.col("_all") - 1) * F.col("_s.s")), F.lit(1)),
-                           "_lo": F.lit(0).cast("long"), "_hi": F.col("_far")}).drop("_s"))
-    columns = state.columns
-    while True:
-        trial = state.withColumn("_mid", F.expr("(_lo + _hi) DIV 2"))
-        near = F.size(F.filter("_others", lambda o: (o["y"] - F.col("y")) * (o["y"] - F.col("y")) + (
-            o["x"] - F.col("x")) * (o["x"] - F.col("x")) <= F.col("_mid")))
-        counted = (trial.join(handed, [*keys, "_part"]).groupBy(*columns, "_mid")
-                   .agg((F.sum(near) - 1).alias("_n")))  # the point itself is in one list
-        enough = F.col("_n") >= F.col("_want")
-        state = cut_lineage(counted.select(*[c for c in columns if c not in ("_lo", "_hi")],
-                                           F.when(enough, F.col("_lo")).otherwise(F.col("_mid") + 1).alias("_lo"),
-                                           F.when(enough, F.col("_mid")).otherwise(F.col("_hi")).alias("_hi"))).select(columns)
-        if state.filter("_lo < _hi").isEmpty():
-            break
-    return state.groupBy(*keys, "point_id").agg(*[
-        F.max(F.when(F.col("_i") == i, F.sqrt(F.col("_lo").cast("double")))).alias(f"distance_{i}") for i in range(len(shares))])
+    def distances(oy, ox, ny, nx, nn, total) -> list:
+        counts, out = _Counts(ny, nx, nn), []
+        far = int(np.ptp(np.append(ny, oy)) ** 2 + np.ptp(np.append(nx, ox)) ** 2)
+        for share in shares:
+            want = max(math.ceil((total - 1) * share), 1) + 1  # the point itself is counted
+            low, high = np.zeros(len(oy), np.int64), np.full(len(oy), far, np.int64)
+            while (low < high).any():
+                trial = (low + high) // 2
+                enough = counts.within(oy, ox, trial) >= want
+                low, high = np.where(enough, low, trial + 1), np.where(enough, trial, high)
+            out.append(np.sqrt(low))
+        return out
+
+    crowd = points.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys)
+    found = _banded(points.join(crowd, list(keys), "left_semi"), keys, None, distances, len(shares))
+    return found.select(*keys, "point_id", *[F.col(f"_v{i}").alias(f"distance_{i}") for i in range(len(shares))])
 
 
 def spot_localisation(points: DataFrame, parents: DataFrame) -> DataFrame:

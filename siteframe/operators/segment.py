@@ -136,19 +136,18 @@ def _dilate(mask, steps=CROSS):
     return np.logical_or.reduce([mask] + [_shifted(mask, dy, dx) for dy, dx in steps])
 
 
-def _boxes(px: DataFrame) -> DataFrame:
-    """All places of the box around each object, one line wider; `inside` tells those of the object."""
-    keys = image_keys(px)
-    box = px.groupBy(*keys).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    places = (box.withColumn("y", F.explode(F.sequence(F.col("_y0") - 1, F.col("_y1") + 1)))
-              .withColumn("x", F.explode(F.sequence(F.col("_x0") - 1, F.col("_x1") + 1))).select(*keys, "y", "x"))
-    return places.join(px.withColumn("inside", F.lit(True)), [*keys, "y", "x"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-
-
 def _depths(px: DataFrame) -> DataFrame:
-    """Squared distance of each pixel of an object to the nearest place outside; objects are told apart by `level`."""
-    marked = _boxes(px).withColumns({"_out": ~F.col("inside"), "_p": F.lit(0)})
-    return nearest_marked(marked, "_out", "_p").filter("distance2 > 0").select(*image_keys(px), "y", "x", F.col("distance2").cast("long").alias("height"))
+    """Squared distance of each pixel of an object to the nearest place outside; objects are told apart by `level`.
+
+    Objects do not touch, so that the nearest place outside one is outside all of them, and one line around each object is enough.
+    """
+    image = [k for k in image_keys(px) if k != "level"]
+    box = px.groupBy(*image_keys(px)).agg(F.min("y").alias("_y0"), F.max("y").alias("_y1"), F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    places = (box.withColumn("y", F.explode(F.sequence(F.col("_y0") - 1, F.col("_y1") + 1)))
+              .withColumn("x", F.explode(F.sequence(F.col("_x0") - 1, F.col("_x1") + 1))).select(*image, "y", "x").distinct())
+    marked = places.join(px, [*image, "y", "x"], "left").withColumns({"_out": F.col("level").isNull(), "_p": F.lit(0)})
+    far = nearest_marked(marked.drop("level"), "_out", "_p").select(*image, "y", "x", F.col("distance2").cast("long").alias("height"))
+    return px.join(far, [*image, "y", "x"]).select(*image_keys(px), "y", "x", "height")
 
 
 SIDES = 1 << 24  # twice as many as an object has splits
@@ -325,9 +324,15 @@ def enhance_spots(px: DataFrame, mean_area: int, clip_percentile: float = 99.999
 
 
 def detect_blobs(px: DataFrame, region: DataFrame, threshold: float = 1, min_area: int = 3, mean_area: int = 5,
-                 max_area: int = 1000, clip_percentile: float = 99.999) -> DataFrame:
+                 max_area: int = 1000, clip_percentile: float = 99.999, deblend_levels: int = 500,
+                 deblend_contrast: float | None = None) -> DataFrame:
     """Bright spots inside a region: components of the filtered image above the
-    threshold, not larger than `max_area`, numbered in reading order."""
+    threshold, not larger than `max_area`, numbered in reading order.
+
+    With `deblend_contrast`, touching spots are told apart: a branch of the brightness that has `min_area` pixels and this share
+    of the flux of its blob above its highest saddle is a spot of its own. Brightness is looked at in `deblend_levels` steps of
+    equal ratio between the threshold and the peak of the blob.
+    """
     keys = image_keys(px)
     pixel = [*keys, "y", "x"]
     found = cut_lineage(enhance_spots(px, mean_area, clip_percentile).withColumn("mask", F.col("value") > threshold))
@@ -337,7 +342,29 @@ def detect_blobs(px: DataFrame, region: DataFrame, threshold: float = 1, min_are
     kept = first.join(small, [*keys, "label"], "left_semi").select(*pixel)
     kept = cut_lineage(kept.join(region.filter("mask").select(*pixel), pixel, "left_semi"))
     blobs = LB.remove_small(LB.connected_components(kept.withColumn("mask", F.lit(True)), 8), min_area)
-    return LB.relabel(blobs).join(found.select(*pixel, "value"), pixel)
+    if deblend_contrast is None:
+        return LB.relabel(blobs).join(found.select(*pixel, "value"), pixel)
+    bright = cut_lineage(blobs.join(found.select(*pixel, "value"), pixel))
+    return split_blobs(bright, threshold, deblend_levels, deblend_contrast, min_area)
+
+
+def split_blobs(blobs: DataFrame, threshold: float, levels: int, contrast: float, min_area: int = 1) -> DataFrame:
+    """Blobs cut into the branches of their brightness that count; pixels stay with the peak that they rise to.
+
+    A branch counts if its pixels above its highest saddle number `min_area` and hold the share `contrast` of the blob's
+    flux. Spots are numbered in reading order of their first pixel.
+    """
+    keys = image_keys(blobs)
+    pixel, own = [*keys, "y", "x"], [*keys, "label"]
+    total = blobs.groupBy(*own).agg(F.max("value").alias("_peak"), F.sum("value").alias("_flux"))
+    steps = F.floor(F.lit(float(levels)) * F.ln(F.col("value") / float(threshold)) / F.ln(F.greatest(F.col("_peak") / float(threshold), F.lit(1 + 1e-9))))
+    heights = cut_lineage(blobs.join(total, own).select(
+        *own, "y", "x", "value", steps.cast("long").alias("height"), F.col("value").alias("weight"), (F.col("_flux") * float(contrast)).alias("least")))
+    spots, _ = TR.cores(heights, own, cut_lineage(TR.neighbouring(heights, own, 8)), min_area)
+    spots = cut_lineage(spots)
+    firsts = spots.groupBy(*own, "core").agg(F.min(TR.pixel_id()).alias("_first"))
+    named = spots.join(firsts, [*own, "core"]).select(*pixel, F.col("_first").alias("label"))
+    return LB.relabel(named).join(heights.select(*pixel, "value"), pixel)
 
 
 def flux_centroids(blobs: DataFrame) -> DataFrame:

@@ -107,32 +107,37 @@ def split_order(saddles: DataFrame, keys: Sequence[str]) -> DataFrame:
     """For every core the splits that lie above it, from the whole object on: (keys, core, nodes, sides).
 
     An object splits first at its lowest saddle that no higher one goes around, then each side by itself. Both
-    sides of the same split have the same node and side 0 or 1. Objects with one core have no rows. A group holds the saddles of one
+    sides of the same split have the same node and side 0 or 1. Objects with one core have no rows. A row holds the saddles of one
     object, about three for each core.
     """
-    types = {f.name: f.dataType.simpleString() for f in saddles.schema.fields}
-    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["core long", "nodes array<int>", "sides array<int>"])
-
-    def order(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = {c: (c, [c]) for c in {*pdf["a"], *pdf["b"]}}  # core -> tree, members
-        for a, b, _ in sorted(zip(pdf["a"], pdf["b"], pdf["saddle"]), key=lambda e: (-e[2], e[0], e[1])):
-            one, two = parts[a], parts[b]
-            if one is not two:
-                if min(two[1]) < min(one[1]):
-                    one, two = two, one
-                joined = ((one[0], two[0]), one[1] + two[1])
-                for c in joined[1]:
-                    parts[c] = joined
-        rows, count = [], 0
-        trees = [t for t in {id(p): p[0] for p in parts.values()}.values()]
-        stack = [(t, [], []) for t in trees]
-        while stack:
-            tree, nodes, sides = stack.pop()
-            if isinstance(tree, tuple):
-                count += 1
-                stack += [(t, [*nodes, count], [*sides, s]) for s, t in enumerate(tree)]
-            else:
-                rows.append((*key, tree, nodes, sides))
-        return pd.DataFrame(rows, columns=[*keys, "core", "nodes", "sides"])
-
-    return saddles.groupBy(*keys).applyInPandas(order, schema)
+    listed = saddles.groupBy(*keys).agg(F.collect_list(F.struct("a", "b", "saddle")).alias("_s"))
+
+    @F.pandas_udf("array<struct<core: long, nodes: array<int>, sides: array<int>>>")
+    def orders(a: pd.Series, b: pd.Series, saddle: pd.Series) -> pd.Series:
+        return pd.Series([split_tree(list(zip(x.tolist(), y.tolist(), z.tolist()))) for x, y, z in zip(a, b, saddle)])
+
+    found = listed.select(*keys, F.explode(orders("_s.a", "_s.b", "_s.saddle")).alias("_o"))
+    return found.select(*keys, "_o.core", "_o.nodes", "_o.sides")
+
+
+def split_tree(saddles: list[tuple]) -> list[dict]:
+    """Cores with the splits above them, from saddles (a, b, height) of one object: highest saddles join first."""
+    parts = {c: (c, [c]) for a, b, _ in saddles for c in (a, b)}  # core -> tree, members
+    for a, b, _ in sorted(saddles, key=lambda e: (-e[2], e[0], e[1])):
+        one, two = parts[a], parts[b]
+        if one is not two:
+            if min(two[1]) < min(one[1]):
+                one, two = two, one
+            joined = ((one[0], two[0]), one[1] + two[1])
+            for c in joined[1]:
+                parts[c] = joined
+    rows, count = [], 0
+    stack = [(tree, [], []) for tree, _ in {id(p): p for p in parts.values()}.values()]
+    while stack:
+        tree, nodes, sides = stack.pop()
+        if isinstance(tree, tuple):
+            count += 1
+            stack += [(t, [*nodes, count], [*sides, s]) for s, t in enumerate(tree)]
+        else:
+            rows.append({"core": tree, "nodes": nodes, "sides": sides})
+    return rows

@@ -1,8 +1,10 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from helpers import disk, noise, to_rows
+from pyspark.sql import functions as F
 
 from siteframe.operators import measure as ME
 
@@ -101,19 +103,45 @@ def test_single_pixel_morphology(spark):
     assert math.isnan(m.circularity) and math.isnan(m.elongation) and m.perimeter == 0
 
 
-def test_point_distances_do_not_depend_on_the_list_length(spark):
+@pytest.mark.parametrize("side, n, copies", [(60, 70, 0), (150, 900, 40), (9, 200, 0)])
+def test_points_against_all_pairs(spark, side, n, copies):
+    """Few points, several bands of lines, and many points at the same places; negative coordinates as well."""
     rng = np.random.default_rng(1)
-    pts = rng.integers(0, 60, (70, 2))
-    df = spark.createDataFrame([(0, 1, i, int(y), int(x)) for i, (y, x) in enumerate(pts)], "site_id bigint, parent int, point_id bigint, y int, x int")
+    pts = rng.integers(-5, side, (n, 2))
+    pts[n - copies:] = pts[0]
+    df = spark.createDataFrame([(0, 1, i, int(y), int(x)) for i, (y, x) in enumerate(pts)] + [(0, 2, -1, 3, 3)], "site_id bigint, parent int, point_id bigint, y int, x int")
     d = np.hypot(*(pts[:, None] - pts[None]).transpose(2, 0, 1))
     np.fill_diagonal(d, np.nan)
-    for chunk in (5, 1000):
-        for r in ME.point_distances(df, ["site_id", "parent"], chunk).collect():
-            assert r.nearest == pytest.approx(np.nanmin(d[r.point_id])) and r.mean_distance == pytest.approx(np.nanmean(d[r.point_id]))
-            assert r.std_distance == pytest.approx(np.nanstd(d[r.point_id]))
-    for r in ME.kth_nearest(df, ["site_id", "parent"], [0.1, 1.0], 7).collect():
-        s = np.sort(d[r.point_id])[:69]
-        assert r.distance_0 == pytest.approx(s[math.ceil(69 * 0.1) - 1]) and r.distance_1 == pytest.approx(s[-1])
+    got = {r.point_id: r for r in ME.point_distances(df, ["site_id", "parent"]).collect()}
+    assert len(got) == n + 1 and math.isnan(got[-1].nearest) and math.isnan(got[-1].mean_distance)
+    kth = {r.point_id: r for r in ME.kth_nearest(df, ["site_id", "parent"], [0.1, 1.0]).collect()}
+    share = {r.point_id: r for r in ME.neighbour_fractions(df, ["site_id", "parent"], [4.5, 30]).collect()}
+    assert -1 not in kth and math.isnan(share[-1].fraction_0)
+    for i in range(n):
+        assert got[i].nearest == pytest.approx(np.nanmin(d[i])) and got[i].mean_distance == pytest.approx(np.nanmean(d[i]))
+        assert got[i].std_distance == pytest.approx(np.nanstd(d[i]), abs=1e-6)
+        s = np.sort(d[i])[:n - 1]
+        assert kth[i].distance_0 == pytest.approx(s[math.ceil((n - 1) * 0.1) - 1]) and kth[i].distance_1 == pytest.approx(s[-1])
+        assert share[i].fraction_0 == pytest.approx((s < 4.5).mean()) and share[i].fraction_1 == pytest.approx((s < 30).mean())
+
+
+def test_a_crowded_parent(spark):
+    """A hundred thousand points in one parent; spot checks against numpy."""
+    rng = np.random.default_rng(2)
+    pts = rng.integers(0, 1000, (100_000, 2)).astype(np.int64)
+    frame = pd.DataFrame({"site_id": 0, "parent": 1, "point_id": np.arange(len(pts)), "y": pts[:, 0].astype(np.int32), "x": pts[:, 1].astype(np.int32)})
+    df = spark.createDataFrame(frame)
+    keys, few = ["site_id", "parent"], F.col("point_id") % 20_000 == 7
+    got = {r.point_id: r for r in ME.point_distances(df, keys).filter(few).collect()}
+    kth = {r.point_id: r for r in ME.kth_nearest(df, keys, [0.001, 0.5]).filter(few).collect()}
+    share = {r.point_id: r for r in ME.neighbour_fractions(df, keys, [20.0]).filter(few).collect()}
+    assert len(got) == len(kth) == len(share) == 5
+    for i, r in got.items():
+        d = np.delete(np.hypot(*(pts - pts[i]).T), i)
+        s = np.sort(d)
+        assert r.nearest == pytest.approx(s[0]) and r.mean_distance == pytest.approx(d.mean()) and r.std_distance == pytest.approx(d.std())
+        assert kth[i].distance_0 == pytest.approx(s[99]) and kth[i].distance_1 == pytest.approx(s[49_999])
+        assert share[i].fraction_0 == pytest.approx((d < 20).mean())
 
 
 def test_lone_and_outside_points(spark):

@@ -89,6 +89,40 @@ def test_blobs_are_found_at_their_centres(spark):
     assert sorted((r.y, r.x) for r in got) == [(10, 10), (25, 30)]
 
 
+def test_touching_spots_are_told_apart(spark):
+    """Two spots that touch, a single one and one whose second bump is too faint."""
+    y, x = np.mgrid[:44, :60]
+    spot = lambda a, b, v: v * np.exp(-((y - a) ** 2 + (x - b) ** 2) / 6)
+    image = (spot(10, 10, 200) + spot(10, 15, 180) + spot(10, 40, 200) + spot(30, 20, 220) + spot(30, 24, 33)).astype(np.int32)
+    everywhere = to_rows(spark, np.ones(image.shape, bool), "mask")
+    blobs = SG.detect_blobs(to_rows(spark, image), everywhere, 1, mean_area=5, deblend_contrast=0.1)
+    got = sorted((r.y, r.x) for r in SG.flux_centroids(blobs).collect())
+    assert len(got) == 4 and all(abs(a - c) + abs(b - d) <= 1 for (a, b), (c, d) in zip(got, [(10, 10), (10, 15), (10, 40), (30, 20)]))
+    assert SG.detect_blobs(to_rows(spark, image), everywhere, 1, mean_area=5).select("label").distinct().count() == 3
+    assert blobs.groupBy("y", "x").count().filter("count > 1").isEmpty()
+
+
+def test_tree_of_splits():
+    """The lowest saddle that nothing goes around comes first; a ring of three joins over its two highest saddles."""
+    from siteframe.operators.tree import split_tree
+    rows = {r["core"]: (r["nodes"], r["sides"]) for r in split_tree([(1, 2, 9), (2, 3, 5), (1, 3, 4), (3, 4, 7)])}
+    assert rows[1][0][0] == rows[4][0][0] and rows[1][1][0] == rows[2][1][0] == 0 and rows[3][1][0] == rows[4][1][0] == 1
+    assert rows[1][0][1] == rows[2][0][1] != rows[3][0][1] and [rows[c][1][1] for c in (1, 2, 3, 4)] == [0, 1, 0, 1]
+
+
+def test_joined_objects_fall_into_their_parts(spark):
+    """A chain of four disks, a comb and a lone disk: brute force counts of the parts, and no pixel but of the cuts is lost."""
+    mask = np.zeros((70, 120), bool)
+    for k in range(4):
+        mask |= disk(mask.shape, 15, 15 + 18 * k, 11)
+    mask |= disk(mask.shape, 50, 20, 12) | disk(mask.shape, 50, 95, 12)
+    mask[46:54, 20:95] = True
+    out = SG.separate_clumps(to_rows(spark, mask, "mask"), 50, 100, 5000, 1.0, 0.95)
+    got = to_image(out, mask.shape, "label", int)
+    assert len(set(np.unique(got[:30])) - {0}) == 4 and not (got > 0)[~mask].any()
+    assert mask.sum() - (got > 0).sum() < 0.06 * mask.sum()
+
+
 def test_deblend_of_a_bent_blob_makes_no_false_objects(spark):
     y, x = np.mgrid[:30, :40]
     peaks = sum(150 * np.exp(-((y - 24) ** 2 + (x - b) ** 2) / 8) for b in (8, 20)) + 20
