@@ -354,6 +354,31 @@ def _(d):
     return P.threshold_global(d.pixels(), "RidlerCalvard").withColumn("level", F.round("level", 6))
 
 
+_MODE2 = "CAST(arg_min(value, (-n, value)) * 2 AS DOUBLE)"
+_BLOCKLEVEL = f"""h AS (SELECT site_id, value, count(*) AS n FROM d_pixels GROUP BY 1, 2), g AS (SELECT site_id, {_MODE2} AS g FROM h GROUP BY 1)"""
+
+
+@query("threshold_surface", f"""WITH {_BLOCKLEVEL}, hb AS (SELECT site_id, y // 16 AS cy, x // 16 AS cx, value, count(*) AS n FROM d_pixels GROUP BY ALL),
+    b AS (SELECT site_id, cy, cx, {_MODE2} AS t FROM hb GROUP BY 1, 2, 3),
+    u AS (SELECT site_id, y, x, (y + 0.5::DOUBLE) / 16 - 0.5::DOUBLE AS uy, (x + 0.5::DOUBLE) / 16 - 0.5::DOUBLE AS ux FROM d_pixels),
+    w AS (SELECT *, greatest(floor(uy), 0) AS y0, least(floor(uy) + 1, 3) AS y1, uy - floor(uy) AS fy, greatest(floor(ux), 0) AS x0, least(floor(ux) + 1, 3) AS x1, ux - floor(ux) AS fx FROM u),
+    s AS (SELECT w.site_id, y, x, (a.t * (1 - fx) + c.t * fx) * (1 - fy) + (d.t * (1 - fx) + e.t * fx) * fy AS t FROM w
+      JOIN b a ON a.site_id = w.site_id AND a.cy = y0 AND a.cx = x0 JOIN b c ON c.site_id = w.site_id AND c.cy = y0 AND c.cx = x1
+      JOIN b d ON d.site_id = w.site_id AND d.cy = y1 AND d.cx = x0 JOIN b e ON e.site_id = w.site_id AND e.cy = y1 AND e.cx = x1),
+    r AS (SELECT site_id, y, x, least(greatest(t, 0.7::DOUBLE * g), 1.5::DOUBLE * g) AS value FROM s JOIN g USING (site_id)) """ + sql_lines("r", digits=9))
+def _(d):
+    return lines(P.threshold_level(d.pixels(), "Background", "Adaptive", least_block=16), "level", 9)
+
+
+@query("threshold_per_object", f"""WITH {_BLOCKLEVEL}, hl AS (SELECT l.site_id, label, value, count(*) AS n FROM d_labels l JOIN d_pixels2 p USING (site_id, y, x) GROUP BY ALL),
+    b AS (SELECT site_id, label, {_MODE2} AS t FROM hl GROUP BY 1, 2),
+    h2 AS (SELECT site_id, value, count(*) AS n FROM d_pixels2 GROUP BY 1, 2), g2 AS (SELECT site_id, {_MODE2} AS g FROM h2 GROUP BY 1),
+    s AS (SELECT p.site_id, p.y, p.x, coalesce(t, 1) AS t FROM d_pixels2 p LEFT JOIN d_labels l ON l.site_id = p.site_id AND l.y = p.y AND l.x = p.x LEFT JOIN b ON b.site_id = l.site_id AND b.label = l.label),
+    r AS (SELECT site_id, y, x, greatest(least(greatest(t, 0.7::DOUBLE * g), 1.5::DOUBLE * g), 20) AS value FROM s JOIN g2 USING (site_id)) """ + sql_lines("r", digits=4))
+def _(d):
+    return lines(P.threshold_level(d.pixels2(), "Background", "PerObject", d.labels(), lower=20), "level", 4)
+
+
 @query("threshold_mixture")
 def _(d):
     return P.threshold_global(d.pixels(), "MoG").withColumn("level", F.round("level", 4))

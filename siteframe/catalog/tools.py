@@ -12,6 +12,7 @@ from siteframe.operators import analysis as AN
 from siteframe.operators import mutate as MU
 from siteframe.operators import relational as R
 from siteframe.plans import modules as MO
+from siteframe.plans import runs as RU
 from siteframe.streaming import incremental as INC
 
 
@@ -159,6 +160,46 @@ def _(d):
     return out["feature_values"].select("partition_key", "mapobject_id", F.col("values")["1"].alias("v"))
 
 
+# Three runs: type 3 everywhere, type 4 everywhere, then type 3 again at every other site, at two time points.
+_RUNS = """l AS (SELECT site_id, label, CAST(-floor(avg(y)) AS INTEGER) AS y, CAST(floor(avg(x)) AS INTEGER) AS x, count(*) AS n FROM d_labels GROUP BY 1, 2),
+    one AS (SELECT *, row_number() OVER (ORDER BY site_id, label) AS id FROM l WHERE label <= 4),
+    two AS (SELECT *, (SELECT max(id) FROM one) + row_number() OVER (ORDER BY site_id, label) AS id FROM l WHERE label BETWEEN 5 AND 6),
+    three AS (SELECT *, (SELECT max(id) FROM two) + row_number() OVER (ORDER BY site_id, label) AS id FROM l WHERE site_id % 2 = 0),
+    t AS (SELECT unnest([0, 1]) AS tpoint),
+    o AS (SELECT one.*, 3 AS type, 0 AS tpoint FROM one WHERE site_id % 2 = 1 UNION ALL SELECT two.*, 4, 0 FROM two
+      UNION ALL SELECT three.*, 3, tpoint FROM three, t WHERE tpoint = 0 OR label % 2 = 0)"""
+
+
+def _saved(d):
+    """The tables of a store after three runs."""
+    folder = f"{shared_folder(d.spark)}/store-{uuid.uuid4().hex}"
+    labels = d.labels().withColumn("zplane", F.lit(0)).withColumn("tpoint", F.explode(F.expr("IF(label % 2 = 0, array(0, 1), array(0))")))
+
+    def run(part, type_id):
+        measured = part.groupBy("site_id", "tpoint", "label").agg((F.count(F.lit(1)) + F.col("tpoint") / 3).alias("size"))
+        RU.save_run(folder, part, measured, {"size": "7"}, type_id)
+
+    run(labels.filter("tpoint = 0 AND label <= 4"), 3)
+    run(labels.filter("tpoint = 0 AND label BETWEEN 5 AND 6"), 4)
+    run(labels.filter("site_id % 2 = 0"), 3)
+    return RU.read_run(d.spark, folder)
+
+
+@query("save_run_objects", f"WITH {_RUNS} SELECT DISTINCT site_id AS partition_key, id, CAST(type AS INTEGER) AS mapobject_type_id FROM o")
+def _(d):
+    return _saved(d)["objects"].select("partition_key", "id", "mapobject_type_id")
+
+
+@query("save_run_segmentations", f"WITH {_RUNS} SELECT site_id AS partition_key, id AS mapobject_id, CAST(type AS INTEGER) AS mapobject_type_id, CAST(tpoint AS INTEGER) AS tpoint, 0 AS zplane, CAST(label AS INTEGER) AS label, y, x FROM o")
+def _(d):
+    return _saved(d)["segmentations"].drop("polygon")
+
+
+@query("save_run_values", f"WITH {_RUNS} SELECT site_id AS partition_key, id AS mapobject_id, CAST(type AS INTEGER) AS mapobject_type_id, CAST(tpoint AS INTEGER) AS tpoint, round(n + tpoint / 3, 6) AS size FROM o")
+def _(d):
+    return _saved(d)["feature_values"].select("partition_key", "mapobject_id", "mapobject_type_id", "tpoint", F.col("values")["7"].alias("size"))
+
+
 # --- streaming ---------------------------------------------------------------------------
 
 @query("illumination_stats_stream", """SELECT 0 AS y, CAST(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) % 24 AS INTEGER) AS x, round(avg(CASE WHEN value > 0 THEN log10(value) ELSE 0 END), 8) AS mean,

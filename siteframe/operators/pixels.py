@@ -418,10 +418,85 @@ def threshold_bernsen(px: DataFrame, radius: int, contrast: float, global_level:
     return out.withColumn("mask", mask).drop("disk_min", "disk_max")
 
 
-def threshold_global(px: DataFrame, method: str) -> DataFrame:
-    """Threshold level of each image by the method named; all but mixture work on
+def threshold_surface(px: DataFrame, method: str, least_block: int = 50) -> DataFrame:
+    """Pixels with the `level` of a surface: levels of blocks, interpolated between the centres of the blocks.
+
+    Blocks are a tenth of the image, `least_block` at least, and of the size within a tenth of that which overhangs least. The
+    overhang is dealt to both sides and filled with the outermost pixels. Levels stay between 0.7 and 1.5 times the level of the image.
+    """
+    keys = image_keys(px)
+    if "level" in keys:
+        raise ValueError("images with levels have no surface")
+    side = f"greatest({least_block}, least(round(_h / 10), round(_w / 10)))"
+    over = lambda n: f"ceil({n} / b) * b - {n}"
+    best = f"-array_min(transform(sequence(CAST(floor(1.1 * _s) AS INT), CAST(ceil(0.9 * _s) AS INT), -1), b -> struct({over('_h')} + {over('_w')} AS o, -b AS b))).b"
+    size = px.groupBy(*keys).agg((F.max("y") + 1).alias("_h"), (F.max("x") + 1).alias("_w")).withColumn("_s", F.expr(side)).withColumn("_b", F.expr(best))
+    size = size.withColumns({f"_{n}": F.expr(f"CAST(ceil(_{m} / _b) AS INT)") for n, m in (("ny", "h"), ("nx", "w"))}).withColumns(
+        {"_py": F.expr("CAST(round((_ny * _b - _h) / 2) AS INT)"), "_px": F.expr("CAST(round((_nx * _b - _w) / 2) AS INT)")})
+    sized = px.join(size, keys)
+
+    def copies(c: str, pad: str, n: str, full: str) -> Column:
+        return F.expr(f"""explode(sequence(IF({c} = 0, 0, {c} + {pad}), IF({c} = {n} - 1, {full} * _b - 1, {c} + {pad})))""")
+
+    wide = sized.select(*keys, "value", "_b", "_nx", "x", "_px", "_w", copies("y", "_py", "_h", "_ny").alias("_y")).select(
+        *keys, "value", "_b", "_nx", "_y", copies("x", "_px", "_w", "_nx").alias("_x"))
+    blocks = wide.select(*keys, "value", F.expr("CAST(_y DIV _b * _nx + _x DIV _b AS INT)").alias("level"), F.col("_y").alias("y"), F.col("_x").alias("x"))
+    levels = threshold_global(blocks, method, "t").select(*keys, F.col("level").alias("block"), "t")
+    table = levels.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("block", "t"))).alias("_t"))
+    whole = threshold_global(px, method).select(*keys, F.col("level").alias("_g"))
+    at = sized.join(table, keys).join(whole, keys)
+    for c, pad, n in (("y", "_py", "_ny"), ("x", "_px", "_nx")):
+        at = at.withColumn(f"_u{c}", F.expr(f"({c} + {pad} + 0.5D) / _b - 0.5D")).withColumns(
+            {f"_{c}0": F.expr(f"CAST(greatest(floor(_u{c}), 0) AS INT)"), f"_{c}1": F.expr(f"CAST(least(floor(_u{c}) + 1, {n} - 1) AS INT)"),
+             f"_f{c}": F.expr(f"_u{c} - floor(_u{c})")})
+    cell = lambda a, b: F.element_at("_t", F.col(a) * F.col("_nx") + F.col(b))
+    upper = cell("_y0", "_x0") * (1 - F.col("_fx")) + cell("_y0", "_x1") * F.col("_fx")
+    lower = cell("_y1", "_x0") * (1 - F.col("_fx")) + cell("_y1", "_x1") * F.col("_fx")
+    level = upper * (1 - F.col("_fy")) + lower * F.col("_fy")
+    return at.select(*px.columns, F.least(F.greatest(level, 0.7 * F.col("_g")), 1.5 * F.col("_g")).alias("level"))
+
+
+def threshold_objects(px: DataFrame, labels: DataFrame, method: str) -> DataFrame:
+    """Pixels with the `level` of the object that they belong to, between 0.7 and 1.5 times the level of the image; outside of
+    objects the level is one within the same bounds."""
+    keys = image_keys(px)
+    inside = px.join(labels.select(*keys, *PIXEL, F.col("label").alias("level")), [*keys, *PIXEL])
+    own = threshold_global(inside, method, "t").select(*keys, F.col("level").alias("label"), "t")
+    whole = threshold_global(px, method).select(*keys, F.col("level").alias("_g"))
+    at = px.join(labels.select(*keys, *PIXEL, "label"), [*keys, *PIXEL], "left").join(own, [*keys, "label"], "left").join(whole, keys)
+    return at.select(*px.columns, F.least(F.greatest(F.coalesce("t", F.lit(1.0)), 0.7 * F.col("_g")), 1.5 * F.col("_g")).alias("level"))
+
+
+def threshold_level(px: DataFrame, method: str, mode: str = "Global", labels: DataFrame | None = None, correction: float = 1.0,
+                    lower: float = 0.0, upper: float = float("inf"), least_block: int = 50) -> DataFrame:
+    """Pixels with their threshold `level`, corrected and kept within bounds, and the mask above it.
+
+    The level is that of the image (``Global``), of a surface over blocks (``Adaptive``) or of the objects in `labels` (``PerObject``).
+    """
+    if mode == "Global":
+        out = px.join(threshold_global(px, method), image_keys(px))
+    elif mode == "Adaptive":
+        out = threshold_surface(px, method, least_block)
+    elif mode == "PerObject":
+        if labels is None:
+            raise ValueError("levels per object need labels")
+        out = threshold_objects(px, labels, method)
+    else:
+        raise ValueError('mode must be "Global", "Adaptive" or "PerObject"')
+    level = F.least(F.greatest(F.col("level") * correction, F.lit(float(lower))), F.lit(float(upper)))
+    return out.withColumn("level", level).withColumn("mask", F.col("value") > F.col("level"))
+
+
+def threshold_global(px: DataFrame, method: str, name: str = "level") -> DataFrame:
+    """Threshold level of each image by the method named, in the column `name`; all but mixture work on
     image histograms."""
     keys = image_keys(px)
+    if name != "level":
+        # The images may be told apart by a column of that name.
+        inner = px.withColumnRenamed("level", "zplane") if "level" in keys and "zplane" not in keys else None
+        if inner is None:
+            raise ValueError("parts of images are told apart by level, and images not by plane")
+        return threshold_global(inner, method).withColumnRenamed("level", name).withColumnRenamed("zplane", "level")
     if method == "Background":
         # Twice the most frequent level.
         mode = image_histogram(px).groupBy(*keys).agg(
