@@ -232,6 +232,11 @@ def vectors(table: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddin
     return one.select("id", F.transform("vector", lambda c: c + F.lit(0.0)).alias("vector"), F.size("vector").alias("dim"))
 
 
+def _tasks(groups: int | None) -> int:
+    """Partitions for so many groups of work: enough that few groups share one."""
+    return max(1, min(4 * (groups or 0), 20_000))
+
+
 def index(rows: DataFrame, top: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """Graphs of all different vectors of `rows` (id, vector, dim), a shard a row.
 
@@ -245,7 +250,9 @@ def index(rows: DataFrame, top: int, shard_rows: int = SHARD_ROWS) -> DataFrame:
     shards = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.ceil(F.col("n") / room).alias("shards"))
     dealt = classes.join(shards, "dim").withColumn("deal", F.xxhash64("class")).withColumn(
         "shard", F.pmod("deal", "shards").cast("int")).drop("shards")
-    graphs = cut_lineage(dealt.groupBy("dim", "shard").applyInPandas(_build, SHARD))
+    # A shard is little data and much work: shards are dealt out before small partitions are merged.
+    tasks = _tasks(shards.agg(F.sum("shards")).first()[0])
+    graphs = cut_lineage(dealt.repartition(tasks, "dim", "shard").groupBy("dim", "shard").applyInPandas(_build, SHARD))
     discard(classes)
     return graphs
 
@@ -273,7 +280,8 @@ def nearest(table: DataFrame, wanted: Column, k: int = 20, vec_id: str = "vec_id
               .withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("last")))).select("dim", "shard", "block", "query", "vector"))
     copies = graphs.join(blocks, "dim").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks", "last")
     keys = ["dim", "shard", "block"]
-    found = copies.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(
+    tasks = _tasks(blocks.agg(F.sum((F.col("last") + 1) * F.col("blocks"))).first()[0])
+    found = copies.repartition(tasks, *keys).groupBy(*keys).cogroup(visits.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(
         _search(top, max(beam, top)), "query string, shard int, scores array<double>, ids array<long>")
     lists = cut_lineage(found.select("query", F.col("shard").alias("g"), F.zip_with(
         "scores", "ids", lambda s, i: F.struct((-s).alias("s"), i.alias("i"))).alias("found")))
