@@ -133,11 +133,15 @@ def _(d):
 
 @query("missing_metadata", """SELECT 'well' AS attribute, bool_or(length(regexp_extract(name, '_([A-Z]\\d{2})_', 1)) < 3) AS is_missing FROM d_files
     UNION ALL SELECT 'channel', bool_or(regexp_extract(name, 'C\\d{2}\\.') = '') FROM d_files
-    UNION ALL SELECT 'zplane', false UNION ALL SELECT 'tpoint', false""")
+    UNION ALL SELECT 'zplane', bool_or(regexp_extract(name, 'Z(\\d{2})C', 1) = '') FROM d_files
+    UNION ALL SELECT 'tpoint', bool_or(regexp_extract(name, '_T(\\d{4})F', 1) = '') FROM d_files WHERE name LIKE 'p!_%' ESCAPE '!'""")
 def _(d):
+    number = lambda pattern: F.nullif(F.regexp_extract("name", pattern, 1), F.lit("")).cast("int")
+    # Files that are no images have no plane; their time point is taken as the first one.
+    time = F.when(F.col("name").startswith("p_"), number(r"_T(\d{4})F")).otherwise(0)
     planes = d.files().select(F.regexp_extract("name", r"_([A-Z]\d{2})_", 1).alias("well_name"),
                               F.nullif(F.regexp_extract("name", r"C\d{2}\.", 0), F.lit("")).alias("channel_name"),
-                              F.lit(0).alias("zplane"), F.lit(0).alias("tpoint"))
+                              number(r"Z(\d{2})C").alias("zplane"), time.alias("tpoint"))
     return SM.missing_metadata(planes)
 
 
