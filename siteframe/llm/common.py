@@ -17,8 +17,8 @@ SPACES = b" \t\n\x0b\x0c\r"
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 UPPER_AZ, LOWER_AZ = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A broadcast table has at most so many rows of a few numbers each (about 50 MB as a hash table).
-BROADCAST_ROWS = 400_000
+#: A broadcast table has at most so many rows and bytes of compressed files (about 50 MB as a hash table).
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 16 << 20
 #: Bytes of text that a Python worker handles at once; a longer text is handled alone.
 CHUNK_BYTES = 4 << 20
 
@@ -78,7 +78,17 @@ def map_texts(df: DataFrame, text: str, schema: StructType, fn: Callable[[list],
     return source.mapInArrow(run, out)
 
 
+def hinted(written: DataFrame) -> DataFrame:
+    """A table that `cut_lineage` wrote, with a broadcast hint if it is small.
+
+    Small is at most BROADCAST_ROWS rows and BROADCAST_BYTES of files; a shuffle joins anything else.
+    """
+    sc = written.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(written._siteframe_path)
+    size = path.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return F.broadcast(written) if size <= BROADCAST_BYTES and written.count() <= BROADCAST_ROWS else written
+
+
 def small_side(table: DataFrame) -> DataFrame:
-    """A written copy of `table`, with a broadcast hint if it has at most BROADCAST_ROWS rows; else a shuffle joins it."""
-    written = cut_lineage(table)
-    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+    """A written copy of `table`, with a broadcast hint if it is small."""
+    return hinted(cut_lineage(table))
