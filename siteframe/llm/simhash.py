@@ -18,21 +18,28 @@ the rows grow with the members and not with their pairs.
 
 Equal texts and equal fingerprints are one node. Links and components stay
 distributed.
+
+Four of 64 bits find few copies of a similarity near 0.8 (shingle sets, intersection over union): there a seventh of the
+bits differs. `similar` therefore takes WIDE bits in blocks of 32 and covers each block by the same
+code. Two texts meet if a block differs in at most 2 bits: of pairs with similarity 0.8, 0.85 and 0.9 some 0.87, 0.97 and 0.999 do so,
+and texts that are linked through a third one need not. The distance over all bits then says which pairs are surely similar;
+those within 2.5 deviations of the limit are compared shingle by shingle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from siteframe.core import cut_lineage
+from siteframe.core import cut_lineage, discard
 from siteframe.llm.common import LOWER, map_texts, small_side
 from siteframe.llm.graph import smallest_reachable
 
@@ -40,24 +47,51 @@ SEED = 42
 COVERING_RADIUS = 1
 CROWD = 64
 _BLOCK = 1 << 15
+#: Bits of a wide fingerprint, in blocks of 32, and those that may differ in a block that texts meet by.
+WIDE, WIDE_BITS = 512, 2
+#: Members that are compared together; PIVOTS of a larger anchor are members of all its parts.
+TOGETHER, PIVOTS = 2048, 64
 
 
-def fingerprint(text: bytes | None, words: int = 4) -> int:
-    """Signed 64-bit fingerprint of the word shingles of a text; zero without words."""
+def _shingles(text: bytes | None, words: int) -> Iterator[np.ndarray]:
+    """Hashes of the word shingles of a text, in pieces."""
     tokens = (text or b"").translate(LOWER).split()
     if not tokens:
-        return 0
+        return
     joined = b" ".join(tokens)
     length = np.fromiter(map(len, tokens), np.int64, len(tokens))
     ends = np.cumsum(length + 1) - 1
     k = min(words, len(tokens))
     begin, end = (ends - length)[:len(tokens) - k + 1], ends[k - 1:]
-    digest, ones = xxhash.xxh64_intdigest, np.zeros(64, np.int64)
+    digest = xxhash.xxh64_intdigest
     for i in range(0, len(begin), _BLOCK):
-        part = np.array([digest(joined[a:b], SEED) for a, b in
-                         zip(begin[i:i + _BLOCK].tolist(), end[i:i + _BLOCK].tolist())], ">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(begin)).view(">i8")[0])
+        yield np.array([digest(joined[a:b], SEED) for a, b in
+                        zip(begin[i:i + _BLOCK].tolist(), end[i:i + _BLOCK].tolist())], np.uint64)
+
+
+def fingerprint(text: bytes | None, words: int = 4) -> int:
+    """Signed 64-bit fingerprint of the word shingles of a text; zero without words."""
+    ones, n = np.zeros(64, np.int64), 0
+    for part in _shingles(text, words):
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(part)
+    return int(np.packbits(2 * ones > n).view(">i8")[0])
+
+
+def wide_fingerprint(text: bytes | None, words: int = 5) -> np.ndarray:
+    """WIDE bits as 32-bit numbers: those set in over half of the shingles, whose hashes are stretched to as many bits."""
+    ones, n = np.zeros(WIDE, np.int64), 0
+    steps = (np.arange(WIDE // 64, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+    for part in _shingles(text, words):
+        for i in range(0, len(part), 4096):
+            x = part[i:i + 4096, None] + steps
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+            bits = np.unpackbits((x ^ (x >> np.uint64(31))).view(np.uint8), axis=1)
+            for j in range(0, len(bits), 255):
+                ones += bits[j:j + 255].sum(axis=0, dtype=np.uint8)
+        n += len(part)
+    return np.packbits(2 * ones > n).view(np.int32)
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -118,6 +152,123 @@ def _points(members: DataFrame, radius: int) -> DataFrame:
     return out.select("point", "fp")
 
 
+def at_blocks(nodes: DataFrame) -> DataFrame:
+    """(anchor, node): every wide fingerprint (node, blocks) at all anchors of its blocks within reach."""
+    masks = F.broadcast(anchor_masks(nodes.sparkSession, COVERING_RADIUS + (WIDE_BITS + 1) // 2))
+    each = nodes.select("node", F.posexplode("blocks").alias("side", "v")).select(
+        "node", F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v"), F.shiftleft(F.col("side").cast("long"), 32).alias("side"))
+    return each.withColumn("syndrome", _syndrome(F.col("v"))).join(masks, "syndrome").select(
+        F.col("v").bitwiseXOR(F.col("mask")).bitwiseOR(F.col("side")).alias("anchor"), "node")
+
+
+def distances(similarity: float) -> tuple[int, int]:
+    """Bits within which wide fingerprints are surely that similar, and beyond which they surely are not."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    spread = 2.5 * sqrt(WIDE * share * (1 - share))
+    return int(WIDE * share - spread), int(WIDE * share + spread)
+
+
+def tie(prints: np.ndarray, sure: int, most: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """Pairs of rows that are surely similar, as many as connect them, and the nearest pairs of what they leave apart, within `most`.
+
+    A row that is tied is not compared again, so that a group of copies costs little more than its number.
+    """
+    apart = lambda i, others: np.bitwise_count(prints[others] ^ prints[i]).sum(axis=1, dtype=np.int64)
+    of, rest, tied = np.full(len(prints), -1), np.arange(len(prints)), []
+    while len(rest):
+        first, rest = int(rest[0]), rest[1:]
+        of[first] = first
+        front = [first]
+        while front and len(rest):
+            i = front.pop()
+            near = apart(i, rest) <= sure
+            found, rest = rest[near].tolist(), rest[~near]
+            of[found] = first
+            tied += [(i, j) for j in found]
+            front += found
+    names, sizes = np.unique(of, return_counts=True)
+    nearest: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for i in np.nonzero(of != names[np.argmax(sizes)])[0].tolist() if len(names) > 1 else ():
+        away = apart(i, slice(None))
+        for j in np.nonzero((away <= most) & (of != of[i]))[0].tolist():
+            key = (min(of[i], of[j]), max(of[i], of[j]))
+            nearest[key] = min(nearest.get(key, (WIDE + 1, 0, 0)), (int(away[j]), i, j))
+    return tied, [(i, j) for _, i, j in nearest.values()]
+
+
+def _tie_groups(sure: int, most: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sure", pa.bool_())])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[tuple[int, int, bool]] = []
+            for members in batch.column(0):
+                # Columns of the list of structs; members of a group are told by their order.
+                rows = members.values
+                nodes = rows.field("node").to_pylist()
+                prints = np.array(rows.field("blocks").to_pylist(), np.int32).reshape(len(nodes), -1).view(np.uint64)
+                for pairs, certain in zip(tie(prints, sure, most), (True, False), strict=True):
+                    found += [(min(nodes[i], nodes[j]), max(nodes[i], nodes[j]), certain) for i, j in pairs]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*found, strict=True) if found else ([], [], []), schema, strict=True)],
+                                             schema=schema)
+
+    return run
+
+
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure): pairs of the wide fingerprints (node, blocks) that meet at an anchor and may be that similar."""
+    placed = at_blocks(nodes).repartition("anchor")
+    shared = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    parts = F.ceil(F.col("n") / TOGETHER).cast("int")
+    members = cut_lineage(placed.join(shared, "anchor").withColumn("parts", parts))
+    turn = F.xxhash64("anchor", "node")
+    own = members.withColumn("part", F.pmod(turn, F.col("parts")).cast("int"))
+    # Members of a crowd are dealt out to parts of bounded size; the pivots, drawn by their hash, are in each of them.
+    pivots = (members.filter("parts > 1").filter(F.pmod(F.xxhash64("node", "anchor"), F.col("n")) < PIVOTS)
+              .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
+    sets = (own.unionByName(pivots.select(*own.columns)).groupBy("anchor", "part").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
+            .select("nodes").filter(F.size("nodes") > 1).distinct())
+    listed = cut_lineage(sets.select(F.xxhash64("nodes").alias("of"), F.explode("nodes").alias("node")))
+    discard(members)
+    groups = (listed.join(nodes.select("node", "blocks"), "node").groupBy("of")
+              .agg(F.collect_list(F.struct("node", "blocks")).alias("members")).select("members"))
+    pairs = cut_lineage(groups.mapInArrow(_tie_groups(*distances(similarity)), "a long, b long, sure boolean"))
+    discard(listed)
+    return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
+
+
+def similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, text_hash, component, component_id) of every row; links join texts of at least that similarity.
+
+    Similarity is that of the sets of word shingles (fewer words: the whole sequence), A-Z in lower case. Nulls, texts without words, repeated
+    rows, null ids and empty tables are treated as by `components`.
+    """
+    schema = StructType([StructField("blocks", ArrayType(IntegerType()))])
+    found = cut_lineage(map_texts(docs, text, schema, lambda texts: [[wide_fingerprint(t, words) for t in texts]],
+                                  [F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash")])
+                        .withColumn("node", F.xxhash64("blocks")))
+    nodes = cut_lineage(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.min("text_hash").alias("text_hash"),
+                                                  F.first("blocks").alias("blocks")))
+    links = cut_lineage(similar_links(nodes, similarity))
+    doubt = links.filter("not sure").select("a", "b")
+    asked = small_side(doubt.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes, "node").select("node", "text_hash"))
+    texts = (docs.select(F.xxhash64(F.col(text)).alias("text_hash"), F.col(text).cast("string").alias("__words")).join(asked, "text_hash")
+             .dropDuplicates(["node"]))
+    sets = cut_lineage(map_texts(texts, "__words", StructType([StructField("hashes", ArrayType(LongType()))]), lambda rows: [[
+        np.unique(np.concatenate([*_shingles(t, words), np.zeros(0, np.uint64)])).view(np.int64) for t in rows]], [F.col("node")]))
+    side = lambda name: sets.select(F.col("node").alias(name), F.col("hashes").alias(f"{name}_set"))
+    both = F.size(F.array_intersect("a_set", "b_set"))
+    checked = (doubt.join(side("a"), "a").join(side("b"), "b")
+               .filter(both >= similarity * (F.size("a_set") + F.size("b_set") - both)).select("a", "b"))
+    roots = smallest_reachable(links.filter("sure").select("a", "b").unionByName(checked)).withColumnRenamed("root", "component")
+    named = nodes.join(roots, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    every = cut_lineage(named.join(firsts, "component").select("node", "component", "component_id"))
+    for table in (nodes, links, sets):
+        discard(table)
+    return found.join(every, "node").select("doc_id", "text_hash", "component", "component_id")
+
+
 def _compare(bits: int):
     """Compares the members of each anchor; of the links between them, so many are given as keep them connected."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -182,15 +333,15 @@ def hex16(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4,
-                bits: int = 4) -> DataFrame:
-    """The rows of `docs`, one of each component: that with the smallest doc_id.
+def one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 5,
+                similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs`, one of each component of similar texts: that with the smallest doc_id.
 
     Of rows that share this doc_id, that with the smallest hash of its text stays, and of rows
     that share this as well, the first in the order of the other columns. Rows without doc_id
     stay only where nothing in their component has one.
     """
-    each = cut_lineage(components(docs, doc_id, text, words, bits).groupBy("component", "component_id", "doc_id", "text_hash")
+    each = cut_lineage(similar(docs, doc_id, text, words, similarity).groupBy("component", "component_id", "doc_id", "text_hash")
                        .agg(F.count(F.lit(1)).alias("n")))
     # Only rows with the smallest doc_id are compared: one or a few of each component, however large it is.
     is_first = F.col("doc_id").eqNullSafe(F.col("component_id"))

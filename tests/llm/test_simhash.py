@@ -91,8 +91,54 @@ def test_one_of_each(spark):
     kept = simhash.one_of_each(docs)
     assert kept.columns == docs.columns
     ids = sorted((str(r["doc_id"]) for r in kept.collect()))
-    # 1, 1 and 2 are copies, 3 to 5 have no words, the rows without id are copies, 9 and 10 are.
-    assert ids == sorted(["1", "3", "6", "7", "8", "9", "None"])
+    # 1, 1 and 2 are copies, 3 to 5 have no words, 9 and 10 are copies; the rows without id share 17 of 18 shingles with 1.
+    assert ids == sorted(["1", "3", "6", "7", "8", "9"])
     assert simhash.one_of_each(odd.empty(spark)).isEmpty()
     once = simhash.one_of_each(docs.filter("doc_id > 5").withColumn("extra", F.lit(1)))
     assert sorted(r["doc_id"] for r in once.collect()) == [6, 7, 8, 9]
+
+
+def shingles(text, words=5):
+    tokens = text.lower().split()
+    return {tuple(tokens[i:i + words]) for i in range(max(1, len(tokens) - words + 1))}
+
+
+def edited(rng, tokens, share):
+    return " ".join(t if rng.random() > share else f"new{rng.integers(10**6)}" for t in tokens)
+
+
+@pytest.mark.parametrize("together", [2048, 20])
+def test_similar_against_brute_force(spark, monkeypatch, together):
+    monkeypatch.setattr(simhash, "TOGETHER", together)
+    rng = np.random.default_rng(3)
+    rows = []
+    for size in (120, 300, 900):
+        for group in range(6):
+            tokens = [f"w{rng.integers(5000)}" for _ in range(size)]
+            rows += [" ".join(tokens)] + [edited(rng, tokens, (0.005, 0.01, 0.03, 0.08)[i % 4]) for i in range(12 if group else 60)]
+    sets = [shingles(t) for t in rows]
+    alike = [(i, j) for i in range(len(rows)) for j in range(i)
+             if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert len(alike) > 300
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    of = {r["doc_id"]: r["component_id"] for r in simhash.similar(table).collect()}
+    parent = list(range(len(rows)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, j in alike:
+        parent[root(i)] = root(j)
+    assert len(of) == len(rows)
+    assert sum(of[i] == of[j] for i, j in alike) >= 0.97 * len(alike)
+    assert all(root(i) == root(c) for i, c in of.items())  # nothing is tied that is not similar
+
+
+def test_rows_are_tied_once():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 8).astype(np.uint64)
+    prints = np.array([base ^ (np.uint64(1) << rng.integers(0, 60, 8).astype(np.uint64)) for _ in range(50)])
+    tied, apart = simhash.tie(prints, 57, 98)
+    assert len(tied) == 49 and apart == []
