@@ -1,11 +1,11 @@
 """Quality rules: cross-document line frequency and repetition inside a text.
 
 Lines are normalised (A-Z in lower case, digits as 0, white space as one space) and hashed.
-Per host the documents that hold a line are counted. Copies would make every line of a
-copied document look frequent, so a document counts by what surrounds the line: documents whose
-other lines have the same smallest hash count as one, equal texts always do. A line is above the
-limit if the documents so counted reach `min_docs` and `min_share` of the documents of the host,
-and are at least half of the different texts that hold it (in a group of near copies they are few).
+Per host the different documents (by whole text) that hold a line are counted; a line is above the limit if they reach `min_docs` and
+`min_share` of the documents of the host. Near copies would make every line of a copied document look frequent.
+Each text therefore has a signature: SIGNS minima over its five-word shingles. Texts of similarity COPY have (1 - COPY) / (1 + COPY) of
+their shingles for themselves, and as large a share of new minima; a line whose documents have no more than that is a
+line of copies and stays. What a template leaves to its documents is more.
 Lines above the limit are removed; a document is depleted, and rejected, if fewer than
 `min_words` words or less than `min_rest` of its words remain.
 
@@ -28,6 +28,8 @@ from siteframe.llm.common import LOWER, SPACES, map_texts, small_side
 
 MIN_DOCS, MIN_SHARE = 10, 0.01
 MIN_WORDS, MIN_REST = 10, 0.3
+#: Minima of a signature, words of its shingles, and the similarity from which texts are copies.
+SIGNS, SHINGLE, COPY = 16, 5, 0.8
 #: Of the base rule.
 BASE_WORDS, BASE_REPEAT_PERCENT, REPEAT_WINDOW = 20, 30, 8
 
@@ -73,9 +75,50 @@ def repeated_words(texts: list[list[bytes]], window: int = REPEAT_WINDOW) -> np.
     return np.bincount(of[inside], minlength=len(texts))
 
 
+def factors(start: int, n: int) -> list[int]:
+    """Powers of an odd number modulo 2^64."""
+    return [pow(start, i + 1, 1 << 64) for i in range(n)]
+
+
+WORD_FACTORS, SIGN_FACTORS = factors(0x9E3779B97F4A7C15, SHINGLE), factors(0xD1342543DE82EF95, SIGNS)
+
+
+class WordCodes(dict):
+    """60 bits of the MD5 of words, kept for a task."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        code = self[word] = int(hashlib.md5(word).hexdigest()[:15], 16)
+        return code
+
+
+def signatures(texts: list[list[bytes]], codes: dict[bytes, int]) -> list[list[int] | None]:
+    """For each list of words SIGNS minima over its shingles (fewer words: over the whole list); None without words."""
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    words = np.fromiter((codes[w] for t in texts for w in t), np.uint64, int(lengths.sum()))
+    out: list[list[int] | None] = [None] * len(texts)
+    if not len(words):
+        return out
+    of = np.repeat(np.arange(len(texts)), lengths)
+    first = np.cumsum(lengths) - lengths
+    sums = words * np.uint64(WORD_FACTORS[0])
+    for i in range(1, min(SHINGLE, len(words))):
+        sums[:-i] += np.where(of[i:] == of[:-i], words[i:], np.uint64(0)) * np.uint64(WORD_FACTORS[i])
+    place = np.arange(len(words)) - first[of]
+    whole = (place + SHINGLE <= lengths[of]) | (place == 0)
+    sums, of = sums[whole] >> np.uint64(4), of[whole]
+    at, begin = np.unique(of, return_index=True)
+    least = np.stack([np.minimum.reduceat(sums * np.uint64(f), begin) >> np.uint64(1) for f in SIGN_FACTORS], axis=1)
+    for i, row in zip(at.tolist(), least.astype(np.int64).tolist(), strict=True):
+        out[i] = row
+    return out
+
+
 STATS = StructType([StructField(n, LongType()) for n in (
     "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [
-    StructField(n, ArrayType(LongType())) for n in ("line_no", "line_hash", "line_words")])
+    StructField(n, ArrayType(LongType())) for n in ("line_no", "line_hash", "line_words", "signs")])
+_codes = WordCodes()
 
 
 def _measure(texts: list[bytes | None]) -> list:
@@ -91,7 +134,8 @@ def _measure(texts: list[bytes | None]) -> list:
         numbers.append([i for i, _ in lines])
         hashes.append([line_hash(x) for _, x in lines])
         counts.append([len(x.split()) for _, x in lines])
-    return [[len(w) for w in words], chars, symbols, duplicate, repeated_words(words), numbers, hashes, counts]
+    return [[len(w) for w in words], chars, symbols, duplicate, repeated_words(words), numbers, hashes, counts,
+            signatures(words, _codes)]
 
 
 def host_key(host: Column) -> Column:
@@ -108,17 +152,17 @@ def measure(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: s
 
 def frequent_lines(measured: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, h) of the lines above the limits of their host."""
-    own = F.array_sort(F.array_distinct("line_hash"))
-    lines = (measured.select("host", "text_hash", own.alias("hs"))
-             .select("host", "text_hash", F.col("hs")[0].alias("least"), F.get("hs", F.lit(1)).alias("next"),
-                     F.explode("hs").alias("h"))
-             .withColumn("rest", F.when(F.col("h") == F.col("least"), F.col("next")).otherwise(F.col("least"))))
-    texts = lines.groupBy("host", "h", "rest", "text_hash").agg(F.lit(1).alias("one"))
-    around = texts.groupBy("host", "h", "rest").agg(F.count(F.lit(1)).alias("texts"))
-    held = around.groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"), F.sum("texts").alias("texts"))
+    lines = measured.select("host", "text_hash", F.explode(F.array_distinct("line_hash")).alias("h"))
+    held = lines.groupBy("host", "h", "text_hash").agg(F.lit(1).alias("one")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("docs"))
     hosts = measured.groupBy("host").agg(F.count(F.lit(1)).alias("on_host"))
-    likely = held.filter((F.col("docs") >= min_docs) & (2 * F.col("docs") >= F.col("texts")))
-    return likely.join(hosts, "host").filter(F.col("docs") >= min_share * F.col("on_host")).select("host", "h")
+    likely = small_side(held.filter(F.col("docs") >= min_docs).join(hosts, "host").filter(F.col("docs") >= min_share * F.col("on_host"))
+                        .select("host", "h", "docs"))
+    signed = measured.select("host", "signs", F.explode(F.array_distinct("line_hash")).alias("h")).join(likely.drop("docs"), ["host", "h"], "left_semi")
+    different = (signed.select("host", "h", F.posexplode("signs").alias("place", "sign")).distinct()
+                 .groupBy("host", "h").agg(F.count(F.lit(1)).alias("signs")))
+    # The first text gives SIGNS minima, each further one as many of its own as the share of its own shingles.
+    own = (1 + COPY) * (F.col("signs") - SIGNS) > (1 - COPY) * SIGNS * (F.col("docs") - 1)
+    return likely.join(different, ["host", "h"]).filter(own).select("host", "h")
 
 
 def line_cuts(measured: DataFrame, min_docs: int = MIN_DOCS, min_share: float = MIN_SHARE) -> DataFrame:
@@ -150,7 +194,7 @@ def judge(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", host: str
     """
     measured = cut_lineage(measure(docs, doc_id, text, host))
     cuts = small_side(line_cuts(measured))
-    return (measured.drop("line_no", "line_hash", "line_words").join(cuts, ["host", "text_hash"], "left")
+    return (measured.drop("line_no", "line_hash", "line_words", "signs").join(cuts, ["host", "text_hash"], "left")
             .withColumn("removed_words", F.coalesce("removed_words", F.lit(0).cast("long")))
             .withColumn("base_failed", base_failed()).withColumn("depleted", depleted())
             .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted")))

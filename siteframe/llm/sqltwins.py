@@ -7,6 +7,10 @@ from siteframe.llm import chat, decontaminate, mixture, quality, urlrules
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _LINE = "trim(regexp_replace(regexp_replace(" + _LOWER.format("l") + r", '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), ' ')"
 
+_TURN = f"{1 << 64}::HUGEINT"
+_SHINGLE = " + ".join(f"coalesce(cs[i + {i + 1}], 0) * {f}::HUGEINT % {_TURN}" for i, f in enumerate(quality.WORD_FACTORS))
+_FACTORS = ", ".join(f"({j}, {f}::HUGEINT)" for j, f in enumerate(quality.SIGN_FACTORS))
+
 QUALITY = rf"""
 WITH t AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '' ELSE '=' || source END AS host, coalesce(text, '') AS text,
@@ -25,16 +29,25 @@ lines AS (
   FROM (SELECT host, th, l, no, ('0x' || substr(md5({_LINE}), 1, 15))::BIGINT AS h
         FROM (SELECT host, th, unnest(ls) AS l, unnest(generate_series(1, len(ls))) AS no
               FROM (SELECT DISTINCT host, th, ls FROM t)))),
-least_two AS (SELECT host, th, list_sort(list(DISTINCT h)) AS hs FROM lines GROUP BY host, th),
-rests AS (
-  SELECT DISTINCT l.host, l.th, l.h, CASE WHEN l.h = hs[1] THEN hs[2] ELSE hs[1] END AS rest
-  FROM lines l JOIN least_two USING (host, th)),
-held AS (
-  SELECT host, h, count(*) AS docs, sum(texts) AS texts
-  FROM (SELECT host, h, rest, count(*) AS texts FROM rests GROUP BY host, h, rest) GROUP BY host, h),
+likely AS (
+  SELECT host, h, docs FROM (SELECT host, h, count(DISTINCT th) AS docs FROM lines GROUP BY host, h)
+  JOIN (SELECT host, count(*) AS on_host FROM t GROUP BY host) USING (host)
+  WHERE docs >= {quality.MIN_DOCS} AND docs >= {quality.MIN_SHARE}::DOUBLE * on_host),
+holders AS (SELECT DISTINCT host, h, th FROM lines JOIN likely USING (host, h)),
+codes AS (
+  SELECT th, list_transform(ws, lambda w: ('0x' || substr(md5(w), 1, 15))::BIGINT::HUGEINT) AS cs
+  FROM (SELECT DISTINCT th, ws FROM t WHERE th IN (SELECT th FROM holders))),
+shingles AS (
+  SELECT th, ({_SHINGLE}) % {_TURN} // 16 AS s
+  FROM (SELECT th, cs, unnest(range(0, greatest(len(cs) - {quality.SHINGLE}, 0) + 1)) AS i FROM codes)),
+signs AS (
+  SELECT th, j, min((s * factor) % {_TURN}) // 2 AS sign
+  FROM shingles, (VALUES {_FACTORS}) AS f(j, factor) GROUP BY th, j),
+spread AS (
+  SELECT host, h, count(*) AS signs FROM (SELECT DISTINCT host, h, j, sign FROM holders JOIN signs USING (th)) GROUP BY host, h),
 frequent AS (
-  SELECT host, h FROM held JOIN (SELECT host, count(*) AS on_host FROM t GROUP BY host) USING (host)
-  WHERE docs >= {quality.MIN_DOCS} AND 2 * docs >= texts AND docs >= {quality.MIN_SHARE}::DOUBLE * on_host),
+  SELECT host, h FROM likely JOIN spread USING (host, h)
+  WHERE {1 + quality.COPY}::DOUBLE * (signs - {quality.SIGNS}) > {(1 - quality.COPY) * quality.SIGNS}::DOUBLE * (docs - 1)),
 cuts AS (SELECT host, th, sum(words)::BIGINT AS removed_words FROM lines JOIN frequent USING (host, h) GROUP BY host, th),
 counts AS (
   SELECT doc_id, host, th, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,

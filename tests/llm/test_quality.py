@@ -78,3 +78,26 @@ def test_duplicate_lines_and_symbols(spark):
     a, b = quality.judge(docs).orderBy("doc_id").select("n_dup_lines", "n_symbols", "n_words").collect()
     assert tuple(a) == (1, 4, 8) and tuple(b) == (1, 0, 3)
     assert docs.select(F.max("doc_id")).first()[0] == 1
+
+
+def test_templates_of_several_lines(spark):
+    lines = [f"{LINE} {own(7000 + k, 3)}" for k in range(15)]
+    docs, expected, start = None, {}, 0
+    for shared, alone in ((2, 1), (3, 1), (5, 1), (5, 3), (5, 10)):
+        host = f"{shared}-{alone}"
+        texts = ["\n".join([*lines[:shared], *[own(start + 20 * i + k, 12) for k in range(alone)]]) for i in range(60)]
+        table = site(spark, texts, host, start)
+        docs = table if docs is None else docs.unionByName(table)
+        expected[host] = shared
+        start += 2000
+    found = quality.frequent_lines(quality.measure(docs)).groupBy("host").count().collect()
+    assert {r["host"][1:]: r["count"] for r in found} == expected
+
+
+def test_signatures_of_copies_and_short_texts():
+    words = [own(i, 200).split() for i in range(2)]
+    copy = [*words[0][:100], "x", *words[0][101:]]
+    a, b, c, short, none = quality.signatures([[w.encode() for w in t] for t in (words[0], copy, words[1], ["one", "two"], [])], quality.WordCodes())
+    assert sum(x == y for x, y in zip(a, b, strict=True)) >= 12 and not set(a) & set(c)
+    assert len(short) == quality.SIGNS and none is None
+    assert quality.signatures([[b"one", b"two"]], quality.WordCodes()) == [short]
