@@ -76,6 +76,38 @@ def test_statistics_stream_equals_batch(spark, tmp_path):
         assert got[r.y, r.x] == pytest.approx((r.mean, r["std"]))
 
 
+@pytest.mark.parametrize("merge_every", [8, 2])
+def test_statistics_stream_writes_what_it_changed(spark, tmp_path, merge_every):
+    from siteframe.operators.pixels import illumination_stats
+    folder, stats = str(tmp_path / "px"), str(tmp_path / "stats")
+    schema = "site_id bigint, channel_id int, y int, x int, value int"
+
+    def run(site, channel):
+        new = to_rows(spark, noise((4, 4), 10 * site + channel), site=site).selectExpr("site_id", f"{channel} AS channel_id", "y", "x", "int(value) AS value")
+        new.coalesce(1).write.mode("append").parquet(folder)
+        INC.illumination_stats_stream(INC.read_pixel_stream(spark, folder, schema, 1), stats, str(tmp_path / "c"), merge_every).awaitTermination()
+
+    run(0, 1)
+    run(1, 2)
+    run(2, 1)
+    got = {(r.channel_id, r.y, r.x): (r.mean, r["std"]) for r in INC.latest_stats(spark, stats).collect()}
+    want = illumination_stats(spark.read.parquet(folder)).collect()
+    assert len(got) == len(want) == 32
+    for r in want:
+        assert got[r.channel_id, r.y, r.x] == (pytest.approx((r.mean, r["std"])) if r["std"] is not None else (pytest.approx(r.mean), None))
+    whole, changed = INC._versions(spark, stats)
+    assert (whole, changed) == ((None, [0, 1, 2]) if merge_every == 8 else (1, [2]))
+    kept = {(kind, n) for kind, n, _ in INC._folders(spark, stats)}
+    assert kept == ({("batch", 0), ("batch", 1), ("batch", 2)} if merge_every == 8 else {("upto", 1), ("batch", 2)})
+    last = spark.read.parquet(f"{stats}/batch=2")
+    assert last.select("channel_id").distinct().collect() == [(1,)]
+    # A batch that a failure repeats after it was merged does not count again.
+    last.write.parquet(f"{stats}/batch=0", mode="overwrite")
+    if whole is not None:
+        again = {(r.channel_id, r.y, r.x): (r.mean, r["std"]) for r in INC.latest_stats(spark, stats).collect()}
+        assert again == got
+
+
 def test_file_stream_registers_each_name_once(spark, tmp_path):
     names = [("p_A01_T0001F001L01A01Z01C01.png",), (".hidden.png",), ("notes.txt",), ("x.mlf",)]
     source = str(tmp_path / "names")
