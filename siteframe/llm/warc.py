@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,6 +37,13 @@ EMPTY_MEMBER = bytes([31, 139, 8, 0, 0, 0, 0, 0, 0, 255, 3, 0, 0, 0, 0, 0, 0, 0,
 MAGIC, VERSION = b"\x1f\x8b\x08", b"WARC/1.1\r\n"
 DATE = "2000-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Fields that a record may hold more than once.
+REPEATED = frozenset(("warc-concurrent-to",))
+#: Longest header of a record or an HTTP message, longest name or comment of a member, input handed to inflate at once.
+HEADER_BYTES, NAME_BYTES, PIECE_BYTES = 1 << 20, 1024, 1 << 16
+_VERSION = re.compile(rb"WARC/[0-9]\.[0-9]{1,2}\r\n")
+_START = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]|WARC/[0-9]\.[0-9]{1,2}\r\n")
+_CHUNK = re.compile(rb"[0-9A-Fa-f]{1,15}")
 
 
 def digest(payload: bytes) -> str:
@@ -72,104 +80,175 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def _headers(raw: bytes) -> dict[str, str]:
-    out = {}
-    for line in raw.split(b"\r\n"):
+def _header(data: bytes, start: int, once: bool) -> tuple[dict[str, str], int]:
+    """Fields of the header lines at `start`, and where the block after the empty line begins.
+
+    Lines are read one by one, so that a false start ends at its first bad line. Repeated fields keep their first value;
+    with `once` only fields that may repeat in a record do.
+    """
+    out: dict[str, str] = {}
+    key, at = "", start
+    while True:
+        end = data.find(b"\r\n", at, start + HEADER_BYTES)
+        if end < 0:
+            raise Damaged("header does not end")
+        if end == at:
+            return out, end + 2
+        line = data[at:end]
+        at = end + 2
+        if line[:1] in b" \t" and key:  # a folded line
+            out[key] += " " + line.strip().decode("utf-8", "replace")
+            continue
         name, colon, value = line.partition(b":")
         if not colon:
             raise Damaged("header line without colon")
         key = name.strip().lower().decode("utf-8", "replace")
         if key in out:
-            raise Damaged("header repeats a field, as where another record begins inside it")
-        out[key] = value.strip().decode("utf-8", "replace")
-    return out
+            if once and key not in REPEATED:
+                raise Damaged("header repeats a field, as where another record begins inside it")
+            key = ""
+        else:
+            out[key] = value.strip().decode("utf-8", "replace")
 
 
 def _number(value: str | None) -> int:
-    if value is None or not value.isdigit():
+    if value is None or not (value.isascii() and value.isdigit()):
         raise Damaged("length is no number")
     return int(value)
 
 
+def _same(label: str | None, data: bytes) -> bool | None:
+    """Whether data has a labelled digest; nothing if there is no digest of a known kind."""
+    kind, _, value = (label or "").partition(":")
+    if kind.strip().lower() not in ("sha1", "sha-1"):
+        return None
+    return value.strip().upper() == digest(data) or value.strip().lower() == hashlib.sha1(data).hexdigest()
+
+
+def _dechunked(body: bytes) -> bytes | None:
+    """The body without the lengths of its chunks; nothing if it is not made of chunks."""
+    parts, at = [], 0
+    while True:
+        end = body.find(b"\r\n", at, at + HEADER_BYTES)
+        size = body[at:end].partition(b";")[0].strip() if end > at else b""
+        if not _CHUNK.fullmatch(size):
+            return None
+        length = int(size, 16)
+        if not length:
+            return b"".join(parts)
+        at = end + 2 + length
+        if body[at:at + 2] != b"\r\n":
+            return None
+        parts.append(body[at - length:at])
+        at += 2
+
+
 def parse(data: bytes, start: int = 0) -> tuple[dict, int]:
-    """The record at `start` of plain bytes and where it ends; raises Damaged if a check fails."""
-    if not data.startswith(VERSION, start):
+    """The record at `start` of plain bytes and where it ends; raises Damaged if a check fails.
+
+    Records of any version and type count. HTTP fields may repeat; the HTTP length, the digests and for chunked bodies
+    a digest over either form of the body may be missing. What is there has to be right, but for the HTTP length of a record whose
+    digests tell that it is whole (a body that was cut or unpacked).
+    """
+    version = _VERSION.match(data, start)
+    if not version:
         raise Damaged("no version line")
-    split = data.find(b"\r\n\r\n", start)
-    if split < 0:
-        raise Damaged("header does not end")
-    head = _headers(data[start + len(VERSION):split])
-    length = _number(head.get("content-length"))
-    begin, end = split + 4, split + 4 + length
+    head, begin = _header(data, version.end(), True)
+    end = begin + _number(head.get("content-length"))
     if data[end:end + 4] != b"\r\n\r\n":
         raise Damaged("record does not end where its length says")
-    block = data[begin:end]
-    if "sha1:" + digest(block) != head.get("warc-block-digest"):
+    block, kind, label = data[begin:end], head.get("warc-type"), head.get("warc-payload-digest")
+    whole = _same(head.get("warc-block-digest"), block)
+    if whole is False:
         raise Damaged("block digest differs")
-    http, blank, payload = block.partition(b"\r\n\r\n")
-    if not blank:
-        raise Damaged("HTTP header does not end")
-    size = _number(_headers(http.partition(b"\r\n")[2]).get("content-length"))
-    kind, sha = head.get("warc-type"), head.get("warc-payload-digest", "").removeprefix("sha1:")
-    if kind == "response" and (len(payload) != size or digest(payload) != sha):
+    payload: bytes | None = None if kind == "revisit" else block
+    size: int | None = None if kind == "revisit" else len(block)
+    if kind in ("response", "request", "revisit") and (block.startswith(b"HTTP/") or head.get("content-type", "").lower().startswith("application/http")):
+        line = block.find(b"\r\n")
+        if line < 0 and block:
+            raise Damaged("HTTP header does not end")
+        fields, body = _header(block, line + 2, False) if block else ({}, 0)
+        told = fields.get("content-length")
+        if kind == "revisit":
+            size = _number(told) if told is not None else None
+        else:
+            payload = block[body:]
+            plain = _dechunked(payload) if "chunked" in fields.get("transfer-encoding", "").lower() else None
+            same = _same(label, payload)
+            if same is False and plain is not None:
+                same = _same(label, plain)
+            if same is False or (plain is None and told is not None and not (whole or same) and _number(told) != len(payload)):
+                raise Damaged("payload differs from its digest or length")
+            payload = payload if plain is None else plain
+            size = len(payload)
+    elif payload is not None and _same(label, payload) is False:
         raise Damaged("payload differs from its digest or length")
-    return {"record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "record_type": kind, "payload_digest": sha,
-            "payload_bytes": size, "refers_to": head.get("warc-refers-to"), "payload": payload if kind == "response" else None}, end + 4
+    sha = (label or "").partition(":")[2] if payload is None else digest(payload)
+    return {"record_id": head.get("warc-record-id"), "uri": head.get("warc-target-uri"), "record_type": kind, "payload_digest": sha or None,
+            "payload_bytes": size, "refers_to": head.get("warc-refers-to"), "payload": payload}, end + 4
 
 
 def _member(data: bytes, start: int) -> tuple[bytes, int]:
-    """The content of the gzip member at `start` and where it ends."""
-    z = zlib.decompressobj(31)
+    """The content of the gzip member at `start` and where it ends. Input goes in by growing pieces, so that little of what follows is copied."""
+    flags, at = data[start + 3:start + 4], start + 10
+    if not flags or flags[0] & 0xE0:
+        raise Damaged("gzip: header")
+    if flags[0] & 4:
+        at += 2 + int.from_bytes(data[at:at + 2], "little")
+    for bit in (8, 16):  # name and comment end with a zero
+        if flags[0] & bit:
+            at = data.find(b"\0", at, at + NAME_BYTES) + 1
+            if not at:
+                raise Damaged("gzip: header does not end")
+    z, parts, at, piece = zlib.decompressobj(31), [], start, 256
     try:
-        raw = z.decompress(memoryview(data)[start:])
+        while not z.eof and at < len(data):
+            parts.append(z.decompress(data[at:at + piece]))
+            at, piece = at + piece, min(4 * piece, PIECE_BYTES)
     except zlib.error as e:
         raise Damaged(f"gzip: {e}") from e
     if not z.eof:
         raise Damaged("gzip member does not end")
-    return raw, len(data) - len(z.unused_data)
+    return b"".join(parts), min(at, len(data)) - len(z.unused_data)
 
 
-def _record(data: bytes, start: int) -> tuple[dict | None, int]:
-    """Record or nothing (an empty member) at `start`, and where it ends."""
+def _records(data: bytes, start: int) -> tuple[list[dict], int]:
+    """Records of the member (none if it is empty), or the plain record, at `start`, and where it ends."""
     if not data.startswith(MAGIC, start):
-        return parse(data, start)
+        found, end = parse(data, start)
+        return [found], end
     raw, end = _member(data, start)
-    if not raw:
-        return None, end
-    found, used = parse(raw)
-    if used != len(raw):
-        raise Damaged("member holds more than a record")
-    return found, end
-
-
-def _next_start(data: bytes, start: int) -> int:
-    """Where the next member or version line may begin."""
-    places = [p for p in (data.find(MAGIC, start), data.find(VERSION, start)) if p >= 0]
-    return min(places, default=len(data))
+    out, used = [], 0
+    while used < len(raw):
+        found, used = parse(raw, used)
+        out.append(found)
+    return out, end
 
 
 def salvage(data: bytes) -> Iterator[dict]:
-    """Records in order, and between them the gaps: {"gap_at", "gap_bytes", "reason"}."""
-    at = 0
+    """Records in order, and between them the gaps: {"gap_at", "gap_bytes", "reason"}.
+
+    Candidates for the end of a gap are found in one pass, and a false one fails after a bounded header, so that damage costs
+    time in proportion to its length.
+    """
+    at, gap, reason = 0, None, ""
     while at < len(data):
         try:
-            found, end = _record(data, at)
-            if found:
-                yield found | {"at": at}
-            at = end
-            continue
+            found, end = _records(data, at)
         except Damaged as e:
-            reason, begin = str(e), at
-        while True:
-            at = _next_start(data, at + 1)
-            if at == len(data):
-                break
-            try:
-                _record(data, at)
-                break
-            except Damaged:
-                pass
-        yield {"gap_at": begin, "gap_bytes": at - begin, "reason": reason}
+            if gap is None:
+                gap, reason = at, str(e)
+            mark = _START.search(data, at + 1)
+            at = mark.start() if mark else len(data)
+            continue
+        if gap is not None:
+            yield {"gap_at": gap, "gap_bytes": at - gap, "reason": reason}
+            gap = None
+        for r in found:
+            yield r | {"at": at}
+        at = end
+    if gap is not None:
+        yield {"gap_at": gap, "gap_bytes": at - gap, "reason": reason}
 
 
 def roles(pages: DataFrame, page_id: str = "page_id", payload: str = "html") -> DataFrame:
@@ -231,6 +310,10 @@ READ = StructType([StructField(n, StringType()) for n in ("archive", "record_id"
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """Records and gaps of all archives below `path`; a row is a gap if gap_bytes is not null.
 
+    Archives of others may hold records of any version and type, several to a member; the payload of a chunked response is that without
+    the chunk lengths, and payload_digest is computed where the payload is there. A record without a payload (a revisit) has the
+    digest that its header tells. An empty file has no rows.
+
     A file is read whole by one task, which the size of archives bounds; give `payloads=False` where payloads are only to be checked.
     """
     arrow = to_arrow_schema(READ)

@@ -1,6 +1,7 @@
 import base64
 import gzip
 import hashlib
+import time
 
 import odd
 import pytest
@@ -88,4 +89,53 @@ def test_false_starts_inside_payloads():
 
 def test_empty_table(spark, tmp_path):
     assert warc.round_trip(pages(spark).filter("false"), str(tmp_path / "none")).isEmpty()
-    assert odd.CLASHING
+
+
+def foreign(fields, block, version="1.0"):
+    head = "".join(f"{k}: {v}\r\n" for k, v in [*fields, ("Content-Length", len(block))])
+    return f"WARC/{version}\r\n{head}\r\n".encode() + block + b"\r\n\r\n"
+
+
+def response(i, http, body, *more):
+    return foreign([("WARC-Type", "response"), ("WARC-Record-ID", f"<urn:x:{i}>"), ("Content-Type", "application/http; msgtype=response"), *more],
+                   ("HTTP/1.1 200 OK\r\n" + "".join(f"{x}\r\n" for x in http) + "\r\n").encode() + body)
+
+
+def test_foreign_records():
+    chunked = b"5\r\nhello\r\n6;x=y\r\n world\r\n0\r\n\r\n"
+    info = foreign([("WARC-Type", "warcinfo"), ("WARC-Record-ID", "<urn:x:0>"), ("WARC-Concurrent-To", "a"), ("WARC-Concurrent-To", "b")], b"software: a\r\n")
+    records = [info, response(1, ["Set-Cookie: a", "Set-Cookie: b", "Content-Length: 3"], b"one"), response(2, ["Transfer-Encoding: chunked"], chunked),
+               response(3, [], b"no length"), response(4, ["X: a,", " b"], b"", ("WARC-Payload-Digest", "sha1:" + hashlib.sha1(b"").hexdigest())),
+               response(5, [], b"changed", ("WARC-Payload-Digest", "sha1:" + warc.digest(b"before"))),
+               response(6, ["Content-Length: 9"], b"cut"), response(7, ["Content-Length: 9"], b"cut", ("WARC-Payload-Digest", "sha1:" + warc.digest(b"cut"))),
+               foreign([("WARC-Type", "revisit"), ("WARC-Record-ID", "<urn:x:8>"), ("WARC-Refers-To", "<urn:x:1>")], b"", "1.1"),
+               foreign([("WARC-Type", "resource"), ("WARC-Record-ID", "<urn:x:9>")], b"", "1.1")]
+    want = [("<urn:x:0>", b"software: a\r\n"), ("<urn:x:1>", b"one"), ("<urn:x:2>", b"hello world"), ("<urn:x:3>", b"no length"), ("<urn:x:4>", b""),
+            ("<urn:x:7>", b"cut"), ("<urn:x:8>", None), ("<urn:x:9>", b"")]
+    gap = sum(len(records[i]) for i in (5, 6))
+    plain = b"".join(records)
+    packed = b"".join(gzip.compress(r) for r in records)
+    for data, gaps in ((plain, [gap]), (packed, [len(gzip.compress(records[5])) + len(gzip.compress(records[6]))])):
+        found = list(warc.salvage(data))
+        assert [(r["record_id"], r["payload"]) for r in found if "gap_at" not in r] == want
+        assert [r["gap_bytes"] for r in found if "gap_at" in r] == gaps
+    whole = gzip.compress(b"".join(r for i, r in enumerate(records) if i not in (5, 6)))  # one member for all records
+    assert [(r["record_id"], r["payload"]) for r in warc.salvage(whole)] == want
+    revisit = next(r for r in warc.salvage(plain) if r.get("record_type") == "revisit")
+    assert revisit["refers_to"] == "<urn:x:1>" and revisit["payload_bytes"] is None
+
+
+@pytest.mark.parametrize("start", [b"\x1f\x8b\x08", b"\x1f\x8b\x08\x08name", b"WARC/1.1\r\n", b"WARC/1.1\r\na: b\r\n"])
+def test_false_starts_take_linear_time(start):
+    began = time.time()
+    good = warc.pack(1, "a", b"one", None)
+    found = list(warc.salvage(start * ((1 << 20) // len(start)) + b"\0\0" + good))
+    assert [r["record_id"] for r in found if "record_id" in r] == ["<urn:page:1>"] and len(found) == 2
+    assert time.time() - began < 10
+
+
+def test_clashing_columns(spark, tmp_path):
+    table = odd.docs(spark).withColumnsRenamed({"doc_id": "page_id", "text": "html"}).withColumn("url", F.lit("u"))
+    assert set(odd.CLASHING) <= set(table.columns)
+    got = warc.round_trip(table, str(tmp_path / "odd"))
+    assert got.count() == len(odd.DOCS) and got.columns == ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
