@@ -4,9 +4,10 @@ Events of the streaming parser of the standard library become lines: text betwee
 the containers around it. The text-to-tag ratio of the lines is smoothed with a Gaussian, and lines above a
 threshold (k-means of two clusters on the ratios) are content. Content lines choose the region: the
 smallest element that holds all of their text. It is kept whole, so that short paragraphs and headings
-inside an article stay. An article or main part is one element, whatever is inside. Parts that are never content (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, comments of readers) are told by element, role, class or id and are
-no candidates. If a page marks an article or main part, only lines inside such parts are candidates.
+inside an article stay; of the lines around it those stay that are not mostly links. An article or main part is one element, whatever is inside.
+Parts that are never content (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments of readers) are told by element,
+role, class or id and are no candidates. If a page marks an article or main part, only lines inside such parts are candidates, unless
+nine tenths of the text of content lines are elsewhere, as where a short teaser is marked. Work grows with the length of a page, however deep its elements.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ PART_WORDS = frozenset(
 #: Of these, those that also tell of an article that it is none; and words in front that negate.
 NO_ARTICLE = frozenset("comment comments reply replies related ad ads advert promo sponsored".split())
 NEGATING = frozenset("no has with without".split())
+#: A first word that one of these follows is part of a name, as in "search results" or "form of life".
+FOLLOWED = frozenset("of in on to and or for from by the at work works result results".split())
 #: Words that tell wherever they stand in a mark; the others do as its first or last word.
 STRONG = frozenset("comment comments advert adverts advertisement sponsored cookie cookies consent gdpr newsletter disqus navbar breadcrumb breadcrumbs".split())
 #: Elements that hold lines and not other elements; regions are elements around them.
@@ -57,10 +60,9 @@ class Line:
     text: list[str] = field(default_factory=list)
     tags: int = 0
     main: bool = False
-    around: tuple[int, ...] = ()
-
-    def words(self) -> str:
-        return " ".join("".join(self.text).split())
+    region: int = 0
+    linked: int = 0
+    words: str = ""
 
 
 def names_part(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
@@ -71,7 +73,10 @@ def names_part(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
     telling = NO_ARTICLE if tag in MAIN or tag in INLINE else PART_WORDS
     for mark in f"{values.get('class') or ''} {values.get('id') or ''}".split():
         words = _PART.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", mark).lower())
-        if words and words[0] not in NEGATING and (words[0] in telling or words[-1] in telling or not telling.isdisjoint(STRONG.intersection(words))):
+        if not words or words[0] in NEGATING:
+            continue
+        first = words[0] in telling and not FOLLOWED.intersection(words[1:2])
+        if first or words[-1] in telling or not telling.isdisjoint(STRONG.intersection(words)):
             return True
     return False
 
@@ -84,20 +89,25 @@ class Lines(HTMLParser):
         self.lines: list[Line] = []
         self.line = Line()
         self.open: list[tuple[str, bool, bool, int]] = []  # element, hides its content, is a main part, number as a region
-        self.hidden = self.main = self.regions = 0
-        self.around: tuple[int, ...] = ()
+        self.depth: Counter = Counter()  # open elements of a name
+        self.hidden = self.main = self.region = 0
+        self.around, self.last = [0], [0]  # of each region, the one around it and the last one inside it; 0 is the page
 
     def _border(self) -> None:
         if self.line.text:
-            self.lines.append(self.line)
-        self.line = Line(main=self.main > 0, around=self.around)
+            self.line.words = " ".join("".join(self.line.text).split())
+            if self.line.words:
+                self.lines.append(self.line)
+        self.line = Line(main=self.main > 0, region=self.region)
 
     def _pop(self) -> None:
-        _, hides, main, region = self.open.pop()
+        tag, hides, main, region = self.open.pop()
+        self.depth[tag] -= 1
         self.hidden -= hides
         self.main -= main
         if region:
-            self.around = self.around[:-1]
+            self.last[region] = len(self.last) - 1
+            self.region = self.around[region]
             self._border()
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -115,10 +125,12 @@ class Lines(HTMLParser):
         # Inside a main part there are no smaller regions.
         region = 0
         if tag not in INLINE and tag not in LEAVES and not self.main:
-            self.regions += 1
-            region = self.regions
-            self.around += (region,)
+            region = len(self.around)
+            self.around.append(self.region)
+            self.last.append(region)
+            self.region = region
         self.open.append((tag, hides, main, region))
+        self.depth[tag] += 1
         self.hidden += hides
         self.main += main
         if region:
@@ -133,19 +145,26 @@ class Lines(HTMLParser):
         if tag not in INLINE:
             self._border()
         self.line.tags += 1
-        at = next((i for i in range(len(self.open) - 1, -1, -1) if self.open[i][0] == tag), None)
-        # An end inside a hidden part closes nothing around it.
-        while at is not None and len(self.open) > at:
+        left = self.depth[tag] - 1
+        while left >= 0 and self.depth[tag] > left:
             self._pop()
 
     def handle_data(self, data: str) -> None:
         if not self.hidden:
             self.line.text.append(data)
+            if self.depth["a"] > 0:
+                self.line.linked += len("".join(data.split()))
+
+    def finish(self) -> None:
+        self.close()
+        while self.open:
+            self._pop()
+        self._border()
 
 
 def ratios(lines: list[Line]) -> np.ndarray:
     """Characters of a line for each tag, smoothed over the lines around it."""
-    raw = np.array([len(x.words()) / max(1, x.tags) for x in lines], float)
+    raw = np.array([len(x.words) / max(1, x.tags) for x in lines], float)
     reach = int(np.ceil(3 * SIGMA))
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / SIGMA) ** 2)
     return np.convolve(np.pad(raw, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
@@ -170,23 +189,33 @@ def main_text(html: str) -> str:
     if last >= 0 and ">" not in html[last:] and (html[last + 1:last + 2].isalpha() or html[last + 1:last + 2] in ("/", "!")):
         html = html[:last]  # the page breaks off inside a tag
     parser.feed(html)
-    parser.close()
-    parser._border()
-    lines = [x for x in parser.lines if x.words()]
-    if any(x.main for x in lines):
-        lines = [x for x in lines if x.main]
+    parser.finish()
+    lines = parser.lines
     if not lines:
         return ""
+    content = content_lines(lines)
+    marked = [x for x in lines if x.main]
+    if marked:
+        whole = sum(len(x.words) for x, c in zip(lines, content, strict=True) if c)
+        inside = sum(len(x.words) for x, c in zip(lines, content, strict=True) if c and x.main)
+        if 10 * inside > whole:
+            lines, content = marked, content if len(marked) == len(lines) else content_lines(marked)
+    held = [0] * len(parser.around)
+    for line, c in zip(lines, content, strict=True):
+        held[line.region] += len(line.words) if c else 0
+    for r in range(len(held) - 1, 0, -1):  # regions are numbered from the outside to the inside
+        held[parser.around[r]] += held[r]
+    region = max(r for r, size in enumerate(held) if size == held[0])
+    return " ".join(x.words for x in lines if region <= x.region <= parser.last[region] or not region or not mostly_links(x))
+
+
+def content_lines(lines: list[Line]) -> list[bool]:
     smooth = ratios(lines)
-    border = threshold(smooth)
-    held: Counter = Counter()
-    for line, value in zip(lines, smooth, strict=True):
-        if value >= border:
-            size = len(line.words())
-            held.update({r: size for r in line.around} | {0: size})
-    # Regions are numbered from the outside to the inside.
-    region = max(r for r, size in held.items() if size == held[0])
-    return " ".join(x.words() for x in lines if not region or region in x.around)
+    return (smooth >= threshold(smooth)).tolist()
+
+
+def mostly_links(line: Line) -> bool:
+    return 2 * line.linked > len("".join(line.words.split()))
 
 
 TEXT_FIELD = StructType([StructField("text", StringType())])

@@ -1,3 +1,8 @@
+import math
+import random
+import time
+
+import numpy as np
 import odd
 from pyspark.sql import functions as F
 
@@ -61,3 +66,37 @@ def test_small_sibling_with_content_is_kept():
     split = f"<body>{menu}<article>{story}</article><article><p>{whole}</p></article></body>"
     unmarked = f"<body>{menu}<div class='text'><div>{story}</div><div><p>{whole}</p></div></div></body>"
     assert mainhtml.main_text(split) == mainhtml.main_text(unmarked) == f"{body} {whole}"
+
+
+def test_marks_that_mislead():
+    assert LONG in mainhtml.main_text(f"<article><p>a</p></article><div class='content'><p>{LONG}</p></div>")
+    assert mainhtml.main_text(f"<body><div><p>{LONG}</p></div><div><p>ok</p></div></body>") == f"{LONG} ok"
+    assert mainhtml.main_text(f"<h1>Title</h1><div><p>{LONG}</p></div><div><a href='/'>other</a> <a href='/x'>pages</a></div>") == f"Title {LONG}"
+    assert mainhtml.main_text(f"<div id='form-of-life'><p>{LONG}</p></div>") == LONG
+    assert mainhtml.main_text(f"<main><p>{LONG}</p><div class='related-work'>r</div><div class='search-results'>s</div><div class='related-box'>b</div></main>") == f"{LONG} r s"
+
+
+def test_deep_pages_take_linear_time():
+    for html in ("<div>x" * 20_000, "<i>" * 16_000 + "</p>" * 16_000 + "x", "<ul><li>a" * 10_000):
+        began = time.time()
+        assert mainhtml.main_text(html).replace(" ", "") in ("x" * 20_000, "x", "a" * 10_000)
+        assert time.time() - began < 5
+
+
+def test_ratio_smoothing_and_clusters_against_plain_version():
+    rng = random.Random(4)
+    for _ in range(60):
+        lines = [mainhtml.Line(words="w" * rng.choice((1, 5, 40, 300)), tags=rng.randrange(6)) for _ in range(rng.randrange(1, 30))]
+        raw = [len(x.words) / max(1, x.tags) for x in lines]
+        weights = {k: math.exp(-k * k / 2) for k in range(-3, 4)}
+        plain = [sum(w * raw[min(max(i + k, 0), len(raw) - 1)] for k, w in weights.items()) / sum(weights.values()) for i in range(len(raw))]
+        smooth = mainhtml.ratios(lines)
+        assert np.allclose(smooth, plain)
+        low, high = min(plain), max(plain)
+        for _ in range(1000):
+            near_high = [v > (low + high) / 2 for v in plain]
+            groups = [[v for v, h in zip(plain, near_high, strict=True) if h == side] for side in (False, True)]
+            if not all(groups):
+                break
+            low, high = (sum(g) / len(g) for g in groups)
+        assert abs(mainhtml.threshold(smooth) - (low + high) / 2) < 1e-6
