@@ -177,7 +177,7 @@ def _(d):
 
 @query("register_cycles_far", """SELECT s_suppkey AS site_id, CAST(2 - s_suppkey % 5 AS INTEGER) AS y, CAST(1 - s_suppkey % 3 AS INTEGER) AS x FROM supplier""")
 def _(d):
-    return P.register_far(moved_pixels(d), d.pixels()).drop("cycle_id")
+    return P.register_coarse_to_fine(moved_pixels(d), d.pixels(), 20).select("site_id", "y", "x")
 
 
 @query("clip_for_registration", f"""WITH b AS (SELECT CAST(floor(avg(p)) AS INTEGER) AS top FROM (SELECT site_id, quantile_cont(value, 0.9) AS p FROM d_pixels GROUP BY 1)),

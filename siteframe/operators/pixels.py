@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,6 +173,86 @@ def register(target: DataFrame, reference: DataFrame, max_shift: int) -> DataFra
     return errors.select(*keys, best["y"].alias("y"), best["x"].alias("x"), best["e"].alias("error"))
 
 
+def _image_lines(px: DataFrame, keys: Sequence[str], block: int, name: str) -> DataFrame:
+    """Lines of the images of block means: one row per image and line, with the places and means of its blocks."""
+    y, x = (F.floor(F.col(c) / block).cast("int") for c in PIXEL)
+    means = px.groupBy(*keys, y.alias("y"), x.alias("x")).agg(F.avg(F.col("value").cast("double")).alias("v"))
+    return means.groupBy(*keys, "y").agg(F.collect_list(F.struct("x", "v")).alias(name))
+
+
+def _shift_errors(target: DataFrame, reference: DataFrame, candidates: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean squared difference over the shared area for each candidate shift: (keys, dy, dxs) in, (keys, dy, dx, e) out.
+
+    A line of the target meets one line of the reference for each dy; all dx are tried on this pair of lines.
+    """
+    pairs = (target.join(candidates, list(keys)).withColumn("_at", F.col("y") + F.col("dy")).drop("y")
+             .join(reference.withColumnRenamed("y", "_at"), ["site_id", "_at"]).select(*keys, "dy", "dxs", "_t", "_r"))
+    types = {f.name: f.dataType.simpleString() for f in target.schema.fields}
+    schema = ", ".join([f"{k} {types[k]}" for k in keys] + ["dy int", "dx int", "s double", "n long"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = {c: batch.column(c) for c in ("dxs", "_t", "_r")}
+            ends = {c: v.offsets.to_numpy() for c, v in lists.items()}
+            tx, tv = (lists["_t"].values.field(f).to_numpy() for f in ("x", "v"))
+            rx, rv = (lists["_r"].values.field(f).to_numpy() for f in ("x", "v"))
+            shifts = lists["dxs"].values.to_numpy()
+            sums, counts = [], []
+            for i in range(batch.num_rows):
+                (t, r, c) = (slice(*ends[k][i:i + 2]) for k in ("_t", "_r", "dxs"))
+                at = tx[t] + shifts[c, None]
+                low = min(int(at.min()), int(rx[r].min()))
+                wide = np.full(max(int(at.max()), int(rx[r].max())) - low + 1, np.nan)
+                wide[rx[r] - low] = rv[r]
+                d = wide[at - low]
+                d -= tv[t]
+                met = ~np.isnan(d)
+                d[~met] = 0
+                sums.append(np.einsum("ij,ij->i", d, d))
+                counts.append(met.sum(axis=1))
+            rows = np.repeat(np.arange(batch.num_rows), np.diff(ends["dxs"]))
+            kept = batch.select([*keys, "dy"]).take(pa.array(rows, pa.int64()))
+            first, last = ends["dxs"][0], ends["dxs"][-1]
+            yield pa.RecordBatch.from_arrays(
+                [*kept.columns, pa.array(shifts[first:last], pa.int32()), pa.array(np.concatenate(sums) if sums else [], pa.float64()),
+                 pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=[*keys, "dy", "dx", "s", "n"])
+
+    found = pairs.mapInArrow(run, schema)
+    return found.filter("n > 0").groupBy(*keys, "dy", "dx").agg((F.sum("s") / F.sum("n")).alias("e"))
+
+
+def register_coarse_to_fine(target: DataFrame, reference: DataFrame, max_shift: int, keep: int = 8, reach: int = 8) -> DataFrame:
+    """The shift of `register` for large `max_shift`, searched from coarse to fine.
+
+    Both images are reduced to block means, with blocks so large that `max_shift` is at most `reach` of them. There all shifts
+    are tried; the `keep` best ones and the shifts next to them go on to blocks of half the size, down to pixels, where the
+    error is exact. A row of the joins is a line of an image, and no task holds a pair of images. Images without structure
+    above the size of the largest blocks (white noise) need a smaller `reach` of blocks, or `register`.
+    Ties go to the smaller shift. Target images that share no pixel with the reference give no row.
+    """
+    keys = image_keys(target)
+    block = 1
+    while -(-max_shift // block) > reach:
+        block *= 2
+    least = -(-max_shift // block)
+    every = F.sequence(F.lit(-least), F.lit(least))
+    candidates = target.select(*keys).distinct().select(*keys, F.explode(every).alias("dy"), every.alias("dxs"))
+    order = F.struct("e", (F.abs("dy") + F.abs("dx")).alias("_n"), "dy", "dx")
+    while True:
+        errors = _shift_errors(_image_lines(target, keys, block, "_t"), _image_lines(reference, ["site_id"], block, "_r"), candidates, keys)
+        if block == 1:
+            best = errors.groupBy(*keys).agg(F.min(order).alias("_b"))
+            return best.select(*keys, F.col("_b.dy").alias("y"), F.col("_b.dx").alias("x"), F.col("_b.e").alias("error"))
+        block //= 2
+        # At most (2 reach + 1)^2 errors of a pair are sorted here.
+        top = errors.groupBy(*keys).agg(F.slice(F.sort_array(F.collect_list(order)), 1, keep).alias("_b"))
+        near = [F.struct((2 * F.col("_c.dy") + a).alias("dy"), (2 * F.col("_c.dx") + b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]
+        limit = -(-max_shift // block)
+        candidates = (top.select(*keys, F.explode("_b").alias("_c")).select(*keys, F.explode(F.array(*near)).alias("_s"))
+                      .filter((F.abs("_s.dy") <= limit) & (F.abs("_s.dx") <= limit))
+                      .groupBy(*keys, F.col("_s.dy").alias("dy")).agg(F.collect_set("_s.dx").alias("dxs")))
+
+
 def register_far(target: DataFrame, reference: DataFrame) -> DataFrame:
     """Shift of any size by phase correlation; one group is one pair of images."""
     keys = image_keys(target)

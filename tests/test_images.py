@@ -1,3 +1,5 @@
+from functools import reduce
+
 import numpy as np
 import pytest
 from helpers import disk, noise, to_image, to_rows
@@ -92,6 +94,48 @@ def test_register_far_finds_large_shifts(spark):
     assert (r.y, r.x) == (-9, 12)
 
 
+def blurred(shape, seed):
+    image = noise(shape, seed, 4000).astype(float)
+    for axis in (0, 1):
+        image = sum(np.roll(image, k, axis) * np.exp(-k * k / 32) for k in range(-12, 13))
+    return (255 * (image - image.min()) / np.ptp(image)).astype(np.int32)
+
+
+def moved(base, shape, dy, dx, seed):
+    """Cuts of one scene: the second one is brought onto the first one by (dy, dx)."""
+    m = (base.shape[0] - shape[0]) // 2
+    ref, target = (base[m + a:m + a + shape[0], m + b:m + b + shape[1]] for a, b in ((0, 0), (dy, dx)))
+    return ref, target + noise(shape, seed, 9)
+
+
+def test_register_coarse_to_fine_finds_what_the_full_search_finds(spark):
+    shape, top, refs, targets, want = (80, 72), 20, [], [], {}
+    for site, (dy, dx) in enumerate([(0, 0), (17, -20), (-3, 11), (-20, 20), (1, -2)]):
+        ref, target = moved(blurred((140, 140), site), shape, dy, dx, site)
+        refs.append(to_rows(spark, ref, site=site))
+        targets.append(to_rows(spark, target, site=site, cycle_id=1, keep=lambda v: v % 50 != 7))  # with holes
+        errors = []
+        for a in range(-top, top + 1):
+            for b in range(-top, top + 1):
+                r = ref[max(0, a):shape[0] + min(0, a), max(0, b):shape[1] + min(0, b)]
+                t = target[max(0, -a):shape[0] + min(0, -a), max(0, -b):shape[1] + min(0, -b)]
+                there = t % 50 != 7
+                errors.append((float(((r - t)[there] ** 2).mean()), abs(a) + abs(b), a, b))
+        want[site] = min(errors)
+        assert want[site][2:] == (dy, dx)
+    one = [reduce(lambda a, b: a.unionByName(b), x) for x in (targets, refs)]
+    got = {r.site_id: r for r in P.register_coarse_to_fine(*one, top).collect()}
+    assert {k: (r.y, r.x) for k, r in got.items()} == {k: w[2:] for k, w in want.items()}
+    assert all(r.error == pytest.approx(want[k][0]) for k, r in got.items())
+
+
+def test_register_coarse_to_fine_over_a_hundred_pixels(spark):
+    ref, target = moved(blurred((460, 460), 9), (240, 240), -100, 93, 1)
+    r = P.register_coarse_to_fine(to_rows(spark, target, cycle_id=1), to_rows(spark, ref), 100).collect()
+    assert [(x.y, x.x) for x in r] == [(-100, 93)]
+    assert P.register_coarse_to_fine(to_rows(spark, target, cycle_id=1).filter("false"), to_rows(spark, ref[:4, :4]), 100).isEmpty()
+
+
 def test_mixture_level_lies_between_the_classes(spark):
     image = np.where(disk((40, 40), 20, 20, 12), 150, 20).astype(np.int32) + noise((40, 40), 2, 10)
     assert 25 < P.threshold_global(to_rows(spark, image), "MoG").first().level < 155
