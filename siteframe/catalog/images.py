@@ -489,6 +489,20 @@ def _(d):
     return lines(P.height_map(stack(d)), "height")
 
 
+@query("background_heights", f"""WITH {_STACK}, h AS (SELECT site_id, y, x, arg_max(zplane, (value, -zplane)) AS h FROM z GROUP BY 1, 2, 3),
+    q AS (SELECT site_id, quantile_cont(h, 0.2) AS top FROM h WHERE NOT (x + y) % 64 < 20 GROUP BY 1),
+    c AS (SELECT site_id, y, x, CASE WHEN (x + y) % 64 >= 20 AND h <= top THEN h ELSE 0 END AS value FROM h JOIN q USING (site_id)) {sql_lines('c')}""")
+def _(d):
+    cells = d.pixels().select("site_id", "y", "x", F.expr("(x + y) % 64 < 20").alias("mask"))
+    return lines(P.background_heights(stack(d), cells), "height")
+
+
+@query("binned_heights", f"""WITH {_STACK}, b AS (SELECT site_id, CAST(y // 4 AS INTEGER) AS bin_y, CAST(x // 4 AS INTEGER) AS bin_x, zplane, floor(avg(value)) AS v FROM z GROUP BY 1, 2, 3, 4)
+    SELECT site_id, bin_y, bin_x, arg_max(zplane, (v, -zplane)) AS height FROM b GROUP BY 1, 2, 3""")
+def _(d):
+    return P.binned_heights(stack(d), 4)
+
+
 @query("place_images", """WITH c AS (SELECT a.site_id, a.y, a.x, coalesce(b.value, a.value) AS value FROM d_pixels a LEFT JOIN d_pixels2 b
     ON b.site_id = a.site_id AND b.y = a.y - 40 AND b.x = a.x - 30) """ + sql_lines("c"))
 def _(d):

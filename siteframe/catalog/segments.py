@@ -264,3 +264,14 @@ def _(d):
 def _(d):
     cells = d.pixels().select("site_id", "y", "x", F.expr("y >= 16 AND y < 48").alias("mask"))
     return lines(SG.generate_volume(stack(d), cells, 10.0, 5, 3, 400), "height", 4)
+
+
+@query("height_image", """WITH c AS (SELECT site_id, y, x, CASE WHEN x < 45 AND y >= 2 AND y < 60 THEN
+      1 + (site_id + least((y + 15) // 15 - 1, 3) * 4 + least((x + 15) // 15 - 1, 2)) % 5 ELSE 0 END AS value FROM d_pixels) """ + sql_lines("c"))
+def _(d):
+    # Beads of 2 x 2 pixels every 15 pixels, each in one of five planes; the last column of beads is beside the cells.
+    planes = d.pixels().withColumn("zplane", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    bead = "y % 15 IN (7, 8) AND x % 15 IN (7, 8) AND y < 60 AND x < 60 AND zplane = 1 + (site_id + y DIV 15 * 4 + x DIV 15) % 5"
+    beads = planes.withColumn("value", F.expr(f"IF({bead}, 200, 3)"))
+    cells = d.pixels().select("site_id", "y", "x", F.expr("x < 45 AND y >= 2 AND y < 60").alias("mask"))
+    return lines(SG.height_image(beads, cells, 5.0), "height")

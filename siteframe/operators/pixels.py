@@ -747,6 +747,29 @@ def height_map(px: DataFrame) -> DataFrame:
         F.col("value"), (-F.col("zplane")).alias("z"))).alias("height"))
 
 
+def background_heights(px: DataFrame, cells: DataFrame, cut: float = 20.0) -> DataFrame:
+    """Height map of the substrate: zero inside cells and at heights above the percentile `cut` of the image's background.
+
+    Heights are plane numbers, so that a percentile is taken over as many counts as there are planes. An image without
+    background has zeros only.
+    """
+    keys = [k for k in image_keys(px) if k != "zplane"]
+    outside = ~F.coalesce(F.col("mask"), F.lit(False))
+    heights = height_map(px).join(cells.select(*keys, *PIXEL, "mask"), [*keys, *PIXEL], "left").withColumn("_out", outside).drop("mask")
+    level = heights.filter("_out").groupBy(*keys).agg(F.percentile("height", F.lit(cut / 100)).alias("_top"))
+    return heights.join(level, keys, "left").select(
+        *keys, *PIXEL, F.when(F.col("_out") & (F.col("height") <= F.col("_top")), F.col("height")).otherwise(F.lit(0)).alias("height"))
+
+
+def binned_heights(px: DataFrame, bin_size: int) -> DataFrame:
+    """Brightest plane of each superpixel: values are averaged over squares of `bin_size` pixels and cut to whole numbers, the
+    lowest plane counts among equals. Columns `bin_y` and `bin_x` are the pixel place divided by `bin_size`."""
+    keys = [k for k in image_keys(px) if k != "zplane"]
+    bins = [F.floor(F.col(c) / bin_size).cast("int").alias(f"bin_{c}") for c in PIXEL]
+    means = px.groupBy(*keys, *bins, "zplane").agg(F.floor(F.avg("value")).alias("_v"))
+    return means.groupBy(*keys, "bin_y", "bin_x").agg(F.max_by("zplane", F.struct("_v", (-F.col("zplane")).alias("z"))).alias("height"))
+
+
 def fit_plane(points: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Least-squares plane ``z = a x + b y + c`` per group from moment sums."""
     def cov(u, v):

@@ -490,3 +490,33 @@ def generate_volume(stack: DataFrame, cells: DataFrame, threshold: float, mean_a
     image = P.interpolate_nearest(flat, heights)
     return (image.join(cells, pixel, "left").select(
         *pixel, F.when(F.coalesce("mask", F.lit(False)), F.col("height")).otherwise(0.0).alias("height")))
+
+
+def height_image(stack: DataFrame, cells: DataFrame, threshold: float, bead_size: int = 2, bin_size: int = 4, close_radius: int | None = None,
+                 above_substrate: bool = False, mean_area: int = 5, max_area: int = 1000) -> DataFrame:
+    """Surface of the cell layer, as a whole number of planes at each pixel of the cells.
+
+    Beads on cells are spots of the maximum projection inside the mask. The height of a bead is the brightest plane of the
+    superpixel around its centre (`above_substrate`: over the plane through the background heights, cut to whole planes); beads at
+    height zero do not count. Heights are spread to the nearest pixels, and with `close_radius` the surface is closed with a
+    disk. Pixels outside cells are zero, as are images without beads.
+    """
+    keys = [k for k in image_keys(stack) if k != "zplane"]
+    pixel = [*keys, "y", "x"]
+    flat = cut_lineage(P.project(stack, "max"))
+    beads = flux_centroids(detect_blobs(flat, cells, threshold, bead_size, mean_area, max_area))
+    placed = beads.select(*pixel, *[F.floor(F.col(c) / bin_size).cast("int").alias(f"bin_{c}") for c in ("y", "x")])
+    located = placed.join(P.binned_heights(stack, bin_size), [*keys, "bin_y", "bin_x"]).drop("bin_y", "bin_x")
+    if above_substrate:
+        ground = P.background_heights(stack, cells).filter("height > 0").withColumn("z", F.col("height").cast("double"))
+        level = F.coalesce(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"), F.lit(0.0))
+        located = (located.join(P.fit_plane(ground, keys), keys, "left")
+                   .withColumn("height", (F.col("height") - level).cast("int")).drop("a", "b", "c"))
+    surface = P.interpolate_nearest(flat, cut_lineage(located.filter("height > 0")))
+    surface = surface.withColumn("height", F.coalesce("height", F.lit(0)).cast("int"))
+    if close_radius:
+        wide = ST.disk_extremes(surface.withColumnRenamed("height", "value"), close_radius).select(*pixel, F.col("disk_max").alias("value"))
+        surface = ST.disk_extremes(wide, close_radius).select(*pixel, F.col("disk_min").alias("height"))
+    inside = F.coalesce(F.col("mask"), F.lit(False))
+    return surface.join(cells.select(*pixel, "mask"), pixel, "left").select(
+        *pixel, F.when(inside, F.col("height")).otherwise(F.lit(0)).cast("int").alias("height"))

@@ -4,6 +4,7 @@ from helpers import disk, noise, to_image, to_rows
 from pyspark.sql import functions as F
 
 from siteframe.operators import labels as LB
+from siteframe.operators import pixels as P
 from siteframe.operators import segment as SG
 from siteframe.operators import tiles as T
 
@@ -166,6 +167,33 @@ def test_volume_image_rises_above_the_substrate(spark):
     assert got[14, 14] == pytest.approx(3.0) and got[0, 0] == 0
 
 
+def test_height_image_takes_the_brightest_plane_of_a_superpixel(spark):
+    y, x = np.mgrid[:36, :36]
+    beads = [(9, 9, 2), (9, 25, 5), (26, 17, 4), (26, 33, 6)]  # the last one lies outside the cells
+    rows = []
+    for z in range(7):
+        plane = 10 + sum(200 * np.exp(-((y - a) ** 2 + (x - b) ** 2) / 3) * np.exp(-(z - h) ** 2) for a, b, h in beads)
+        plane += np.where((x >= 30) & (z == 1), 3, 0)  # a substrate
+        rows += [(0, z, int(i), int(j), int(v)) for (i, j), v in np.ndenumerate(plane)]
+    stack = spark.createDataFrame(rows, "site_id bigint, zplane int, y int, x int, value int")
+    inside = x < 30
+    cells = to_rows(spark, inside, "mask")
+    distance = np.array([np.hypot(y - a, x - b) for a, b, _ in beads[:3]])
+    near = np.sort(distance, axis=0)
+    clear = inside & (near[1] - near[0] > 2)
+    want = np.array([h for *_, h in beads[:3]])[distance.argmin(axis=0)]
+    got = to_image(SG.height_image(stack, cells, 5.0), (36, 36), "height")
+    assert (got[clear] == want[clear]).all() and (got[~inside] == 0).all()
+    ground = to_image(P.background_heights(stack, cells), (36, 36), "height")
+    assert (ground[inside] == 0).all() and (ground[:12, 30:] == 1).all() and ground.max() == 1
+    over = to_image(SG.height_image(stack, cells, 5.0, above_substrate=True), (36, 36), "height")
+    assert (over[clear] == want[clear] - 1).all()
+    closed = to_image(SG.height_image(stack, cells, 5.0, close_radius=3), (36, 36), "height")
+    assert (closed >= got).all() and (closed > got).any()
+    empty = to_image(SG.height_image(stack, cells.withColumn("mask", F.lit(False)), 5.0), (36, 36), "height")
+    assert (empty == 0).all()
+
+
 def test_outlines_and_back(spark):
     label = np.where(disk((30, 30), 14, 15, 9), 1, 0) - np.where(disk((30, 30), 14, 15, 3), 1, 0)
     rows = to_rows(spark, label.astype(np.int32), "label", keep=lambda v: v > 0)
