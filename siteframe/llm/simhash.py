@@ -49,7 +49,9 @@ CROWD = 64
 _BLOCK = 1 << 15
 #: Bits of a wide fingerprint, in blocks of 32, and those that may differ in a block that texts meet by.
 WIDE, WIDE_BITS = 512, 2
-#: Members that are compared together; PIVOTS of a larger anchor are members of all its parts.
+#: Bits of two other blocks in which two texts that alone share an anchor may differ: chance 32, similarity 0.8 ten.
+BESIDE = 22
+#: Members that are compared together; PIVOTS of a larger anchor are members of all its parts, and what they leave apart meets all members.
 TOGETHER, PIVOTS = 2048, 64
 
 
@@ -153,12 +155,14 @@ def _points(members: DataFrame, radius: int) -> DataFrame:
 
 
 def at_blocks(nodes: DataFrame) -> DataFrame:
-    """(anchor, node): every wide fingerprint (node, blocks) at all anchors of its blocks within reach."""
+    """(anchor, node, beside): every wide fingerprint (node, blocks) at all anchors of its blocks within reach, with the two blocks after that block."""
     masks = F.broadcast(anchor_masks(nodes.sparkSession, COVERING_RADIUS + (WIDE_BITS + 1) // 2))
-    each = nodes.select("node", F.posexplode("blocks").alias("side", "v")).select(
-        "node", F.col("v").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).alias("v"), F.shiftleft(F.col("side").cast("long"), 32).alias("side"))
+    low = lambda i: F.get("blocks", i % (WIDE // 32)).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    each = nodes.select("node", "blocks", F.explode(F.sequence(F.lit(0), F.lit(WIDE // 32 - 1))).alias("side")).select(
+        "node", low(F.col("side")).alias("v"), F.shiftleft(F.col("side").cast("long"), 32).alias("side"),
+        F.shiftleft(low(F.col("side") + 1), 32).bitwiseOR(low(F.col("side") + 2)).alias("beside"))
     return each.withColumn("syndrome", _syndrome(F.col("v"))).join(masks, "syndrome").select(
-        F.col("v").bitwiseXOR(F.col("mask")).bitwiseOR(F.col("side")).alias("anchor"), "node")
+        F.col("v").bitwiseXOR(F.col("mask")).bitwiseOR(F.col("side")).alias("anchor"), "node", "beside")
 
 
 def distances(similarity: float) -> tuple[int, int]:
@@ -215,25 +219,61 @@ def _tie_groups(sure: int, most: int):
     return run
 
 
+def _tied(sets: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, sure): what `tie` finds in each of the sets of nodes (of, node), as a written table."""
+    groups = (sets.join(nodes.select("node", "blocks"), "node").groupBy("of")
+              .agg(F.collect_list(F.struct("node", "blocks")).alias("members")).select("members"))
+    return cut_lineage(groups.mapInArrow(_tie_groups(*distances(similarity)), "a long, b long, sure boolean"))
+
+
+def _sets(dealt: DataFrame, by: list[str]) -> DataFrame:
+    """(of, node): the different sets of two or more nodes, as a written table."""
+    sets = dealt.groupBy(*by).agg(F.sort_array(F.collect_set("node")).alias("nodes")).select("nodes").filter(F.size("nodes") > 1).distinct()
+    return cut_lineage(sets.select(F.xxhash64("nodes").alias("of"), F.explode("nodes").alias("node")))
+
+
+def _rest(crowd: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(anchor, part, slice, node): sets in which the members of crowds (anchor, node, parts) that `pairs` leave apart meet all others.
+
+    What surely hangs together with the largest piece of a crowd need not meet again. Each slice of the other members, of
+    bounded size, meets each part of the crowd.
+    """
+    roots = smallest_reachable(pairs.filter("sure").select("a", "b"))
+    named = cut_lineage(crowd.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    pieces = named.groupBy("anchor", "root").agg(F.count(F.lit(1)).alias("size"))
+    largest = pieces.groupBy("anchor").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.sum("size").alias("n"), F.max("size").alias("size"))
+    slices = F.ceil((F.col("n") - F.col("size")) / TOGETHER).cast("int")
+    open_ = named.join(largest.filter("n > size").select("anchor", "main", slices.alias("slices")), "anchor")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    turn = lambda c: F.pmod(F.xxhash64("anchor", "node"), F.col(c)).cast("int")
+    members = open_.withColumn("part", turn("parts")).withColumn("slice", every("slices"))
+    apart = open_.filter("root <> main").withColumn("slice", turn("slices")).withColumn("part", every("parts"))
+    by = ["anchor", "part", "slice", "node"]
+    return members.select(*by).unionByName(apart.select(*by))
+
+
 def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
     """(a, b, sure): pairs of the wide fingerprints (node, blocks) that meet at an anchor and may be that similar."""
     placed = at_blocks(nodes).repartition("anchor")
-    shared = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    # Unrelated texts that alone share an anchor by chance differ in half of the bits beside it; they go no further.
+    shared = (placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("beside").alias("apart"))
+              .filter((F.col("n") > 2) | ((F.col("n") == 2) & (F.bit_count("apart") <= BESIDE))).select("anchor", "n"))
     parts = F.ceil(F.col("n") / TOGETHER).cast("int")
-    members = cut_lineage(placed.join(shared, "anchor").withColumn("parts", parts))
+    members = cut_lineage(placed.drop("beside").join(shared, "anchor").withColumn("parts", parts))
     turn = F.xxhash64("anchor", "node")
     own = members.withColumn("part", F.pmod(turn, F.col("parts")).cast("int"))
     # Members of a crowd are dealt out to parts of bounded size; the pivots, drawn by their hash, are in each of them.
     pivots = (members.filter("parts > 1").filter(F.pmod(F.xxhash64("node", "anchor"), F.col("n")) < PIVOTS)
               .withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))))
-    sets = (own.unionByName(pivots.select(*own.columns)).groupBy("anchor", "part").agg(F.sort_array(F.collect_set("node")).alias("nodes"))
-            .select("nodes").filter(F.size("nodes") > 1).distinct())
-    listed = cut_lineage(sets.select(F.xxhash64("nodes").alias("of"), F.explode("nodes").alias("node")))
-    discard(members)
-    groups = (listed.join(nodes.select("node", "blocks"), "node").groupBy("of")
-              .agg(F.collect_list(F.struct("node", "blocks")).alias("members")).select("members"))
-    pairs = cut_lineage(groups.mapInArrow(_tie_groups(*distances(similarity)), "a long, b long, sure boolean"))
+    listed = _sets(own.unionByName(pivots.select(*own.columns)), ["anchor", "part"])
+    pairs = _tied(listed, nodes, similarity)
     discard(listed)
+    crowd = members.filter("parts > 1").select("anchor", "node", "parts")
+    if not crowd.isEmpty():
+        listed = _sets(_rest(crowd, pairs), ["anchor", "part", "slice"])
+        pairs = pairs.unionByName(_tied(listed, nodes, similarity))
+        discard(listed)
+    discard(members)
     return pairs.groupBy("a", "b").agg(F.max("sure").alias("sure"))
 
 

@@ -142,3 +142,46 @@ def test_rows_are_tied_once():
     prints = np.array([base ^ (np.uint64(1) << rng.integers(0, 60, 8).astype(np.uint64)) for _ in range(50)])
     tied, apart = simhash.tie(prints, 57, 98)
     assert len(tied) == 49 and apart == []
+
+
+def wide_nodes(spark, prints):
+    rows = [(i, p.view(np.int32).tolist()) for i, p in enumerate(prints)]
+    return spark.createDataFrame(rows, "node long, blocks array<int>")
+
+
+def flipped(rng, base, n):
+    bits = np.unpackbits(base.view(np.uint8))
+    bits[32 + rng.choice(480, n, replace=False)] ^= 1  # the first block stays: all meet at its anchors
+    return np.packbits(bits).view(np.uint64)
+
+
+def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "TOGETHER", 8)
+    monkeypatch.setattr(simhash, "PIVOTS", 0)
+    rng = np.random.default_rng(5)
+    first = rng.integers(0, 2**63, 8).astype(np.uint64)
+    prints = []
+    for _ in range(12):  # twelve pairs, unlike each other, that share a block
+        base = flipped(rng, first, 240)
+        prints += [base, flipped(rng, base, 20)]
+    prints += [flipped(rng, first, 15) for _ in range(30)]
+    found = {(r["a"], r["b"]) for r in simhash.similar_links(wide_nodes(spark, prints), 0.8).collect()}
+    assert {(2 * i, 2 * i + 1) for i in range(12)} <= found
+
+
+def test_texts_that_meet_by_chance_go_no_further(spark, monkeypatch):
+    written = []
+    cut = simhash.cut_lineage
+    monkeypatch.setattr(simhash, "cut_lineage", lambda df, *a: written.append(cut(df, *a)) or written[-1])
+    monkeypatch.setattr(simhash, "discard", lambda df: None)
+    rng = np.random.default_rng(6)
+    prints = []
+    for _ in range(20):
+        base = rng.integers(0, 2**63, 8).astype(np.uint64)
+        prints += [base, flipped(rng, base, 240)]
+    base = rng.integers(0, 2**63, 8).astype(np.uint64)
+    prints += [base, flipped(rng, base, 40)]
+    found = {(r["a"], r["b"]) for r in simhash.similar_links(wide_nodes(spark, prints), 0.8).collect()}
+    assert found == {(40, 41)}
+    members = next(t for t in written if "parts" in t.columns)
+    assert members.select("node").distinct().count() <= 6
