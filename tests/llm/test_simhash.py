@@ -161,12 +161,15 @@ def test_no_link_of_a_crowd_is_lost(spark, monkeypatch):
     rng = np.random.default_rng(5)
     first = rng.integers(0, 2**63, 8).astype(np.uint64)
     prints = []
-    for _ in range(12):  # twelve pairs, unlike each other, that share a block
+    for _ in range(40):  # forty pairs, unlike each other, that meet by one block only: five bits differ in all others
         base = flipped(rng, first, 240)
-        prints += [base, flipped(rng, base, 20)]
+        bits = np.unpackbits(base.view(np.uint8))
+        for block in range(32, 512, 32):
+            bits[block + rng.choice(32, 5, replace=False)] ^= 1
+        prints += [base, np.packbits(bits).view(np.uint64)]
     prints += [flipped(rng, first, 15) for _ in range(30)]
     found = {(r["a"], r["b"]) for r in simhash.similar_links(wide_nodes(spark, prints), 0.8).collect()}
-    assert {(2 * i, 2 * i + 1) for i in range(12)} <= found
+    assert {(2 * i, 2 * i + 1) for i in range(40)} <= found
 
 
 def test_texts_that_meet_by_chance_go_no_further(spark, monkeypatch):
