@@ -58,3 +58,14 @@ def test_positions_over_ranges(spark):
     rows = [(f"k{i * 37 % 1000:04d}", i % 3) for i in range(1000)] + [(None, 5)]
     got = range_index(spark.createDataFrame(rows, "key string, n int").repartition(7), ["key"], "pos").collect()
     assert [r.pos for r in sorted(got, key=lambda r: (r.key is not None, r.key or ""))] == list(range(1001))
+
+
+def test_many_rows_in_small_files_are_not_broadcast(spark):
+    """Half a million rows of few different values are some kilobytes of files, and some 16 MB of rows in a broadcast."""
+    rows = spark.range(500_000, numPartitions=1).selectExpr("id DIV 4096 AS site_id", "id DIV 64 % 64 AS y", "id % 64 AS x")
+    large = core.cut_lineage(rows)
+    joined = spark.range(3_000_000).selectExpr("id % 200 AS site_id", "id AS other").join(large.groupBy("site_id", "y").agg(F.max("x").alias("x")), "site_id")
+    assert "Broadcast" not in joined._jdf.queryExecution().executedPlan().toString()
+    few = core.cut_lineage(rows.filter("site_id < 3"))
+    assert "BroadcastHashJoin" in spark.range(3_000_000).selectExpr("id AS site_id").join(few, "site_id")._jdf.queryExecution().executedPlan().toString()
+    assert large.join(few, ["site_id", "y", "x"]).count() == 3 * 4096
