@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from siteframe.catalog import query
+from siteframe.core import cut_lineage
 from siteframe.functions import scalars as S
 from siteframe.operators import aggregates as A
 from siteframe.operators import layout as L
@@ -207,7 +208,7 @@ def _(d):
     SELECT name, well_name, CAST(dense_rank() OVER (PARTITION BY well_name ORDER BY s // 3) - 1 AS INTEGER) AS grid_y,
       CAST(dense_rank() OVER (PARTITION BY well_name ORDER BY s % 3) - 1 AS INTEGER) AS grid_x FROM p""")
 def _(d):
-    names = d.files().select("name").filter(F.col("name").startswith("p_")).distinct()
+    names = cut_lineage(d.files().select("name").filter(F.col("name").startswith("p_")).distinct())
     site = SF.parse_file_names(names, IMAGE).withColumn("s", F.col("site") - 1)
     positions = site.selectExpr("name", "well_name", "s DIV 3 * 1000.0D AS stage_y", "s % 3 * 1000.0D AS stage_x")
     return C.configure_metadata(names, IMAGE, positions=positions).select("name", "well_name", "grid_y", "grid_x")
@@ -219,7 +220,7 @@ def _(d):
     SELECT name, well_name, channel, CAST(i // 3 AS INTEGER) AS grid_y, CAST(i % 3 AS INTEGER) AS grid_x FROM g""")
 def _(d):
     # Files of every third site tell their channel; no position is known for the last ones, so that the layout counts.
-    names = d.files().select("name").filter(F.col("name").startswith("p_")).distinct()
+    names = cut_lineage(d.files().select("name").filter(F.col("name").startswith("p_")).distinct())
     site = SF.parse_file_names(names, IMAGE)
     ome = site.filter("site % 3 = 0").select("name", F.lit(None).cast("string").alias("well_name"), F.lit("DAPI").alias("channel"),
                                              F.lit(None).cast("int").alias("zplane"), F.lit(None).cast("int").alias("tpoint"), "site")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siteframe.core import cut_lineage
 from siteframe.operators import layout as L
 from siteframe.sources.files import parse_file_names
 
@@ -27,8 +28,9 @@ FIELDS = ("well_name", "channel", "zplane", "tpoint", "site")
 def plane_fields(files: DataFrame, pattern: str, ome: DataFrame | None = None) -> DataFrame:
     """Well, channel, z plane, time point and site of each file: as embedded in the
     file (`ome`, null where it tells nothing), else from its name. A name is only
-    parsed where something is missing; what both lack is an error."""
-    names = files.select("name").distinct()
+    parsed where something is missing; what both lack is an error. The different names
+    are written once, since every later step reads them again."""
+    names = cut_lineage(files.select("name").distinct())
     if ome is None:
         return parse_file_names(names, pattern)
     known = names.join(ome.select("name", *FIELDS).dropDuplicates(["name"]), "name", "left")

@@ -93,3 +93,14 @@ def test_levels_per_object_and_bounds(spark):
         P.threshold_level(to_rows(spark, image), "Background", "PerObject")
     with pytest.raises(ValueError):
         P.threshold_level(to_rows(spark, image), "Background", "Local")
+
+
+def test_metadata_step_reads_the_files_once(spark):
+    """The names are made by one scan, whatever number of steps reads them; names may repeat."""
+    from siteframe.functions.scalars import IMAGE_PATTERNS
+    from siteframe.plans import configure
+    files = spark.range(24).selectExpr("format_string('p_A01_T0001F%03dL01A01Z01C%02d.png', id % 6 + 1, id DIV 6 % 2 + 1) AS name")
+    out = configure.configure_metadata(files, IMAGE_PATTERNS["cellvoyager"], n_rows=2, n_cols=3)
+    assert "Range" not in out._jdf.queryExecution().executedPlan().toString()
+    assert {(r.grid_y, r.grid_x, r.channel_index) for r in out.collect()} == {(y, x, c) for y in range(2) for x in range(3) for c in range(2)}
+    assert out.count() == 12
