@@ -1,3 +1,4 @@
+import re
 from functools import reduce
 
 import numpy as np
@@ -76,6 +77,19 @@ def test_illumination_zeros(spark):
     assert got[1, 1] == int(10 ** 1.5) and got[0, 0] == 0
 
 
+def test_correction_does_not_deal_pixels_by_channel(spark):
+    """All pixels of a channel would meet in one task; each channel keeps its own mean level."""
+    rows = [(s, c, 0, x, 10 + 7 * s * (c + 1) + 31 * x) for s in range(4) for c in range(2) for x in range(3)]
+    px = spark.createDataFrame(rows, "site_id bigint, channel_id int, y int, x int, value int")
+    out = P.correct_illumination(px, P.illumination_stats(px))
+    assert not re.search(r"hashpartitioning\(channel_id#\d+, \d+\)", out._jdf.queryExecution().executedPlan().toString())
+    got = {(r.site_id, r.channel_id, r.x): r.value for r in out.collect()}
+    for c in range(2):
+        one = px.filter(F.col("channel_id") == c).drop("channel_id")
+        alone = P.correct_illumination(one, P.illumination_stats(one)).collect()
+        assert len(alone) == 12 and all(got[r.site_id, c, r.x] == r.value for r in alone)
+
+
 def test_shift_residues_and_crop(spark):
     shifts = spark.createDataFrame([(0, 0, 3, -1), (0, 1, -2, 4), (0, 2, 0, 0)], "site_id bigint, cycle_id int, y int, x int")
     r = P.overlap(shifts).first()
