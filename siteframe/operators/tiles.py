@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteframe.config import ExperimentConfig
@@ -52,7 +52,7 @@ def pack_tiles(px: DataFrame) -> DataFrame:
     layer = [c for c in px.columns if c not in ("y", "x", "value")]
     inside = F.expr(f"CAST((y % {TILE}) * {TILE} + x % {TILE} AS INT)")
     return (px.groupBy(*layer, F.expr(f"y DIV {TILE}").alias("tile_y"), F.expr(f"x DIV {TILE}").alias("tile_x"))
-            .agg(F.array_sort(F.collect_list(F.struct(inside.alias("place"), F.col("value")))).alias("pixels")))
+            .agg(F.sort_array(F.collect_list(F.struct(inside.alias("place"), F.col("value")))).alias("pixels")))
 
 
 def requested_pixels(px: DataFrame, requested: DataFrame) -> DataFrame:
@@ -63,12 +63,22 @@ def requested_pixels(px: DataFrame, requested: DataFrame) -> DataFrame:
 
 def get_tile(tiles: DataFrame, requested: DataFrame, keys: tuple[str, ...] = ("tile_y", "tile_x")) -> DataFrame:
     """Full pixel array of the requested tiles; a missing tile is black."""
-    places = requested.select(*keys).distinct().withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(TILE * TILE - 1))))
-    listed = tiles.join(requested.select(*keys).distinct(), list(keys), "left_semi").select(*keys, F.explode("pixels").alias("_p")).select(
-        *keys, F.col("_p.place").alias("place"), F.col("_p.value").alias("value"))
-    full = (places.join(listed, [*keys, "place"], "left").groupBy(*keys)
-            .agg(F.array_sort(F.collect_list(F.struct("place", F.coalesce("value", F.lit(0)).alias("value")))).alias("_f")))
-    return full.select(*keys, F.transform("_f", lambda p: p["value"]).alias("pixels"))
+    wanted = requested.select(*keys).distinct()
+    listed = tiles.join(wanted, list(keys), "left_semi").groupBy(*keys).agg(F.flatten(F.collect_list("pixels")).alias("_p"))
+    # A tile is filled up inside its row; a row for each place would be made by the few tasks that hold the requests.
+    imaged = F.sort_array(F.transform(F.filter("_p", lambda p: p["place"].between(0, TILE * TILE - 1)), lambda p: F.struct(
+        p["place"].alias("place"), F.coalesce(p["value"], F.lit(0)).alias("value"))))
+    full = wanted.join(listed, list(keys), "left").select(*keys, imaged.alias("_f"))
+
+    def place(i) -> Column:
+        return F.coalesce(F.get("_f", i)["place"], F.lit(-1)).cast("int")
+
+    def black(n: Column) -> Column:
+        return F.array_repeat(F.lit(0), n)
+
+    runs = F.flatten(F.transform("_f", lambda p, i: F.concat(black(p["place"].cast("int") - place(i - 1) - 1), F.array(p["value"]))))
+    rest = black(TILE * TILE - 1 - place(F.size("_f") - 1))
+    return full.select(*keys, F.when(F.size("_f") > 0, F.concat(runs, rest)).otherwise(black(F.lit(TILE * TILE))).alias("pixels"))
 
 
 def levels_to_one_tile(base: DataFrame, cfg: ExperimentConfig = ExperimentConfig()) -> int:

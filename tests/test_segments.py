@@ -271,3 +271,13 @@ def test_neighbours_are_those_within_the_distance(spark):
         want = {(a, b) for a in points for b in points if a != b
                 and ((points[a][:, None] - points[b][None]) ** 2).sum(2).min() <= distance ** 2}
         assert got == want
+
+
+def test_requested_tiles_are_filled_up_without_a_row_for_each_place(spark):
+    tiles = T.pack_tiles(spark.createDataFrame([(0, 0, 5), (0, 3, 7), (1, 0, None), (255, 255, 9), (300, 1, 4)], "y long, x long, value int"))
+    requested = spark.createDataFrame([(0, 0), (0, 0), (2, 0), (None, 1)], "tile_y long, tile_x long")
+    out = T.get_tile(tiles, requested)
+    got = {(r.tile_y, r.tile_x): r.pixels for r in out.collect()}
+    assert set(got) == {(0, 0), (2, 0), (None, 1)} and all(len(v) == T.TILE ** 2 for v in got.values())
+    assert {i: v for i, v in enumerate(got[0, 0]) if v} == {0: 5, 3: 7, T.TILE ** 2 - 1: 9} and not any(got[2, 0]) and not any(got[None, 1])
+    assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
