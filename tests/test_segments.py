@@ -145,6 +145,15 @@ def test_deblend_splits_two_bumps_and_keeps_one(spark):
     assert ((got > 0) == (label > 0)).all() and got[10, 10] != got[10, 20]
 
 
+def test_deblend_plans_from_written_tables(spark):
+    """What several steps read is written once; the plan of the result does not repeat the steps before."""
+    image = np.full((12, 24), 60.0)
+    image[6, 6] = image[6, 12] = 200.0
+    base = to_rows(spark, np.ones(image.shape, np.int32), "label").join(to_rows(spark, image), ["site_id", "y", "x"])
+    plan = SG.deblend(base, 20.0, 8, 0.1)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") <= 4
+
+
 def test_spots_in_a_volume(spark):
     z, y, x = np.mgrid[:7, :20, :20]
     vol = (200 * np.exp(-((z - 3) ** 2 + (y - 8) ** 2 + (x - 12) ** 2) / 3)).astype(np.int32)
