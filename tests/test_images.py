@@ -90,6 +90,23 @@ def test_correction_does_not_deal_pixels_by_channel(spark):
         assert len(alone) == 12 and all(got[r.site_id, c, r.x] == r.value for r in alone)
 
 
+def test_illumination_percentiles_at_all_places(spark):
+    """Images of two sizes, with nulls and a second channel, against numpy at 10^5 places."""
+    rng = np.random.default_rng(3)
+    images = {(s, c): rng.integers(0, 40 * (c + 1), (5 + s % 2, 7)) for s in range(5) for c in range(2)}
+    rows = [(s, c, y, x, int(v)) for (s, c), image in images.items() for (y, x), v in np.ndenumerate(image)] + [(0, 0, 9, 9, None), (9, 1, 0, 0, None)]
+    px = spark.createDataFrame(rows, "site_id bigint, channel_id int, y int, x int, value int")
+    got = P.illumination_percentiles(px).toPandas()
+    assert len(got) == 2 * 10 ** 5 and len(set(zip(got["channel_id"], got["q"]))) == len(got)
+    q = np.linspace(0, 100, 10 ** 5)
+    for c in range(2):
+        want = np.floor(np.mean([np.percentile(images[s, c], q) for s in range(5)], axis=0) + 1e-9)
+        one = got[got["channel_id"] == c].sort_values("q")
+        assert np.allclose(one["q"], np.round(q, 3)) and np.array_equal(one["value"], want)
+    few = {(r.channel_id, r.q): r.value for r in P.illumination_percentiles(px, [0, 33.3, 100]).collect()}
+    assert len(few) == 6 and few[1, 33.3] == int(np.mean([np.percentile(images[s, 1], 33.3) for s in range(5)]))
+
+
 def test_shift_residues_and_crop(spark):
     shifts = spark.createDataFrame([(0, 0, 3, -1), (0, 1, -2, 4), (0, 2, 0, 0)], "site_id bigint, cycle_id int, y int, x int")
     r = P.overlap(shifts).first()
