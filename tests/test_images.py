@@ -6,6 +6,7 @@ import pytest
 from helpers import disk, noise, to_image, to_rows
 from pyspark.sql import functions as F
 
+from siteframe.domain import Domain
 from siteframe.operators import distance as D
 from siteframe.operators import pixels as P
 from siteframe.operators import stencil as ST
@@ -194,3 +195,22 @@ def test_alignment_keeps_images_of_any_size(spark):
     shifts = spark.createDataFrame([(0, 1, 0, 0)], "site_id bigint, cycle_id int, y int, x int")
     out = P.align(to_rows(spark, image, cycle_id=1), shifts, P.overlap(shifts), True)
     assert np.array_equal(to_image(out, image.shape), image)
+
+
+def exchanges(df):
+    """Columns by which a plan deals rows out."""
+    return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+@pytest.fixture(scope="module")
+def many_sites(spark, tmp_path_factory):
+    """Enough sites for several tasks."""
+    folder = str(tmp_path_factory.mktemp("sites"))
+    spark.range(1, 301).selectExpr("id AS s_suppkey").write.parquet(f"{folder}/supplier.parquet")
+    return Domain(spark, folder)
+
+
+def test_channels_are_combined_in_place(spark, many_sites):
+    d = many_sites
+    assert d.spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
+    assert all(re.fullmatch(r"s_suppkey#\d+L, \d+", e) for e in exchanges(P.combine_channels(d.pixels(), d.pixels2(), 2, 1)))
