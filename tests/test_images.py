@@ -6,8 +6,11 @@ import pytest
 from helpers import disk, noise, to_image, to_rows
 from pyspark.sql import functions as F
 
+from siteframe.catalog.images import moved_pixels, stack
 from siteframe.domain import Domain
 from siteframe.operators import distance as D
+from siteframe.operators import labels as LB
+from siteframe.operators import measure as ME
 from siteframe.operators import pixels as P
 from siteframe.operators import stencil as ST
 
@@ -214,3 +217,18 @@ def test_channels_are_combined_in_place(spark, many_sites):
     d = many_sites
     assert d.spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "false"
     assert all(re.fullmatch(r"s_suppkey#\d+L, \d+", e) for e in exchanges(P.combine_channels(d.pixels(), d.pixels2(), 2, 1)))
+
+
+def by_pixel(df):
+    """Exchanges that deal out pixel by pixel."""
+    return [e for e in exchanges(df) if re.search(r"\by#", e) and re.search(r"\bx#", e)]
+
+
+IN_PLACE = {
+    "background_heights": lambda d: P.background_heights(stack(d), d.pixels().select("site_id", "y", "x", F.expr("x < 20").alias("mask"))),
+}
+
+
+@pytest.mark.parametrize("name", IN_PLACE)
+def test_pixels_of_an_image_meet_where_they_are(many_sites, name):
+    assert not by_pixel(IN_PLACE[name](many_sites))
