@@ -226,6 +226,7 @@ def by_pixel(df):
 
 IN_PLACE = {
     "background_heights": lambda d: P.background_heights(stack(d), d.pixels().select("site_id", "y", "x", F.expr("x < 20").alias("mask"))),
+    "threshold_per_object": lambda d: P.threshold_level(d.pixels2(), "Background", "PerObject", d.labels(), lower=20),
 }
 
 
