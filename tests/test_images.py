@@ -228,6 +228,7 @@ IN_PLACE = {
     "background_heights": lambda d: P.background_heights(stack(d), d.pixels().select("site_id", "y", "x", F.expr("x < 20").alias("mask"))),
     "threshold_per_object": lambda d: P.threshold_level(d.pixels2(), "Background", "PerObject", d.labels(), lower=20),
     "shrink_objects": lambda d: LB.shrink_objects(d.labels(), 1, d.pixels()),
+    "register_cycles": lambda d: P.register(moved_pixels(d), d.pixels(), 2),
 }
 
 
