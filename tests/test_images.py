@@ -229,6 +229,7 @@ IN_PLACE = {
     "threshold_per_object": lambda d: P.threshold_level(d.pixels2(), "Background", "PerObject", d.labels(), lower=20),
     "shrink_objects": lambda d: LB.shrink_objects(d.labels(), 1, d.pixels()),
     "register_cycles": lambda d: P.register(moved_pixels(d), d.pixels(), 2),
+    "register_cycles_far": lambda d: P.register_coarse_to_fine(moved_pixels(d), d.pixels(), 20),
 }
 
 
