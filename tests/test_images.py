@@ -231,6 +231,7 @@ IN_PLACE = {
     "register_cycles": lambda d: P.register(moved_pixels(d), d.pixels(), 2),
     "register_cycles_far": lambda d: P.register_coarse_to_fine(moved_pixels(d), d.pixels(), 20),
     "measure_lbp": lambda d: ME.measure_lbp(d.labels(), d.pixels2()),
+    "measure_tas": lambda d: ME.measure_tas(d.labels(), d.pixels2(), 50),
 }
 
 
