@@ -230,6 +230,7 @@ IN_PLACE = {
     "shrink_objects": lambda d: LB.shrink_objects(d.labels(), 1, d.pixels()),
     "register_cycles": lambda d: P.register(moved_pixels(d), d.pixels(), 2),
     "register_cycles_far": lambda d: P.register_coarse_to_fine(moved_pixels(d), d.pixels(), 20),
+    "measure_haralick": lambda d: ME.measure_haralick(d.labels(), d.pixels2()),
     "measure_lbp": lambda d: ME.measure_lbp(d.labels(), d.pixels2()),
     "measure_tas": lambda d: ME.measure_tas(d.labels(), d.pixels2(), 50),
 }
