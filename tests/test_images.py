@@ -233,6 +233,7 @@ IN_PLACE = {
     "measure_haralick": lambda d: ME.measure_haralick(d.labels(), d.pixels2()),
     "measure_lbp": lambda d: ME.measure_lbp(d.labels(), d.pixels2()),
     "measure_tas": lambda d: ME.measure_tas(d.labels(), d.pixels2(), 50),
+    "measure_texture": lambda d: ME.measure_texture(d.labels(), d.pixels2(), (1,), threshold=50),
 }
 
 
