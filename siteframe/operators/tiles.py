@@ -15,6 +15,8 @@ from siteframe.operators import pixels as P
 from siteframe.operators.segment import _components, _dilate, _erode, SQUARE, trace_contour
 
 TILE = 256
+#: Polygons that one task fills.
+POLYGONS_A_TASK = 8192
 
 
 def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None, upper: int | None = None,
@@ -181,7 +183,9 @@ def polygons_to_labels(segments: DataFrame, offsets: DataFrame, height: int, wid
     even-odd rule, outline pixels included; the polygon that comes last wins where
     two overlap."""
     keys = image_keys(segments)
-    joined = segments.join(offsets.select("site_id", "offset_y", "offset_x"), "site_id")
+    # Outlines are dealt out by site before they are filled: a pixel takes as much room as a corner.
+    dealt = segments.repartition(max(-(-segments.count() // POLYGONS_A_TASK), 1), "site_id")
+    joined = dealt.join(offsets.select("site_id", "offset_y", "offset_x"), "site_id")
     local = F.transform("polygon", lambda p: F.struct((p["x"] - F.col("offset_x")).alias("x"),
                                                       (-p["y"] - F.col("offset_y")).alias("y")))
     ring = joined.select(*keys, "label", F.col(order).alias("_o"), local.alias("_ring")).withColumn("_box", G.ring_box("_ring"))

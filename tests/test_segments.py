@@ -1,3 +1,4 @@
+import re
 import numpy as np
 import pytest
 from helpers import disk, noise, to_image, to_rows
@@ -290,3 +291,19 @@ def test_requested_tiles_are_filled_up_without_a_row_for_each_place(spark):
     assert set(got) == {(0, 0), (2, 0), (None, 1)} and all(len(v) == T.TILE ** 2 for v in got.values())
     assert {i: v for i, v in enumerate(got[0, 0]) if v} == {0: 5, 3: 7, T.TILE ** 2 - 1: 9} and not any(got[2, 0]) and not any(got[None, 1])
     assert "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def dealt_by(df):
+    return re.findall(r"hashpartitioning\(([^)]*)\)", df._jdf.queryExecution().executedPlan().toString())
+
+
+def test_polygons_are_dealt_out_before_they_are_filled(spark):
+    """The later polygon of a site wins, and no pixel is shuffled."""
+    square = lambda x0, y0, x1, y1: [(float(x), float(-y)) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1), (x0, y0))]
+    rows = [(s, k, square(k, s % 3, k + 3, s % 3 + 2)) for s in range(5) for k in (1, 2)]
+    segments = spark.createDataFrame(rows, "site_id bigint, label int, polygon array<struct<x:double,y:double>>")
+    offsets = spark.createDataFrame([(s, 0, 0) for s in range(5)], "site_id bigint, offset_y int, offset_x int")
+    out = T.polygons_to_labels(segments, offsets, 20, 20)
+    assert all(re.fullmatch(r"site_id#\d+L, \d+", e) for e in dealt_by(out))
+    got = {(r.site_id, r.y, r.x): r.label for r in out.collect()}
+    assert got == {(s, y, x): max(k for k in (1, 2) if k <= x <= k + 3) for s in range(5) for y in range(s % 3, s % 3 + 3) for x in range(1, 6)}
