@@ -28,7 +28,8 @@ def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None,
     and `upper` are bounds for all of them.
 
     Images are corrected, aligned without cropping and scaled before they are
-    placed. Where images overlap, the lower or right one lies on top.
+    placed. Where images overlap, the lower or right one lies on top. Image lines are dealt out
+    to the lines of the map as a row each and fall into pixels there.
     """
     if stats is not None:
         px = P.correct_selected(px, stats, skip_correction) if skip_correction else P.correct_illumination(px, stats)
@@ -41,13 +42,30 @@ def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None,
     elif lower is not None and upper is not None:
         px = P.clip(px, lower, upper).withColumn("value", scale_to_byte("value", F.lit(lower), F.lit(upper)))
     layer = [k for k in image_keys(px) if k != "site_id"]
-    placed = px.join(sites.select("site_id", "offset_y", "offset_x", "site_y", "site_x"), "site_id").select(
-        *layer, (F.col("offset_y") + F.col("y")).alias("y"), (F.col("offset_x") + F.col("x")).alias("x"),
-        F.struct("site_y", "site_x", "value").alias("_top"))
+    lines = _packed_lines(px).join(sites.select("site_id", "offset_y", "offset_x", "site_y", "site_x"), "site_id")
+    moved = lines.withColumns({"y": F.col("offset_y") + F.col("y"), "_x": F.col("offset_x") + F.col("_x")}).drop("site_id", "offset_y", "offset_x")
+    # A line falls into far more rows than a shuffle counts on.
+    tasks = 4 * int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _unpacked_lines(moved.repartition(tasks, *layer, "y")).select(*layer, "y", "x", F.struct("site_y", "site_x", "value").alias("_top"))
     return placed.groupBy(*layer, "y", "x").agg(F.max("_top").alias("_top")).select(
         *layer, "y", "x", F.col("_top.value").alias("value"))
 
 
+def _packed_lines(px: DataFrame) -> DataFrame:
+    """A row for each image line: its first place `_x`, its values in order, and their distances from `_x` where places are missing or repeated."""
+    keys = image_keys(px)
+    lines = px.groupBy(*keys, "y").agg(F.sort_array(F.collect_list(F.struct("x", "value"))).alias("_p"))
+    first = F.get("_p", F.lit(0))["x"]
+    steps = F.transform("_p", lambda p: p["x"] - first)
+    return lines.select(*keys, "y", first.alias("_x"), F.when(steps != F.sequence(F.lit(0), F.size("_p") - 1), steps).alias("_s"),
+                        F.transform("_p", lambda p: p["value"]).alias("_v"))
+
+
+def _unpacked_lines(lines: DataFrame) -> DataFrame:
+    rows = lines.select("*", F.posexplode("_v").alias("_i", "value"))
+    return rows.withColumn("x", F.col("_x") + F.coalesce(F.get("_s", F.col("_i")), F.col("_i"))).drop("_x", "_s", "_v", "_i")
+
+
 def pack_tiles(px: DataFrame) -> DataFrame:
     """Arrays of pixels per tile: places inside the tile and their values; places
     that are not listed are black. A tile has a fixed largest size."""

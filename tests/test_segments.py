@@ -307,3 +307,13 @@ def test_polygons_are_dealt_out_before_they_are_filled(spark):
     assert all(re.fullmatch(r"site_id#\d+L, \d+", e) for e in dealt_by(out))
     got = {(r.site_id, r.y, r.x): r.label for r in out.collect()}
     assert got == {(s, y, x): max(k for k in (1, 2) if k <= x <= k + 3) for s in range(5) for y in range(s % 3, s % 3 + 3) for x in range(1, 6)}
+
+
+def test_map_pixels_come_as_lines(spark):
+    """Image lines are shuffled whole; missing and repeated places and nulls keep their values."""
+    rows = [(0, 0, 0, 1), (0, 0, 1, 2), (0, 0, 3, 4), (0, 1, 2, 5), (0, 1, 2, 6), (1, 0, 0, 7), (1, 0, 1, 8), (1, 0, 2, None), (2, 0, 5, 9)]
+    px = spark.createDataFrame(rows, "site_id bigint, y int, x int, value int")
+    sites = spark.createDataFrame([(0, 0, 0, 0, 0), (1, 0, 2, 0, 1)], "site_id bigint, offset_y int, offset_x int, site_y int, site_x int")
+    out = T.build_base_tiles(px, sites)
+    assert not any(re.search(r"\bx#", e) for e in dealt_by(out))
+    assert {(r.y, r.x): r.value for r in out.collect()} == {(0, 0): 1, (0, 1): 2, (0, 2): 7, (0, 3): 8, (0, 4): None, (1, 2): 6}
