@@ -37,16 +37,20 @@ def build_base_tiles(px: DataFrame, sites: DataFrame, lower: int | None = None,
         px = P.align(px, shifts, residues, crop=False)
     if bounds is not None:
         on = [c for c in ("channel_id", "cycle_id") if c in bounds.columns and c in px.columns]
-        px = (px.join(bounds, on) if on else px.join(F.broadcast(bounds))).withColumn("value", scale_to_byte(
+        # Layers are few; pixels would else be dealt out by layer.
+        px = px.join(F.broadcast(bounds), on or None).withColumn("value", scale_to_byte(
             F.greatest(F.least("value", "max_intensity"), "min_intensity"), F.col("min_intensity"), F.col("max_intensity"))).drop("min_intensity", "max_intensity")
     elif lower is not None and upper is not None:
         px = P.clip(px, lower, upper).withColumn("value", scale_to_byte("value", F.lit(lower), F.lit(upper)))
     layer = [k for k in image_keys(px) if k != "site_id"]
+    kind = px.schema["value"].dataType
+    if bounds is not None or (lower is not None and upper is not None):
+        px = px.withColumn("value", F.col("value").cast("smallint"))  # 0 to 255 on their way
     lines = _packed_lines(px).join(sites.select("site_id", "offset_y", "offset_x", "site_y", "site_x"), "site_id")
     moved = lines.withColumns({"y": F.col("offset_y") + F.col("y"), "_x": F.col("offset_x") + F.col("_x")}).drop("site_id", "offset_y", "offset_x")
     # A line falls into far more rows than a shuffle counts on.
     tasks = 4 * int(px.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _unpacked_lines(moved.repartition(tasks, *layer, "y")).select(*layer, "y", "x", F.struct("site_y", "site_x", "value").alias("_top"))
+    placed = _unpacked_lines(moved.repartition(tasks, *layer, "y")).select(*layer, "y", "x", F.struct("site_y", "site_x", F.col("value").cast(kind).alias("value")).alias("_top"))
     return placed.groupBy(*layer, "y", "x").agg(F.max("_top").alias("_top")).select(
         *layer, "y", "x", F.col("_top.value").alias("value"))
 

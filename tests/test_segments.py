@@ -1,4 +1,5 @@
 import re
+
 import numpy as np
 import pytest
 from helpers import disk, noise, to_image, to_rows
@@ -317,3 +318,19 @@ def test_map_pixels_come_as_lines(spark):
     out = T.build_base_tiles(px, sites)
     assert not any(re.search(r"\bx#", e) for e in dealt_by(out))
     assert {(r.y, r.x): r.value for r in out.collect()} == {(0, 0): 1, (0, 1): 2, (0, 2): 7, (0, 3): 8, (0, 4): None, (1, 2): 6}
+
+
+def test_pixels_are_not_dealt_out_by_layer(spark):
+    """Bounds of layers come to the pixels; a layer without bounds has no tiles."""
+    px = spark.createDataFrame([(0, c, 0, x, 10 + x) for c in range(3) for x in range(4)], "site_id bigint, channel_id int, y int, x int, value int")
+    sites = spark.createDataFrame([(0, 0, 0, 0, 0)], "site_id bigint, offset_y int, offset_x int, site_y int, site_x int")
+    bounds = px.filter("channel_id < 2").groupBy("channel_id").agg((F.min("channel_id") * 10).alias("min_intensity"), (F.max("channel_id") * 10 + 256).alias("max_intensity"))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = T.build_base_tiles(px, sites, bounds=bounds)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert "BroadcastHashJoin [channel_id" in plan
+    assert {(r.channel_id, r.y, r.x): r.value for r in out.collect()} == {(c, 0, x): 10 + x - 10 * c for c in range(2) for x in range(4)}
