@@ -5,10 +5,12 @@ import pytest
 from helpers import disk, noise, to_image, to_rows
 from pyspark.sql import functions as F
 
+from siteframe.core import cut_lineage
 from siteframe.operators import labels as LB
 from siteframe.operators import pixels as P
 from siteframe.operators import segment as SG
 from siteframe.operators import tiles as T
+from siteframe.operators import tree as TR
 
 
 def brute_components(mask, steps):
@@ -334,3 +336,17 @@ def test_pixels_are_not_dealt_out_by_layer(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert "BroadcastHashJoin [channel_id" in plan
     assert {(r.channel_id, r.y, r.x): r.value for r in out.collect()} == {(c, 0, x): 10 + x - 10 * c for c in range(2) for x in range(4)}
+
+
+def test_tables_between_steps_are_dealt_out_by_site(spark):
+    """Steps that follow a written table join its pixels where they are."""
+    px = to_rows(spark, noise((6, 6), 2), "height").unionByName(to_rows(spark, noise((5, 7), 4), "height", site=1))
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        written = TR.neighbouring(cut_lineage(px), ["site_id"])
+        found = dealt_by(written)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found and all(re.fullmatch(r"site_id#\d+L, \d+", e) for e in found)
+    assert sorted(written.collect()) == sorted(TR.neighbouring(px, ["site_id"]).collect())
